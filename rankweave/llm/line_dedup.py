@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import LOWER, SPACES, UPPER, shared_dir, stored, text_or_empty
+from rankweave.llm.common import SPACES, shared_dir, stored, text_or_empty
 
 #: Dropped keys up to this many (16 bytes each) are broadcast to the lines; more are merge-joined.
 MAX_BROADCAST_KEYS = 250_000
@@ -31,8 +31,17 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACES))
+
+
+def folded(line: Column) -> Column:
+    """Equal for two lines just when they are equal once A-Z are lower-cased.
+
+    Lower-casing the UTF-8 bytes as Latin-1 characters maps A-Z to a-z and lead bytes of two-byte characters to
+    others, one to one: how many continuation bytes follow tells them from the lead bytes of longer characters.
+    """
+    return F.lower(F.decode(line.cast("binary"), "ISO-8859-1"))
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -94,11 +103,11 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batc
     """(h1, h2) of the keys that at least `min_docs` documents hold, stored in the shared folder."""
     spark = docs.sparkSession
     root = shared_dir(spark, "lines")
-    keys = F.array_distinct(F.transform(split_lines(F.col("_t")), line_key))
+    lines = F.transform(split_lines(F.col("_t")), stripped)
+    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), folded))
     each = (
         docs.select(F.col("doc_id"), text_or_empty().alias("_t"))
         .select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("_k"))
-        .where(F.length("_k") >= min_chars)
         .select("batch", *_hashes(F.col("_k")))
         .groupBy("batch", "h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -128,7 +137,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
         .withColumn("_row", F.monotonically_increasing_id())
         .select("_row", *(f"c{i}" for i in rest), F.posexplode(split_lines(F.coalesce(F.col(f"c{names.index('text')}"), F.lit("")))).alias("_pos", "_line"))
         # only a row's first line carries its other columns: they are shuffled once
-        .select("_row", F.when(F.col("_pos") == 0, F.struct(F.lit(0).alias("_"), *(f"c{i}" for i in rest))).alias("_rest"), "_pos", "_line", line_key(F.col("_line")).alias("_k"))
+        .select("_row", F.when(F.col("_pos") == 0, F.struct(F.lit(0).alias("_"), *(f"c{i}" for i in rest))).alias("_rest"), "_pos", "_line", folded(stripped(F.col("_line"))).alias("_k"))
         .select("_row", "_rest", "_pos", "_line", *_hashes(F.col("_k")))
     )
     kept = F.filter(F.col("_lines"), lambda x: ~x["gone"])

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import SPACES, UPPER, text_or_empty
+from rankweave.llm.common import SPACES, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -29,8 +29,8 @@ WINDOW = 8
 FEATURES = ["word_len", "symbol_ratio", "upper_ratio", "bang_ratio", "digit_ratio", "dup_line_ratio", "repeat_ratio", "distinct_ratio", "words_per_line", "n_words"]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def _shifted(a: str, n: Column, by: int) -> Column:
@@ -42,10 +42,10 @@ def _shifted(a: str, n: Column, by: int) -> Column:
 def text_stats(docs: DataFrame) -> DataFrame:
     """docs and a struct `_stats` of the statistics; words are runs of characters that aren't spaces."""
     n = F.size("_wh")
+    trimmed = F.btrim(F.col("_t"), F.lit(SPACES))
     out = (
         docs.withColumn("_t", text_or_empty())
-        .withColumn("_solid", _without(F.col("_t"), SPACES))
-        .withColumn("_wh", F.transform(F.filter(F.split("_t", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w)))
+        .withColumn("_wh", F.when(trimmed != "", F.transform(F.split(trimmed, r"[\x20\x09-\x0D]+", -1), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
         .withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
         .withColumn("_h2", _shifted("_wh", n - 1, 1))
         .withColumn("_h4", _shifted("_h2", n - 3, 2))
@@ -72,20 +72,21 @@ def text_stats(docs: DataFrame) -> DataFrame:
         F.lit(0),
         lambda s, x: s + x,
     )
-    solid = F.length("_solid")
+    text = F.col("_t")
     stats = F.struct(
         n.cast("long").alias("n_words"),
-        solid.cast("long").alias("word_chars"),
-        (solid - F.length(_without(F.col("_solid"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.length(text) - _count(text, r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
+        _count(text, f"[{SYMBOLS}]").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_p").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("_wh")).cast("long").alias("n_distinct"),
-        (solid - F.length(_without(F.col("_solid"), UPPER))).cast("long").alias("n_upper"),
-        (solid - F.length(_without(F.col("_solid"), "!"))).cast("long").alias("n_bang"),
-        (solid - F.length(_without(F.col("_solid"), "0123456789"))).cast("long").alias("n_digits"),
+        _count(text, "[A-Z]").cast("long").alias("n_upper"),
+        _count(text, "!").cast("long").alias("n_bang"),
+        _count(text, "[0-9]").cast("long").alias("n_digits"),
     )
-    return out.withColumn("_stats", stats).drop("_t", "_solid", "_wh", "_lines", "_h2", "_h4", "_h8", "_s", "_m", "_p")
+    # a generator of one row: what reads the statistics finds values, not expressions to compute again
+    return out.select(*docs.columns, F.explode(F.array(stats)).alias("_stats"))
 
 
 def features(stats: str = "_stats") -> dict[str, Column]:
