@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import line_dedup, quality_rules, secret_scan, url_filter
+from rankweave.llm import line_dedup, packing, permutation_index, quality_rules, secret_scan, sentencepiece_bpe, url_filter
 from rankweave.llm.common import table
 
 # The url rules.
@@ -20,6 +21,18 @@ URL_RULES = [
 ]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), add_eos=True, digests=True)
+
+
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     n = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
@@ -51,6 +64,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_permutation_index": op3_permutation_index,
+    "op5_packing": op5_packing,
     "op4_secret_scan": op4_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
