@@ -34,6 +34,22 @@ MAX_CACHED_CHARS = 64
 MAX_PAIRS = 2_000_000
 
 
+class _Known(dict):
+    """Ids of words (what stands between two spaces) with the mark before them; emptied when `MAX_CACHED` are kept."""
+
+    def __init__(self, bpe: PrefixTableBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.bpe._encode_part(MARK + word)
+        if len(word) <= MAX_CACHED_CHARS:
+            if len(self) >= MAX_CACHED:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class PrefixTableBpe:
     def __init__(self, model_path: str):
         import sentencepiece
@@ -62,14 +78,14 @@ class PrefixTableBpe:
         # how the model prepares a text, found by asking the library
         self.dummy_prefix = sp.encode("a", out_type=str)[0].startswith(MARK)
         self._check_plain(sp)
+        self.table = [b if b is not None else (self.unk_surface if i == self.unk else x).encode("utf-8") for i, (x, b) in enumerate(zip(self.surface, self.out_bytes, strict=True))]
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.chars = {c for p in self.ids for c in p}
+        self.known = _Known(self)
         together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         # MARK stands after no other character inside a token: texts are cut before it
         self.cut_before_mark = all(x == MARK * 2 for x in together if x[1] == MARK)
-        self.together = together
         self.part = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.cut_before_mark else None
+        self.plain_words = self.cut_before_mark and self.dummy_prefix
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) == 1 or self._merge(p) == [p]:  # a token that merging never makes is in no encoding
@@ -96,39 +112,43 @@ class PrefixTableBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self._merge(a + b) == [a, b]
+    def _may_follow(self, pair: tuple[str, str]) -> bool:
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[pair] = self._merge(pair[0] + pair[1]) == [*pair]
         return found
 
     def _table(self, text: str) -> list[str]:
-        """Tokens of a text whose characters all are tokens, or at least in tokens."""
+        """A text's tokens; a character that no token ends in stands alone."""
         last: list[str | None] = [None] * (len(text) + 1)
-        follow = self._may_follow
+        pairs = self.pairs
         done = 0
         for end, token in self.automaton.iter(text):
             # matches come by end, the longest first
-            end += 1
-            while done < end - 1:  # a character no token ends in stands alone
+            while done < end:
                 done += 1
                 if last[done] is None:
                     last[done] = text[done - 1]
+            end += 1
             if last[end] is None:
                 start = end - len(token)
-                if start == 0 or follow(last[start], token):
-                    last[end] = token
-                    done = end
-        for i in range(1, len(text) + 1):
-            if last[i] is None:
-                last[i] = text[i - 1]
+                if start:
+                    pair = (last[start], token)
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = self._may_follow(pair)
+                    if not fits:
+                        continue
+                last[end] = token
+                done = end
+        for i in range(done + 1, len(text) + 1):
+            last[i] = last[i] or text[i - 1]
         out, at = [], len(text)
         while at:
             out.append(last[at])
             at -= len(last[at])
-        return out[::-1]
+        out.reverse()
+        return out
 
     def _ids_of(self, token: str) -> list[int]:
         i = self.ids.get(token)
@@ -139,41 +159,34 @@ class PrefixTableBpe:
         return [self.unk]
 
     def _encode_part(self, part: str) -> tuple[int, ...]:
-        out: list[int] = []
-        run = 0
-        together = self.together
-        for i in range(1, len(part) + 1):
-            if i == len(part) or part[i - 1 : i + 1] not in together:
-                for token in self._table(part[run:i]):
-                    out += self._ids_of(token)
-                run = i
-        return tuple(out)
+        return tuple(chain.from_iterable(map(self._ids_of, self._table(part))))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without begin and end ids."""
         if not text:
             return []
+        if self.plain_words and MARK not in text and "  " not in text and text[0] != " ":
+            return list(chain.from_iterable(map(self.known.__getitem__, text.split(" "))))
         text = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        known = self.known
-        found = []
-        for part in self.part.findall(text) if self.part else [text]:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._encode_part(part)
-                if len(part) <= MAX_CACHED_CHARS:
-                    if len(known) >= MAX_CACHED:
-                        known.clear()
-                    known[part] = ids
-            found.append(ids)
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(map(self._encode_part, self.part.findall(text) if self.part else [text])))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control tokens vanish, the mark that the encoder puts first is taken off, bytes become characters."""
-        surface, raw = self.surface, self.out_bytes
+        surface = self.surface
         if not ids:
             return ""
         if min(ids) < 0 or max(ids) >= len(surface):
             raise IndexError("an id is out of range")
+        raw_text = b"".join(map(self.table.__getitem__, ids))
+        try:  # pieces are whole characters: all bytes together are sound just when each run of byte tokens is
+            text = raw_text.decode("utf-8")
+        except UnicodeDecodeError:
+            return self._decode_unsound(ids)
+        lead = next((i for i in ids if i not in self.control or i == self.unk), None)
+        return text[1:] if self.dummy_prefix and lead is not None and surface[lead][:1] == " " else text
+
+    def _decode_unsound(self, ids: list[int]) -> str:
+        surface, raw = self.surface, self.out_bytes
         out: list[str] = []
         pending = bytearray()
         first = self.dummy_prefix
