@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import line_dedup, packing, permutation_index, quality_rules, secret_scan, sentencepiece_bpe, url_filter
-from rankweave.llm.common import table
+from rankweave.llm import line_dedup, ngram_join, packing, permutation_index, quality_rules, secret_scan, sentencepiece_bpe, toxicity, url_filter
+from rankweave.llm.common import crc_fold, table
 
 # The url rules.
 URL_RULES = [
@@ -25,6 +25,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), add_eos=True, digests=True)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -47,6 +51,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=1, folds=3)
+    out = toxicity.score_documents(docs, model, threshold=0.7)
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", "line_stats.n_lines", "line_stats.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -65,9 +76,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_ngram_join": op2_ngram_join,
     "op3_permutation_index": op3_permutation_index,
     "op5_packing": op5_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
