@@ -5,9 +5,9 @@ from its own n-gram counts of orders `order` down to `shared + 1`, by absolute d
 Kneser-Ney continuation counts of the orders up to `shared`, which both classes have in common. So an expression too rare for counts
 of its own is smoothed the same way on both sides, and an inflected or compounded form is known by its stem.
 
-A word's evidence is the difference of its log-likelihoods. A document has three features: the evidence of all its words per
-character, and that of its strongest window of `window` words per character, and of its strongest word, so a long document with
-one toxic passage isn't averaged away. A logistic regression on other labelled documents than the counts' makes a probability of them.
+A word's evidence is the difference of its log-likelihoods. A document has five features: the evidence of all its words per
+character, that of its strongest window of `window` words per character, of its strongest word and of its three strongest, so a long
+document with one toxic passage isn't averaged away, and the logarithm of its length. A logistic regression on other labelled documents than the counts' makes a probability of them.
 
 Bounded: at most `max_docs` documents of each class for the counts and as many for the regression (by hash of doc_id; a documented
 sample), and `max_words` distinct words of each class come to the driver, most frequent first. Every document is scored, whole.
@@ -32,55 +32,57 @@ from rankweave.llm.common import WORD, crc_fold, text_or_empty
 
 MAX_CACHED = 400_000
 START, END = "\x02", "\x03"
+N_FEATURES = 5
 
 
 class KneserNey:
     """log2 P(toxic side) - log2 P(ordinary side) of each character after what stands before it in its word."""
 
-    def __init__(self, words: list[dict[str, int]], order: int = 6, shared: int = 3, discount: float = 0.75):
+    def __init__(self, words: list[dict[str, int]], order: int = 5, shared: int = 2, discount: float = 0.75):
         self.order, self.shared, self.d = order, shared, discount
-        self.own: list[dict] = []  # for each class: context -> (sum, types, {character: count}), contexts of shared..order-1 characters
+        # for each class: n-gram -> count and context -> (sum, types), contexts of shared..order-1 characters
+        self.own: list[tuple[dict, dict]] = []
         kinds: list[set] = [set() for _ in range(shared + 1)]
         for counts in words:
-            tree: dict = {}
+            grams: dict[str, int] = defaultdict(int)
             for word, n in counts.items():
                 s = START * (order - 1) + word + END
                 for i in range(order - 1, len(s)):
                     for k in range(shared, order):
-                        at = tree.setdefault(s[i - k : i], defaultdict(int))
-                        at[s[i]] += n
+                        grams[s[i - k : i + 1]] += n
                     for k in range(1, shared + 1):
                         kinds[k].add(s[i - k : i + 1])  # n-grams of k + 1 characters: each is one kind of a continuation
-            self.own.append({c: (sum(v.values()), len(v), dict(v)) for c, v in tree.items()})
+            self.own.append((dict(grams), self._contexts(grams)))
         # continuation counts: in how many kinds of contexts a character follows a shorter one
-        self.back: list[dict] = []
+        self.back: list[tuple[dict, dict]] = []
         for k in range(shared):
-            tree = {}
+            grams = defaultdict(int)
             for gram in kinds[k + 1]:
-                tree.setdefault(gram[1:-1], defaultdict(int))[gram[-1]] += 1
-            self.back.append({c: (sum(v.values()), len(v), dict(v)) for c, v in tree.items()})
-        self.letters = len(self.back[0].get("", (0, 0, {}))[2]) + 1
-
-    def _common(self, h: str, x: str) -> float:
-        p = 1.0 / self.letters
-        for k in range(self.shared):
-            found = self.back[k].get(h[len(h) - k :])
-            if found is not None:
-                total, types, counts = found
-                p = (max(counts.get(x, 0) - self.d, 0.0) + self.d * types * p) / total
-        return p
+                grams[gram[1:]] += 1
+            self.back.append((dict(grams), self._contexts(grams)))
+        self.letters = len(self.back[0][0]) + 1
+
+    @staticmethod
+    def _contexts(grams: dict[str, int]) -> dict[str, tuple[int, int]]:
+        out: dict[str, tuple[int, int]] = {}
+        for g, n in grams.items():
+            total, types = out.get(g[:-1], (0, 0))
+            out[g[:-1]] = (total + n, types + 1)
+        return out
+
+    def _step(self, level: tuple[dict, dict], h: str, x: str, p: float) -> float:
+        total, types = level[1].get(h, (0, 0))
+        return (max(level[0].get(h + x, 0) - self.d, 0.0) + self.d * types * p) / total if total else p
 
     def evidence(self, h: str, x: str) -> float:
         """h: the order - 1 characters before x."""
-        start = self._common(h, x)
+        start = 1.0 / self.letters
+        for k in range(self.shared):
+            start = self._step(self.back[k], h[len(h) - k :], x, start)
         p = [start, start]
         for i, own in enumerate(self.own):
             for k in range(self.shared, self.order):
-                found = own.get(h[len(h) - k :])
-                if found is None:
-                    break
-                total, types, counts = found
-                p[i] = (max(counts.get(x, 0) - self.d, 0.0) + self.d * types * p[i]) / total
+                p[i] = self._step(own, h[len(h) - k :], x, p[i])
         return float(np.log2(p[0]) - np.log2(p[1]))
 
 
@@ -111,15 +113,16 @@ class WordEvidence(dict):
         return found
 
 
-def doc_features(text: str, words: WordEvidence, window: int = 8) -> tuple[float, float, float]:
+def doc_features(text: str, words: WordEvidence, window: int = 8) -> tuple[float, ...]:
     found = WORD.findall(text)
     if not found:
-        return 0.0, 0.0, 0.0
+        return (0.0,) * N_FEATURES
     x = np.array(list(map(words.__getitem__, found)))
     c = np.concatenate([[[0.0, 0.0]], np.cumsum(x, axis=0)])
     k = min(window, len(found))
     w = c[k:] - c[:-k]
-    return float(c[-1, 0] / c[-1, 1]), float((w[:, 0] / w[:, 1]).max()), float(x[:, 0].max())
+    top = np.sort(x[:, 0])[-3:]
+    return float(c[-1, 0] / c[-1, 1]), float((w[:, 0] / w[:, 1]).max()), float(top[-1]), float(top.sum() / 3), float(np.log(len(found) + 1))
 
 
 @dataclass(frozen=True)
@@ -183,10 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, m
         known = WordEvidence(shared.value)
         for b in batches:
             f = [doc_features(t, known, window) for t in b["_t"]]
-            yield pd.DataFrame({"toxic": b["toxic"], "f0": [x[0] for x in f], "f1": [x[1] for x in f], "f2": [x[2] for x in f]})
+            yield pd.DataFrame({"toxic": b["toxic"], **{f"f{i}": [x[i] for x in f] for i in range(N_FEATURES)}})
 
     seen = texts.where("part = 0").groupBy("doc_id").agg(F.first("_t").alias("_t"), F.first("toxic").alias("toxic")).select("toxic", "_t")
-    data = np.array([tuple(r) for r in seen.mapInPandas(measure, "toxic int, f0 double, f1 double, f2 double").orderBy("toxic", "f0", "f1", "f2").collect()], float)
+    data = np.array(sorted(tuple(r) for r in seen.mapInPandas(measure, "toxic int, " + ", ".join(f"f{i} double" for i in range(N_FEATURES))).collect()), float)
     y = data[:, 0] if len(data) else np.empty(0)
     if len(set(y)) < 2:
         return Model(None, (), prior)
@@ -203,7 +206,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
         m = shared.value
         known = WordEvidence(m.evidence) if m.evidence else None
         for b in batches:
-            f = np.array([doc_features(t, known, m.window) for t in b["_t"]]).reshape(-1, 3) if known is not None else np.zeros((len(b), 3))
+            f = np.array([doc_features(t, known, m.window) for t in b["_t"]]).reshape(-1, N_FEATURES) if known is not None else np.zeros((len(b), N_FEATURES))
             s = m.score(f)
             yield pd.DataFrame({"doc_id": b["_id"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
