@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import line_dedup, ngram_join, packing, permutation_index, quality_rules, secret_scan, sentencepiece_bpe, toxicity, url_filter
+from rankweave.llm import bloom_lm, line_dedup, ngram_join, packing, permutation_index, quality_rules, secret_scan, sentencepiece_bpe, toxicity, url_filter
 from rankweave.llm.common import crc_fold, table
 
 # The url rules.
@@ -51,6 +51,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, words = bloom_lm.train(docs, held_out=2, folds=7)
+    out = bloom_lm.score_documents(docs, model, words)
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=1, folds=3)
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_permutation_index": op3_permutation_index,
     "op5_packing": op5_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op6_bloom_lm": op6_bloom_lm,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
