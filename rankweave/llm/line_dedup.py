@@ -50,7 +50,7 @@ def _hashes(key: Column) -> list[Column]:
 
 @dataclass
 class LineRuns:
-    """Sorted runs (h1, h2, n, known): n documents of one batch held the key; known: a run before had it already."""
+    """Sorted runs (h1, h2, n, first, known): n documents of a batch held the key, `first` is the least doc_id of them; known: a run before had it already."""
 
     spark: SparkSession
     root: str
@@ -72,13 +72,13 @@ class LineRuns:
         return out
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes a batch (h1, h2, n), a row for each key; returns its run. Rows of it that aren't known are the batch's new lines."""
+        """Takes a batch (h1, h2, n, first), a row for each key; returns its run. Rows of it that aren't known are the batch's new lines."""
         kept = self.union()
         if kept is None:
             run = batch.withColumn("known", F.lit(False))
         else:
             old = kept.where(~F.col("known")).select("h1", "h2", F.lit(True).alias("found"))
-            run = batch.join(old.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce("found", F.lit(False)).alias("known"))
+            run = batch.join(old.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "n", "first", F.coalesce("found", F.lit(False)).alias("known"))
         run = self._write(run)
         self._push(0, run)
         return run
@@ -92,42 +92,42 @@ class LineRuns:
             for r in self.levels[level]:
                 merged = r if merged is None else merged.unionByName(r)
             self.levels[level] = []
-            self._push(level + 1, self._write(merged.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("known").alias("known"))))
+            self._push(level + 1, self._write(merged.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("known").alias("known"))))
 
     def counts(self) -> DataFrame:
-        """(h1, h2, n) over all batches."""
-        return self.union().groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        """(h1, h2, n, first) over all batches."""
+        return self.union().groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """(h1, h2) of the keys that at least `min_docs` documents hold, stored in the shared folder."""
+    """(h1, h2, first) of the keys that at least `min_docs` documents hold, stored in the shared folder."""
     spark = docs.sparkSession
     root = shared_dir(spark, "lines")
     lines = F.transform(split_lines(F.col("_t")), stripped)
     keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), folded))
     each = (
         docs.select(F.col("doc_id"), text_or_empty().alias("_t"))
-        .select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("_k"))
-        .select("batch", *_hashes(F.col("_k")))
+        .select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id", F.explode(keys).alias("_k"))
+        .select("batch", "doc_id", *_hashes(F.col("_k")))
         .groupBy("batch", "h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     )
     each.write.partitionBy("batch").parquet(f"{root}/batches")
-    schema = "h1 bigint, h2 bigint, n bigint, batch int"
+    schema = f"h1 bigint, h2 bigint, n bigint, first {dict(docs.dtypes)['doc_id']}, batch int"
     runs = LineRuns(spark, root, fanout)
     for b in range(batches):
-        runs.add(spark.read.schema(schema).parquet(f"{root}/batches").where(F.col("batch") == b).select("h1", "h2", "n"))
-    return stored(runs.counts().where(F.col("n") >= min_docs).select("h1", "h2"), f"{root}/frequent")
+        runs.add(spark.read.schema(schema).parquet(f"{root}/batches").where(F.col("batch") == b).select("h1", "h2", "n", "first"))
+    return stored(runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "first"), f"{root}/frequent")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """docs with every line dropped whose key at least `min_docs` documents hold.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, keep_first: bool = False) -> DataFrame:
+    """docs with every line dropped whose key at least `min_docs` documents hold; keep_first: but for those of the least doc_id that holds it.
 
     The other lines stay in order, joined by \\n, as `text`; `n_lines` (before), `n_dropped` are added as one
     struct `line_stats`, or under another name if docs has that column.
     """
     drop = frequent_lines(docs, min_docs, min_chars, batches, fanout)
-    drop = drop.withColumn("_drop", F.lit(True))
+    drop = drop.select("h1", "h2", "first", F.lit(True).alias("_drop"))
     drop = F.broadcast(drop) if drop.count() <= MAX_BROADCAST_KEYS else drop.hint("merge")
     names = docs.columns
     rest = [i for i, c in enumerate(names) if c != "text"]
@@ -135,18 +135,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     lines = (
         docs.toDF(*(f"c{i}" for i in range(len(names))))
         .withColumn("_row", F.monotonically_increasing_id())
-        .select("_row", *(f"c{i}" for i in rest), F.posexplode(split_lines(F.coalesce(F.col(f"c{names.index('text')}"), F.lit("")))).alias("_pos", "_line"))
+        .select("_row", *(f"c{i}" for i in rest), F.col(f"c{names.index('doc_id')}").alias("_id"), F.posexplode(split_lines(F.coalesce(F.col(f"c{names.index('text')}"), F.lit("")))).alias("_pos", "_line"))
         # only a row's first line carries its other columns: they are shuffled once
-        .select("_row", F.when(F.col("_pos") == 0, F.struct(F.lit(0).alias("_"), *(f"c{i}" for i in rest))).alias("_rest"), "_pos", "_line", folded(stripped(F.col("_line"))).alias("_k"))
-        .select("_row", "_rest", "_pos", "_line", *_hashes(F.col("_k")))
+        .select("_row", F.when(F.col("_pos") == 0, F.struct(F.lit(0).alias("_"), *(f"c{i}" for i in rest))).alias("_rest"), "_id", "_pos", "_line", folded(stripped(F.col("_line"))).alias("_k"))
+        .select("_row", "_rest", "_id", "_pos", "_line", *_hashes(F.col("_k")))
     )
+    gone = F.coalesce("_drop", F.lit(False))
+    if keep_first:
+        gone = gone & ~F.coalesce(F.col("_id") == F.col("first"), F.lit(False))
     kept = F.filter(F.col("_lines"), lambda x: ~x["gone"])
     out = (
         lines.join(drop, ["h1", "h2"], "left")
+        .select("_row", "_rest", "_pos", "_line", gone.alias("_gone"))
         .groupBy("_row")
         .agg(
             F.first("_rest", ignorenulls=True).alias("_rest"),
-            F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.coalesce("_drop", F.lit(False)).alias("gone"), F.when(F.col("_drop").isNull(), F.col("_line")).alias("line")))).alias("_lines"),
+            F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_gone").alias("gone"), F.when(~F.col("_gone"), F.col("_line")).alias("line")))).alias("_lines"),
         )
         .select(
             "_rest",
