@@ -1,10 +1,650 @@
-"""All queries of the engine's own operators and the SQL that says the same."""
+"""All queries of the engine's own operators and the SQL that says the same, over the fixtures of fixtures.py.
+
+Rates and means are rounded on both sides: the order of floating-point sums differs between engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, retrieval
+from rankweave.plans import fixtures as X
+
+K = 3
+DIGITS = 7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, **tables: str):
+    """Registers f(spark, fixture tables...) under a name; in its SQL the fixtures' names are common table expressions."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, **{k: X.spark_table(spark, sf_dir, t) for k, t in tables.items()})
+
+        QUERIES[name] = run
+        if sql:
+            ctes = [f"{k} AS ({X.duck(t)})" for k, t in tables.items()]
+            body = sql.strip()
+            SQL[name] = "WITH RECURSIVE " * 0 + "WITH " + ", ".join(ctes) + (", " + body[5:] if body.startswith("WITH ") else " " + body)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, DIGITS) for c in names})
+
+
+LOG, ORDERS, ITEMS, RUNS, TRUTH, DAMAGED, LABELLED, TOKENS = X.INTERACTIONS, X.RAW_ORDERS, X.ITEMS, X.RUNS, X.TRUTH, X.DAMAGED, X.LABELLED, X.TOKENS
+CUSTOMERS = "SELECT c_custkey AS user_id FROM {customer}"
+USERS = "SELECT DISTINCT user_id FROM {events}"
+VECTORS = "SELECT vec_id, embedding FROM {embeddings}"
+
+
+# --- preparation ---------------------------------------------------------------------------------------------------
+
+@query("prep_eligible", "SELECT * FROM log QUALIFY count(*) OVER (PARTITION BY user_id) >= 20", log=ORDERS)
+def _(spark, log):
+    return prep.eligible_users(log, 20)
+
+
+@query("prep_id_map", "SELECT raw, row_number() OVER (ORDER BY raw) - 1 AS id FROM (SELECT DISTINCT raw_item_id AS raw FROM items)", items=ITEMS)
+def _(spark, items):
+    return prep.id_mapping(items, "raw_item_id", "id")
+
+
+@query("prep_positives", "SELECT * FROM log WHERE rating >= 4.0", log=LOG)
+def _(spark, log):
+    return prep.positives(log, 4.0)
+
+
+@query("prep_stats", "SELECT count(*) AS num_interactions, count(*) FILTER (WHERE rating >= 4) AS num_positive_interactions, count(DISTINCT user_id) AS num_users, count(DISTINCT item_id) AS num_items FROM log", log=LOG)
+def _(spark, log):
+    return prep.dataset_stats(log, 4.0)
+
+
+@query(
+    "prep_items_movie",
+    r"""SELECT item_id, raw_item_id, trim(regexp_replace(raw_title, '\s*\([0-9]{4}\)\s*$', '')) AS title, genres,
+        TRY_CAST(regexp_extract(raw_title, '\(([0-9]{4})\)\s*$', 1) AS INT) AS release_year FROM items""",
+    items=ITEMS,
+)
+def _(spark, items):
+    return prep.movie_items(items)
+
+
+@query(
+    "prep_items_clean",
+    """SELECT item_id, TRY_CAST(replace(replace(trim(said), '$', ''), ',', '') AS DOUBLE) AS price, list_filter(string_split(genres, '|'), x -> x <> '') AS genres FROM (
+       SELECT item_id, genres, CASE WHEN item_id % 5 = 0 THEN '' WHEN item_id % 5 = 1 THEN 'n/a' ELSE concat('$1,', CAST(item_id % 900 + 100 AS VARCHAR(20)), '.50 ') END AS said FROM items)""",
+    items=ITEMS,
+)
+def _(spark, items):
+    said = F.when(F.col("item_id") % 5 == 0, "").when(F.col("item_id") % 5 == 1, "n/a").otherwise(F.concat(F.lit("$1,"), (F.col("item_id") % 900 + 100).cast("string"), F.lit(".50 ")))
+    return items.select("item_id", prep.clean_number(said).alias("price"), prep.genre_list(F.col("genres")).alias("genres"))
+
+
+@query(
+    "split_loo",
+    """SELECT event_id, CASE r WHEN 1 THEN 'test' WHEN 2 THEN 'val' ELSE 'train' END AS split FROM (
+       SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC, event_id DESC) AS r FROM log) WHERE n >= 3""",
+    log=LOG,
+)
+def _(spark, log):
+    return prep.leave_one_out(log, 3, ["event_id"]).select("event_id", "split")
+
+
+SPLIT = """WITH o AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id, event_id) - 1 AS r FROM log),
+b AS (SELECT *, greatest(1, CAST(floor(n * CAST(0.7 AS DOUBLE)) AS INT)) AS te0, greatest(1, CAST(floor(n * CAST(0.1 AS DOUBLE)) AS INT)) AS vc FROM o WHERE n >= 10),
+e AS (SELECT *, CASE WHEN te0 + vc >= n THEN greatest(1, n - vc - 1) ELSE te0 END AS te FROM b),
+s AS (SELECT user_id, item_id, rating, ts, event_id, CASE WHEN r < te THEN 'train' WHEN r < te + vc THEN 'val' ELSE 'test' END AS split FROM e)"""
+
+
+def _split(log: DataFrame) -> DataFrame:
+    return prep.temporal_split(log, 0.7, 0.1, 10, ["event_id"])
+
+
+@query("split_temporal", SPLIT + " SELECT event_id, split FROM s", log=LOG)
+def _(spark, log):
+    return _split(log).select("event_id", "split")
+
+
+@query(
+    "split_train_queries",
+    SPLIT + """, t AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC, event_id DESC) AS r FROM s WHERE split = 'train')
+    SELECT event_id, CASE WHEN r = 1 AND n >= 2 THEN 'train_queries' ELSE 'retriever_train' END AS role FROM t""",
+    log=LOG,
+)
+def _(spark, log):
+    return prep.train_queries(_split(log).where(F.col("split") == "train"), ["event_id"]).select("event_id", "role")
+
+
+HISTORY = SPLIT + ", h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id, event_id) AS place FROM s WHERE split IN ('train', 'val'))"
+
+
+@query("history_topn", HISTORY + " SELECT user_id, event_id, item_id, place FROM h WHERE place <= 20", log=LOG)
+def _(spark, log):
+    return prep.history(prep.context_of("test", _split(log)), 20, ["event_id"]).select("user_id", "event_id", "item_id", "place")
+
+
+@query("history_enriched", HISTORY + " SELECT h.user_id, place, CAST(h.item_id AS VARCHAR) AS item_id, raw_title AS title, rating FROM h LEFT JOIN items i ON h.item_id = i.item_id WHERE place <= 20", log=LOG, items=ITEMS)
+def _(spark, log, items):
+    hist = prep.history(prep.context_of("test", _split(log)), 20, ["event_id"])
+    out = prep.history_items(hist, items.select("item_id", F.col("raw_title").alias("title")))
+    return out.select("user_id", F.explode("history").alias("h")).select("user_id", "h.*")
+
+
+@query("seen_items", SPLIT + " SELECT DISTINCT user_id, item_id FROM s WHERE split IN ('train', 'val')", log=LOG)
+def _(spark, log):
+    return prep.seen_items(prep.context_of("test", _split(log)))
+
+
+@query("ui_matrix", "SELECT user_id, item_id, CAST(count(*) AS DOUBLE) AS value FROM log GROUP BY user_id, item_id", log=ORDERS)
+def _(spark, log):
+    return prep.user_item_matrix(log)
+
+
+@query("ground_truth", "SELECT user_id, list_sort(list(item_id)) AS ground_truth FROM truth GROUP BY user_id", truth=TRUTH)
+def _(spark, truth):
+    return retrieval.ground_truth(truth)
+
+
+# --- graph and retrieval -------------------------------------------------------------------------------------------
+
+EDGES = """WITH e0 AS (SELECT DISTINCT concat('u', CAST(user_id AS VARCHAR)) AS src, concat('i', CAST(item_id AS VARCHAR)) AS dst FROM log),
+e1 AS (SELECT src, dst FROM e0 UNION ALL SELECT dst, src FROM e0), deg AS (SELECT src, count(*) AS d FROM e1 GROUP BY src),
+e AS (SELECT e1.src, e1.dst, 1.0 / sqrt(CAST(a.d AS DOUBLE) * b.d) AS w FROM e1 JOIN deg a ON e1.src = a.src JOIN deg b ON e1.dst = b.src),
+x AS (SELECT src AS node, k, CAST(ascii(substr(md5(concat(src, '/', CAST(k AS VARCHAR))), 1, 1)) AS DOUBLE) / 64 AS v FROM deg CROSS JOIN (VALUES (0),(1)) AS t(k)),
+s1 AS (SELECT e.src AS node, k, sum(w * v) AS v FROM e JOIN x ON e.dst = x.node GROUP BY e.src, k),
+s2 AS (SELECT e.src AS node, k, sum(w * v) AS v FROM e JOIN s1 ON e.dst = s1.node GROUP BY e.src, k)"""
+
+
+def _graph(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    edges = retrieval.normalised_edges(retrieval.bipartite_edges(log))
+    nodes = edges.select(F.col("src").alias("node")).distinct().select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    v = F.ascii(F.substring(F.md5(F.concat("node", F.lit("/"), F.col("k").cast("string"))), 1, 1)).cast("double") / 64
+    return edges, nodes.withColumn("v", v)
+
+
+@query("graph_norm", EDGES + f" SELECT src, dst, round(w, {DIGITS}) AS w FROM e", log=LOG)
+def _(spark, log):
+    return rounded(retrieval.normalised_edges(retrieval.bipartite_edges(log)), "w")
+
+
+@query("graph_propagate_1", EDGES + f" SELECT node, k, round(v, {DIGITS}) AS v FROM s1", log=LOG)
+def _(spark, log):
+    return rounded(retrieval.propagate(*_graph(log)), "v")
+
+
+@query("graph_propagate_mean", EDGES + f" SELECT node, k, round(sum(v) / 3, {DIGITS}) AS v FROM (SELECT * FROM x UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY node, k", log=LOG)
+def _(spark, log):
+    edges, x = _graph(log)
+    return rounded(retrieval.propagated_mean(edges, x, 2), "v")
+
+
+SCORES = """, sc AS (SELECT u.user_id, i.vec_id AS item_id, round(list_sum(list_transform(range(1, 65), k -> CAST(uv.embedding[k] AS DOUBLE) * CAST(i.embedding[k] AS DOUBLE))), 12) AS score
+FROM (SELECT DISTINCT user_id FROM log) u JOIN vectors uv ON uv.vec_id = u.user_id CROSS JOIN vectors i)"""
+
+
+def _factors(log: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    users = log.select("user_id").distinct().join(vectors, F.col("vec_id") == F.col("user_id")).select("user_id", F.col("embedding").alias("vec"))
+    return users, vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+
+
+@query("recommend_topk", "WITH one AS (SELECT 1)" + SCORES + f" SELECT user_id, item_id, round(score, {DIGITS}) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc) WHERE rank <= 10", log=LOG, vectors=VECTORS)
+def _(spark, log, vectors):
+    return rounded(retrieval.recommend(*_factors(log, vectors), None, 10), "score")
+
+
+UNSEEN = SPLIT + SCORES + """, seen AS (SELECT DISTINCT user_id, item_id FROM s WHERE split IN ('train', 'val')),
+rec AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.user_id ORDER BY score DESC, sc.item_id) AS rank FROM sc LEFT JOIN seen ON seen.user_id = sc.user_id AND seen.item_id = sc.item_id WHERE seen.item_id IS NULL) WHERE rank <= 10),
+truth AS (SELECT DISTINCT user_id, item_id FROM s WHERE split = 'test' AND rating >= 4.0)"""
+
+
+def _unseen(log: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = _split(log)
+    rec = retrieval.recommend(*_factors(log, vectors), prep.seen_items(prep.context_of("test", rows)), 10)
+    truth = rows.where((F.col("split") == "test") & (F.col("rating") >= 4.0)).select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
+    return rec, truth
+
+
+@query("recommend_unseen", UNSEEN + f" SELECT user_id, item_id, round(score, {DIGITS}) AS score, rank FROM rec", log=LOG, vectors=VECTORS)
+def _(spark, log, vectors):
+    return rounded(_unseen(log, vectors)[0], "score")
+
+
+@query("flagship_retrieval", UNSEEN + f""", g AS (SELECT user_id, count(*) AS n FROM truth GROUP BY user_id),
+    h AS (SELECT r.user_id, count(*) AS hits, min(rank) AS first, sum(1.0 / log2(rank + 1)) AS dcg FROM rec r JOIN truth t ON r.user_id = t.user_id AND r.item_id = t.item_id GROUP BY r.user_id),
+    i AS (SELECT m, sum(1.0 / log2(x + 1)) AS idcg FROM range(1, 11) a(m) JOIN range(1, 11) b(x) ON x <= m GROUP BY m)
+    SELECT g.user_id, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_rate, round(coalesce(hits, 0)::DOUBLE / n, {DIGITS}) AS recall, round(coalesce(dcg, 0) / idcg, {DIGITS}) AS ndcg, round(coalesce(1.0::DOUBLE / first, 0), {DIGITS}) AS mrr
+    FROM g LEFT JOIN h ON g.user_id = h.user_id JOIN i ON i.m = least(g.n, 10)""", log=LOG, vectors=VECTORS)
+def _(spark, log, vectors):
+    rec, truth = _unseen(log, vectors)
+    runs = rec.select("user_id", F.lit(1).alias("permutation_index"), "item_id", (F.col("rank") - 1).alias("output_rank"))
+    per = metrics.per_list_effectiveness(runs, truth, 10)
+    per = truth.select("user_id").distinct().join(per, "user_id", "left").na.fill(0.0)
+    return rounded(per.drop("permutation_index"), "recall", "ndcg", "mrr")
+
+
+@query("gt_filter", UNSEEN + " SELECT DISTINCT r.user_id FROM rec r JOIN truth t ON r.user_id = t.user_id AND r.item_id = t.item_id", log=LOG, vectors=VECTORS)
+def _(spark, log, vectors):
+    return retrieval.covered_users(*_unseen(log, vectors))
+
+
+@query("candidate_coverage", UNSEEN + f""" SELECT count(*) AS users_before, count(h.user_id) AS users_with_truth, round(count(h.user_id)::DOUBLE / count(*), {DIGITS}) AS coverage
+    FROM (SELECT DISTINCT user_id FROM rec) u LEFT JOIN (SELECT DISTINCT r.user_id FROM rec r JOIN truth t ON r.user_id = t.user_id AND r.item_id = t.item_id) h ON u.user_id = h.user_id""", log=LOG, vectors=VECTORS)
+def _(spark, log, vectors):
+    return rounded(retrieval.candidate_coverage(*_unseen(log, vectors)), "coverage")
+
+
+@query("candidates_long", UNSEEN + " SELECT r.user_id, r.rank, r.item_id, i.raw_item_id, i.raw_title FROM rec r LEFT JOIN items i ON r.item_id = i.item_id", log=LOG, vectors=VECTORS, items=ITEMS)
+def _(spark, log, vectors, items):
+    return retrieval.candidates_long(_unseen(log, vectors)[0], items).select("user_id", "rank", "item_id", "raw_item_id", "raw_title")
+
+
+@query("relevance_label", "SELECT r.user_id, permutation_index, r.item_id, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS relevance FROM runs r LEFT JOIN (SELECT DISTINCT * FROM truth) t ON r.user_id = t.user_id AND r.item_id = t.item_id", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return retrieval.relevance(runs, truth).select("user_id", "permutation_index", "item_id", "relevance")
+
+
+@query("als_recommend", log=LOG)
+def _(spark, log):
+    return retrieval.als_recommend(prep.positives(log, 4.0), 10, factors=16, iterations=5)
+
+
+@query("lightgcn_recommend", log=LOG)
+def _(spark, log):
+    import numpy as np
+
+    # training is a driver-side fit: it takes the distinct pairs of one graph, whose size is stated by the caller
+    pairs = np.array(sorted(map(tuple, retrieval.seen_pairs(prep.positives(log, 4.0)).collect())), np.int64)
+    users, items, _ = retrieval.lightgcn_fit(pairs, int(pairs[:, 0].max()) + 1, int(pairs[:, 1].max()) + 1, dim=16, epochs=3)
+    frame = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vec array<double>")
+    return retrieval.recommend(frame(users, "user_id"), frame(items, "item_id"), retrieval.seen_pairs(log), 10)
+
+
+# --- effectiveness -------------------------------------------------------------------------------------------------
+
+EFFECT = """WITH req AS (SELECT DISTINCT user_id, permutation_index FROM runs),
+g AS (SELECT user_id, count(DISTINCT item_id) AS n_rel FROM truth GROUP BY user_id),
+h AS (SELECT r.user_id, r.permutation_index, min(r.output_rank + 1) AS first_rank, count(DISTINCT r.item_id) AS hits, sum(1.0 / log2(r.output_rank + 2)) AS dcg
+      FROM runs r JOIN (SELECT DISTINCT user_id, item_id FROM truth) t ON t.user_id = r.user_id AND t.item_id = r.item_id WHERE r.output_rank < 3 GROUP BY r.user_id, r.permutation_index),
+i AS (SELECT m, sum(1.0 / log2(x + 1)) AS idcg FROM (VALUES (1),(2),(3)) AS a(m) JOIN (VALUES (1),(2),(3)) AS b(x) ON x <= m GROUP BY m),
+f AS (SELECT avg(CASE WHEN h.hits > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(CASE WHEN g.n_rel > 0 THEN coalesce(h.hits, 0) * CAST(1 AS DOUBLE) / g.n_rel END) AS recall,
+       avg(CASE WHEN g.n_rel > 0 THEN coalesce(h.dcg, 0) / i.idcg END) AS ndcg, avg(coalesce(CAST(1 AS DOUBLE) / h.first_rank, 0)) AS mrr
+FROM req LEFT JOIN g ON g.user_id = req.user_id LEFT JOIN h ON h.user_id = req.user_id AND h.permutation_index = req.permutation_index LEFT JOIN i ON i.m = least(g.n_rel, 3))"""
+
+for _name in ("hit_rate", "recall", "ndcg", "mrr"):
+
+    @query(_name, EFFECT + f" SELECT round({_name}, {DIGITS}) AS {_name} FROM f", runs=RUNS, truth=TRUTH)
+    def _(spark, runs, truth, name=_name):
+        return rounded(metrics.effectiveness(runs, truth, K).select(name), name)
+
+
+@query("effectiveness_all", EFFECT + " SELECT " + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in ("hit_rate", "recall", "ndcg", "mrr")) + " FROM f", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return rounded(metrics.effectiveness(runs, truth, K), "hit_rate", "recall", "ndcg", "mrr")
+
+
+@query("graded_hr_ndcg", f"""WITH z AS (SELECT *, pow(2.0::DOUBLE, relevance) - 1 AS g, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, position) AS r, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, position) AS i FROM scored),
+    a AS (SELECT request_id, max(CASE WHEN r <= 5 AND relevance > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hr, sum(CASE WHEN r <= 5 THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 5 THEN g / log2(i + 1) ELSE 0 END) AS idcg FROM z GROUP BY request_id)
+    SELECT request_id, hr, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, {DIGITS}) AS ndcg FROM a""", scored=LABELLED)
+def _(spark, scored):
+    return rounded(metrics.graded_hr_ndcg(scored, 5), "ndcg")
+
+
+# --- robustness ----------------------------------------------------------------------------------------------------
+
+PAIRS = """WITH p AS (SELECT a.user_id, a.permutation_index AS p1, b.permutation_index AS p2, a.item_id, a.output_rank AS x, b.output_rank AS y FROM runs a JOIN runs b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.permutation_index < b.permutation_index)"""
+TAU = """, tau AS (SELECT l.user_id, l.p1, l.p2, sum(sign(l.x - r.x) * sign(l.y - r.y)) * CAST(1 AS DOUBLE) / count(*) AS tau FROM p l JOIN p r ON l.user_id = r.user_id AND l.p1 = r.p1 AND l.p2 = r.p2 AND l.item_id < r.item_id GROUP BY l.user_id, l.p1, l.p2)"""
+RHO = """, rho AS (SELECT user_id, p1, p2, corr(x, y) AS rho, 1 - 6 * sum((x - y) * (x - y))::DOUBLE / (count(*) * (count(*) * count(*) - 1)) AS d2 FROM p GROUP BY user_id, p1, p2)"""
+TOP = """, top AS (SELECT user_id, p1, p2, sum(CASE WHEN x < 3 AND y < 3 THEN 1 ELSE 0 END) AS both_in, sum(CASE WHEN x < 3 OR y < 3 THEN 1 ELSE 0 END) AS either_in, max(CASE WHEN x = 0 AND y = 0 THEN 1 ELSE 0 END) AS same FROM p GROUP BY user_id, p1, p2),
+st AS (SELECT user_id, avg(both_in::DOUBLE / either_in) AS jaccard, avg(both_in::DOUBLE / 3) AS overlap, avg(same)::DOUBLE AS same_first, avg(CASE WHEN both_in = either_in THEN 1 ELSE 0 END)::DOUBLE AS same_top FROM top GROUP BY user_id)"""
+BEST = """, best AS (SELECT r.user_id, r.permutation_index, min(output_rank) + 1 AS r FROM runs r JOIN (SELECT DISTINCT * FROM truth) t ON r.user_id = t.user_id AND r.item_id = t.item_id GROUP BY r.user_id, r.permutation_index),
+bs AS (SELECT user_id, avg(r) AS mean_rank, var_pop(r) AS rank_variance FROM best GROUP BY user_id)"""
+
+
+@query("kendall", PAIRS + TAU + f" SELECT user_id, round(avg(tau), {DIGITS}) AS mean_tau FROM tau GROUP BY user_id", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.kendall(runs), "mean_tau")
+
+
+@query("spearman", PAIRS + RHO + f" SELECT user_id, round(avg(rho), {DIGITS}) AS mean_rho FROM rho GROUP BY user_id", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.spearman(runs), "mean_rho")
+
+
+@query("spearman_d2", PAIRS + RHO + f" SELECT user_id, round(avg(d2), {DIGITS}) AS rho_to_first FROM rho WHERE p1 = 1 GROUP BY user_id", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.spearman_to_first(runs), "rho_to_first")
+
+
+@query("topk_stability", PAIRS + TOP + f" SELECT user_id, round(jaccard, {DIGITS}) AS jaccard, round(overlap, {DIGITS}) AS overlap, round(same_first, {DIGITS}) AS same_first, round(same_top, {DIGITS}) AS same_top FROM st", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.topk_stability(runs, K), "jaccard", "overlap", "same_first", "same_top")
+
+
+@query("gt_rank_stability", PAIRS + BEST + f" SELECT user_id, round(mean_rank, {DIGITS}) AS mean_rank, round(rank_variance, {DIGITS}) AS rank_variance FROM bs", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return rounded(metrics.truth_rank_stability(runs, truth), "mean_rank", "rank_variance")
+
+
+MACRO = ["mean_tau", "mean_rho", "jaccard", "overlap", "same_first", "same_top", "mean_rank", "rank_variance"]
+
+
+@query("robustness_macro", PAIRS + TAU + RHO + TOP + BEST + " SELECT " + ", ".join(f"round(avg({c}), {DIGITS}) AS {c}" for c in MACRO) + """ FROM (SELECT DISTINCT user_id FROM runs) u
+    LEFT JOIN (SELECT user_id, avg(tau) AS mean_tau FROM tau GROUP BY user_id) a ON u.user_id = a.user_id LEFT JOIN (SELECT user_id, avg(rho) AS mean_rho FROM rho GROUP BY user_id) b ON u.user_id = b.user_id
+    LEFT JOIN st ON u.user_id = st.user_id LEFT JOIN bs ON u.user_id = bs.user_id""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return rounded(metrics.robustness_macro(runs, truth, K), *MACRO)
+
+
+# --- preference consistency ----------------------------------------------------------------------------------------
+
+PREFS = """WITH pr AS (SELECT a.user_id, a.item_id AS x, b.item_id AS y, avg(CASE WHEN a.output_rank < b.output_rank THEN CAST(1 AS DOUBLE) ELSE 0 END) AS p FROM runs a JOIN runs b ON a.user_id = b.user_id AND a.permutation_index = b.permutation_index AND a.item_id < b.item_id GROUP BY a.user_id, a.item_id, b.item_id),
+ws AS (SELECT user_id, item_id, sum(w) AS win_score FROM (SELECT user_id, x AS item_id, p AS w FROM pr UNION ALL SELECT user_id, y, 1 - p FROM pr) GROUP BY user_id, item_id)"""
+
+
+@query("ppi", f"""WITH z AS (SELECT *, count(*) OVER (PARTITION BY user_id, permutation_index) AS n FROM runs),
+    bk AS (SELECT *, least(CAST(floor(input_position * 3 / CAST(n AS DOUBLE)) AS INT), 2) AS bucket FROM z),
+    cell AS (SELECT a.user_id, a.item_id AS x, b.item_id AS y, a.bucket AS bx, b.bucket AS byy, avg(CASE WHEN a.output_rank < b.output_rank THEN CAST(1 AS DOUBLE) ELSE 0 END) AS p, count(*) AS total
+      FROM bk a JOIN bk b ON a.user_id = b.user_id AND a.permutation_index = b.permutation_index AND a.item_id < b.item_id GROUP BY a.user_id, a.item_id, b.item_id, a.bucket, b.bucket),
+    pr AS (SELECT user_id, x, y, max(p) - min(p) AS spread FROM cell WHERE total >= 1 GROUP BY user_id, x, y HAVING count(*) >= 2)
+    SELECT user_id, round(avg(spread), {DIGITS}) AS ppi FROM pr GROUP BY user_id""", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.ppi(runs), "ppi")
+
+
+@query("pair_preferences", PREFS + f" SELECT user_id, x, y, round(p, {DIGITS}) AS p FROM pr", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.pair_preferences(runs), "p")
+
+
+@query("win_score", PREFS + f" SELECT user_id, item_id, round(win_score, {DIGITS}) AS win_score FROM ws", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.win_scores(metrics.pair_preferences(runs)), "win_score")
+
+
+@query("gpi_initial_cost", PREFS + f""", o AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(win_score, 9) DESC, item_id) AS r FROM ws)
+    SELECT pr.user_id, round(avg(CASE WHEN a.r < b.r THEN 1 - p ELSE p END), {DIGITS}) AS initial_cost FROM pr JOIN o a ON pr.user_id = a.user_id AND pr.x = a.item_id JOIN o b ON pr.user_id = b.user_id AND pr.y = b.item_id GROUP BY pr.user_id""", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.gpi_initial_cost(metrics.pair_preferences(runs)), "initial_cost")
+
+
+@query("gpi", runs=RUNS)
+def _(spark, runs):
+    return metrics.gpi(metrics.pair_preferences(runs))
+
+
+# --- exposure and parser quality -----------------------------------------------------------------------------------
+
+EXPOSURE = f"""WITH z AS (SELECT *, count(*) OVER (PARTITION BY user_id, permutation_index) AS n FROM runs),
+e AS (SELECT input_position, avg(CASE WHEN output_rank < 3 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS exposure, avg(least(3, n) * CAST(1 AS DOUBLE) / n) AS expected FROM z GROUP BY input_position)"""
+
+
+@query("exposure", EXPOSURE + f" SELECT input_position, round(exposure, {DIGITS}) AS exposure, round(expected, {DIGITS}) AS expected, round(exposure - expected, {DIGITS}) AS deviation FROM e", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.exposure(runs, K), "exposure", "expected", "deviation")
+
+
+@query("exposure_summary", EXPOSURE + f" SELECT round(avg(abs(exposure - expected)), {DIGITS}) AS mean_abs_deviation, round(max(abs(exposure - expected)), {DIGITS}) AS max_abs_deviation FROM e", runs=RUNS)
+def _(spark, runs):
+    return rounded(metrics.exposure_summary(runs, K), "mean_abs_deviation", "max_abs_deviation")
+
+
+@query("exposure_observations", "SELECT user_id, permutation_index, input_position, CAST(output_rank < 3 AS INT) AS exposed FROM runs", runs=RUNS)
+def _(spark, runs):
+    return metrics.exposure_observations(runs, K)
+
+
+VALIDATED = """WITH v AS (SELECT user_id, permutation_index, list(item_id ORDER BY input_position) AS ok FROM runs GROUP BY user_id, permutation_index),
+d AS (SELECT user_id, permutation_index, list(item_id ORDER BY pos) AS said FROM said GROUP BY user_id, permutation_index),
+u AS (SELECT *, list_filter(said, (x, i) -> list_position(said, x) = i) AS once FROM v JOIN d USING (user_id, permutation_index)),
+q AS (SELECT user_id, permutation_index, list_concat(list_filter(once, x -> list_contains(ok, x)), list_filter(ok, x -> NOT list_contains(said, x))) AS reranked_item_ids,
+  CAST(len(list_filter(once, x -> NOT list_contains(ok, x))) AS INT) AS num_invalid, CAST(len(said) - len(once) AS INT) AS num_duplicate, CAST(len(list_filter(ok, x -> NOT list_contains(said, x))) AS INT) AS num_missing FROM u)"""
+
+
+def _validated(runs: DataFrame, said: DataFrame) -> DataFrame:
+    valid = runs.select("user_id", "permutation_index", F.col("input_position").alias("pos"), "item_id")
+    return parsing.validate_ranking(said, valid, metrics.LIST)
+
+
+@query("validate_ranking", VALIDATED + " SELECT * FROM q", runs=RUNS, said=DAMAGED)
+def _(spark, runs, said):
+    return _validated(runs, said)
+
+
+_RATES = {"parse_error_rate": "e", "parser_repair_attempt_rate": "r", **{f"{n}_output_rate": f"o{n[0]}" for n in ("invalid", "duplicate", "missing")}, **{f"avg_{n}_ids": f"s{n[0]}" for n in ("invalid", "duplicate", "missing")}}
+
+
+@query("parser_quality", VALIDATED + """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE user_id % 11 = 0) AS e, count(*) FILTER (WHERE num_invalid + num_duplicate + num_missing > 0) AS r,
+    count(*) FILTER (WHERE num_invalid > 0) AS oi, count(*) FILTER (WHERE num_duplicate > 0) AS od, count(*) FILTER (WHERE num_missing > 0) AS om, CAST(sum(num_invalid) AS BIGINT) AS si, CAST(sum(num_duplicate) AS BIGINT) AS sd, CAST(sum(num_missing) AS BIGINT) AS sm FROM q)
+    SELECT n AS num_outputs, e AS num_parse_errors, r AS num_parser_repair_attempts, oi AS num_outputs_with_invalid, si AS num_invalid_ids, od AS num_outputs_with_duplicate, sd AS num_duplicate_ids, om AS num_outputs_with_missing, sm AS num_missing_ids, """ + ", ".join(f"round({b}::DOUBLE / n, {DIGITS}) AS {a}" for a, b in _RATES.items()) + " FROM c", runs=RUNS, said=DAMAGED)
+def _(spark, runs, said):
+    out = _validated(runs, said).withColumn("parse_error", F.when(F.col("user_id") % 11 == 0, "failed")).withColumn("repaired", F.col("num_invalid") + F.col("num_duplicate") + F.col("num_missing") > 0)
+    return rounded(metrics.parser_quality(out), *_RATES)
+
+
+@query("parse_classify", """WITH x AS (SELECT d.user_id, d.permutation_index, d.pos, d.item_id AS label, r.item_id IS NOT NULL AS known, row_number() OVER (PARTITION BY d.user_id, d.permutation_index, d.item_id ORDER BY d.pos) AS k FROM said d LEFT JOIN runs r ON d.user_id = r.user_id AND d.permutation_index = r.permutation_index AND d.item_id = r.item_id),
+    y AS (SELECT *, sum(CASE WHEN known AND k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, permutation_index ORDER BY pos) AS n FROM x)
+    SELECT user_id, permutation_index, pos, label, CASE WHEN NOT known THEN 'unknown' WHEN k > 1 THEN 'duplicate' ELSE 'valid' END AS kind FROM y""", runs=RUNS, said=DAMAGED)
+def _(spark, runs, said):
+    return parsing.classify_labels(said.withColumnRenamed("item_id", "label"), runs.select(*metrics.LIST, F.col("item_id").alias("label")), metrics.LIST)
+
+
+@query("parse_status", """WITH x AS (SELECT d.user_id, d.permutation_index, d.pos, r.item_id IS NOT NULL AS known, row_number() OVER (PARTITION BY d.user_id, d.permutation_index, d.item_id ORDER BY d.pos) AS k FROM said d LEFT JOIN runs r ON d.user_id = r.user_id AND d.permutation_index = r.permutation_index AND d.item_id = r.item_id),
+    c AS (SELECT user_id, permutation_index, count(*) FILTER (WHERE known AND k = 1) AS num_valid, count(*) FILTER (WHERE known AND k > 1) AS num_duplicate, count(*) FILTER (WHERE NOT known) AS num_unknown FROM x GROUP BY user_id, permutation_index),
+    m AS (SELECT user_id, permutation_index, count(*) AS need FROM runs GROUP BY user_id, permutation_index)
+    SELECT user_id, permutation_index, num_valid, num_duplicate, num_unknown, need - num_valid AS num_missing, CASE WHEN num_duplicate > 0 OR num_unknown > 0 OR need <> num_valid THEN 'repaired' ELSE 'valid' END AS parse_status FROM m JOIN c USING (user_id, permutation_index)""", runs=RUNS, said=DAMAGED)
+def _(spark, runs, said):
+    expected = runs.select(*metrics.LIST, F.col("item_id").alias("label"))
+    return parsing.parse_status(parsing.classify_labels(said.withColumnRenamed("item_id", "label"), expected, metrics.LIST), expected, metrics.LIST)
+
+
+@query("parse_json", said=DAMAGED)
+def _(spark, said):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "item_id"))), lambda x: x["item_id"])
+    rows = said.groupBy(*metrics.LIST).agg(ids.alias("ids"))
+    body = F.concat(F.lit('{"rank_order": ["'), F.array_join("ids", '", "'), F.lit('"]}'))
+    text = F.when(F.col("user_id") % 3 == 0, body).when(F.col("user_id") % 3 == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("I rank "), body, F.lit(" so.")))
+    return rows.select(*metrics.LIST, parsing.rank_order(text).alias("labels"))
+
+
+# --- aggregation and reranking methods -----------------------------------------------------------------------------
+
+@query("borda", """WITH z AS (SELECT *, count(*) OVER (PARTITION BY user_id, permutation_index) AS n FROM runs),
+    a AS (SELECT user_id, item_id, CAST(sum(n - output_rank) AS BIGINT) AS points, sum(score) AS raw, min(CASE WHEN permutation_index = 1 THEN input_position END) AS outer_pos FROM z GROUP BY user_id, item_id)
+    SELECT user_id, item_id, points, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, raw DESC, outer_pos) - 1 AS output_rank FROM a""", runs=RUNS)
+def _(spark, runs):
+    return aggregate.borda(runs)
+
+
+# every list's first item by score plays the target: where it stood, and where the list's best output stood
+OBSERVED = """, o AS (SELECT a.user_id, a.permutation_index, a.input_position AS true_pos, b.input_position AS pred_pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id, permutation_index ORDER BY score + 12 * input_position DESC, item_id) AS t FROM runs) a JOIN runs b ON a.user_id = b.user_id AND a.permutation_index = b.permutation_index WHERE a.t = 1 AND b.output_rank = 0),
+g AS (SELECT i AS true_pos, j AS pred_pos FROM range(0, 8) a(i) CROSS JOIN range(0, 8) b(j)),
+v AS (SELECT g.true_pos, g.pred_pos, count(o.user_id) + 1.0::DOUBLE AS v FROM g LEFT JOIN o ON o.true_pos = g.true_pos AND o.pred_pos = g.pred_pos GROUP BY g.true_pos, g.pred_pos),
+m AS (SELECT true_pos, pred_pos, v / sum(v) OVER (PARTITION BY true_pos) AS p FROM v)"""
+ONE = "WITH one AS (SELECT 1)"
+
+
+def _observed(runs: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*metrics.LIST)
+    t = F.row_number().over(w.orderBy(F.desc(F.col("score") + 12 * F.col("input_position")), "item_id"))
+    rows = runs.select("*", t.alias("t"), F.max(F.when(F.col("output_rank") == 0, F.col("input_position"))).over(w).alias("pred_pos"))
+    return rows.where("t = 1").select(*metrics.LIST, F.col("input_position").cast("int").alias("true_pos"), F.col("pred_pos").cast("int").alias("pred_pos"))
+
+
+@query("stella_calibration_matrix", ONE + OBSERVED + f" SELECT CAST(true_pos AS INT) AS true_pos, CAST(pred_pos AS INT) AS pred_pos, round(p, {DIGITS}) AS p FROM m", runs=RUNS)
+def _(spark, runs):
+    return rounded(aggregate.calibration_matrix(_observed(runs), 8), "p")
+
+
+DIAG = ["mean_entropy", "normalised_entropy", "min_entropy", "max_entropy"]
+
+
+@query("stella_diagnostics", ONE + OBSERVED + f", h AS (SELECT true_pos, sum(-p * ln(p)) AS h FROM m GROUP BY true_pos) SELECT round(avg(h), {DIGITS}) AS mean_entropy, round(avg(h) / ln(8.0::DOUBLE), {DIGITS}) AS normalised_entropy, round(min(h), {DIGITS}) AS min_entropy, round(max(h), {DIGITS}) AS max_entropy FROM h", runs=RUNS)
+def _(spark, runs):
+    return rounded(aggregate.calibration_diagnostics(aggregate.calibration_matrix(_observed(runs), 8), 8), *DIAG)
+
+
+@query("stella_update", ONE + OBSERVED + f""", q AS (SELECT r.user_id, m.true_pos AS pos, 0.125::DOUBLE * m.p AS v FROM o r JOIN m ON m.pred_pos = r.pred_pos WHERE r.permutation_index = 1)
+    SELECT user_id AS request_id, CAST(pos AS INT) AS pos, round(v / sum(v) OVER (PARTITION BY user_id), {DIGITS}) AS p FROM q""", runs=RUNS)
+def _(spark, runs):
+    seen = _observed(runs)
+    predicted = seen.where("permutation_index = 1").select(F.col("user_id").alias("request_id"), "pred_pos")
+    prior = predicted.select("request_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos")).withColumn("p", F.lit(0.125))
+    return rounded(aggregate.bayes_update(prior, aggregate.calibration_matrix(seen, 8), predicted), "p")
+
+
+def _requests(runs: DataFrame) -> DataFrame:
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("input_position", "item_id"))), lambda x: x["item_id"])
+    return runs.where("permutation_index = 1").groupBy("user_id").agg(ids.alias("items"))
+
+
+def biased_scorer(user: str, shown: list[str]) -> list[float]:
+    """A deterministic scorer for tests: a hash of the item, less for later positions."""
+    import hashlib
+
+    return [int(hashlib.md5(f"{user}#{i}".encode()).hexdigest()[:4], 16) / 65536 - 0.05 * p for p, i in enumerate(shown)]
+
+
+def _method(kind: str, user: str, ids: list[str]) -> list[int]:
+    outer = list(range(len(ids)))
+    seed = aggregate.request_seed(42, user, "test", ids, outer)
+    if kind == "bootstrap":
+        return aggregate.bootstrapping(biased_scorer, user, ids, outer, seed)
+    if kind == "sgs":
+        return aggregate.greedy_selection(biased_scorer, user, ids, outer, seed, 2)
+    n = len(ids)
+    return aggregate.stella(biased_scorer, aggregate.Calibrator([[n + 1.0 if i == j else 1.0 for j in range(n)] for i in range(n)]), user, ids, outer, seed)
+
+
+for _kind in ("stella", "sgs", "bootstrap"):
+
+    @query(f"{_kind}_rank", runs=RUNS)
+    def _(spark, runs, kind=_kind):
+        return aggregate.rerank(_requests(runs), partial(_method, kind))
+
+
+for _name, _make in {
+    "perm_random": lambda user, ids: permutations.random_orders(len(ids), 5, seed=42),
+    "perm_fixed": lambda user, ids: permutations.fixed_orders(len(ids), 0, 2, 3, seed=42),
+    "perm_sweep": lambda user, ids: [o for _, o in permutations.sweep_orders(len(ids), 0, 1, seed=42)],
+    "perm_templates": lambda user, ids: permutations.template_orders(len(ids), [[0] + [None] * (len(ids) - 1), [None] * (len(ids) - 1) + [0]], seed=42),
+    "perm_user_record": lambda user, ids: [[ids.index(i) for i in permutations.reshuffled(ids, permutations.user_seed(42, int(user), k))] for k in (1, 2, 3)],
+}.items():
+
+    @query(_name, runs=RUNS)
+    def _(spark, runs, make=_make):
+        return permutations.explode_orders(_requests(runs), make)
+
+
+# --- prompts and markers -------------------------------------------------------------------------------------------
+
+PROMPT_ITEMS = "SELECT item_id, p_title AS title, yr AS year, genres FROM (SELECT p_partkey AS item_id, p_name AS p_title, 1990 + p_size % 35 AS yr, concat(p_type, '|', p_brand) AS genres FROM {part}) z"
+
+
+def _prompt_rows(log: DataFrame, items: DataFrame) -> DataFrame:
+    """user_id, history and candidates: each user's five newest and five oldest items."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id")
+    rows = log.select("*", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))).alias("a"), F.row_number().over(w.orderBy("ts", "event_id")).alias("b")).where("a <= 5 OR b <= 5").join(items, "item_id", "left")
+    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= 5, F.struct(F.col(c).alias("o"), F.struct("title", "year", F.col("rating").cast("int").alias("rating"), prep.genre_list(F.col("genres")).alias("genres")).alias("x"))))), lambda v: v["x"])
+    return rows.groupBy("user_id").agg(pick("a").alias("history"), pick("b").alias("candidates"))
+
+
+PROMPT = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM log),
+z AS (SELECT r.*, coalesce(title, '') AS t, coalesce(' (' || year || ')', '') AS yt, ', rating: ' || CAST(rating AS INT) AS rt, coalesce(', genres: ' || replace(genres, '|', ', '), '') AS gt FROM r LEFT JOIN items i ON r.item_id = i.item_id),
+h AS (SELECT user_id, {h} AS h, {c} AS c FROM z GROUP BY user_id)"""
+NL = "chr(10)"
+
+
+@query("prompt_marker", PROMPT.format(h=f"string_agg('title: ' || t || yt || rt || gt, {NL} ORDER BY a) FILTER (WHERE a <= 5)", c=f"string_agg('[ITEM]' || {NL} || t || yt || gt || {NL} || '[/ITEM]' || {NL}, {NL} ORDER BY b) FILTER (WHERE b <= 5)") + f""" SELECT user_id, concat_ws({NL}, '[SPAN]', '{prompts.MARKER_INSTRUCTION.replace("'", "''")}', '', 'User history:', h, '[/SPAN]', '', c) AS prompt FROM h""", log=LOG, items=PROMPT_ITEMS)
+def _(spark, log, items):
+    return _prompt_rows(log, items).select("user_id", prompts.marker_prompt(F.col("history"), F.col("candidates")).alias("prompt"))
+
+
+@query("prompt_rankgpt", PROMPT.format(h=f"string_agg(t || yt || rt || gt, {NL} ORDER BY a) FILTER (WHERE a <= 5)", c=f"string_agg('[C' || (b - 1) || '] ' || t || yt || gt, {NL} ORDER BY b) FILTER (WHERE b <= 5)") + f""" SELECT user_id, concat_ws({NL}, '{prompts.LIST_INSTRUCTION}', '', 'User history:', h, '', 'Candidate items:', c, '', '{prompts.RANK_ALL}', 'Return only JSON in this format: {{"rank_order": ["C0", "C1", "C2", "C3", "C4"]}}.') AS prompt FROM h""", log=LOG, items=PROMPT_ITEMS)
+def _(spark, log, items):
+    labels = F.transform(F.sequence(F.lit(0), F.size("candidates") - 1), lambda i: F.concat(F.lit("C"), i.cast("string")))
+    return _prompt_rows(log, items).select("user_id", prompts.list_prompt(F.col("history"), F.col("candidates"), labels).alias("prompt"))
+
+
+SPANS = """WITH sp AS (SELECT request_id, min(CASE WHEN kind = 'SPAN' THEN pos END) AS a, min(CASE WHEN kind = '/SPAN' THEN pos END) + 1 AS b FROM tokens GROUP BY request_id),
+it AS (SELECT s.request_id, s.item - 1 AS item, s.pos AS s, e.pos + 1 AS e FROM (SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS item FROM tokens WHERE kind = 'ITEM') s JOIN (SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS item FROM tokens WHERE kind = '/ITEM') e ON s.request_id = e.request_id AND s.item = e.item)"""
+
+
+@query("span_extract", SPANS + " SELECT it.request_id, a AS span_start, b AS span_end, item, s, e FROM it JOIN sp ON it.request_id = sp.request_id", tokens=TOKENS)
+def _(spark, tokens):
+    return marker.span_rows(tokens)
+
+
+@query("span_mean_logprob", SPANS + f" SELECT t.request_id, item, round(avg(logprob), {DIGITS}) AS score FROM tokens t JOIN it ON t.request_id = it.request_id AND pos > s AND pos < e - 1 GROUP BY t.request_id, item", tokens=TOKENS)
+def _(spark, tokens):
+    return rounded(marker.span_mean_logprob(tokens), "score")
+
+
+@query("shared_positions", SPANS + " SELECT t.request_id, pos, CASE WHEN it.s IS NOT NULL THEN b - a + pos - s WHEN pos >= a AND pos < b THEN pos - a ELSE 0 END AS position_id FROM tokens t JOIN sp ON t.request_id = sp.request_id LEFT JOIN it ON t.request_id = it.request_id AND pos >= s AND pos < e", tokens=TOKENS)
+def _(spark, tokens):
+    return marker.shared_positions(tokens)
+
+
+@query("standard_positions", "SELECT request_id, pos, CASE WHEN mask = 0 THEN 0 ELSE CAST(sum(mask) OVER (PARTITION BY request_id ORDER BY pos) - 1 AS BIGINT) END AS position_id FROM tokens", tokens=TOKENS)
+def _(spark, tokens):
+    return marker.standard_positions(tokens)
+
+
+@query("block_mask", SPANS + """, x AS (SELECT q.request_id, q.pos AS q, k.pos AS k, q.mask AS qm, k.mask AS km, a, b, it.s, it.e FROM tokens q JOIN tokens k ON q.request_id = k.request_id JOIN sp ON q.request_id = sp.request_id LEFT JOIN it ON q.request_id = it.request_id AND q.pos >= it.s AND q.pos < it.e)
+    SELECT request_id, q, k FROM x WHERE (km = 1 AND CASE WHEN s IS NOT NULL THEN (k >= a AND k < b) OR (k >= s AND k < e AND k <= q) WHEN q >= a AND q < b THEN k >= a AND k < b AND k <= q ELSE qm = 1 AND ((k >= a AND k < b AND k <= q) OR k = q) END) OR (q = k AND qm = 0)""", tokens=TOKENS)
+def _(spark, tokens):
+    return marker.block_mask(tokens)
+
+
+# --- losses, interaction, checks -----------------------------------------------------------------------------------
+
+@query("lambda_rank_loss", f"""WITH z AS (SELECT *, pow(2.0::DOUBLE, relevance) - 1 AS g, 1 / log2(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, position) + 1) AS d, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, position) AS i FROM scored),
+    y AS (SELECT *, sum(g / log2(i + 1)) OVER (PARTITION BY request_id) AS ideal FROM z),
+    p AS (SELECT a.request_id, abs((a.g - b.g) * (a.d - b.d)) / a.ideal * (greatest(b.score - a.score, 0) + ln(1 + exp(-abs(a.score - b.score)))) AS l FROM y a JOIN y b ON a.request_id = b.request_id AND a.relevance > b.relevance)
+    SELECT r.request_id, round(coalesce(avg(l), 0), {DIGITS}) AS loss FROM (SELECT DISTINCT request_id FROM scored) r LEFT JOIN p ON r.request_id = p.request_id GROUP BY r.request_id""", scored=LABELLED)
+def _(spark, scored):
+    return rounded(losses.lambda_rank_loss(scored), "loss")
+
+
+SOFT = """WITH s AS (SELECT user_id, permutation_index, item_id, score / 20.0::DOUBLE AS s FROM runs), m AS (SELECT *, max(s) OVER (PARTITION BY user_id, permutation_index) AS top FROM s),
+lp AS (SELECT user_id, permutation_index, item_id, s - top - ln(sum(exp(s - top)) OVER (PARTITION BY user_id, permutation_index)) AS lp FROM m),
+d AS (SELECT b.user_id, b.permutation_index, sum(exp(a.lp) * (a.lp - b.lp)) AS kl, sum(0.5 * (exp(a.lp) - exp(b.lp)) * (a.lp - b.lp)) AS je FROM lp a JOIN lp b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.permutation_index = 1 AND b.permutation_index > 1 GROUP BY b.user_id, b.permutation_index)"""
+
+for _name, _mode, _c in (("perm_kl_loss", "kl", "kl"), ("perm_jeffreys_loss", "jeffreys", "je")):
+
+    @query(_name, SOFT + f" SELECT user_id, round(avg({_c}), {DIGITS}) AS loss FROM d GROUP BY user_id", runs=RUNS)
+    def _(spark, runs, mode=_mode):
+        return rounded(losses.permutation_loss(runs, mode, 20.0), "loss")
+
+
+@query("interaction_correction", runs=RUNS)
+def _(spark, runs):
+    vec = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.ascii(F.substring(F.md5("item_id"), i, 1)).cast("double") / 64)
+    rows = runs.where("permutation_index = 1").select(F.col("user_id").alias("request_id"), "item_id", (F.col("score") / 100.0).alias("score"), vec.alias("vec"))
+    return interaction.correct_scores(rows, interaction.random_weights(8))
+
+
+@query("label_violations", "SELECT rule, count(*) FILTER (WHERE (rule = 'missing' AND relevance IS NULL) OR (rule = 'negative' AND relevance < 0)) AS violations FROM (SELECT CASE WHEN position % 10 = 3 THEN NULL WHEN position % 10 = 4 THEN -1 ELSE relevance END AS relevance FROM scored) CROSS JOIN (VALUES ('missing'), ('negative')) r(rule) GROUP BY rule", scored=LABELLED)
+def _(spark, scored):
+    bad = F.when(F.col("position") % 10 == 3, None).when(F.col("position") % 10 == 4, -1).otherwise(F.col("relevance"))
+    return losses.label_violations(scored.withColumn("relevance", bad))
+
+
+@query("result_violations", """WITH l AS (SELECT user_id, permutation_index, count(*) AS n, count(DISTINCT item_id) AS items, count(DISTINCT pos) AS ranks, max(pos) AS top FROM said GROUP BY user_id, permutation_index)
+    SELECT count(*) AS lists, count(*) FILTER (WHERE items < n) AS duplicate_items, count(*) FILTER (WHERE ranks < n OR top <> n - 1) AS broken_ranks FROM l""", said=DAMAGED)
+def _(spark, said):
+    return losses.result_violations(said.withColumnRenamed("pos", "output_rank"))
