@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, **tables: str):
         if sql:
             ctes = [f"{k} AS ({X.duck(t)})" for k, t in tables.items()]
             body = sql.strip()
-            SQL[name] = "WITH RECURSIVE " * 0 + "WITH " + ", ".join(ctes) + (", " + body[5:] if body.startswith("WITH ") else " " + body)
+            SQL[name] = "WITH " + ", ".join(ctes) + (", " + body[5:] if body.startswith("WITH ") else " " + body)
         return f
 
     return add
@@ -82,7 +82,7 @@ def _(spark, items):
 
 @query(
     "prep_items_clean",
-    """SELECT item_id, TRY_CAST(replace(replace(trim(said), '$', ''), ',', '') AS DOUBLE) AS price, list_filter(string_split(genres, '|'), x -> x <> '') AS genres FROM (
+    """SELECT item_id, TRY_CAST(replace(replace(trim(said), '$', ''), ',', '') AS DOUBLE) AS price, list_filter(string_split(genres, '|'), lambda x: x <> '') AS genres FROM (
        SELECT item_id, genres, CASE WHEN item_id % 5 = 0 THEN '' WHEN item_id % 5 = 1 THEN 'n/a' ELSE concat('$1,', CAST(item_id % 900 + 100 AS VARCHAR(20)), '.50 ') END AS said FROM items)""",
     items=ITEMS,
 )
@@ -189,7 +189,7 @@ def _(spark, log):
     return rounded(retrieval.propagated_mean(edges, x, 2), "v")
 
 
-SCORES = """, sc AS (SELECT u.user_id, i.vec_id AS item_id, round(list_sum(list_transform(range(1, 65), k -> CAST(uv.embedding[k] AS DOUBLE) * CAST(i.embedding[k] AS DOUBLE))), 12) AS score
+SCORES = """, sc AS (SELECT u.user_id, i.vec_id AS item_id, round(list_sum(list_transform(range(1, 65), lambda k: CAST(uv.embedding[k] AS DOUBLE) * CAST(i.embedding[k] AS DOUBLE))), 12) AS score
 FROM (SELECT DISTINCT user_id FROM log) u JOIN vectors uv ON uv.vec_id = u.user_id CROSS JOIN vectors i)"""
 
 
@@ -406,9 +406,9 @@ def _(spark, runs):
 
 VALIDATED = """WITH v AS (SELECT user_id, permutation_index, list(item_id ORDER BY input_position) AS ok FROM runs GROUP BY user_id, permutation_index),
 d AS (SELECT user_id, permutation_index, list(item_id ORDER BY pos) AS said FROM said GROUP BY user_id, permutation_index),
-u AS (SELECT *, list_filter(said, (x, i) -> list_position(said, x) = i) AS once FROM v JOIN d USING (user_id, permutation_index)),
-q AS (SELECT user_id, permutation_index, list_concat(list_filter(once, x -> list_contains(ok, x)), list_filter(ok, x -> NOT list_contains(said, x))) AS reranked_item_ids,
-  CAST(len(list_filter(once, x -> NOT list_contains(ok, x))) AS INT) AS num_invalid, CAST(len(said) - len(once) AS INT) AS num_duplicate, CAST(len(list_filter(ok, x -> NOT list_contains(said, x))) AS INT) AS num_missing FROM u)"""
+u AS (SELECT *, list_filter(said, lambda x, i: list_position(said, x) = i) AS once FROM v JOIN d USING (user_id, permutation_index)),
+q AS (SELECT user_id, permutation_index, list_concat(list_filter(once, lambda x: list_contains(ok, x)), list_filter(ok, lambda x: NOT list_contains(said, x))) AS reranked_item_ids,
+  CAST(len(list_filter(once, lambda x: NOT list_contains(ok, x))) AS INT) AS num_invalid, CAST(len(said) - len(once) AS INT) AS num_duplicate, CAST(len(list_filter(ok, lambda x: NOT list_contains(said, x))) AS INT) AS num_missing FROM u)"""
 
 
 def _validated(runs: DataFrame, said: DataFrame) -> DataFrame:
