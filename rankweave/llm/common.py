@@ -16,6 +16,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: For str.translate: A-Z only, as the contracts ask, never other letters.
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
+_BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """Words of a text with A-Z lower-cased, in UTF-8: bytes.split() cuts at just the separators of words."""
+    return text.encode("utf-8", "surrogatepass").translate(_BYTES_LOWER).split() if text else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ Steps, each stored in the folder that the cluster shares:
 2. seeds: nodes that agree in one of a few min-hashes are compared with the least of them only, so a group of near copies
    is linked by about as many comparisons as it has members; the links are contracted;
 3. the join: prefix postings that two or more components share give pairs of nodes of different components; those that share
-   enough prefix shingles are verified. Only pairs inside a component already known are left out: they can't change it.
+   enough prefix shingles are verified, first by parity bits (which bound from below how much two sets differ), then by the sets. Only pairs inside a component already known are left out: they can't change it.
 4. components of all links, by repeated contraction to the least neighbour.
 
 Nothing is capped: a frequent shingle stands late in the order, and pairs that remain in its posting are joined, not dropped.
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import ASCII_LOWER, WORD, shared_dir, stored
+from rankweave.llm.common import lower_words, shared_dir, stored
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -55,24 +55,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_CACHED:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
 def shingle_set(text: str | None, words: dict, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a whole text's shingles."""
-    found = WORD.findall(text.translate(ASCII_LOWER)) if text else []
+    found = lower_words(text)
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
     k = min(size, len(h))
-    out = np.full(len(h) - k + 1, (k * 0x8EBC6AF09C88C6E3) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for j in range(k):
-        out = _mix(out + h[j : len(h) - k + 1 + j] * ODD[j % len(ODD)] + np.uint64(j))
-    return np.unique(out)
+    n = len(h) - k + 1
+    out = h[:n] * ODD[0]
+    for j in range(1, k):
+        out = out * ODD[j % len(ODD)] + h[j : n + j]
+    return np.unique(_mix(out + np.uint64((k * 0x8EBC6AF09C88C6E3) & 0xFFFFFFFFFFFFFFFF)))
+
+
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """About as many bits as there are shingles (a power of two from 64): each says if an odd number of shingles fell on it."""
+    width = max(64, 1 << (len(shingles) - 1).bit_length())
+    at = (shingles & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """No less than this many shingles are in one of two sets only: those in both fall on the same bits and cancel out."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def set_node(shingles: np.ndarray) -> int:
@@ -97,33 +115,34 @@ def choose_matches(excess: np.ndarray, n: int) -> int:
 
 
 def _signatures(docs: DataFrame, size: int, seeds: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node, mins), and of the sketch (slice, part, counts)."""
+    """Rows of documents (doc_id, n, node, mins, bits), and of the sketch (slice, part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        salts = _mix(np.arange(1, seeds + 1, dtype=np.uint64))
+        words, counts = _Words(), np.zeros(1 << SKETCH_BITS, np.int64)
+        salts = _mix(np.arange(1, seeds + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
-            rows = []
+            rows, places = [], [np.empty(0, np.int64)]
             for doc_id, text in zip(b["_id"].tolist(), b["_t"].tolist(), strict=True):
                 s = shingle_set(text, words, size)
                 if len(s):
-                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                    mins = [int(_mix(s ^ salt).min().view(np.int64)) for salt in salts]
-                    rows.append((doc_id, len(s), set_node(s), mins, -1, 0, None))
+                    places.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                    mins = [(s * salt).min() for salt in salts]
+                    rows.append((doc_id, len(s), set_node(s), np.array(mins, np.uint64).view(np.int64).tolist(), parity_bits(s), -1, 0, None))
                 else:
-                    rows.append((doc_id, 0, None, None, -1, 0, None))
+                    rows.append((doc_id, 0, None, None, None, -1, 0, None))
+            counts += np.bincount(np.concatenate(places), minlength=len(counts))
             yield _frame(rows)
         part = TaskContext.get().partitionId()
-        for i, x in enumerate(counts.reshape(SLICES, -1)):
+        for i, x in enumerate(counts.astype(np.uint32).reshape(SLICES, -1)):
             if x.any():
-                yield _frame([(None, None, None, None, i, part, _planes(x))])
+                yield _frame([(None, None, None, None, None, i, part, _planes(x))])
 
-    schema = "_id string, n int, node long, mins array<long>, slice int, part int, counts binary"
+    schema = "_id string, n int, node long, mins array<long>, bits binary, slice int, part int, counts binary"
     return docs.select(F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("_t")).mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["_id", "n", "node", "mins", "slice", "part", "counts"], dtype=object)
+    out = pd.DataFrame(rows, columns=["_id", "n", "node", "mins", "bits", "slice", "part", "counts"], dtype=object)
     return out.assign(slice=out["slice"].astype("int32"), part=out["part"].astype("int32"))
 
 
@@ -156,7 +175,7 @@ def _sketch(signatures: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, size: int, sketch) -> DataFrame:
-    """(token, node, n, m, hot): the prefixes of distinct sets, copies within a task once."""
+    """(token, node, nm): the prefixes of distinct sets, copies within a task once; nm packs n, m and if the token is hot, to keep rows short."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts, seen = _Words(), sketch.value.astype(np.float64), set()
@@ -164,7 +183,7 @@ def _postings(docs: DataFrame, size: int, sketch) -> DataFrame:
         level = np.log2(np.maximum(counts / max(mean, 1.0), 1.0)).astype(np.int8)
         excess_of = np.maximum(counts - 2 * mean, 0.0)
         for b in batches:
-            tokens, nodes, sizes, matches, hots = [], [], [], [], []
+            tokens, nodes, packed = [], [], []
             for text in b["_t"].tolist():
                 s = shingle_set(text, words, size)
                 if not len(s) or (node := set_node(s)) in seen:
@@ -180,13 +199,11 @@ def _postings(docs: DataFrame, size: int, sketch) -> DataFrame:
                 p = len(s) - fewest_shared(len(s)) + m
                 tokens.append(s[order[:p]])
                 nodes.append(np.full(p, node, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
-                matches.append(np.full(p, m, np.int16))
-                hots.append(excess[:p] > HOT)
+                packed.append(((len(s) << 8) + (m << 1)) + (excess[:p] > HOT).astype(np.int64))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "m": np.concatenate(matches), "hot": np.concatenate(hots)})
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "nm": np.concatenate(packed)})
 
-    return docs.select(F.col("text").alias("_t")).mapInPandas(run, "token long, node long, n int, m smallint, hot boolean")
+    return docs.select(F.col("text").alias("_t")).mapInPandas(run, "token long, node long, nm long")
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
@@ -225,13 +242,22 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
     return stored(made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), path)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, root: str, name: str) -> DataFrame:
-    """The pairs (a, b) that link, stored."""
-    pairs = stored(pairs, f"{root}/{name}-pairs")
+def _verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, size: int, root: str, name: str) -> DataFrame:
+    """The pairs (a, b) that link, stored. Pairs whose parity bits already differ in too many places need no sets."""
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # 9 * shared >= 4 * (n + n') means 9 * (in one only) <= n + n'
+            keep = [9 * least_difference(x, y) <= n for x, y, n in zip(b["xa"], b["xb"], b["nn"], strict=True)]
+            yield b.loc[np.array(keep, bool), ["a", "b"]]
+
+    side = lambda c: bits.select(F.col("node").alias(c), F.col("bits").alias(f"x{c}"), F.col("n").alias(f"n{c}"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb", (F.col("na") + F.col("nb")).alias("nn"))
+    pairs = stored(close.mapInPandas(likely, "a long, b long"), f"{root}/{name}-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes, size, f"{root}/{name}-sets")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = [np.frombuffer(r, np.uint64) for r in b["sa"]]
             y = [np.frombuffer(r, np.uint64) for r in b["sb"]]
@@ -239,7 +265,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, root: str, name: str
             yield b.loc[keep, ["a", "b"]]
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return stored(both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long"), f"{root}/{name}-links")
+    return stored(both.select("a", "b", "sa", "sb").mapInPandas(exact, "a long, b long"), f"{root}/{name}-links")
 
 
 def components(links: DataFrame, root: str) -> DataFrame:
@@ -275,22 +301,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, seeds: int = 6) -> DataFr
     docs = docs.select("doc_id", "text")
     signed = stored(_signatures(docs, size, seeds), f"{root}/signatures")
     sketch = spark.sparkContext.broadcast(_sketch(signed))
-    rows = signed.where(F.col("slice") < 0).select(F.col("_id").cast(kind).alias("doc_id"), "n", "node", "mins")
+    rows = signed.where(F.col("slice") < 0).select(F.col("_id").cast(kind).alias("doc_id"), "n", "node", "mins", "bits")
+    sets = rows.where(F.col("n") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
+    sets = stored(sets, f"{root}/nodes")
 
     # seeds: who shares a min-hash is compared with the least of those who do
-    keyed = rows.where(F.col("n") > 0).groupBy("node").agg(F.first("mins").alias("mins")).select("node", F.posexplode("mins").alias("k", "h"))
+    keyed = sets.select("node", F.posexplode("mins").alias("k", "h"))
     least = keyed.groupBy("k", "h").agg(F.min("node").alias("a"), F.max("node").alias("top")).where(F.col("a") != F.col("top")).select("k", "h", "a")
     seeded = keyed.join(least, ["k", "h"]).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-    links = _verified(docs, seeded, size, root, "seed")
+    links = _verified(docs, seeded, sets, size, root, "seed")
     known = components(links, f"{root}/cc-seed")
 
     # the join over prefix postings
-    posted = stored(_postings(docs, size, sketch), f"{root}/postings")
-    contested = _contested(posted, known, f"{root}/contested")
+    contested = _contested(_postings(docs, size, sketch), known, f"{root}/contested")
     x, y = contested.alias("x"), contested.alias("y")
     near = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
     met = x.join(y, near).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.m", "y.m")).alias("m"))
-    more = _verified(docs, met.where(F.col("shared") >= F.col("m")).select("a", "b"), size, root, "join")
+    more = _verified(docs, met.where(F.col("shared") >= F.col("m")).select("a", "b"), sets, size, root, "join")
     links = links.union(more)
     labels = components(links, f"{root}/cc")
 
@@ -304,10 +331,13 @@ def _contested(posted: DataFrame, known: DataFrame, path: str) -> DataFrame:
     """(token, node, n, m, comp) of tokens that nodes of at least two components have."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("token").orderBy("node")
-    cold = posted.where(~F.col("hot")).select("token", "node", "n", "m", F.lag("node").over(w).alias("p"), F.lead("node").over(w).alias("q"))
-    cold = cold.where((F.col("p") != F.col("node")) | (F.col("q") != F.col("node"))).select("token", "node", "n", "m")
-    some = stored(cold.union(posted.where("hot").select("token", "node", "n", "m")).distinct(), f"{path}-nodes")
+    # hot tokens are known to be shared: their rows are dealt out by node and kept without a look at each other
+    hot = F.col("nm").bitwiseAND(F.lit(1)) == 1
+    w = Window.partitionBy("token", F.when(hot, F.col("node"))).orderBy("node")
+    rows = posted.select("token", "node", "nm", F.lag("node").over(w).alias("p"), F.lead("node").over(w).alias("q"))
+    rows = rows.where(hot | (F.col("p") != F.col("node")) | (F.col("q") != F.col("node")))
+    rows = rows.select("token", "node", F.shiftright("nm", 8).cast("int").alias("n"), F.shiftright("nm", 1).bitwiseAND(F.lit(127)).cast("int").alias("m"))
+    some = stored(rows.distinct(), f"{path}-nodes")
     some = some.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = some.groupBy("token").agg(F.min("comp").alias("u"), F.max("comp").alias("v")).where("u <> v").select("token")
     return stored(some.join(mixed, "token", "left_semi").select("token", "node", "n", "m", "comp"), path)
