@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,49 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 _BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lower-cased, in UTF-8: bytes.split() cuts at just the separators of words."""
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: A random number for each byte but the separators, which are 0; and powers of an odd number, as many as the longest word so far has bytes.
+_LETTER = _scrambled(np.arange(1, 257, dtype=np.uint64))
+_LETTER[[32, 9, 10, 11, 12, 13]] = 0
+_POWERS = [np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))]
+
+
+def bytes_words(text: str | None) -> list[bytes]:
+    """Words with A-Z lower-cased, in UTF-8: bytes.split() cuts at just the separators of words."""
     return text.encode("utf-8", "surrogatepass").translate(_BYTES_LOWER).split() if text else []
 
 
+class HashedWords:
+    """64-bit hashes of a text's words (A-Z lower-cased, in UTF-8), without making the words: a polynomial over each word's bytes."""
+
+    __slots__ = ("raw", "starts", "hashes")
+
+    def __init__(self, text: str | None):
+        self.raw = text.encode("utf-8", "surrogatepass").translate(_BYTES_LOWER) if text else b""
+        values = _LETTER[np.frombuffer(self.raw, np.uint8)]
+        solid = values != 0
+        edges = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+        self.starts = np.concatenate([[0], edges]) if len(solid) and solid[0] else edges
+        if not len(self.starts):
+            self.hashes = np.empty(0, np.uint64)
+            return
+        first = self.starts[0]
+        sizes = np.diff(self.starts, append=len(values))
+        place = np.arange(first, len(values)) - np.repeat(self.starts, sizes)
+        if (top := int(sizes.max())) > len(_POWERS[0]):
+            _POWERS[0] = np.cumprod(np.full(2 * top, 0x9E3779B97F4A7C15, np.uint64))
+        self.hashes = _scrambled(np.add.reduceat(values[first:] * _POWERS[0][place], self.starts - first))
+
+    def word(self, i: int) -> str:
+        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.raw)
+        return self.raw[self.starts[i] : end].rstrip(b" \t\n\x0b\x0c\r").decode("utf-8", "surrogatepass")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

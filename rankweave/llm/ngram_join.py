@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import lower_words, shared_dir, stored
+from rankweave.llm.common import HashedWords, shared_dir, stored
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -54,26 +54,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingle_set(text: str | None, words: dict, size: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a whole text's shingles."""
-    found = lower_words(text)
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    h = HashedWords(text).hashes
+    if not len(h):
+        return h
     k = min(size, len(h))
     n = len(h) - k + 1
     out = h[:n] * ODD[0]
     for j in range(1, k):
         out = out * ODD[j % len(ODD)] + h[j : n + j]
-    return np.unique(_mix(out + np.uint64((k * 0x8EBC6AF09C88C6E3) & 0xFFFFFFFFFFFFFFFF)))
+    out = _mix(out + np.uint64((k * 0x8EBC6AF09C88C6E3) & 0xFFFFFFFFFFFFFFFF))
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
@@ -118,12 +111,12 @@ def _signatures(docs: DataFrame, size: int, seeds: int) -> DataFrame:
     """Rows of documents (doc_id, n, node, mins, bits), and of the sketch (slice, part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = _Words(), np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
         salts = _mix(np.arange(1, seeds + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
             rows, places = [], [np.empty(0, np.int64)]
             for doc_id, text in zip(b["_id"].tolist(), b["_t"].tolist(), strict=True):
-                s = shingle_set(text, words, size)
+                s = shingle_set(text, size)
                 if len(s):
                     places.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                     mins = [(s * salt).min() for salt in salts]
@@ -178,14 +171,14 @@ def _postings(docs: DataFrame, size: int, sketch) -> DataFrame:
     """(token, node, nm): the prefixes of distinct sets, copies within a task once; nm packs n, m and if the token is hot, to keep rows short."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts, seen = _Words(), sketch.value.astype(np.float64), set()
+        counts, seen = sketch.value.astype(np.float64), set()
         mean = counts.mean()
         level = np.log2(np.maximum(counts / max(mean, 1.0), 1.0)).astype(np.int8)
         excess_of = np.maximum(counts - 2 * mean, 0.0)
         for b in batches:
             tokens, nodes, packed = [], [], []
             for text in b["_t"].tolist():
-                s = shingle_set(text, words, size)
+                s = shingle_set(text, size)
                 if not len(s) or (node := set_node(s)) in seen:
                     continue
                 if len(seen) >= MAX_CACHED:
@@ -222,11 +215,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(_bitmap(nodes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, bitmap, seen = _Words(), shared.value, set()
+        bitmap, seen = shared.value, set()
         for b in batches:
             rows = []
             for text in b["_t"].tolist():
-                s = shingle_set(text, words, size)
+                s = shingle_set(text, size)
                 if not len(s) or (node := set_node(s)) in seen:
                     continue
                 at = (node & 0xFFFFFFFFFFFFFFFF) >> (64 - BITMAP_BITS)
