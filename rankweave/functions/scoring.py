@@ -36,8 +36,8 @@ def from_order(f: Callable[[str, Sequence[str]], Sequence[str]]) -> Callable[[st
     return scores
 
 
-# Architecture presets (mask, position ids, interaction) and their names.
-ARCHITECTURES = {("causal", "standard", "none"): "lft", ("block", "shared", "none"): "invarirank", ("block", "shared", "relational"): "invarirank_setwise"}
+#: Architecture presets (mask, position ids, interaction) and our names for them.
+ARCHITECTURES = {("causal", "standard", "none"): "causal", ("block", "shared", "none"): "block", ("block", "shared", "relational"): "block_setwise"}
 
 
 def architecture_of(mask: str, positions: str, interaction: str = "none") -> str:

@@ -178,7 +178,7 @@ def test_scorers():
     for bad in ([1], [True, 1], [float("nan"), 1]):
         with pytest.raises(ValueError):
             scoring.from_scores(lambda user, shown, b=bad: b)("u", ["a", "b"])
-    assert scoring.architecture_of("block", "shared", "relational") == "invarirank_setwise"
+    assert scoring.architecture_of("block", "shared", "relational") == "block_setwise"
 
 
 def test_sampling():
