@@ -95,6 +95,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS sh FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (n + m - c) UNION ALL SELECT y, x FROM p WHERE 100 * c >= 80 * (n + m - c)),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, q.component_id FROM g JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) q ON g.doc_id = q.doc_id""",
     "op8_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
