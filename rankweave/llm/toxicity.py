@@ -28,11 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import WORD, crc_fold, text_or_empty
+from rankweave.llm.common import HashedWords, crc_fold, text_or_empty
 
 MAX_CACHED = 400_000
 START, END = "\x02", "\x03"
 N_FEATURES = 5
+BATCH_CHARS = 400_000
 
 
 class KneserNey:
@@ -87,13 +88,13 @@ class KneserNey:
 
 
 class WordEvidence(dict):
-    """word -> (evidence, characters), computed once; evidence of n-grams is kept too. Both are emptied when full."""
+    """A word's hash -> (evidence, characters), computed once; evidence of n-grams is kept too. Both are emptied when full."""
 
     def __init__(self, model: KneserNey):
         super().__init__()
         self.model, self.grams = model, {}
 
-    def __missing__(self, word: str) -> tuple[float, float]:
+    def measure(self, word: str) -> tuple[float, float]:
         n = self.model.order
         s = START * (n - 1) + word.lower() + END
         grams, total = self.grams, 0.0
@@ -105,24 +106,52 @@ class WordEvidence(dict):
                     grams.clear()
                 e = grams[g] = self.model.evidence(g[:-1], g[-1])
             total += e
-        found = (total, float(len(word) + 1))
-        if len(word) <= 64:
-            if len(self) >= MAX_CACHED:
-                self.clear()
-            self[word] = found
-        return found
-
-
-def doc_features(text: str, words: WordEvidence, window: int = 8) -> tuple[float, ...]:
-    found = WORD.findall(text)
-    if not found:
-        return (0.0,) * N_FEATURES
-    x = np.array(list(map(words.__getitem__, found)))
-    c = np.concatenate([[[0.0, 0.0]], np.cumsum(x, axis=0)])
-    k = min(window, len(found))
+        return total, float(len(word) + 1)
+
+    def of(self, made: list[HashedWords]) -> np.ndarray:
+        """(evidence, characters) of all words of some texts, in order; each distinct word is looked up once."""
+        h = np.concatenate([w.hashes for w in made])
+        ends = np.cumsum([len(w.hashes) for w in made])
+        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+        found = []
+        for k, i in zip(distinct.tolist(), first.tolist(), strict=True):
+            x = self.get(k)
+            if x is None:
+                d = int(np.searchsorted(ends, i, side="right"))
+                if len(self) >= MAX_CACHED:
+                    self.clear()
+                x = self[k] = self.measure(made[d].word(i - int(ends[d]) + len(made[d].hashes)))
+            found.append(x)
+        return np.array(found, float).reshape(-1, 2)[back]
+
+
+def text_features(texts: list[str], words: WordEvidence, window: int = 8) -> np.ndarray:
+    """A row of features for each text."""
+    out = np.zeros((len(texts), N_FEATURES))
+    made: list[HashedWords] = []
+    row = size = 0
+    for i, t in enumerate(texts):
+        made.append(HashedWords(t))
+        size += len(t)
+        if size >= BATCH_CHARS or i + 1 == len(texts):
+            x = words.of(made)
+            at = 0
+            for w in made:
+                n = len(w.hashes)
+                if n:
+                    out[row] = _features(x[at : at + n], window)
+                at += n
+                row += 1
+            made, size = [], 0
+    return out
+
+
+def _features(x: np.ndarray, window: int) -> tuple[float, ...]:
+    c = np.concatenate([np.zeros((1, 2)), np.cumsum(x, axis=0)])
+    k = min(window, len(x))
     w = c[k:] - c[:-k]
-    top = np.sort(x[:, 0])[-3:]
-    return float(c[-1, 0] / c[-1, 1]), float((w[:, 0] / w[:, 1]).max()), float(top[-1]), float(top.sum() / 3), float(np.log(len(found) + 1))
+    top = x[:, 0] if len(x) <= 3 else np.partition(x[:, 0], len(x) - 3)[-3:]
+    return c[-1, 0] / c[-1, 1], (w[:, 0] / w[:, 1]).max(), top.max(), top.sum() / 3, np.log(len(x) + 1)
 
 
 @dataclass(frozen=True)
@@ -185,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, m
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordEvidence(shared.value)
         for b in batches:
-            f = [doc_features(t, known, window) for t in b["_t"]]
-            yield pd.DataFrame({"toxic": b["toxic"], **{f"f{i}": [x[i] for x in f] for i in range(N_FEATURES)}})
+            f = text_features(b["_t"].tolist(), known, window)
+            yield pd.DataFrame({"toxic": b["toxic"], **{f"f{i}": f[:, i] for i in range(N_FEATURES)}})
 
     seen = texts.where("part = 0").groupBy("doc_id").agg(F.first("_t").alias("_t"), F.first("toxic").alias("toxic")).select("toxic", "_t")
     data = np.array(sorted(tuple(r) for r in seen.mapInPandas(measure, "toxic int, " + ", ".join(f"f{i} double" for i in range(N_FEATURES))).collect()), float)
@@ -206,7 +235,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
         m = shared.value
         known = WordEvidence(m.evidence) if m.evidence else None
         for b in batches:
-            f = np.array([doc_features(t, known, m.window) for t in b["_t"]]).reshape(-1, N_FEATURES) if known is not None else np.zeros((len(b), N_FEATURES))
+            f = text_features(b["_t"].tolist(), known, m.window) if known is not None else np.zeros((len(b), N_FEATURES))
             s = m.score(f)
             yield pd.DataFrame({"doc_id": b["_id"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
