@@ -40,6 +40,7 @@ SKETCH_BITS = 20
 SLICES = 64
 BITMAP_BITS = 25
 MAX_MATCHES = 8
+BATCH_SHINGLES = 1_000_000
 MAX_CACHED = 400_000
 #: A shingle whose counter stands this far over the mean goes to the join without a look at who else has it.
 HOT = 5_000
@@ -217,7 +218,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, seen = shared.value, set()
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for text in b["_t"].tolist():
                 s = shingle_set(text, size)
                 if not len(s) or (node := set_node(s)) in seen:
@@ -227,11 +228,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
                     if len(seen) >= MAX_CACHED:
                         seen.clear()
                     seen.add(node)
-                    rows.append((node, s.tobytes()))
+                    rows.append((node, s.view(np.int64)))
+                    held += len(s)
+                    if held >= BATCH_SHINGLES:
+                        yield pd.DataFrame(rows, columns=["node", "s"])
+                        rows, held = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=["node", "s"])
 
-    made = docs.select(F.col("text").alias("_t")).mapInPandas(run, "node long, s binary")
+    made = docs.select(F.col("text").alias("_t")).mapInPandas(run, "node long, s array<bigint>")
     return stored(made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), path)
 
 
@@ -250,15 +255,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, size: int, roo
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes, size, f"{root}/{name}-sets")
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = [np.frombuffer(r, np.uint64) for r in b["sa"]]
-            y = [np.frombuffer(r, np.uint64) for r in b["sb"]]
-            keep = np.array([9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)) for p, q in zip(x, y, strict=True)], bool)
-            yield b.loc[keep, ["a", "b"]]
-
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return stored(both.select("a", "b", "sa", "sb").mapInPandas(exact, "a long, b long"), f"{root}/{name}-links")
+    # row by row in the JVM: a Python batch would hold the sets of thousands of pairs at once
+    link = 9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))
+    return stored(both.where(link).select("a", "b"), f"{root}/{name}-links")
 
 
 def components(links: DataFrame, root: str) -> DataFrame:
