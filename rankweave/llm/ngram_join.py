@@ -270,10 +270,9 @@ def components(links: DataFrame, root: str) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the least of a node and its neighbours: pointers downwards, a forest
         up = stored(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p")), f"{root}/up-{i}")
-        # two jumps along it
-        for j in range(2):
-            to = up.select(F.col("node").alias("p"), F.col("p").alias("q"))
-            up = stored(up.join(to, "p", "left").select("node", F.coalesce("q", "p").alias("p")), f"{root}/up-{i}-{j}")
+        # a jump along it
+        to = up.select(F.col("node").alias("p"), F.col("p").alias("q"))
+        up = stored(up.join(to, "p", "left").select("node", F.coalesce("q", "p").alias("p")), f"{root}/jump-{i}")
         if labels is None:
             labels = up.select("node", F.col("p").alias("comp"))
         else:
@@ -286,6 +285,19 @@ def components(links: DataFrame, root: str) -> DataFrame:
         i += 1
 
 
+def _extended(known: DataFrame, more: DataFrame, root: str) -> DataFrame:
+    """Components of the links that gave `known` and of more ones: only links between known components are worked on."""
+    at = lambda side: known.select(F.col("node").alias(side), F.col("comp").alias(f"p{side}"))
+    a, b = F.coalesce("pa", "a"), F.coalesce("pb", "b")
+    between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    between = stored(between.distinct(), f"{root}-between")
+    if between.isEmpty():
+        return known
+    joined = components(between, root)
+    moved = known.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return moved.unionByName(joined.join(known.select("node"), "node", "left_anti").select("node", "comp"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, seeds: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) of each row of docs; node numbers equal sets alike."""
     spark = docs.sparkSession
@@ -311,8 +323,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, seeds: int = 6) -> DataFr
     near = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
     met = x.join(y, near).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.m", "y.m")).alias("m"))
     more = _verified(docs, met.where(F.col("shared") >= F.col("m")).select("a", "b"), sets, size, root, "join")
-    links = links.union(more)
-    labels = components(links, f"{root}/cc")
+    labels = _extended(known, more, f"{root}/cc")
 
     placed = rows.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("comp"))
     firsts = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("first"))
