@@ -210,6 +210,24 @@ def test_language_model(spark):
     assert bloom_lm.score_documents(df.limit(0), m, words).count() == 0
 
 
+def test_language_model_knows_what_its_filter_has_no_room_for(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(400)]
+    texts = [None, ""] + [" ".join(rng.choices(vocabulary, weights=range(1, 401), k=rng.randint(1, 80)) + ["new york"] * 3) for _ in range(150)]
+    df = frame(spark, texts, [(None, "null id text")])
+    score = lambda m, words: {r["doc_id"]: (r["base_score"], r["score"]) for r in bloom_lm.score_documents(df, m, words, packet_tokens=700).collect()}
+    large, words = bloom_lm.train(df, head_words=20, bits_per_entry=60)
+    assert large.rest is None
+    want = score(large, words)
+    for room in (0, 4_000):  # for nothing, and for the frequent ones
+        m, words = bloom_lm.train(df, head_words=20, bits_per_entry=60, max_filter_bytes=room)
+        assert m.rest and m.least_count > 1
+        got = score(m, words)
+        assert got.keys() == want.keys()
+        assert all(abs(x - y) < 1e-6 for i in want for x, y in zip(got[i], want[i], strict=True))
+    assert bloom_lm.score_documents(df.limit(0), m, words).count() == 0
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
