@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Item factors that go to the tasks at once; more items than these are scored in several blocks.
 BLOCK_ITEMS = 50_000
+#: User-item matrices of at most so many cells (64 MB) are dense in training.
+DENSE_CELLS = 8_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -139,7 +141,26 @@ def seen_pairs(log: DataFrame) -> DataFrame:
     return log.select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id")).distinct()
 
 
-def lightgcn_fit(pairs: np.ndarray, n_users: int, n_items: int, dim: int = 64, layers: int = 3, epochs: int = 20, batch: int = 2048, lr: float = 1e-3, decay: float = 1e-4, seed: int = 42, tries: int = 100) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def _neighbour_sums(u: np.ndarray, i: np.ndarray, w: np.ndarray, n_users: int, n_items: int):
+    """The function from values of nodes to the weighted sums of their neighbours' values: a matrix product if the matrix is small."""
+    if n_users * n_items <= DENSE_CELLS:
+        a = np.zeros((n_users, n_items))
+        np.add.at(a, (u, i - n_users), w)
+        return lambda x: np.concatenate([a @ x[n_users:], a.T @ x[:n_users]])
+    to, source, weight = np.concatenate([u, i]), np.concatenate([i, u]), np.concatenate([w, w])
+    by = np.argsort(to, kind="stable")
+    source, weight = source[by], weight[by, None]
+    nodes, first = np.unique(to[by], return_index=True)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        out[nodes] = np.add.reduceat(weight * x[source], first, axis=0)
+        return out
+
+    return sums
+
+
+def lightgcn_fit(pairs: np.ndarray, n_users: int, n_items: int, dim: int = 64, layers: int = 3, epochs: int = 100, batch: int = 2048, lr: float = 1e-3, decay: float = 1e-4, seed: int = 42, tries: int = 100) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """User and item vectors, and the loss of each epoch. Propagation is linear and symmetric: the gradient passes through the same operator.
 
     Training is on the driver, for graphs that fit in it; a user who has seen all items is skipped after `tries` draws.
@@ -152,13 +173,13 @@ def lightgcn_fit(pairs: np.ndarray, n_users: int, n_items: int, dim: int = 64, l
     w = 1 / np.sqrt(deg[u] * deg[i])
     seen = set(zip(u.tolist(), (i - n_users).tolist(), strict=True))
 
+    neighbours = _neighbour_sums(u, i, w, n_users, n_items)
+
     def spread(x: np.ndarray) -> np.ndarray:
         total, step = x.copy(), x
         for _ in range(layers):
-            nxt = np.zeros_like(step)
-            np.add.at(nxt, u, w[:, None] * step[i])
-            np.add.at(nxt, i, w[:, None] * step[u])
-            total, step = total + nxt, nxt
+            step = neighbours(step)
+            total += step
         return total / (layers + 1)
 
     m, v, t, losses = np.zeros_like(e), np.zeros_like(e), 0, []

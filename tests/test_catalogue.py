@@ -1,5 +1,6 @@
 """Every query against its SQL in DuckDB on the smallest tables; those without SQL must give rows."""
 
+import inspect
 import math
 import os
 import sys
@@ -9,6 +10,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from rankweave.operators import retrieval
 from rankweave.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -47,3 +49,18 @@ def test_query(spark, duck, name):
     rel = duck.sql(catalogue.SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows_of(df.columns, got) == rows_of(rel.columns, rel.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_lightgcn_has_the_parameters_of_the_reference(spark, monkeypatch):
+    fit, used = retrieval.lightgcn_fit, {}
+
+    def noted(*args, **how):
+        bound = inspect.signature(fit).bind(*args, **how)
+        bound.apply_defaults()
+        used.update(bound.arguments)
+        return fit(*args, **{**how, "epochs": 1})
+
+    monkeypatch.setattr(retrieval, "lightgcn_fit", noted)
+    catalogue.QUERIES["lightgcn_recommend"](spark, DATA)
+    assert [used[x] for x in ("dim", "layers", "epochs", "batch", "lr", "decay")] == [64, 3, 100, 2048, 1e-3, 1e-4]

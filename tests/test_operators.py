@@ -143,6 +143,13 @@ def test_lightgcn_learns():
     retrieval.lightgcn_fit(np.array([[0, 0], [0, 1]]), 1, 2, dim=2, epochs=1, tries=3)  # a user who has seen all
 
 
+def test_lightgcn_sums_are_the_same_for_small_and_large_graphs(monkeypatch):
+    pairs = np.unique(np.random.default_rng(3).integers(0, 30, (200, 2)), axis=0)
+    small = retrieval.lightgcn_fit(pairs, 31, 30, dim=8, epochs=3, batch=64)
+    monkeypatch.setattr(retrieval, "DENSE_CELLS", 0)
+    assert all(np.allclose(x, y) for x, y in zip(small, retrieval.lightgcn_fit(pairs, 31, 30, dim=8, epochs=3, batch=64), strict=True))
+
+
 def test_recommend_of_a_user_who_has_seen_all(spark):
     users = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "user_id long, vec array<double>")
     items = spark.createDataFrame([(i, [1.0]) for i in range(3)], "item_id long, vec array<double>")
