@@ -256,7 +256,7 @@ def _(spark, runs, truth):
 
 @query("als_recommend", log=LOG)
 def _(spark, log):
-    return retrieval.als_recommend(prep.positives(log, 4.0), 10, factors=16, iterations=5)
+    return retrieval.als_recommend(prep.positives(log, 4.0), 10)
 
 
 @query("lightgcn_recommend", log=LOG)

@@ -64,3 +64,17 @@ def test_lightgcn_has_the_parameters_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "lightgcn_fit", noted)
     catalogue.QUERIES["lightgcn_recommend"](spark, DATA)
     assert [used[x] for x in ("dim", "layers", "epochs", "batch", "lr", "decay")] == [64, 3, 100, 2048, 1e-3, 1e-4]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_als_has_the_parameters_of_the_reference(spark, monkeypatch):
+    recommend, used = retrieval.als_recommend, {}
+
+    def noted(*args, **how):
+        bound = inspect.signature(recommend).bind(*args, **how)
+        bound.apply_defaults()
+        used.update(bound.arguments)
+
+    monkeypatch.setattr(retrieval, "als_recommend", noted)
+    catalogue.QUERIES["als_recommend"](spark, DATA)
+    assert [used[x] for x in ("factors", "reg", "iterations", "alpha")] == [64, 0.01, 20, 40.0]
