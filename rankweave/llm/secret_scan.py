@@ -2,8 +2,9 @@ r"""Secret scans: base patterns, and multipart credentials linked by an interval
 
 Base kinds (assign, access, hex) are strong and always reported. Weak candidates (ident: a user name or client id that is
 assigned; blob: a long mixed token; endpoint: a service address) are everyday text on their own; one is reported
-only when a complementary strong part lies within its scope, that is, at most `scope` code points away: an ident needs a secret
-(assign, hex), a blob needs an access identifier, an endpoint needs either. The join is on (row, block of `scope` code points) with the
+only when a complementary part lies within its scope, that is, at most `scope` code points away: an ident needs a secret
+(assign, hex) or a blob, a blob needs an access identifier, an ident or an endpoint, an endpoint needs a secret, an access identifier or a
+blob. So parts that are all weak back each other, in texts without base spans too. The join is on (row, block of `scope` code points) with the
 overlap tested, so a document with very many parts is joined block by block and never all with all.
 
 Offsets count code points, ends are exclusive. They come from the pieces between matches, by one left-to-right fold.
@@ -59,20 +60,28 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    return F.concat(_spans(text, IDENT, 3), _spans(text, BLOB, 4), _spans(text, ENDPOINT, 5))
+    """The weak kinds' spans, after cheap tests as for the base kinds."""
+    ident = F.when(text.rlike("(?i)user|login|account|client_?id"), _spans(text, IDENT, 3)).otherwise(_none())
+    blob = F.when(text.rlike("[A-Za-z0-9+/]{32}"), _spans(text, BLOB, 4)).otherwise(_none())
+    endpoint = F.when(F.contains(text, F.lit("://")), _spans(text, ENDPOINT, 5)).otherwise(_none())
+    return F.concat(ident, blob, endpoint)
+
+
+def may_link(text: Column) -> Column:
+    """Whether the text has a blob and an ident or endpoint, which can back each other."""
+    return text.rlike("[A-Za-z0-9+/]{32}") & text.rlike(BLOB) & (text.rlike(IDENT) | text.rlike(ENDPOINT))
 
 
 def linked(rows: DataFrame, scope: int = 256) -> DataFrame:
-    """rows (_row, _base, _weak) to (_row, _linked): each row's weak spans that a complementary strong part backs."""
+    """rows (_row, _base, _weak) to (_row, _linked): each row's weak spans that a complementary part backs."""
     blocks = lambda s, e: F.explode(F.sequence(F.floor(s / scope), F.floor(e / scope)))
     weak = rows.select("_row", F.explode("_weak").alias("w")).select("_row", "w", blocks(F.greatest(F.col("w.s") - scope, F.lit(0)), F.col("w.e") + scope).alias("_block"))
-    strong = rows.where(F.size("_weak") > 0).select(F.col("_row").alias("_r"), F.explode("_base").alias("b")).select("_r", "b", blocks(F.col("b.s"), F.col("b.e") - 1).alias("_b"))
-    secret, key = F.col("b.k").isin(0, 2), F.col("b.k") == 1
-    fits = ((F.col("w.k") == 3) & secret) | ((F.col("w.k") == 4) & key) | ((F.col("w.k") == 5) & (secret | key))
+    parts = rows.where(F.size("_weak") > 0).select(F.col("_row").alias("_r"), F.explode(F.concat("_base", "_weak")).alias("b")).select("_r", "b", blocks(F.col("b.s"), F.col("b.e") - 1).alias("_b"))
+    fits = ((F.col("w.k") == 3) & F.col("b.k").isin(0, 2, 4)) | ((F.col("w.k") == 4) & F.col("b.k").isin(1, 3, 5)) | ((F.col("w.k") == 5) & F.col("b.k").isin(0, 1, 2, 4))
     near = (F.col("b.s") < F.col("w.e") + scope) & (F.col("b.e") > F.col("w.s") - scope)
-    # a weak span inside a strong one says nothing new
+    # a weak span inside another says nothing new
     apart = (F.col("b.e") <= F.col("w.s")) | (F.col("b.s") >= F.col("w.e"))
-    hits = weak.join(strong, (F.col("_row") == F.col("_r")) & (F.col("_block") == F.col("_b")) & fits & near & apart, "left_semi")
+    hits = weak.join(parts, (F.col("_row") == F.col("_r")) & (F.col("_block") == F.col("_b")) & fits & near & apart, "left_semi")
     return hits.groupBy("_row").agg(F.collect_set("w").alias("_linked"))
 
 
@@ -83,7 +92,7 @@ def find_secrets(docs: DataFrame, carry: list[str], scope: int = 256) -> DataFra
     """
     spark = docs.sparkSession
     rows = docs.select(*carry, text_or_empty().alias("_t")).withColumn("_base", base_spans(F.col("_t")))
-    rows = rows.withColumn("_weak", F.when(F.size("_base") > 0, weak_spans(F.col("_t"))).otherwise(_none())).drop("_t")
+    rows = rows.withColumn("_weak", F.when((F.size("_base") > 0) | may_link(F.col("_t")), weak_spans(F.col("_t"))).otherwise(_none())).drop("_t")
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), shared_dir(spark, "secrets"))
     out = rows.join(linked(rows, scope), "_row", "left")
     return out.select(*carry, "_base", F.sort_array(F.coalesce("_linked", _none())).alias("_linked"))
@@ -97,11 +106,11 @@ def span_text(spans: Column) -> Column:
 def mask_secrets(docs: DataFrame, mask: str = "[secret]", scope: int = 256) -> DataFrame:
     """docs with every reported span of `text` replaced by a mask (spans that touch share one); n_chars, if there, follows.
 
-    Texts without a base span take no part in the join and pass as they are.
+    Texts without a base span and without weak ones that can back each other take no part in the join and pass as they are.
     """
     names = docs.columns
     inner = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
-    found = F.size(base_spans(text_or_empty())) > 0
+    found = (F.size(base_spans(text_or_empty())) > 0) | may_link(text_or_empty())
     hit = find_secrets(inner.where(found), inner.columns, scope)
     state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
     text, m = F.col("text"), F.lit(mask)
