@@ -10,7 +10,8 @@ character, that of its strongest window of `window` words per character, of its
 document with one toxic passage isn't averaged away, and the logarithm of its length. A logistic regression on other labelled documents than the counts' makes a probability of them.
 
 Bounded: at most `max_docs` documents of each class for the counts and as many for the regression (by hash of doc_id; a documented
-sample), and `max_words` distinct words of each class come to the driver, most frequent first. Every document is scored, whole.
+sample). All words of the sample count, whole: executors count their n-grams, and the distinct n-grams come to the driver, packed. Every
+document is scored, whole.
 
 Defined cases: a null or empty text has no evidence and scores as such; a null doc_id has the fold of the empty text; labels
 that are null or contradict each other count as toxic if one says so, else not, nulls not at all; without labels of both classes every score is the share of
@@ -19,8 +20,8 @@ toxic ones (0 without any); a repeated row is scored again; other columns are ig
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import HashedWords, crc_fold, text_or_empty
 
 MAX_CACHED = 400_000
+FLUSH_GRAMS = 300_000
 START, END = "\x02", "\x03"
 N_FEATURES = 5
 BATCH_CHARS = 400_000
@@ -39,21 +41,19 @@ BATCH_CHARS = 400_000
 class KneserNey:
     """log2 P(toxic side) - log2 P(ordinary side) of each character after what stands before it in its word."""
 
-    def __init__(self, words: list[dict[str, int]], order: int = 5, shared: int = 2, discount: float = 0.75):
+    def __init__(self, counts: list[dict[str, int]], order: int = 5, shared: int = 2, discount: float = 0.75):
+        """counts: of each class, word_grams()."""
         self.order, self.shared, self.d = order, shared, discount
         # for each class: n-gram -> count and context -> (sum, types), contexts of shared..order-1 characters
         self.own: list[tuple[dict, dict]] = []
+        # n-grams of k + 1 characters: each is one kind of a continuation
         kinds: list[set] = [set() for _ in range(shared + 1)]
-        for counts in words:
-            grams: dict[str, int] = defaultdict(int)
-            for word, n in counts.items():
-                s = START * (order - 1) + word + END
-                for i in range(order - 1, len(s)):
-                    for k in range(shared, order):
-                        grams[s[i - k : i + 1]] += n
-                    for k in range(1, shared + 1):
-                        kinds[k].add(s[i - k : i + 1])  # n-grams of k + 1 characters: each is one kind of a continuation
-            self.own.append((dict(grams), self._contexts(grams)))
+        for c in counts:
+            grams = {g: n for g, n in c.items() if len(g) > shared}
+            for g in c:
+                if len(g) <= shared + 1:
+                    kinds[len(g) - 1].add(g)
+            self.own.append((grams, self._contexts(grams)))
         # continuation counts: in how many kinds of contexts a character follows a shorter one
         self.back: list[tuple[dict, dict]] = []
         for k in range(shared):
@@ -87,6 +87,45 @@ class KneserNey:
         return float(np.log2(p[0]) - np.log2(p[1]))
 
 
+def word_grams(words: Iterable[tuple[str, int]], order: int, grams: Counter) -> Iterator[Counter]:
+    """Counts of the n-grams of 2 to `order` characters of counted words, in parts; `grams` is used again and has the last part."""
+    for word, n in words:
+        s = START * (order - 1) + word + END
+        for i in range(order - 1, len(s)):
+            for k in range(1, order):
+                grams[s[i - k : i + 1]] += n
+            if len(grams) >= FLUSH_GRAMS:
+                yield grams
+                grams.clear()
+
+
+def _class_grams(words: DataFrame, order: int) -> list[dict[str, int]]:
+    """Of counted words (toxic, w, n): the n-gram counts of the toxic class, then of the other."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, Counter] = {1: Counter(), 0: Counter()}
+        frame = lambda c, g: pd.DataFrame({"toxic": c, "g": list(g), "n": list(g.values())})
+        for b in batches:
+            for c, grams in own.items():
+                x = b[b["toxic"] == c]
+                for part in word_grams(zip(x["w"], x["n"], strict=True), order, grams):
+                    yield frame(c, part)
+        for c, grams in own.items():
+            if grams:
+                yield frame(c, grams)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c, x in b.groupby("toxic"):  # no n-gram has a line end
+                yield pd.DataFrame({"toxic": [c], "g": ["\n".join(x["g"])], "n": [x["n"].to_numpy(np.int64).tobytes()]})
+
+    sums = words.mapInPandas(count, "toxic int, g string, n long").groupBy("toxic", "g").agg(F.sum("n").alias("n"))
+    out: dict[int, dict[str, int]] = {1: {}, 0: {}}
+    for r in sums.mapInPandas(pack, "toxic int, g string, n binary").collect():
+        out[r["toxic"]].update(zip(r["g"].split("\n"), np.frombuffer(bytes(r["n"]), np.int64).tolist(), strict=True))
+    return [out[1], out[0]]
+
+
 class WordEvidence(dict):
     """A word's hash -> (evidence, characters), computed once; evidence of n-grams is kept too. Both are emptied when full."""
 
@@ -189,7 +228,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, max_docs: int = 2000, max_words: int = 200_000, window: int = 8, **how) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, max_docs: int = 2000, window: int = 8, order: int = 5, **how) -> Model:
     spark = docs.sparkSession
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     rows = rows.withColumn("fold", crc_fold(F.col("doc_id"), folds)).where(F.col("fold") != held_out)
@@ -205,10 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, m
     texts = docs.select("doc_id", text_or_empty().alias("_t")).join(F.broadcast(chosen.select("doc_id", "toxic", "part")), "doc_id")
     words = texts.where("part = 1").select("toxic", F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
     words = words.groupBy("toxic", "w").agg(F.count(F.lit(1)).alias("n"))
-    counts: list[dict[str, int]] = []
-    for c in (1, 0):
-        counts.append({r["w"][:64]: r["n"] for r in words.where(F.col("toxic") == c).orderBy(F.desc("n"), "w").limit(max_words).collect()})
-    model = KneserNey(counts, **how)
+    model = KneserNey(_class_grams(words, order), order, **how)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

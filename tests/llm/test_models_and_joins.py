@@ -258,6 +258,21 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_documents(df.limit(0), m).count() == 0
 
 
+def test_toxicity_counts_whole_words(spark):
+    rng = random.Random(8)
+    piece = lambda: "".join(rng.choice("abcdefghij") for _ in range(10))
+    start = piece() * 7  # all words share their first 70 characters
+    texts = [" ".join(start + piece() + (rng.choice(["zquidge", "wuxxob"]) if i % 2 else "") + piece() for _ in range(5)) for i in range(200)]
+    df = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    m = toxicity.fit(df, labels)
+    counted = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 == 0 and i % 2]
+    own = m.evidence.own[0][0]
+    assert [own.get(g, 0) for g in ("zquid", "wuxxo", start[-5:])] == [sum(t.count(g) for t in counted) for g in ("zquid", "wuxxo", start[-5:])]
+    held = [r for r in toxicity.score_documents(df, m).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.95 * len(held)
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
