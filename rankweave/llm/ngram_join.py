@@ -6,13 +6,19 @@ n - ceil(0.8 n) + m shingles; two that link share at least min(m, m') of their p
 estimated cost: a longer prefix meets more postings, but of the documents met only those count as candidates that share m of them. The
 order and the estimates come from a sketch of how often shingles occur, over all documents.
 
+How many must be shared depends on both sizes, so a token at rank r of a set is in its prefix towards partners up to a certain size
+only: each posting carries that bound, and a pair is made where each size is within the other's. Shingles that only one set has stand
+first in the order, so an edited copy reaches the shingles of its group late, with a bound below the group's sizes.
+
 Steps, each stored in the folder that the cluster shares:
 1. signatures: equal sets become one node (the hash of the sorted set), so exact copies cost one row each from here on;
-2. seeds: nodes that agree in one of a few min-hashes are compared with the least of them only, so a group of near copies
-   is linked by about as many comparisons as it has members; the links are contracted;
-3. the join: prefix postings that two or more components share give pairs of nodes of different components; those that share
-   enough prefix shingles are verified, first by parity bits (which bound from below how much two sets differ), then by the sets. Only pairs inside a component already known are left out: they can't change it.
-4. components of all links, by repeated contraction to the least neighbour.
+2. postings: the prefixes' tokens that two nodes or more have;
+3. leaders: in each posting, members are compared with the one that has the fewest rare shingles, so a group of near copies is linked by
+   about as many comparisons as it has members; the links are contracted;
+4. the join: in postings that two or more components share, rows outside the largest component meet all others within the bounds; pairs that share
+   enough prefix tokens are verified, first by parity bits (which bound from below how much two sets differ), then by the sets. Only pairs
+   inside a component already known are left out: they can't change it;
+5. components of all links, by repeated contraction to the least neighbour.
 
 Nothing is capped: a frequent shingle stands late in the order, and pairs that remain in its posting are joined, not dropped.
 Shingle and set hashes have 64 bits; equality of hashes is taken as equality.
@@ -31,17 +37,17 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import HashedWords, shared_dir, stored
 
-SKETCH_BITS = 20
 SLICES = 64
-BITMAP_BITS = 25
 MAX_MATCHES = 8
 BATCH_SHINGLES = 1_000_000
 MAX_CACHED = 400_000
+#: Sizes of one band differ by this ratio at most.
+BAND = 1.12
 #: A shingle whose counter stands this far over the mean goes to the join without a look at who else has it.
 HOT = 5_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -97,46 +103,53 @@ def fewest_shared(n: int) -> int:
 
 
 def choose_matches(excess: np.ndarray, n: int) -> int:
-    """m with the least estimated cost; excess: how many others have each shingle, in the global order."""
-    base, best, least = n - fewest_shared(n), 1, None
+    """m with the least estimated cost; excess: how many others have each shingle, in the global order.
+
+    What is met is counted over the prefix towards partners of equal size, by far the most frequent ones.
+    """
+    base, best, least = n - (8 * n + 8) // 9, 1, None
     met = np.concatenate([[0.0], np.cumsum(excess)])
     for m in range(1, min(MAX_MATCHES, fewest_shared(n)) + 1):
         # postings met, and candidates: each uses up m of them; a candidate costs a comparison of two sets
-        cost = base + m + met[base + m] + met[base + m] / m * (4 + n / 16)
+        cost = n - fewest_shared(n) + m + met[base + m] + met[base + m] / m * (4 + n / 16)
         if least is None or cost < least:
             best, least = m, cost
     return best
 
 
-def _signatures(docs: DataFrame, size: int, seeds: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node, mins, bits), and of the sketch (slice, part, counts)."""
+def sketch_bits(docs: DataFrame) -> int:
+    """2**20 counters up to 16 GB of text, then twice as many for twice the text, 2**26 at most."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(26, max(20, size.bit_length() - 14))
+
+
+def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """Rows of documents (doc_id, n, node, bits), and of the sketch (slice, part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        salts = _mix(np.arange(1, seeds + 1, dtype=np.uint64)) | np.uint64(1)
+        counts = np.zeros(1 << bits, np.int64)
         for b in batches:
             rows, places = [], [np.empty(0, np.int64)]
             for doc_id, text in zip(b["_id"].tolist(), b["_t"].tolist(), strict=True):
                 s = shingle_set(text, size)
                 if len(s):
-                    places.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                    mins = [(s * salt).min() for salt in salts]
-                    rows.append((doc_id, len(s), set_node(s), np.array(mins, np.uint64).view(np.int64).tolist(), parity_bits(s), -1, 0, None))
+                    places.append((s >> np.uint64(64 - bits)).astype(np.int64))
+                    rows.append((doc_id, len(s), set_node(s), parity_bits(s), -1, 0, None))
                 else:
-                    rows.append((doc_id, 0, None, None, None, -1, 0, None))
+                    rows.append((doc_id, 0, None, None, -1, 0, None))
             counts += np.bincount(np.concatenate(places), minlength=len(counts))
             yield _frame(rows)
         part = TaskContext.get().partitionId()
         for i, x in enumerate(counts.astype(np.uint32).reshape(SLICES, -1)):
             if x.any():
-                yield _frame([(None, None, None, None, None, i, part, _planes(x))])
+                yield _frame([(None, None, None, None, i, part, _planes(x))])
 
-    schema = "_id string, n int, node long, mins array<long>, bits binary, slice int, part int, counts binary"
+    schema = "_id string, n int, node long, bits binary, slice int, part int, counts binary"
     return docs.select(F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("_t")).mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["_id", "n", "node", "mins", "bits", "slice", "part", "counts"], dtype=object)
+    out = pd.DataFrame(rows, columns=["_id", "n", "node", "bits", "slice", "part", "counts"], dtype=object)
     return out.assign(slice=out["slice"].astype("int32"), part=out["part"].astype("int32"))
 
 
@@ -150,11 +163,11 @@ def _from_planes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _sketch(signatures: DataFrame) -> np.ndarray:
-    """Sums of the tasks' sketches, slice by slice in two levels; 4 MB come to the driver, whatever the input."""
+def _sketch(signatures: DataFrame, bits: int) -> np.ndarray:
+    """Sums of the tasks' sketches, slice by slice in two levels; 4 MB come to the driver, 256 MB from 1 TB of input on."""
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64)
+        total = np.zeros((1 << bits) // SLICES, np.uint64)
         for raw in pdf["counts"]:
             total += _from_planes(raw, np.uint64 if len(raw) == 8 * len(total) else np.uint32).astype(np.uint64)
         return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "counts": [_planes(total)]})
@@ -162,14 +175,18 @@ def _sketch(signatures: DataFrame) -> np.ndarray:
     rows = signatures.where(F.col("slice") >= 0).select("slice", "counts", F.expr("part div 64").alias("part"))
     rows = rows.groupBy("slice", "part").applyInPandas(lambda k, p: add(k, p), "slice int, counts binary")
     rows = rows.groupBy("slice").applyInPandas(lambda k, p: add(k, p), "slice int, counts binary")
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
+    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
     for r in rows.collect():
         out[r["slice"]] = np.minimum(_from_planes(bytes(r["counts"]), np.uint64), 0xFFFFFFFF)
     return out.ravel()
 
 
-def _postings(docs: DataFrame, size: int, sketch) -> DataFrame:
-    """(token, node, nm): the prefixes of distinct sets, copies within a task once; nm packs n, m and if the token is hot, to keep rows short."""
+def _postings(docs: DataFrame, size: int, sketch, bits: int) -> DataFrame:
+    """(token, node, nm): the prefixes of distinct sets, copies within a task once.
+
+    nm packs, from the top: n; the token's rank less m - 1, plus MAX_MATCHES; m; how many of the set's shingles look rare (on a scale
+    of 32); if the token is hot. One number keeps rows short.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen = sketch.value.astype(np.float64), set()
@@ -185,35 +202,48 @@ def _postings(docs: DataFrame, size: int, sketch) -> DataFrame:
                 if len(seen) >= MAX_CACHED:
                     seen.clear()
                 seen.add(node)
-                at = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                at = (s >> np.uint64(64 - bits)).astype(np.int64)
                 lv = level[at]
                 order = np.argsort(lv, kind="stable") if lv.any() else np.arange(len(s))
                 excess = excess_of[at][order]
                 m = choose_matches(excess, len(s)) if excess.any() else 1
                 p = len(s) - fewest_shared(len(s)) + m
+                rare = int((excess == 0).sum())
+                rare = rare if rare < 16 else min(31, 11 + rare.bit_length())
                 tokens.append(s[order[:p]])
                 nodes.append(np.full(p, node, np.int64))
-                packed.append(((len(s) << 8) + (m << 1)) + (excess[:p] > HOT).astype(np.int64))
+                packed.append((len(s) << 36) + ((np.arange(p) + (MAX_MATCHES - m + 1)) << 10) + (m << 6) + (rare << 1) + (excess[:p] > HOT))
             if tokens:
                 yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "nm": np.concatenate(packed)})
 
     return docs.select(F.col("text").alias("_t")).mapInPandas(run, "token long, node long, nm long")
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """One bit for each of 2**BITMAP_BITS values of a node's first bits: what a pass over all texts may skip. 4 MB, whatever the input."""
-    at = F.shiftrightunsigned("node", 64 - BITMAP_BITS)
-    words = nodes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - BITMAP_BITS}) & 63 AS int))").alias("b"))
+def _unpacked(rows: DataFrame, *more: str) -> DataFrame:
+    """Of (token, node, nm): n, m, rare and `room`. The token is in the prefix towards sets of n' shingles just when 4 * n' <= room."""
+    low = lambda at, mask: F.shiftright("nm", at).bitwiseAND(F.lit(mask)).cast("int")
+    n, rank = F.shiftright("nm", 36).cast("int"), low(10, (1 << 26) - 1) - MAX_MATCHES
+    # two that link share at least 4 * (n + n') / 9; the prefix has the first n - that + m in the order
+    return rows.select("token", "node", n.alias("n"), low(6, 15).alias("m"), low(1, 31).alias("rare"), (5 * n.cast("long") - 9 * rank).alias("room"), *more)
+
+
+def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each of 2**bits values of a node's first bits: what a pass over all texts may skip."""
+    at = F.shiftrightunsigned("node", 64 - bits)
+    words = nodes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - bits}) & 63 AS int))").alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
-    """(node, s): the shingles of the nodes asked for, made again from the texts."""
+    """(node, s): the shingles of the nodes asked for, made again from the texts. The bitmap follows their number, up to 32 MB;
+    what it lets through beyond them, the join takes out."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_bitmap(nodes))
+    nodes = stored(nodes, f"{path}-nodes")
+    bits = min(28, max(16, nodes.count().bit_length() + 5))
+    shared = spark.sparkContext.broadcast(_bitmap(nodes, bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, seen = shared.value, set()
@@ -223,7 +253,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
                 s = shingle_set(text, size)
                 if not len(s) or (node := set_node(s)) in seen:
                     continue
-                at = (node & 0xFFFFFFFFFFFFFFFF) >> (64 - BITMAP_BITS)
+                at = (node & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
                 if (int(bitmap[at >> 6]) >> (at & 63)) & 1:
                     if len(seen) >= MAX_CACHED:
                         seen.clear()
@@ -298,32 +328,24 @@ def _extended(known: DataFrame, more: DataFrame, root: str) -> DataFrame:
     return moved.unionByName(joined.join(known.select("node"), "node", "left_anti").select("node", "comp"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, seeds: int = 6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of each row of docs; node numbers equal sets alike."""
+def jaccard_components(docs: DataFrame, size: int = 5, leaders: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) of each row of docs; node numbers equal sets alike. leaders=False leaves step 3 out."""
     spark = docs.sparkSession
     root = shared_dir(spark, "jaccard")
     kind = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", "text")
-    signed = stored(_signatures(docs, size, seeds), f"{root}/signatures")
-    sketch = spark.sparkContext.broadcast(_sketch(signed))
-    rows = signed.where(F.col("slice") < 0).select(F.col("_id").cast(kind).alias("doc_id"), "n", "node", "mins", "bits")
-    sets = rows.where(F.col("n") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
-    sets = stored(sets, f"{root}/nodes")
-
-    # seeds: who shares a min-hash is compared with the least of those who do
-    keyed = sets.select("node", F.posexplode("mins").alias("k", "h"))
-    least = keyed.groupBy("k", "h").agg(F.min("node").alias("a"), F.max("node").alias("top")).where(F.col("a") != F.col("top")).select("k", "h", "a")
-    seeded = keyed.join(least, ["k", "h"]).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-    links = _verified(docs, seeded, sets, size, root, "seed")
-    known = components(links, f"{root}/cc-seed")
-
-    # the join over prefix postings
-    contested = _contested(_postings(docs, size, sketch), known, f"{root}/contested")
-    x, y = contested.alias("x"), contested.alias("y")
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
-    met = x.join(y, near).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.m", "y.m")).alias("m"))
-    more = _verified(docs, met.where(F.col("shared") >= F.col("m")).select("a", "b"), sets, size, root, "join")
-    labels = _extended(known, more, f"{root}/cc")
+    bits = sketch_bits(docs)
+    signed = stored(_signatures(docs, size, bits), f"{root}/signatures")
+    sketch = spark.sparkContext.broadcast(_sketch(signed, bits))
+    rows = signed.where(F.col("slice") < 0).select(F.col("_id").cast(kind).alias("doc_id"), "n", "node", "bits")
+    sets = stored(rows.where(F.col("n") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), f"{root}/nodes")
+    shared = _shared(_postings(docs, size, sketch, bits), f"{root}/shared")
+
+    known = spark.createDataFrame([], "node long, comp long")
+    if leaders:
+        known = components(_verified(docs, _leader_pairs(shared), sets, size, root, "lead"), f"{root}/cc-lead")
+    pairs = _cross_pairs(shared, known, f"{root}/contested")
+    labels = _extended(known, _verified(docs, pairs, sets, size, root, "join"), f"{root}/cc")
 
     placed = rows.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("comp"))
     firsts = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("first"))
@@ -331,17 +353,49 @@ def jaccard_components(docs: DataFrame, size: int = 5, seeds: int = 6) -> DataFr
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), "node")
 
 
-def _contested(posted: DataFrame, known: DataFrame, path: str) -> DataFrame:
-    """(token, node, n, m, comp) of tokens that nodes of at least two components have."""
-    from pyspark.sql import Window
-
+def _shared(posted: DataFrame, path: str) -> DataFrame:
+    """(token, node, nm), distinct, of tokens that two nodes or more have."""
     # hot tokens are known to be shared: their rows are dealt out by node and kept without a look at each other
     hot = F.col("nm").bitwiseAND(F.lit(1)) == 1
     w = Window.partitionBy("token", F.when(hot, F.col("node"))).orderBy("node")
     rows = posted.select("token", "node", "nm", F.lag("node").over(w).alias("p"), F.lead("node").over(w).alias("q"))
     rows = rows.where(hot | (F.col("p") != F.col("node")) | (F.col("q") != F.col("node")))
-    rows = rows.select("token", "node", F.shiftright("nm", 8).cast("int").alias("n"), F.shiftright("nm", 1).bitwiseAND(F.lit(127)).cast("int").alias("m"))
-    some = stored(rows.distinct(), f"{path}-nodes")
-    some = some.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = some.groupBy("token").agg(F.min("comp").alias("u"), F.max("comp").alias("v")).where("u <> v").select("token")
-    return stored(some.join(mixed, "token", "left_semi").select("token", "node", "n", "m", "comp"), path)
+    return stored(rows.select("token", "node", "nm").distinct(), path)
+
+
+def _band(n: Column, ratio: float) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(ratio)) + 1e-9).cast("int")
+
+
+def _leader_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): in each posting, members by band of sizes with the band's leader (fewest rare shingles: what others are edits of),
+    and leaders of neighbouring bands with each other; as many pairs as there are postings at most."""
+    rows = _unpacked(shared).withColumn("band", _band(F.col("n"), 1.25))
+    lead = rows.groupBy("token", "band").agg(F.min(F.struct("rare", "node", "n", "room")).alias("l"))
+    below = F.lag("l").over(Window.partitionBy("token").orderBy("band"))
+    own = rows.join(lead, ["token", "band"]).select(F.struct("rare", "node", "n", "room").alias("x"), F.col("l").alias("y"))
+    both = own.unionByName(lead.select(F.col("l").alias("x"), below.alias("y")).where(F.col("y").isNotNull()))
+    fits = (4 * F.col("x.n").cast("long") <= F.col("y.room")) & (4 * F.col("y.n").cast("long") <= F.col("x.room"))
+    both = both.where(fits & (F.col("x.node") != F.col("y.node")))
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _cross_pairs(shared: DataFrame, known: DataFrame, path: str) -> DataFrame:
+    """(a, b) of different components that share as many prefix tokens as they need.
+
+    In each posting, the rows outside its largest component look for partners among all of its rows, by bands of sizes that their room
+    and the size ratio allow.
+    """
+    some = _unpacked(shared).join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    by_comp = some.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = by_comp.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("most"))
+    rows = stored(some.join(mixed, "token").select("token", "node", "n", "m", "room", "comp", (F.col("comp") == F.col("most")).alias("inside")), path)
+    home = rows.withColumn("band", _band(F.col("n"), BAND)).alias("y")
+    most = F.least(F.floor(F.col("room") / 4), F.floor(1.25 * F.col("n")))
+    least = F.ceil(0.8 * F.col("n") - 1e-9)
+    probe = rows.where(~F.col("inside") & (most >= least)).withColumn("band", F.explode(F.sequence(_band(least, BAND), _band(most, BAND)))).alias("x")
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
+    near = near & (F.col("y.inside") | (F.col("x.node") < F.col("y.node"))) & (5 * F.least("x.n", "y.n").cast("long") >= 4 * F.greatest("x.n", "y.n").cast("long"))
+    near = near & (4 * F.col("y.n").cast("long") <= F.col("x.room")) & (4 * F.col("x.n").cast("long") <= F.col("y.room"))
+    met = probe.join(home, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.m", "y.m").alias("m"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("m").alias("m")).where("shared >= m").select("a", "b")

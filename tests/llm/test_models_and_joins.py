@@ -83,10 +83,33 @@ def test_components(spark, seed, boiler):
             assert r["component_id"] is None
 
 
-def test_components_without_seeds_rest_on_the_prefixes(spark):
-    """With no min-hash seeds all links come from the multi-match prefixes."""
+def test_one_large_family_of_edited_copies_and_odd_texts(spark):
+    """Copies with 0 to 7 edits of a base that no document has, sizes around it; a border pair; a long text and its copy; repeated ids."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(260):
+        w = list(base)
+        for e in range(1 + k % 7):
+            w[rng.randrange(len(w))] = f"e{k}x{e}" if rng.random() < 0.7 else f"common{rng.randrange(4)}"
+        texts.append(" ".join(w[: len(w) - rng.randrange(4)] + ["tail"] * rng.randrange(3)))
+    # 40 shared of 50 in the union: just 0.8; and 39 of 49
+    for more in (5, 5):
+        texts.append(" ".join([f"k{i}" for i in range(44)] + [f"o{len(texts)}_{j}" for j in range(more)]))
+    texts.append(" ".join([f"q{i}" for i in range(43)] + [f"p0_{j}" for j in range(5)]))
+    texts.append(" ".join([f"q{i}" for i in range(43)] + [f"p1_{j}" for j in range(5)]))
+    long = [f"l{rng.randrange(10**6)}" for _ in range(60_000)]
+    texts += [" ".join(long), " ".join(long[:30_000] + ["x"] + long[30_000:]), None, "", "same same"]
+    want = brute_components(texts)
+    assert want[260][1] == want[261][1] and want[262][1] != want[263][1]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, [*texts]).unionByName(frame(spark, texts[:3]))).collect())
+    assert got == sorted([(i, *want[i]) for i in [*range(len(texts)), 0, 1, 2]])
+
+
+def test_components_without_leaders_rest_on_the_prefixes(spark):
+    """Without leaders all links come from the join of multi-match prefixes."""
     texts = near_copies(9, 10, True)
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(frame(spark, texts), seeds=0).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(frame(spark, texts), leaders=False).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts)]
 
 
@@ -97,7 +120,7 @@ def test_components_of_nothing(spark):
 
 def test_matches_lengthen_with_cost():
     n = 100
-    cheap, dear = np.zeros(n), np.concatenate([np.zeros(15), np.full(85, 500.0)])
+    cheap, dear = np.zeros(n), np.concatenate([np.zeros(5), np.full(95, 500.0)])
     assert ngram_join.choose_matches(cheap, n) == 1 and ngram_join.choose_matches(dear, n) > 1
     assert [ngram_join.fewest_shared(k) for k in (1, 2, 4, 5, 9, 10, 11)] == [1, 2, 4, 4, 8, 8, 9]
 
