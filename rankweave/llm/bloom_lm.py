@@ -5,7 +5,7 @@ sends sorted, packed runs of (hash, count, class) per bucket, buckets merge them
 is put in the filter once for each level up to its own; reading probes level after level until one is missing, so a count is never read
 too small, and read too large by a level with the filter's small error rate, its square by two, and so on.
 
-The filter's size follows the number of entries up to `max_filter_bytes`, the bound of the broadcast. Beyond it the filter has the frequent
+The filter's size follows the number of entries up to `max_filter_bytes` (128 MB, for about 100 million entries), the bound of the broadcast. Beyond it the filter has the frequent
 n-grams (the least count in it is the smallest for which all with that count fit, found from a histogram over all documents), and the others
 stay in stored buckets of key ranges: texts are looked up in packets, the distinct keys of a packet that the filter lacks meet their
 bucket in a join, and only levels come back. So every counted n-gram is known at any size; a stored one is read at its own level, by the
@@ -40,10 +40,11 @@ from rankweave.llm.common import HashedWords, bytes_words, crc_fold, shared_dir,
 
 END = ""  # the end token: no word is empty
 FLUSH_WORDS = 300_000
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 1_000_000
 BATCH_CHARS = 400_000
 UNIGRAM = np.uint64(0x5851F42D4C957F2D)
 GROUP_KEYS = 2_000_000
+LOW = np.uint64(0xFFFFFFFF)
 SPARE = np.uint64(16)  # lower bits of keys that look-ups leave out
 CLASSES = 64
 SEGMENTS = 64
@@ -92,7 +93,7 @@ def count_of_level(base: float, top: int = 128) -> np.ndarray:
 
 
 class LogBloom:
-    """Bits in segments; an n-gram's segment comes from its key, so segments are built apart from each other."""
+    """Bits in segments (of a multiple of 8 bits, under 2**32); a key's range is its segment, so segments are built apart from each other."""
 
     def __init__(self, bits_per_segment: int, hashes: int, base: float, segments: int = SEGMENTS):
         self.size, self.k, self.base, self.segments = bits_per_segment, hashes, base, segments
@@ -103,11 +104,11 @@ class LogBloom:
         a = _mix(keys + np.uint64((level * 0xA0761D6478BD642F) & 0xFFFFFFFFFFFFFFFF))
         step = (a >> np.uint64(32)) | np.uint64(1)
         for _ in range(self.k):
-            yield (a & np.uint64(self.size - 1)).astype(np.int64)
+            yield (((a & LOW) * np.uint64(self.size)) >> np.uint64(32)).astype(np.int64)
             a = a + step * np.uint64(0x9E3779B97F4A7C15)
 
     def segment(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(58)).astype(np.int64) % self.segments
+        return (keys >> np.uint64(58)).astype(np.int64)
 
     def put(self, segment: int, keys: np.ndarray, levels: np.ndarray) -> None:
         row = self.bits[segment]
@@ -123,7 +124,7 @@ class LogBloom:
             a = _mix(keys[live] + np.uint64((q * 0xA0761D6478BD642F) & 0xFFFFFFFFFFFFFFFF))
             step = ((a >> np.uint64(32)) | np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             for _ in range(self.k):  # most that are absent fail the first probes
-                at = (a & np.uint64(self.size - 1)).astype(np.int64)
+                at = (((a & LOW) * np.uint64(self.size)) >> np.uint64(32)).astype(np.int64)
                 fits = (flat[segment[live] * (self.size // 8) + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
                 live, a, step = live[fits], a[fits] + step[fits], step[fits]
             if not len(live):
@@ -270,7 +271,7 @@ def _bigram_counts(texts: DataFrame, shared_head, buckets: int) -> DataFrame:
     return texts.select("_t").mapInPandas(count, PACKED).groupBy("bucket").applyInPandas(lambda k, p: merge(k, p), PACKED)
 
 
-def train(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int = 200_000, base: float = 1.5, bits_per_entry: int = 10, hashes: int = 5, max_filter_bytes: int = 1 << 24, discount: float = 0.75) -> tuple[LanguageModel, DataFrame]:
+def train(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int = 200_000, base: float = 1.5, bits_per_entry: int = 10, hashes: int = 5, max_filter_bytes: int = 1 << 27, discount: float = 0.75) -> tuple[LanguageModel, DataFrame]:
     """The model, and the table (w, c) of exact counts; documents of the held-out fold are not counted."""
     spark = docs.sparkSession
     root = shared_dir(spark, "lm")
@@ -289,7 +290,7 @@ def train(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
     if not total:
         return model, words
     shared_head = spark.sparkContext.broadcast(head)
-    buckets = max(SEGMENTS, -(-total // GROUP_KEYS))
+    buckets = SEGMENTS * max(1, -(-total // (GROUP_KEYS * SEGMENTS)))  # so each lies within a segment
     pairs = stored(_bigram_counts(texts, shared_head, buckets), f"{root}/bigrams")
 
     # the filter's entries by count, and the tokens of each class
@@ -319,31 +320,38 @@ def train(docs: DataFrame, held_out: int = 2, folds: int = 7, head_words: int =
         seen[r["kind"]] += r["tokens"]
         saved[r["kind"]] += r["tokens"] - discount * r["n"]
     backoff = np.where(seen > 0, 1 - saved / np.maximum(seen, 1), 1.0).clip(1e-3, 1.0)
-    per_segment = 1 << max(10, int(np.floor(np.log2(max(min(max_filter_bytes * 8, kept * bits_per_entry * 2), 1) / SEGMENTS))))
+    per_segment = 8 * max(128, -(-kept * bits_per_entry // (8 * SEGMENTS)))
     bloom = LogBloom(per_segment, hashes, base)
 
-    def kept_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def filled(segment: int, keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
+        own = LogBloom(per_segment, hashes, base)
+        own.put(segment, keys, levels)
+        return segment, own.bits[segment].tobytes()
+
+    def of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in zip(b["k"], b["c"], b["kinds"], strict=True):
-                k, c, _ = _unpack(*r)
+            for bucket, *r in zip(b["bucket"], b["k"], b["c"], strict=True):
+                k, c, _ = _unpack(*r, b"")
                 on = c >= least
-                yield pd.DataFrame({"key": k[on].view(np.int64), "level": level_of(c[on], base).astype(np.int16)})
+                yield pd.DataFrame([filled(bucket * SEGMENTS // buckets, k[on], level_of(c[on], base))], columns=["segment", "bits"])
 
     def kept_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             h = _mix(hash_words(b["w"].tolist()) ^ UNIGRAM)
-            yield pd.DataFrame({"key": h.view(np.int64), "level": level_of(b["c"].to_numpy(), base).astype(np.int16)})
+            yield pd.DataFrame({"segment": (h >> np.uint64(58)).astype(np.int32), "key": h.view(np.int64), "level": level_of(b["c"].to_numpy(), base).astype(np.int16)})
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = LogBloom(per_segment, hashes, base)
-        own.put(int(key[0]), pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["level"].to_numpy())
-        return pd.DataFrame({"segment": [int(key[0])], "bits": [own.bits[int(key[0])].tobytes()]})
-
-    rows = pairs.select("k", "c", "kinds").mapInPandas(kept_pairs, "key long, level smallint")
-    rows = rows.union(words.where(((F.col("c") < from_count) | (F.length("w") > 64)) & (F.col("c") >= least)).mapInPandas(kept_words, "key long, level smallint"))
-    rows = rows.withColumn("segment", F.shiftrightunsigned("key", 58).cast("int"))
-    # what is kept fits in the filter, so a segment has a bounded share of it
-    for r in rows.groupBy("segment").applyInPandas(lambda k, p: build(k, p), "segment int, bits binary").collect():
+    def of_words(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([filled(int(key[0]), pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["level"].to_numpy())], columns=["segment", "bits"])
+
+    def together(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]])
+        return pd.DataFrame([(int(key[0]), bits.tobytes())], columns=["segment", "bits"])
+
+    # what is kept fits in the filter, so a segment has a bounded share of it; a bucket's pairs are in one segment
+    tail = words.where(((F.col("c") < from_count) | (F.length("w") > 64)) & (F.col("c") >= least)).mapInPandas(kept_words, "segment int, key long, level smallint")
+    rows = tail.groupBy("segment").applyInPandas(lambda k, p: of_words(k, p), "segment int, bits binary")
+    rows = rows.union(pairs.select("bucket", "k", "c").mapInPandas(of_pairs, "segment int, bits binary"))
+    for r in rows.groupBy("segment").applyInPandas(lambda k, p: together(k, p), "segment int, bits binary").toLocalIterator():
         bloom.bits[r["segment"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     rest = f"{root}/bigrams" if min(entries) < least else None
     # the shuffles of the counts aren't read again: Spark deletes them when their frames are collected
