@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import HashedWords, bytes_words, crc_fold, shared_dir, stored, text_or_empty
 
 END = ""  # the end token: no word is empty
-FLUSH_WORDS = 300_000
-FLUSH_TOKENS = 1_000_000
+FLUSH_WORDS = 200_000
+FLUSH_TOKENS = 500_000
+LOOK_TOKENS = 50_000
 BATCH_CHARS = 400_000
 UNIGRAM = np.uint64(0x5851F42D4C957F2D)
-GROUP_KEYS = 2_000_000
+GROUP_KEYS = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 SPARE = np.uint64(16)  # lower bits of keys that look-ups leave out
 CLASSES = 64
@@ -250,18 +251,34 @@ def _bigram_counts(texts: DataFrame, shared_head, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = shared_head.value
-        keys, kinds, n = [], [], 0
+        keys, kinds, contexts, open_tokens, n = [], [], [], 0, 0
+
+        def classes() -> None:
+            nonlocal contexts, open_tokens
+            if contexts:
+                kinds.append(LanguageModel.word_class(head.find(np.concatenate(contexts))).astype(np.uint8))
+                contexts, open_tokens = [], 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal keys, kinds, n
+            classes()
+            out = split(*_summed(np.concatenate(keys), np.ones(n, np.int64), np.concatenate(kinds)))
+            keys, kinds, n = [], [], 0
+            return out
+
         for b in batches:
             for t in b["_t"]:
                 h = np.concatenate([[END_HASH], HashedWords(t).hashes, [END_HASH]])
                 keys.append(bigram_keys(h))
-                kinds.append(h[:-1])
+                contexts.append(h[:-1])
                 n += len(h) - 1
+                open_tokens += len(h) - 1
+                if open_tokens >= LOOK_TOKENS:
+                    classes()
                 if n >= FLUSH_TOKENS:
-                    yield split(*_summed(np.concatenate(keys), np.ones(n, np.int64), LanguageModel.word_class(head.find(np.concatenate(kinds))).astype(np.uint8)))
-                    keys, kinds, n = [], [], 0
+                    yield flush()
         if n:
-            yield split(*_summed(np.concatenate(keys), np.ones(n, np.int64), LanguageModel.word_class(head.find(np.concatenate(kinds))).astype(np.uint8)))
+            yield flush()
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(*r) for r in zip(pdf["k"], pdf["c"], pdf["kinds"], strict=True)]
@@ -544,7 +561,7 @@ def _scored_by_buckets(docs: DataFrame, shared, rest: DataFrame, packet_tokens:
     return made.where(F.col("_row").isNotNull()).drop("packet", "bucket", "k", "state").join(score, "_row")
 
 
-def score_documents(docs: DataFrame, m: LanguageModel, words: DataFrame, packet_tokens: int = FLUSH_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, m: LanguageModel, words: DataFrame, packet_tokens: int = 3 * FLUSH_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(m)
