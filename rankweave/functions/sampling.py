@@ -1,24 +1,41 @@
-"""Seeded choices of users, on the driver over ids, as Python's generator makes them."""
+"""Seeded choices of users as DataFrames. Python's generator draws places, not ids, so no id comes to the driver."""
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def select_users(ids: Sequence, max_users: int | None, sample: bool = False, seed: int = 42) -> list:
-    """All ids, or so many: a seeded sample in sorted order, or the first ones."""
+from rankweave.operators import prep
+
+
+def _placed(users: DataFrame, places: list[tuple[int, int]]) -> DataFrame:
+    """(user_id, place) of the users that stand at some places in rising order of ids; places: (at, place)."""
+    numbered = prep.id_mapping(users, "user_id", "_at").withColumnRenamed("raw", "user_id")
+    return numbered.join(users.sparkSession.createDataFrame(places, "_at long, place long"), "_at").select("user_id", "place")
+
+
+def select_users(users: DataFrame, max_users: int | None = None, sample: bool = False, seed: int = 42) -> DataFrame:
+    """(user_id): all, or so many: a seeded sample, or the first ones in rising order. max_users places are drawn on the driver."""
+    ids = users.select("user_id").distinct()
     if max_users is None:
-        return list(ids)
+        return ids
     if max_users < 1:
         raise ValueError("max_users is positive")
-    if max_users >= len(ids):
-        return list(ids)
-    return sorted(random.Random(seed).sample(list(ids), max_users)) if sample else list(ids)[:max_users]
+    if not sample:
+        return ids.orderBy("user_id").limit(max_users)
+    n = ids.count()
+    if max_users >= n:
+        return ids
+    return _placed(ids, [(at, at) for at in random.Random(seed).sample(range(n), max_users)]).select("user_id")
 
 
-def order_users(ids: Sequence, sample: bool = False, seed: int = 42) -> list:
-    out = list(ids)
-    if sample:
-        random.Random(seed).shuffle(out)
-    return out
+def order_users(users: DataFrame, sample: bool = False, seed: int = 42) -> DataFrame:
+    """(user_id, place) in rising order, or in a seeded one. A seeded order draws one number a user on the driver."""
+    ids = users.select("user_id").distinct()
+    if not sample:
+        return prep.id_mapping(ids, "user_id", "place").withColumnRenamed("raw", "user_id")
+    places = list(range(ids.count()))
+    random.Random(seed).shuffle(places)
+    return _placed(ids, [(at, place) for place, at in enumerate(places)])

@@ -35,13 +35,15 @@ def calibration_matrix(observed: DataFrame, n: int, smoothing: float = 1.0) -> D
 
 
 def calibration_diagnostics(matrix: DataFrame, n: int) -> DataFrame:
-    rows = matrix.groupBy("true_pos").agg(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)).alias("h"))
-    return rows.agg(F.avg("h").alias("mean_entropy"), (F.avg("h") / math.log(n)).alias("normalised_entropy"), F.min("h").alias("min_entropy"), F.max("h").alias("max_entropy"))
+    rows = matrix.groupBy("true_pos").agg(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)).alias("h"), F.min("p").alias("least"), F.max("p").alias("most"))
+    least, most = F.min("least").alias("min_probability"), F.max("most").alias("max_probability")
+    each = F.transform(F.array_sort(F.collect_list(F.struct("true_pos", "h"))), lambda x: x["h"])
+    return rows.agg(F.avg("h").alias("mean_entropy"), (F.avg("h") / math.log(n) if n > 1 else F.lit(0.0)).alias("normalised_entropy"), least, most, each.alias("row_entropies"))
 
 
 def bayes_update(prior: DataFrame, matrix: DataFrame, predicted: DataFrame) -> DataFrame:
     """prior (request_id, pos, p) and the predicted position of each request: p * T[pos, predicted], normalised; uniform if that is nothing."""
-    t = F.broadcast(matrix.select(F.col("true_pos").alias("pos"), "pred_pos", F.col("p").alias("t")))
+    t = matrix.select(F.col("true_pos").alias("pos"), "pred_pos", F.col("p").alias("t"))  # a list's length squared: Spark broadcasts it if it is small
     z = prior.join(predicted, "request_id").join(t, ["pos", "pred_pos"]).withColumn("v", F.col("p") * F.col("t"))
     w = Window.partitionBy("request_id")
     total = F.sum("v").over(w)
@@ -144,5 +146,7 @@ def rerank(requests: DataFrame, method: Callable[[str, list[str]], list[int]]) -
             if rows:
                 yield pd.DataFrame(rows, columns=["user_id", "item_id", "output_rank", "score"])
 
+    # ids travel as text: pandas makes floats of whole numbers beside a null
     kind = dict(requests.dtypes)["user_id"]
-    return requests.select("user_id", "items").mapInPandas(run, f"user_id {kind}, item_id string, output_rank int, score double")
+    out = requests.select(F.col("user_id").cast("string").alias("user_id"), "items").mapInPandas(run, "user_id string, item_id string, output_rank int, score double")
+    return out.withColumn("user_id", F.col("user_id").cast(kind))

@@ -32,13 +32,15 @@ def lambda_rank_loss(scored: DataFrame, sigma: float = 1.0) -> DataFrame:
 def softmax_rows(runs: DataFrame, temperature: float = 1.0) -> DataFrame:
     """log-probabilities of a list's scores, stable."""
     w = Window.partitionBy("user_id", "permutation_index")
-    s = F.col("score") / float(temperature)
+    s = F.col("score") / max(float(temperature), 1e-6)
     top = F.max(s).over(w)
     return runs.select("user_id", "permutation_index", "item_id", (s - top - F.ln(F.sum(F.exp(s - top)).over(w))).alias("lp"))
 
 
 def permutation_loss(runs: DataFrame, mode: str = "kl", temperature: float = 1.0) -> DataFrame:
-    """Mean divergence of a user's other lists from the first: KL(first || other), or Jeffreys', on items that all of them have."""
+    """Mean divergence of a user's other lists from the first: KL(first || other), or Jeffreys', on items that all of them have; one list: 0."""
+    if mode not in ("kl", "jeffreys"):
+        raise ValueError(f"no such divergence: {mode}")
     shared = runs.groupBy("user_id", "item_id").agg(F.countDistinct("permutation_index").alias("c"))
     lists = runs.groupBy("user_id").agg(F.countDistinct("permutation_index").alias("m"), F.min("permutation_index").alias("first"))
     kept = runs.join(shared, ["user_id", "item_id"]).join(lists, "user_id").where("c = m")
@@ -48,9 +50,9 @@ def permutation_loss(runs: DataFrame, mode: str = "kl", temperature: float = 1.0
     p, q = F.exp("a"), F.exp("b")
     d = p * (F.col("a") - F.col("b"))
     if mode == "jeffreys":
-        d = 0.5 * (p - q) * (F.col("a") - F.col("b"))
+        d = (p - q) * (F.col("a") - F.col("b"))  # both directions of KL, added
     per = both.groupBy("user_id", "permutation_index").agg(F.sum(d).alias("d"))
-    return per.groupBy("user_id").agg(F.avg("d").alias("loss"))
+    return lists.select("user_id").join(per.groupBy("user_id").agg(F.avg("d").alias("loss")), "user_id", "left").na.fill(0.0, ["loss"])
 
 
 def label_violations(samples: DataFrame) -> DataFrame:

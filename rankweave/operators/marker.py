@@ -10,13 +10,28 @@ from pyspark.sql import functions as F
 
 
 def spans(tokens: DataFrame) -> DataFrame:
-    """(request_id, n, span_start, span_end, items): half-open token spans of the prompt and of each item."""
+    """(request_id, n, span_start, span_end, items): half-open token spans of the prompt and of each item.
+
+    An item goes from a start marker to the next end marker; one that a truncation left open is no item. A request without the
+    prompt's markers, or without a whole item, is an error.
+    """
     t = F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind"))), lambda x: x["kind"])
-    rows = tokens.groupBy("request_id").agg(t.alias("t"))
-    at = lambda kind: F.filter(F.transform("t", lambda x, i: F.when(x == kind, i)), lambda i: i.isNotNull())
-    out = rows.select("request_id", F.size("t").alias("n"), F.get(at("SPAN"), F.lit(0)).alias("span_start"), (F.get(at("/SPAN"), F.lit(0)) + 1).alias("span_end"), at("ITEM").alias("a"), at("/ITEM").alias("b"))
-    after = lambda c: F.filter(c, lambda i: i >= F.col("span_end"))
-    return out.select("request_id", "n", "span_start", "span_end", F.zip_with(after("a"), after("b"), lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e"))).alias("items"))
+    rows = tokens.groupBy("request_id").agg(t.alias("t")).select("request_id", "t", F.size("t").alias("n"))
+    first = lambda kind: F.array_position("t", kind).cast("int")
+    rows = rows.withColumns({"span_start": _needed(first("SPAN") > 0, first("SPAN") - 1, "prompt markers"), "span_end": _needed(first("/SPAN") > 0, first("/SPAN"), "prompt markers")})
+    marks = F.filter(F.transform("t", lambda x, i: F.struct(x.alias("kind"), i.alias("at"))), lambda m: (m["at"] >= F.col("span_end")) & m["kind"].isin("ITEM", "/ITEM"))
+    state = F.struct(F.lit(-1).alias("open"), F.array().cast("array<struct<s:int,e:int>>").alias("done"))
+    step = lambda a, m: (
+        F.when((m["kind"] == "ITEM") & (a["open"] < 0), F.struct(m["at"].alias("open"), a["done"].alias("done")))
+        .when((m["kind"] == "/ITEM") & (a["open"] >= 0), F.struct(F.lit(-1).alias("open"), F.concat(a["done"], F.array(F.struct(a["open"].alias("s"), (m["at"] + 1).alias("e")))).alias("done")))
+        .otherwise(a)
+    )
+    items = F.aggregate(marks, state, step)["done"]
+    return rows.select("request_id", "n", "span_start", "span_end", items.alias("items")).withColumn("items", _needed(F.size("items") > 0, F.col("items"), "whole items"))
+
+
+def _needed(there: Column, value: Column, what: str) -> Column:
+    return F.when(there, value).otherwise(F.raise_error(F.lit(f"a request has no {what}; a truncation may have cut them")))
 
 
 def span_rows(tokens: DataFrame) -> DataFrame:

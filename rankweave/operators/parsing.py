@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.IGNORECASE | re.DOTALL)
+#: One object of one list of strings without escapes.
+PLAIN = r'^\s*\{\s*"rank_order"\s*:\s*\[\s*("[^"\\\x00-\x1f]*"\s*(,\s*"[^"\\\x00-\x1f]*"\s*)*)?\]\s*\}\s*$'
 BRACES = re.compile(r"\{.*\}", re.DOTALL)
 
 
@@ -29,7 +31,11 @@ def json_object(text: str | None) -> dict | None:
 
 
 def rank_order(text: Column) -> Column:
-    """array<string> of a generated text's `rank_order`; null where there is none. Texts that are plain JSON stay in the JVM."""
+    """array<string> of a generated text's `rank_order`; null where there is none.
+
+    Answers of the plain form {"rank_order": ["a", "b"]} are read in the JVM; only the texts of others go to Python.
+    """
+    plain = text.rlike(PLAIN)
 
     @F.pandas_udf("array<string>")
     def tolerant(texts: pd.Series) -> pd.Series:
@@ -39,7 +45,13 @@ def rank_order(text: Column) -> Column:
             out.append([str(x).strip() for x in labels] if isinstance(labels, list) else None)
         return pd.Series(out, dtype=object)
 
-    return tolerant(text)
+    read = F.transform(F.from_json(text, "rank_order array<string>")["rank_order"], lambda x: F.trim(x))
+    return F.when(plain, read).otherwise(tolerant(F.when(plain, None).otherwise(text)))
+
+
+def listed_ids(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, array of item ids by pos)."""
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("item_id").cast("string").alias("item_id")))), lambda x: x["item_id"]).alias(name))
 
 
 def validate_ranking(listed: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,10 +59,7 @@ def validate_ranking(listed: DataFrame, valid: DataFrame, keys: list[str]) -> Da
 
     A second mention counts as duplicate, before it is asked whether it is valid; what is missing follows in its input order.
     """
-    said = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("said"))
-    ok = valid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("ok"))
-    ids = lambda c: F.transform(c, lambda x: x["item_id"])
-    out = ok.join(said, keys, "left").select(*keys, ids("ok").alias("ok"), F.coalesce(ids("said"), F.array().cast("array<string>")).alias("said"))
+    out = listed_ids(valid, keys, "ok").join(listed_ids(listed, keys, "said"), keys, "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
     once = F.array_distinct("said")
     kept = F.array_intersect(once, "ok")
     missing = F.array_except("ok", "said")
@@ -79,9 +88,17 @@ def classify_labels(labels: DataFrame, expected: DataFrame, keys: list[str], req
     return rows.select(*keys, "pos", "label", kind.alias("kind"))
 
 
-def parse_status(classified: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    need = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("need"))
+def parse_status(classified: DataFrame, expected: DataFrame, keys: list[str], required: int | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """Counts and status of each answer: valid, repaired, or failed (its keys are in `failed`: no list could be read).
+
+    `required` valid labels are enough, all if not given; labels are missing only where the valid ones are fewer.
+    """
+    need = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     c = classified.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"num_{k}") for k in ("valid", "duplicate", "unknown")])
-    out = need.join(c, keys, "left").na.fill(0, ["num_valid", "num_duplicate", "num_unknown"])
-    bad = (F.col("num_duplicate") > 0) | (F.col("num_unknown") > 0) | (F.col("num_valid") != F.col("need"))
-    return out.select(*keys, "num_valid", "num_duplicate", "num_unknown", (F.col("need") - F.col("num_valid")).alias("num_missing"), F.when(bad, "repaired").otherwise("valid").alias("parse_status"))
+    lost = (failed.select(*keys).distinct() if failed is not None else need.select(*keys).limit(0)).withColumn("_lost", F.lit(True))
+    out = need.join(c, keys, "left").join(lost, keys, "left").withColumn("_lost", F.coalesce("_lost", F.lit(False)))
+    out = out.withColumns({f"num_{k}": F.when(F.col("_lost"), 0).otherwise(F.coalesce(f"num_{k}", F.lit(0))) for k in ("valid", "duplicate", "unknown")})
+    short = F.col("num_valid") != (F.lit(required) if required else F.col("n"))
+    bad = (F.col("num_duplicate") > 0) | (F.col("num_unknown") > 0) | short
+    status = F.when(F.col("_lost"), "failed").when(bad, "repaired").otherwise("valid")
+    return out.select(*keys, "num_valid", "num_duplicate", "num_unknown", F.when(short, F.col("n") - F.col("num_valid")).otherwise(0).alias("num_missing"), status.alias("parse_status"))

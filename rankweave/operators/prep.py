@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,23 @@ def eligible_users(log: DataFrame, min_interactions: int) -> DataFrame:
     return log.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).where(F.col("_n") >= min_interactions).drop("_n")
 
 
+def stored_once(df: DataFrame) -> DataFrame:
+    """A checkpoint in spark.checkpoint.dir, which a cluster names; on one machine, where none is set, a temporary folder."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; it names a folder that driver and executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="rankweave-"))
+    return df.checkpoint()
+
+
 def id_mapping(log: DataFrame, raw: str, name: str) -> DataFrame:
     """(raw, id): 0-based over the sorted distinct raw ids, numbered in parallel: a range sort, then offsets of its partitions."""
     spark = log.sparkSession
-    # the sorted ids are read twice, for their numbers inside a partition and for the partitions' sizes
-    ids = log.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().orderBy("raw").withColumn("_p", F.spark_partition_id()).persist()
+    # read twice, for the numbers inside a partition and for the partitions' sizes; stored, as a range sort made again may cut elsewhere
+    ids = stored_once(log.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().orderBy("raw").withColumn("_p", F.spark_partition_id()))
     sizes = {r["_p"]: r["n"] for r in ids.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     offset, rows = 0, []
     for p in sorted(sizes):
@@ -115,6 +129,53 @@ def seen_items(log: DataFrame) -> DataFrame:
     return log.select("user_id", "item_id").distinct()
 
 
-def user_item_matrix(log: DataFrame) -> DataFrame:
-    """COO form; repeated entries are summed."""
-    return log.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("double").alias("value"))
+def user_item_matrix(log: DataFrame, value: str | None = None) -> DataFrame:
+    """COO form; repeated entries are summed, each being 1 or the value column."""
+    each = F.count(F.lit(1)) if value is None else F.sum(F.col(value))
+    return log.groupBy("user_id", "item_id").agg(each.cast("double").alias("value"))
+
+
+def mapped_log(log: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """The log with dense user_id and item_id; its own ids become raw_user_id and raw_item_id. Mappings are (raw, id)."""
+    named = log.withColumnsRenamed({"user_id": "raw_user_id", "item_id": "raw_item_id"})
+    out = named.join(users.select(F.col("raw").alias("raw_user_id"), F.col("id").alias("user_id")), "raw_user_id")
+    return out.join(items.select(F.col("raw").alias("raw_item_id"), F.col("id").alias("item_id")), "raw_item_id")
+
+
+def full_stats(split: DataFrame, min_rating: float, ties: list[str]) -> DataFrame:
+    """One row of the nine counters of a prepared data set. split: eligible rows with their `split`; rows of no split count too."""
+    last = F.row_number().over(Window.partitionBy("user_id", "split").orderBy(F.desc("ts"), F.desc("item_id"), *[F.desc(c) for c in ties])) == 1
+    query = (F.col("split") == "train") & last & (F.count(F.lit(1)).over(Window.partitionBy("user_id", "split")) >= 2)
+    rows = split.select("user_id", "item_id", "rating", "split", F.coalesce(query, F.lit(False)).alias("_q"))
+    of = lambda s: F.count_if(F.col("split") == s)
+    return rows.agg(
+        F.count(F.lit(1)).alias("num_interactions"),
+        F.count_if(F.col("rating") >= min_rating).alias("num_positive_interactions"),
+        of("train").alias("num_train"),
+        F.count_if((F.col("split") == "train") & ~F.col("_q")).alias("num_retriever_train"),
+        F.count_if("_q").alias("num_train_queries"),
+        of("val").alias("num_val"),
+        of("test").alias("num_test"),
+        F.countDistinct("user_id").alias("num_users"),
+        F.countDistinct("item_id").alias("num_items"),
+    )
+
+
+def amazon_items(metadata: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Items of the mapping (raw, id) with their cleaned metadata; lists are JSON texts."""
+    text = lambda c: F.col(c).cast("string")
+    number = lambda c: clean_number(F.col(c).cast("string"))
+    rows = metadata.join(mapping.select(F.col("raw").alias("parent_asin"), F.col("id").alias("item_id")), "parent_asin")
+    return rows.select(
+        "item_id",
+        F.col("parent_asin").alias("raw_item_id"),
+        text("title").alias("title"),
+        text("main_category").alias("main_category"),
+        json_list(F.col("categories")).alias("categories"),
+        text("store").alias("brand_or_store"),
+        json_list(F.col("description")).alias("description"),
+        json_list(F.col("features")).alias("features"),
+        number("price").alias("price"),
+        number("average_rating").alias("average_rating"),
+        number("rating_number").alias("rating_number"),
+    )

@@ -217,3 +217,19 @@ def lightgcn_fit(pairs: np.ndarray, n_users: int, n_items: int, dim: int = 64, l
         losses.append(loss / max(1, len(pairs)))
     f = spread(e)
     return f[:n_users], f[n_users:], losses
+
+
+def truth_scan(ranked: DataFrame, truth: DataFrame, order: DataFrame, max_users: int | None = None, batch: int = 256) -> DataFrame:
+    """(user_id, place, scanned_users): the first users, in order (user_id, place from 0), whose candidates hit their truth.
+
+    Users are scanned in batches until there are enough; scanned_users counts those of all batches up to then.
+    """
+    if batch < 1 or (max_users is not None and max_users < 1):
+        raise ValueError("batch and max_users are positive")
+    hit = covered_users(ranked, truth).select("user_id").join(order, "user_id")
+    kept = hit if max_users is None else hit.orderBy("place").limit(max_users)
+    total = order.count()
+    need = total if max_users is None else max_users
+    got = kept.agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last")).first()
+    scanned = min(total, (got["last"] // batch + 1) * batch) if got["n"] >= need and got["n"] else total
+    return kept.select("user_id", "place", F.lit(scanned).cast("long").alias("scanned_users"))

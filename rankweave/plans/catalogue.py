@@ -11,7 +11,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, retrieval
+from rankweave.functions import sampling
+from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, records, retrieval
 from rankweave.plans import fixtures as X
 
 K = 3
@@ -151,6 +152,51 @@ def _(spark, log):
     return prep.user_item_matrix(log)
 
 
+@query("ui_matrix_sum", "SELECT user_id, item_id, CAST(sum(rating) AS DOUBLE) AS value FROM log GROUP BY user_id, item_id", log=ORDERS)
+def _(spark, log):
+    return prep.user_item_matrix(log, "rating")
+
+
+@query("prep_mapped_log", """WITH u AS (SELECT raw, row_number() OVER (ORDER BY raw) - 1 AS id FROM (SELECT DISTINCT user_id AS raw FROM log)), i AS (SELECT raw, row_number() OVER (ORDER BY raw) - 1 AS id FROM (SELECT DISTINCT item_id AS raw FROM log))
+    SELECT event_id, u.id AS user_id, i.id AS item_id, log.user_id AS raw_user_id, log.item_id AS raw_item_id FROM log JOIN u ON log.user_id = u.raw JOIN i ON log.item_id = i.raw""", log=LOG)
+def _(spark, log):
+    return prep.mapped_log(log, prep.id_mapping(log, "user_id", "id"), prep.id_mapping(log, "item_id", "id")).select("event_id", "user_id", "item_id", "raw_user_id", "raw_item_id")
+
+
+@query("prep_full_stats", SPLIT + """, q AS (SELECT *, split = 'train' AND row_number() OVER (PARTITION BY user_id, split ORDER BY ts DESC, item_id DESC, event_id DESC) = 1 AND count(*) OVER (PARTITION BY user_id, split) >= 2 AS q FROM s)
+    SELECT count(*) AS num_interactions, count(*) FILTER (WHERE rating >= 4) AS num_positive_interactions, count(*) FILTER (WHERE split = 'train') AS num_train, count(*) FILTER (WHERE split = 'train' AND NOT q) AS num_retriever_train, count(*) FILTER (WHERE q) AS num_train_queries,
+      count(*) FILTER (WHERE split = 'val') AS num_val, count(*) FILTER (WHERE split = 'test') AS num_test, count(DISTINCT user_id) AS num_users, count(DISTINCT item_id) AS num_items FROM q""", log=LOG)
+def _(spark, log):
+    return prep.full_stats(_split(log), 4.0, ["event_id"])
+
+
+AMAZON = """SELECT concat('P', CAST(p_partkey AS VARCHAR(20))) AS parent_asin, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name END AS title, p_type AS main_category, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS store,
+  CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN 'from 3' ELSE concat('$1,', CAST(p_partkey % 900 + 100 AS VARCHAR(20)), '.50') END AS price, p_partkey FROM {part}"""
+
+
+@query("items_amazon", """WITH m AS (SELECT raw, row_number() OVER (ORDER BY raw) - 1 AS id FROM (SELECT parent_asin AS raw FROM meta WHERE p_partkey % 2 = 0))
+    SELECT id AS item_id, parent_asin AS raw_item_id, title, main_category, CASE WHEN p_partkey % 3 = 0 THEN '[]' WHEN p_partkey % 3 = 1 THEN concat('["', main_category, '"]') ELSE concat('["', main_category, '","', parent_asin, '"]') END AS categories, store AS brand_or_store, '[]' AS description, concat('["', parent_asin, '"]') AS features,
+      TRY_CAST(replace(replace(price, '$', ''), ',', '') AS DOUBLE) AS price, CAST(p_partkey % 5 AS DOUBLE) AS average_rating, NULL::DOUBLE AS rating_number FROM meta JOIN m ON parent_asin = raw""", meta=AMAZON)
+def _(spark, meta):
+    asin, kind, third = F.col("parent_asin"), F.col("main_category"), F.col("p_partkey") % 3
+    lists = F.when(third == 1, F.array(kind, F.lit(None))).when(third == 2, F.array(kind, asin))
+    raw = meta.select("parent_asin", "title", "main_category", "store", "price", lists.alias("categories"), F.lit(None).cast("array<string>").alias("description"), F.array(asin).alias("features"), (F.col("p_partkey") % 5).cast("double").alias("average_rating"), F.lit(None).cast("long").alias("rating_number"))
+    return prep.amazon_items(raw, prep.id_mapping(meta.where("p_partkey % 2 = 0"), "parent_asin", "id"))
+
+
+NAMED = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS id, CASE WHEN p_partkey % 3 = 0 THEN concat('A', CAST(p_partkey AS VARCHAR(20))) END AS asin, CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_partkey % 5 < 3 THEN p_name END AS title, CASE WHEN p_partkey % 7 < 5 THEN p_type END AS main_category FROM {part}"
+
+
+@query("candidate_id_fallback", "SELECT p_partkey, coalesce(CAST(id AS VARCHAR), asin, CAST(p_partkey % 25 AS VARCHAR)) AS candidate_id FROM named", named=NAMED)
+def _(spark, named):
+    return named.select("p_partkey", records.candidate_id(named.columns, F.col("p_partkey") % 25).alias("candidate_id"))
+
+
+@query("candidate_title", "SELECT p_partkey, CASE WHEN trim(title) <> '' THEN title WHEN trim(main_category) <> '' THEN main_category ELSE 'unknown item' END AS title FROM named", named=NAMED)
+def _(spark, named):
+    return named.select("p_partkey", records.candidate_title(named.columns).alias("title"))
+
+
 @query("ground_truth", "SELECT user_id, list_sort(list(item_id)) AS ground_truth FROM truth GROUP BY user_id", truth=TRUTH)
 def _(spark, truth):
     return retrieval.ground_truth(truth)
@@ -238,6 +284,15 @@ def _(spark, log, vectors):
     return retrieval.covered_users(*_unseen(log, vectors))
 
 
+@query("truth_scan", UNSEEN + """, po AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM (SELECT DISTINCT user_id FROM rec)),
+    ks AS (SELECT user_id, place, row_number() OVER (ORDER BY place) AS n FROM po WHERE user_id IN (SELECT r.user_id FROM rec r JOIN truth t ON r.user_id = t.user_id AND r.item_id = t.item_id)),
+    a AS (SELECT count(*) AS total FROM po), l AS (SELECT max(n) AS n, max(place) AS last FROM ks WHERE n <= 5)
+    SELECT user_id, place, CASE WHEN l.n >= 5 THEN least(total, (last // 16 + 1) * 16) ELSE total END AS scanned_users FROM ks, a, l WHERE ks.n <= 5""", log=LOG, vectors=VECTORS)
+def _(spark, log, vectors):
+    rec, truth = _unseen(log, vectors)
+    return retrieval.truth_scan(rec, truth, sampling.order_users(rec), 5, 16)
+
+
 @query("candidate_coverage", UNSEEN + f""" SELECT count(*) AS users_before, count(h.user_id) AS users_with_truth, round(count(h.user_id)::DOUBLE / count(*), {DIGITS}) AS coverage
     FROM (SELECT DISTINCT user_id FROM rec) u LEFT JOIN (SELECT DISTINCT r.user_id FROM rec r JOIN truth t ON r.user_id = t.user_id AND r.item_id = t.item_id) h ON u.user_id = h.user_id""", log=LOG, vectors=VECTORS)
 def _(spark, log, vectors):
@@ -272,7 +327,7 @@ def _(spark, log):
 
 # --- effectiveness -------------------------------------------------------------------------------------------------
 
-EFFECT = """WITH req AS (SELECT DISTINCT user_id, permutation_index FROM runs),
+EFFECT = """WITH req AS (SELECT DISTINCT user_id, permutation_index FROM runs UNION ALL SELECT DISTINCT user_id, NULL FROM truth WHERE user_id NOT IN (SELECT user_id FROM runs)),
 g AS (SELECT user_id, count(DISTINCT item_id) AS n_rel FROM truth GROUP BY user_id),
 h AS (SELECT r.user_id, r.permutation_index, min(r.output_rank + 1) AS first_rank, count(DISTINCT r.item_id) AS hits, sum(1.0 / log2(r.output_rank + 2)) AS dcg
       FROM runs r JOIN (SELECT DISTINCT user_id, item_id FROM truth) t ON t.user_id = r.user_id AND t.item_id = r.item_id WHERE r.output_rank < 3 GROUP BY r.user_id, r.permutation_index),
@@ -293,6 +348,11 @@ def _(spark, runs, truth):
     return rounded(metrics.effectiveness(runs, truth, K), "hit_rate", "recall", "ndcg", "mrr")
 
 
+@query("effectiveness_absent", EFFECT + " SELECT " + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in ("hit_rate", "recall", "ndcg", "mrr")) + " FROM f", runs=f"SELECT * FROM ({RUNS}) z WHERE user_id % 5 <> 2", truth=TRUTH)
+def _(spark, runs, truth):
+    return rounded(metrics.effectiveness(runs, truth, K), "hit_rate", "recall", "ndcg", "mrr")
+
+
 @query("graded_hr_ndcg", f"""WITH z AS (SELECT *, pow(2.0::DOUBLE, relevance) - 1 AS g, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, position) AS r, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, position) AS i FROM scored),
     a AS (SELECT request_id, max(CASE WHEN r <= 5 AND relevance > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hr, sum(CASE WHEN r <= 5 THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 5 THEN g / log2(i + 1) ELSE 0 END) AS idcg FROM z GROUP BY request_id)
     SELECT request_id, hr, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, {DIGITS}) AS ndcg FROM a""", scored=LABELLED)
@@ -383,6 +443,21 @@ def _(spark, runs):
     return metrics.gpi(metrics.pair_preferences(runs))
 
 
+#: Runs of which some lists lack an item in their output, and some users have a list over other items.
+SPOILT = f"SELECT user_id, permutation_index, CASE WHEN user_id % 5 = 3 AND permutation_index = 2 AND input_position = 0 THEN 'zz' ELSE item_id END AS item_id, input_position, CASE WHEN user_id % 4 = 1 AND permutation_index <= 4 AND output_rank = 2 THEN NULL ELSE output_rank END AS output_rank FROM ({RUNS}) r"
+
+
+@query("preference_consistency", f"""WITH b AS (SELECT user_id, permutation_index, list_sort(list(item_id)) AS items, count(*) AS n FROM runs GROUP BY user_id, permutation_index HAVING count(*) = count(output_rank) AND count(*) = count(DISTINCT item_id)),
+    u AS (SELECT user_id, count(*) AS lists, count(DISTINCT items) AS kinds FROM b GROUP BY user_id HAVING count(*) >= 2),
+    z AS (SELECT r.*, b.n, least(CAST(floor(input_position * 3 / CAST(b.n AS DOUBLE)) AS INT), 2) AS bucket FROM runs r JOIN b ON r.user_id = b.user_id AND r.permutation_index = b.permutation_index JOIN u ON r.user_id = u.user_id AND u.kinds = 1),
+    cell AS (SELECT a.user_id, a.item_id AS x, c.item_id AS y, a.bucket AS bx, c.bucket AS byy, avg(CASE WHEN a.output_rank < c.output_rank THEN CAST(1 AS DOUBLE) ELSE 0 END) AS p FROM z a JOIN z c ON a.user_id = c.user_id AND a.permutation_index = c.permutation_index AND a.item_id < c.item_id GROUP BY a.user_id, a.item_id, c.item_id, a.bucket, c.bucket),
+    pr AS (SELECT user_id, max(p) - min(p) AS spread FROM cell GROUP BY user_id, x, y HAVING count(*) >= 2),
+    v AS (SELECT user_id, avg(spread) AS ppi FROM pr GROUP BY user_id)
+    SELECT (SELECT count(*) FROM u) AS num_users, (SELECT round(avg(ppi), {DIGITS}) FROM v) AS ppi, 3 AS preference_buckets, 1 AS minimum_bucket_observations""", runs=SPOILT)
+def _(spark, runs):
+    return rounded(metrics.preference_consistency(runs).drop("gpi"), "ppi")
+
+
 # --- exposure and parser quality -----------------------------------------------------------------------------------
 
 EXPOSURE = f"""WITH z AS (SELECT *, count(*) OVER (PARTITION BY user_id, permutation_index) AS n FROM runs),
@@ -421,6 +496,23 @@ def _(spark, runs, said):
     return _validated(runs, said)
 
 
+@query("export_result", VALIDATED + """, e AS (SELECT user_id, permutation_index, ok AS input_candidate_item_ids, list_concat(list_filter(once, lambda x: list_contains(ok, x)), list_filter(ok, lambda x: NOT list_contains(said, x))) AS reranked_item_ids, list_filter(once, lambda x: NOT list_contains(ok, x)) AS invalid_item_ids,
+      list_filter(said, lambda x, i: list_position(said, x) <> i) AS duplicate_item_ids, list_filter(ok, lambda x: NOT list_contains(said, x)) AS missing_candidate_item_ids FROM u)
+    SELECT *, CAST(len(invalid_item_ids) AS INT) AS num_invalid_item_ids, CAST(len(duplicate_item_ids) AS INT) AS num_duplicate_item_ids, CAST(len(missing_candidate_item_ids) AS INT) AS num_missing_candidate_item_ids, CASE WHEN user_id % 11 = 0 THEN 'cut off; no list' END AS parse_error FROM e""", runs=RUNS, said=DAMAGED)
+def _(spark, runs, said):
+    valid = runs.select(*metrics.LIST, F.col("input_position").alias("pos"), "item_id")
+    errors = valid.where("user_id % 11 = 0 AND pos < 2").select(*metrics.LIST, "pos", F.when(F.col("pos") == 0, "cut off").otherwise("no list").alias("parse_error"))
+    return records.export_result(said, valid, runs, metrics.LIST, errors).drop("scores")
+
+
+@query("combined_metadata", """SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'a' END AS output_backend, 'f' AS prompt_family, NULL::VARCHAR AS prompt_version, NULL::VARCHAR AS scoring, NULL::VARCHAR AS prompt, CAST([] AS VARCHAR[]) AS raw_outputs, list(CASE WHEN permutation_index = 3 THEN 'repaired' ELSE 'valid' END ORDER BY permutation_index) AS parse_statuses, CAST([] AS VARCHAR[]) AS parse_errors,
+    count(*) FILTER (WHERE permutation_index = 3) AS repaired_outputs, CAST(sum(10 * permutation_index) AS BIGINT) AS generated_tokens, 0.0::DOUBLE AS latency_seconds FROM (SELECT DISTINCT user_id, permutation_index FROM runs) GROUP BY user_id""", runs=RUNS)
+def _(spark, runs):
+    p = F.col("permutation_index")
+    rows = runs.select("user_id", p).distinct().withColumns({"output_backend": F.when((F.col("user_id") % 2 == 0) | (p > 2), "a").otherwise("b"), "prompt_family": F.lit("f"), "parse_status": F.when(p == 3, "repaired").otherwise("valid"), "repaired": p == 3, "generated_tokens": 10 * p})
+    return records.combined_metadata(rows, ["user_id"])
+
+
 _RATES = {"parse_error_rate": "e", "parser_repair_attempt_rate": "r", **{f"{n}_output_rate": f"o{n[0]}" for n in ("invalid", "duplicate", "missing")}, **{f"avg_{n}_ids": f"s{n[0]}" for n in ("invalid", "duplicate", "missing")}}
 
 
@@ -448,7 +540,20 @@ def _(spark, runs, said):
     return parsing.parse_status(parsing.classify_labels(said.withColumnRenamed("item_id", "label"), expected, metrics.LIST), expected, metrics.LIST)
 
 
-@query("parse_json", said=DAMAGED)
+@query("parse_topk_status", """WITH x AS (SELECT d.*, r.item_id IS NOT NULL AS known, row_number() OVER (PARTITION BY d.user_id, d.permutation_index, d.item_id ORDER BY d.pos) AS k FROM said d LEFT JOIN runs r ON d.user_id = r.user_id AND d.permutation_index = r.permutation_index AND d.item_id = r.item_id),
+    y AS (SELECT *, sum(CASE WHEN known AND k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, permutation_index ORDER BY pos) AS n FROM x),
+    z AS (SELECT *, min(CASE WHEN known AND k = 1 THEN n END) OVER (PARTITION BY user_id, permutation_index, item_id) AS head FROM y),
+    c AS (SELECT user_id, permutation_index, count(*) FILTER (WHERE known AND head <= 3 AND k = 1) AS v, count(*) FILTER (WHERE known AND head <= 3 AND k > 1) AS d, count(*) FILTER (WHERE NOT known OR head > 3) AS u FROM z GROUP BY user_id, permutation_index),
+    m AS (SELECT user_id, permutation_index, count(*) AS need, user_id % 9 = 4 AS lost FROM runs GROUP BY user_id, permutation_index)
+    SELECT user_id, permutation_index, CASE WHEN lost THEN 0 ELSE v END AS num_valid, CASE WHEN lost THEN 0 ELSE d END AS num_duplicate, CASE WHEN lost THEN 0 ELSE u END AS num_unknown,
+      CASE WHEN lost THEN need WHEN v <> 3 THEN need - v ELSE 0 END AS num_missing, CASE WHEN lost THEN 'failed' WHEN v <> 3 OR d > 0 OR u > 0 THEN 'repaired' ELSE 'valid' END AS parse_status FROM m JOIN c USING (user_id, permutation_index)""", runs=RUNS, said=f"SELECT * FROM ({DAMAGED}) z WHERE pos < 3 OR user_id % 3 = 0")
+def _(spark, runs, said):
+    expected = runs.select(*metrics.LIST, F.col("item_id").alias("label"))
+    kinds = parsing.classify_labels(said.withColumnRenamed("item_id", "label"), expected, metrics.LIST, 3)
+    return parsing.parse_status(kinds, expected, metrics.LIST, 3, expected.where("user_id % 9 = 4"))
+
+
+@query("parse_json", "SELECT user_id, permutation_index, list(item_id ORDER BY pos) AS labels FROM said GROUP BY user_id, permutation_index", said=DAMAGED)
 def _(spark, said):
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "item_id"))), lambda x: x["item_id"])
     rows = said.groupBy(*metrics.LIST).agg(ids.alias("ids"))
@@ -488,12 +593,13 @@ def _(spark, runs):
     return rounded(aggregate.calibration_matrix(_observed(runs), 8), "p")
 
 
-DIAG = ["mean_entropy", "normalised_entropy", "min_entropy", "max_entropy"]
+DIAG = ["mean_entropy", "normalised_entropy", "min_probability", "max_probability"]
 
 
-@query("stella_diagnostics", ONE + OBSERVED + f", h AS (SELECT true_pos, sum(-p * ln(p)) AS h FROM m GROUP BY true_pos) SELECT round(avg(h), {DIGITS}) AS mean_entropy, round(avg(h) / ln(8.0::DOUBLE), {DIGITS}) AS normalised_entropy, round(min(h), {DIGITS}) AS min_entropy, round(max(h), {DIGITS}) AS max_entropy FROM h", runs=RUNS)
+@query("stella_diagnostics", ONE + OBSERVED + f", h AS (SELECT true_pos, sum(-p * ln(p)) AS h, min(p) AS a, max(p) AS b FROM m GROUP BY true_pos) SELECT round(avg(h), {DIGITS}) AS mean_entropy, round(avg(h) / ln(8.0::DOUBLE), {DIGITS}) AS normalised_entropy, round(min(a), {DIGITS}) AS min_probability, round(max(b), {DIGITS}) AS max_probability, list(round(h, {DIGITS}) ORDER BY true_pos) AS row_entropies FROM h", runs=RUNS)
 def _(spark, runs):
-    return rounded(aggregate.calibration_diagnostics(aggregate.calibration_matrix(_observed(runs), 8), 8), *DIAG)
+    out = rounded(aggregate.calibration_diagnostics(aggregate.calibration_matrix(_observed(runs), 8), 8), *DIAG)
+    return out.withColumn("row_entropies", F.transform("row_entropies", lambda h: F.round(h, DIGITS)))
 
 
 @query("stella_update", ONE + OBSERVED + f""", q AS (SELECT r.user_id, m.true_pos AS pos, 0.125::DOUBLE * m.p AS v FROM o r JOIN m ON m.pred_pos = r.pred_pos WHERE r.permutation_index = 1)
@@ -589,6 +695,11 @@ def _(spark, tokens):
     return marker.span_rows(tokens)
 
 
+@query("span_truncated", SPANS + " SELECT it.request_id, a AS span_start, b AS span_end, item, s, e FROM it JOIN sp ON it.request_id = sp.request_id", tokens=f"SELECT * FROM ({TOKENS}) z WHERE pos < 22")
+def _(spark, tokens):
+    return marker.span_rows(tokens)
+
+
 @query("span_mean_logprob", SPANS + f" SELECT t.request_id, item, round(avg(logprob), {DIGITS}) AS score FROM tokens t JOIN it ON t.request_id = it.request_id AND pos > s AND pos < e - 1 GROUP BY t.request_id, item", tokens=TOKENS)
 def _(spark, tokens):
     return rounded(marker.span_mean_logprob(tokens), "score")
@@ -622,7 +733,7 @@ def _(spark, scored):
 
 SOFT = """WITH s AS (SELECT user_id, permutation_index, item_id, score / 20.0::DOUBLE AS s FROM runs), m AS (SELECT *, max(s) OVER (PARTITION BY user_id, permutation_index) AS top FROM s),
 lp AS (SELECT user_id, permutation_index, item_id, s - top - ln(sum(exp(s - top)) OVER (PARTITION BY user_id, permutation_index)) AS lp FROM m),
-d AS (SELECT b.user_id, b.permutation_index, sum(exp(a.lp) * (a.lp - b.lp)) AS kl, sum(0.5 * (exp(a.lp) - exp(b.lp)) * (a.lp - b.lp)) AS je FROM lp a JOIN lp b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.permutation_index = 1 AND b.permutation_index > 1 GROUP BY b.user_id, b.permutation_index)"""
+d AS (SELECT b.user_id, b.permutation_index, sum(exp(a.lp) * (a.lp - b.lp)) AS kl, sum(exp(a.lp) * (a.lp - b.lp)) + sum(exp(b.lp) * (b.lp - a.lp)) AS je FROM lp a JOIN lp b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.permutation_index = 1 AND b.permutation_index > 1 GROUP BY b.user_id, b.permutation_index)"""
 
 for _name, _mode, _c in (("perm_kl_loss", "kl", "kl"), ("perm_jeffreys_loss", "jeffreys", "je")):
 

@@ -6,11 +6,13 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-PROMPT_KEYS = {"prompt", "prompts"}
-RAW_KEYS = {"raw_response", "raw_responses"}
+# Fields that are left out of written results unless asked for, and those that can be.
+PROMPT_KEYS = ["prompt_text", "repair_prompt"]
+RAW_KEYS = ["raw_response", "repair_raw_response", "raw_output", "raw_outputs"]
 
 
 def write_processed(directory: str, splits: DataFrame, items: DataFrame | None = None, users: DataFrame | None = None) -> None:
@@ -45,12 +47,22 @@ def runs_from_artifact(users: DataFrame) -> DataFrame:
     return out.select("user_id", "permutation_index", "item_id", F.when(place >= 0, place).cast("int").alias("input_position"), "output_rank", (F.col("n") - F.col("output_rank")).cast("double").alias("score"))
 
 
-def without_keys(value, prompts: bool = False, raw: bool = False):
-    """A nested record without prompt or raw-response keys, unless they are asked for."""
-    gone = (set() if prompts else PROMPT_KEYS) | (set() if raw else RAW_KEYS)
-    if isinstance(value, dict):
-        return {k: without_keys(v, prompts, raw) for k, v in value.items() if k not in gone}
-    return [without_keys(v, prompts, raw) for v in value] if isinstance(value, list) else value
+def _slim(c: Column, kind: DataType, gone: list[str]) -> Column:
+    """A column without the struct fields, or keys of string maps, named in `gone`, at any depth."""
+    if isinstance(kind, StructType):
+        kept = [_slim(c[f.name], f.dataType, gone).alias(f.name) for f in kind if f.name not in gone]
+        return F.when(c.isNotNull(), F.struct(*kept) if kept else F.struct())
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _slim(x, kind.elementType, gone))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        return F.transform_values(F.map_filter(c, lambda k, _: ~k.isin(*gone)), lambda _, v: _slim(v, kind.valueType, gone))
+    return c
+
+
+def without_fields(df: DataFrame, prompts: bool = False, raw: bool = True) -> DataFrame:
+    """Result rows without prompt texts, or raw answers, unless they are asked for; columns and nested fields alike."""
+    gone = ([] if prompts else PROMPT_KEYS) + ([] if raw else RAW_KEYS)
+    return df.select(*(_slim(F.col(f"`{f.name}`"), f.dataType, gone).alias(f.name) for f in df.schema if f.name not in gone)) if gone else df
 
 
 def candidate_path(directory: str, split: str, k: int, users: int | None = None, truth_only: bool = False) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 REQUIRED = ["user_id", "item_id", "rating", "timestamp"]
 # The genre flags of the 100k format, in column order.
-GENRE_FLAGS = ["unknown", "Action", "Adventure", "Animation", "Children's", "Comedy", "Crime", "Documentary", "Drama", "Fantasy", "Film-Noir", "Horror", "Musical", "Mystery", "Romance", "Sci-Fi", "Thriller", "War", "Western"]
+GENRE_FLAGS = ["unknown", "Action", "Adventure", "Animation", "Children", "Comedy", "Crime", "Documentary", "Drama", "Fantasy", "Film-Noir", "Horror", "Musical", "Mystery", "Romance", "Sci-Fi", "Thriller", "War", "Western"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -47,7 +47,11 @@ def read_amazon_reviews(spark: SparkSession, directory: str, reviews_file: str |
 def read_amazon_metadata(spark: SparkSession, directory: str, metadata_file: str | None = None) -> DataFrame:
     path = first_file(spark, directory, metadata_file, ["metadata.jsonl", "metadata.jsonl.gz", "meta.jsonl", "meta.jsonl.gz"])
     schema = "parent_asin string, title string, main_category string, categories array<string>, store string, description array<string>, features array<string>, price string, average_rating double, rating_number long"
-    return spark.read.schema(schema).json(path).where(F.col("parent_asin").isNotNull())
+    df = spark.read.schema(schema).json(path)
+    known = df.where(F.col("parent_asin").isNotNull())
+    if known.isEmpty() and not df.isEmpty():
+        raise ValueError("missing columns: ['parent_asin']")
+    return known
 
 
 def read_movielens_ratings(spark: SparkSession, directory: str) -> DataFrame:

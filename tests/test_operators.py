@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankweave.functions import sampling, scoring
-from rankweave.operators import aggregate, interaction, losses, metrics, parsing, permutations, prep, prompts, retrieval
+from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, retrieval
 from rankweave.sources import artifacts, readers
 from rankweave.streaming.exposure import exposure_counters
 
@@ -188,13 +189,75 @@ def test_scorers():
     assert scoring.architecture_of("block", "shared", "relational") == "block_setwise"
 
 
-def test_sampling():
-    assert sampling.select_users(range(5), None) == [0, 1, 2, 3, 4]
-    assert sampling.select_users(range(5), 2) == [0, 1]
-    got = sampling.select_users(range(50), 7, True)
-    assert got == sorted(got) and len(got) == 7
+def test_sampling(spark):
+    users = spark.range(100, 150).select(F.col("id").alias("user_id"))
+    ids = lambda df: sorted(r["user_id"] for r in df.collect())
+    assert ids(sampling.select_users(users)) == list(range(100, 150))
+    assert ids(sampling.select_users(users, 2)) == [100, 101]
+    assert ids(sampling.select_users(users, 7, True)) == sorted(random.Random(42).sample(range(100, 150), 7))
     with pytest.raises(ValueError):
-        sampling.select_users([1], 0)
+        sampling.select_users(users, 0)
+    want = list(range(100, 150))
+    random.Random(42).shuffle(want)
+    assert [r["user_id"] for r in sampling.order_users(users, True).orderBy("place").collect()] == want
+
+
+def naive_search(prefs):
+    """Every swap's cost made anew."""
+    items = sorted({i for pair in prefs for i in pair})
+    over = lambda a, b: prefs[a, b] if (a, b) in prefs else 1 - prefs[b, a]
+    order = sorted(items, key=lambda i: (-round(sum(over(i, j) for j in items if j != i), 9), i))
+    cost = lambda o: sum(over(b, a) for i, a in enumerate(o) for b in o[i + 1 :])
+    while True:
+        trials = []
+        for i in range(len(order)):
+            for j in range(i + 1, len(order)):
+                o = list(order)
+                o[i], o[j] = o[j], o[i]
+                trials.append(o)
+        best = min(trials, key=lambda o: round(cost(o), 9))
+        if cost(best) >= cost(order) - 1e-9:
+            return cost(order) / (len(items) * (len(items) - 1) / 2)
+        order = best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_local_search_equals_the_naive_one(seed):
+    rng = random.Random(seed)
+    items = [f"i{k}" for k in range(7)]
+    prefs = {(a, b): rng.randrange(6) / 5 for k, a in enumerate(items) for b in items[k + 1 :]}
+    assert metrics.local_search(prefs) == pytest.approx(naive_search(prefs))
+
+
+def test_null_ids_leave_long_ones_alone(spark):
+    rows = spark.createDataFrame([(2**53 + 1, ["a", "b"]), (None, ["c", "d"])], "user_id long, items array<string>").coalesce(1)
+    got = permutations.explode_orders(rows, lambda user, ids: [[1, 0]]).collect()
+    assert {r["user_id"] for r in got} == {2**53 + 1, None}
+    assert {r["user_id"] for r in aggregate.rerank(rows, lambda user, ids: [1, 0]).collect()} == {2**53 + 1, None}
+
+
+def test_open_and_absent_markers(spark):
+    rows = lambda kinds: spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "request_id int, pos int, kind string")
+    got = marker.span_rows(rows(["SPAN", "/SPAN", "ITEM", "w", "/ITEM", "/ITEM", "ITEM", "ITEM", "/ITEM", "ITEM", "w"])).orderBy("item").collect()
+    assert [(r["s"], r["e"]) for r in got] == [(2, 5), (6, 9)]
+    for bad in (["ITEM", "/ITEM"], ["SPAN", "/SPAN", "ITEM"]):
+        with pytest.raises(Exception, match="truncation"):
+            marker.spans(rows(bad)).collect()
+
+
+def test_effectiveness_counts_users_without_a_list(spark):
+    runs = spark.createDataFrame([(1, 1, "a", 0), (1, 1, "b", 1)], "user_id int, permutation_index int, item_id string, output_rank int")
+    truth = spark.createDataFrame([(1, "a"), (2, "a")], "user_id int, item_id string")
+    assert tuple(metrics.effectiveness(runs, truth, 2).first()) == (0.5, 0.5, 0.5, 0.5)
+
+
+def test_jeffreys_adds_both_directions(spark):
+    s = {1: [2.0, 1.0, 0.0], 2: [0.5, 1.5, 0.0]}
+    runs = spark.createDataFrame([(1, p, f"i{k}", x) for p, v in s.items() for k, x in enumerate(v)] + [(9, 1, "i0", 1.0)], "user_id int, permutation_index int, item_id string, score double")
+    p, q = ([math.exp(x) / sum(map(math.exp, v)) for x in v] for v in s.values())
+    want = sum(a * math.log(a / b) + b * math.log(b / a) for a, b in zip(p, q))
+    got = {r["user_id"]: r["loss"] for r in losses.permutation_loss(runs, "jeffreys").collect()}
+    assert got[1] == pytest.approx(want) and got[9] == 0.0
 
 
 def test_readers(spark, tmp_path):
@@ -219,7 +282,11 @@ def test_artifacts(spark, tmp_path):
     assert got == [("u", 1, "b", 1, 0, 2.0), ("u", 1, "a", 0, 1, 1.0)]
     artifacts.write_jsonl(users, f"file://{tmp_path}/x")
     assert artifacts.read_candidates(spark, f"file://{tmp_path}/x", users.schema).collect() == users.collect()
-    assert artifacts.without_keys({"a": [{"prompt": 1, "b": 2}], "raw_response": 3}) == {"a": [{"b": 2}]}
+    kept = spark.createDataFrame([([(1, 2, 3)], {"raw_output": "x", "y": "z"}, "r")], "a array<struct<prompt_text:int,b:int,raw_output:int>>, m map<string,string>, raw_response string")
+    assert artifacts.without_fields(kept).columns == ["a", "m", "raw_response"] and artifacts.without_fields(kept).first()["a"][0].asDict() == {"b": 2, "raw_output": 3}
+    slim = artifacts.without_fields(kept, raw=False)
+    assert slim.columns == ["a", "m"] and slim.first()["a"][0].asDict() == {"b": 2} and slim.first()["m"] == {"y": "z"}
+    assert artifacts.without_fields(kept, prompts=True).first()["a"][0].asDict() == {"prompt_text": 1, "b": 2, "raw_output": 3}
     assert artifacts.candidate_path("d", "test", 25, 10, True) == "d/test_k25_users10_gt_only.json"
     with pytest.raises(ValueError):
         artifacts.dataset_settings({"datasets": {"a": {}}}, "b")
