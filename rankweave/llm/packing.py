@@ -11,7 +11,8 @@ Each task packs its own rows, as they stream by: no shuffle, memory bounded by a
 number times 2**40 plus a count, so a task that runs again gives the same ids.
 
 Defined cases: a null or empty text is the end id alone; a null or repeated doc_id is kept, rows being packed one by
-one; other columns are ignored; an empty table gives an empty result. Strings that spell special tokens are ordinary text.
+one; other columns are ignored; an empty table gives an empty result. A string that spells an added token
+of the vocabulary has that token's id, as the library has it by default.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # the same vocabulary as ranks, for a faster library: ids of byte-level BPE are in the order of merges
         alphabet = byte_alphabet()
         ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in t) and t != "<|endoftext|>"}
@@ -82,9 +83,15 @@ class ChunkEncoder:
         if not chunk:
             return b""
         ids = self.fast.encode_ordinary(chunk) if chunk.isascii() or max(chunk) < SETTLED else self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return self._packed(ids)
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if TWO_SPACES.search(text):
             # runs of white space: their last space may belong to the word that follows, as CHUNK has it
             return b"".join(self.spaced[c[1:]] if c[0] == " " else self.bare[c] for c in CHUNK.findall(text))
