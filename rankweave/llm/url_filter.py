@@ -4,11 +4,11 @@ Rules are (verdict, host, path). A rule fits its host and all subdomains when th
 rule's path as text. Of the rules that fit, the one with most host labels wins, then the one with the longest
 path; a rule given twice keeps the verdict given last. Where no rule fits, `default` is the verdict.
 
-The trie is built once on the driver and broadcast. A rule list is a configuration, not corpus data: its size
-is checked against `MAX_RULES` before the broadcast; longer lists are refused with a clear error.
+The trie is built on the driver and broadcast. A list of more than `MAX_RULES` rules goes in parts of that size, one broadcast after the
+other: each pass over the pages, stored in the shared folder, keeps the better of what is known and what the part's trie finds.
 
 Defined cases: a null url, or one without ://, has empty host and path, and no rule fits it; ports and user
-names stay part of the host as the contract's text rule has it; repeated rows give repeated results; other columns
+names stay part of the host as the contract's text rule has it; a null page_id is kept; repeated rows give repeated results; other columns
 of pages are dropped by `judge_pages`, and an empty table gives an empty result.
 """
 
@@ -18,8 +18,9 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rankweave.llm.common import ASCII_LOWER
+from rankweave.llm.common import ASCII_LOWER, shared_dir, stored
 
 MAX_RULES = 1_000_000
 
@@ -68,30 +69,46 @@ class UrlTrie:
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
         """(rule, verdict) of the longest rule that fits, or two Nones."""
-        best, node = None, self.hosts
+        return self.measured(host, path)[1:]
+
+    def measured(self, host: str, path: str) -> tuple[int, str | None, str | None]:
+        """And before them the number of its host's labels: of two rules with as many, the longer text has the longer path."""
+        best, node = (0, None, None), self.hosts
         segments = path.split("/")
-        for label in reversed(host.split(".")) if host else ():
+        for n, label in enumerate(reversed(host.split(".")) if host else (), 1):
             node = node.get(label)
             if node is None:
                 break
-            if None in node:
-                best = self._path(node[None], segments) or best
-        return best or (None, None)
+            if None in node and (found := self._path(node[None], segments)):
+                best = (n, *found)
+        return best
 
 
-def judge_pages(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_pages(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = MAX_RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row of pages."""
-    rules = list(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are broadcast")
-    shared = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    spark, rules = pages.sparkSession, list(rules)
+    kind = dict(pages.dtypes)[id_col]
+    parts = [rules[i : i + max_rules] for i in range(0, len(rules), max_rules)] or [[]]
+    # ids travel as text: pandas makes floats of whole numbers beside a null
+    out = pages.select(F.col(f"`{id_col}`").cast("string").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
+    for i, part in enumerate(parts):
+        out = _passed(out, spark.sparkContext.broadcast(UrlTrie(part)), first=i == 0)
+        if i + 1 < len(parts):
+            out = stored(out, shared_dir(spark, "urls"))
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _passed(pages: DataFrame, shared, first: bool) -> DataFrame:
+    """pages with the best rule of what they carry and of one trie; of equal ones the later stands."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = shared.value
         for b in batches:
-            parts = [split_url(u) for u in b["_url"]]
-            found = [trie.find(h, p) for h, p in parts]
-            yield pd.DataFrame({"page_id": b["_id"], "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": [r for r, _ in found], "verdict": [v or default for _, v in found]})
-
-    kind = dict(pages.dtypes)[id_col]
-    return pages.selectExpr(f"`{id_col}` AS _id", f"`{url_col}` AS _url").mapInPandas(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
+            parts = [split_url(u) for u in b["url"]]
+            found = [trie.measured(h, p) for h, p in parts]
+            if not first:
+                known = [(n, None if r is None else str(r), v) for n, r, v in zip(b["labels"], b["rule"], b["verdict"], strict=True)]
+                found = [f if (f[0], len(f[1] or "")) >= (k[0], len(k[1] or "")) else k for f, k in zip(found, known, strict=True)]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": [h for h, _ in parts], "path": [p for _, p in parts], "labels": [n for n, _, _ in found], "rule": [r for _, r, _ in found], "verdict": [v for _, _, v in found]}, dtype=object)
+
+    return pages.mapInPandas(judge, "page_id string, url string, host string, path string, labels int, rule string, verdict string")
