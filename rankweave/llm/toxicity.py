@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import HashedWords, crc_fold, text_or_empty
@@ -238,8 +238,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, m
         return Model(None, (), prior)
     # the first other fold counts, the last one calibrates
     count_fold = min(f for f in range(folds) if f != held_out)
-    w = Window.partitionBy("toxic", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("part", (F.col("fold") == count_fold).cast("int")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_docs)
+    rows = rows.withColumn("part", (F.col("fold") == count_fold).cast("int"))
+    chosen = None
+    for toxic, part in ((1, 1), (0, 1), (1, 0), (0, 0)):  # each task passes on max_docs rows at most
+        some = rows.where((F.col("toxic") == toxic) & (F.col("part") == part)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+        chosen = some if chosen is None else chosen.unionByName(some)
     # 4 * max_docs rows at most: a proven bound for the broadcast
     texts = docs.select("doc_id", text_or_empty().alias("_t")).join(F.broadcast(chosen.select("doc_id", "toxic", "part")), "doc_id")
     words = texts.where("part = 1").select("toxic", F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
