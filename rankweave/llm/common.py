@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -68,15 +70,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir.
+    """A fresh folder that driver and executors share, under spark.checkpoint.dir; deleted when the driver's Python ends.
 
-    Where the session names none (tests on one machine), one under the local temporary folder is set.
+    Where the session names none, one under the local temporary folder is set on one machine; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; it names a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "rankweave-shared")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rankweave-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/rankweave-{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

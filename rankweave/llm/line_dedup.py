@@ -1,10 +1,12 @@
 """Line dedup: levelled sorted runs of line hashes, in DataFrame operations only.
 
-Batches of documents arrive one after the other. A batch's lines are counted per key (documents holding
-it), merge-joined against all runs kept so far to tell new keys from known ones (the anti-join), and written
-as a sorted run of their own at level 0. When a level holds `fanout` runs they are merged into one run of the
-next level, so a key is looked up in few files however many batches came. Runs are Parquet files, sorted by
-hash, in the folder that the cluster shares; nothing of them is on the driver.
+Batches of documents arrive one after the other. A batch's lines are counted per key (documents holding it) and merge-joined
+against the runs kept so far: a key that no run has (the anti-join) is a new line, and starts at its count in the batch; a known one goes on from
+the count that the runs have. The batch's keys with their counts up to now are its own sorted run, at level 0. So the latest run that
+has a key has its count over all batches so far, which is the largest of its counts. When a level holds `fanout` runs they are merged
+into one run of the next level, so a key is looked up in few files however many batches came. Runs are Parquet files, sorted by
+hash, in the folder that the cluster shares; nothing of them is on the driver. The number of batches follows the input: one for each
+256 GB of text, and MIN_BATCHES at least.
 
 A key is the line without [\\x20\\x09-\\x0D] at both ends and with A-Z lower-cased; runs hold two independent
 64-bit hashes of it, 128 bits together.
@@ -17,6 +19,7 @@ text pass through `dedup_lines` untouched, whatever their names; an empty table
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ from rankweave.llm.common import SPACES, shared_dir, stored, text_or_empty
 
 #: Dropped keys up to this many (16 bytes each) are broadcast to the lines; more are merge-joined.
 MAX_BROADCAST_KEYS = 250_000
+MIN_BATCHES = 6
+BATCH_BYTES = 1 << 38
 
 
 def split_lines(text: Column) -> Column:
@@ -50,7 +55,7 @@ def _hashes(key: Column) -> list[Column]:
 
 @dataclass
 class LineRuns:
-    """Sorted runs (h1, h2, n, first, known): n documents of a batch held the key, `first` is the least doc_id of them; known: a run before had it already."""
+    """Sorted runs (h1, h2, n, first): n documents up to a batch held the key, `first` is the least doc_id of them."""
 
     spark: SparkSession
     root: str
@@ -66,20 +71,20 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def union(self) -> DataFrame | None:
-        out = None
-        for r in self.runs():
-            out = r if out is None else out.unionByName(r)
-        return out
+        return reduce(DataFrame.unionByName, self.runs()) if self.runs() else None
+
+    @staticmethod
+    def latest(runs: DataFrame) -> DataFrame:
+        """A row for each key, from the latest run that has it: counts never fall and least ids never rise."""
+        return runs.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("first").alias("first"))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes a batch (h1, h2, n, first), a row for each key; returns its run. Rows of it that aren't known are the batch's new lines."""
+        """Takes a batch (h1, h2, n, first), a row for each key; returns its run."""
         kept = self.union()
-        if kept is None:
-            run = batch.withColumn("known", F.lit(False))
-        else:
-            old = kept.where(~F.col("known")).select("h1", "h2", F.lit(True).alias("found"))
-            run = batch.join(old.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "n", "first", F.coalesce("found", F.lit(False)).alias("known"))
-        run = self._write(run)
+        if kept is not None:
+            old = self.latest(kept).select("h1", "h2", F.col("n").alias("m"), F.col("first").alias("f"))
+            batch = batch.join(old.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.least("first", "f").alias("first"))
+        run = self._write(batch)
         self._push(0, run)
         return run
 
@@ -88,21 +93,20 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = None
-            for r in self.levels[level]:
-                merged = r if merged is None else merged.unionByName(r)
-            self.levels[level] = []
-            self._push(level + 1, self._write(merged.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("known").alias("known"))))
+            merged, self.levels[level] = reduce(DataFrame.unionByName, self.levels[level]), []
+            self._push(level + 1, self._write(self.latest(merged)))
 
-    def counts(self) -> DataFrame:
-        """(h1, h2, n, first) over all batches."""
-        return self.union().groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    def frequent(self, min_docs: int) -> DataFrame:
+        """(h1, h2, first) of keys with so many documents. A run that has them says so by itself; few keys do."""
+        return self.union().where(F.col("n") >= min_docs).groupBy("h1", "h2").agg(F.min("first").alias("first"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, fanout: int = 4) -> DataFrame:
     """(h1, h2, first) of the keys that at least `min_docs` documents hold, stored in the shared folder."""
     spark = docs.sparkSession
     root = shared_dir(spark, "lines")
+    if batches is None:
+        batches = MIN_BATCHES + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BATCH_BYTES
     lines = F.transform(split_lines(F.col("_t")), stripped)
     keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), folded))
     each = (
@@ -117,10 +121,10 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batc
     runs = LineRuns(spark, root, fanout)
     for b in range(batches):
         runs.add(spark.read.schema(schema).parquet(f"{root}/batches").where(F.col("batch") == b).select("h1", "h2", "n", "first"))
-    return stored(runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "first"), f"{root}/frequent")
+    return stored(runs.frequent(min_docs), f"{root}/frequent")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, keep_first: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, fanout: int = 4, keep_first: bool = False) -> DataFrame:
     """docs with every line dropped whose key at least `min_docs` documents hold; keep_first: but for those of the least doc_id that holds it.
 
     The other lines stay in order, joined by \\n, as `text`; `n_lines` (before), `n_dropped` are added as one
@@ -137,8 +141,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
         .withColumn("_row", F.monotonically_increasing_id())
         .select("_row", *(f"c{i}" for i in rest), F.col(f"c{names.index('doc_id')}").alias("_id"), F.posexplode(split_lines(F.coalesce(F.col(f"c{names.index('text')}"), F.lit("")))).alias("_pos", "_line"))
         # only a row's first line carries its other columns: they are shuffled once
-        .select("_row", F.when(F.col("_pos") == 0, F.struct(F.lit(0).alias("_"), *(f"c{i}" for i in rest))).alias("_rest"), "_id", "_pos", "_line", folded(stripped(F.col("_line"))).alias("_k"))
-        .select("_row", "_rest", "_id", "_pos", "_line", *_hashes(F.col("_k")))
+        .select("_row", F.when(F.col("_pos") == 0, F.struct(F.lit(0).alias("_"), *(f"c{i}" for i in rest))).alias("_rest"), "_id", "_pos", "_line", stripped(F.col("_line")).alias("_k"))
+        # lines under min_chars are in no run: hashes of their place spread them over the join
+        .select("_row", "_rest", "_id", "_pos", "_line", *[F.when(F.length("_k") >= min_chars, h).otherwise(F.xxhash64("_row", "_pos")).alias(c) for c, h in zip(("h1", "h2"), _hashes(folded(F.col("_k"))), strict=True)])
     )
     gone = F.coalesce("_drop", F.lit(False))
     if keep_first:

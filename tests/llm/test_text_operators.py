@@ -74,7 +74,6 @@ def expected_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
@@ -219,7 +218,23 @@ def test_lines(spark, batches, fanout):
             want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
         got = [(r["doc_id"], r["s"]["n_lines"], r["s"]["n_dropped"], r["text"]) for r in out.select("doc_id", "text", F.col(out.columns[-1]).alias("s")).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert line_dedup.dedup_lines(empty(spark)).count() == 0
+    assert line_dedup.dedup_lines(empty(spark), batches=1).count() == 0
+
+
+def test_counts_come_from_the_merge_joins(spark, tmp_path, monkeypatch):
+    """Nine batches with three documents each that hold a line: no batch sees ten, the joined runs do, across two compactions."""
+    batch = lambda b: spark.createDataFrame([(77, 77, 3, b), (b, b, 1, b)], "h1 long, h2 long, n long, first long")
+    runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/a", 3)
+    for b in range(9):
+        runs.add(batch(b))
+    assert [len(x) for x in runs.levels] == [0, 0, 1]
+    assert [tuple(r) for r in runs.frequent(10).collect()] == [(77, 77, 0)] and runs.frequent(28).count() == 0
+    assert runs.union().where("h1 = 77").first()["n"] == 27
+    monkeypatch.setattr(line_dedup.LineRuns, "latest", staticmethod(lambda x: x.limit(0)))
+    blind = line_dedup.LineRuns(spark, f"file://{tmp_path}/b", 99)
+    for b in range(4):
+        blind.add(batch(b))
+    assert blind.frequent(10).count() == 0
 
 
 # --- quality -------------------------------------------------------------------------------------------------------
@@ -292,6 +307,10 @@ def test_urls(spark):
     with pytest.raises(ValueError):
         url_filter.UrlTrie([("deny", "a", "/")])
     assert url_filter.judge_pages(df.limit(0), Q.URL_RULES).count() == 0
+    # a list in parts, and ids beyond what a float holds beside a null
+    assert sorted(map(repr, url_filter.judge_pages(df, Q.URL_RULES, max_rules=2).collect())) == sorted(map(repr, got))
+    ids = spark.createDataFrame([(2**53 + 1, "http://com/"), (None, None)], "page_id long, url string").coalesce(1)
+    assert {r["page_id"] for r in url_filter.judge_pages(ids, Q.URL_RULES).collect()} == {2**53 + 1, None}
 
 
 def test_digest_queries_follow_their_operators(spark):
