@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors (`n_pivots`, by hash of the id). A vector is represented by its `prefix` nearest
-pivots in order, and posted with its rank in the inverted file of each of them. A query's candidates are the vectors
-posted with its own pivots; the footrule distance between the two orders (a pivot that one of them lacks stands at
+Pivots are a bounded sample of the vectors (`n_pivots` at most, by hash of the id). A vector is represented by its
+`prefix` nearest pivots in order, and posted with its rank in the inverted file of each of them. The prefix is short, about half the root
+of the number of pivots, so that a query meets about a fifth of unrelated vectors; more pivots and longer prefixes meet better ones
+at the same share. A query's candidates are the vectors posted with its own pivots; the footrule distance between the two orders (a pivot that one of them lacks stands at
 rank `prefix`) ranks them, and the best `rerank` of each block of the index are measured by exact cosine, in double precision, on the
 original vectors.
 
 Every row is indexed. The index is a table in the shared folder; tasks read it in blocks of about `block_rows` vectors and lay out
 their postings. Queries come to all blocks in broadcast groups of at most `query_rows`, a bound that doesn't grow with the
-data; the answers of blocks are merged per query from at most k rows a block. A query whose block candidates are fewer than k
+data, one group after the other; the answers of blocks are merged per query from at most k rows a block. A query whose block candidates are fewer than k
 has the rest of that block measured too, so no query lacks neighbours.
 
-Defined cases: vectors that are null, zero, of another length than the first pivot's, or hold null or non-finite components are neither
+Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components are neither
 queries nor candidates; rows with a null id neither; of rows with the same id each is a candidate, and none of them is
 found for a query with that id (one query, by the least of its vectors); ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
@@ -48,8 +49,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Each row's nearest pivots, nearest first; ties to the smaller number."""
-    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
+    """Each row's nearest pivots, nearest first; of equal ones the smaller number first."""
+    out = np.empty((len(unit), prefix), np.int16)
+    for i in range(0, len(unit), 1024):  # so many rows' distances to all pivots at once
+        far = -(unit[i : i + 1024] @ pivots.T)
+        near = np.sort(np.argpartition(far, prefix - 1, axis=1)[:, :prefix], axis=1) if prefix < far.shape[1] else np.broadcast_to(np.arange(prefix), far.shape)
+        out[i : i + 1024] = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1)
+    return out
 
 
 class Block:
@@ -102,14 +108,14 @@ def exact_cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (a * q).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def build_index(vectors: DataFrame, id_col: str, vector_col: str, n_pivots: int = 256, prefix: int = 64) -> tuple[DataFrame, np.ndarray]:
+def build_index(vectors: DataFrame, id_col: str, vector_col: str, n_pivots: int = 4096, prefix: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """The stored index (vec_id, v, pivots: array) and the pivots; at most n_pivots rows come to the driver."""
     rows = usable(vectors, id_col, vector_col)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
-    size = len(chosen[0]["v"]) if chosen else 0
-    pivots = [r["v"] for r in chosen if len(r["v"]) == size]
-    pivots = _unit(np.array(pivots)) if pivots else np.empty((0, 0))
-    prefix = min(prefix, len(pivots))
+    most = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
+    size = most["size"] if most else 0
+    chosen = rows.where(F.size("v") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
+    pivots = _unit(np.array([r["v"] for r in chosen])) if chosen else np.empty((0, 0))
+    prefix = min(prefix or 2 + round((0.22 * len(pivots)) ** 0.5), len(pivots))
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +129,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, n_pivots: int
     return stored(index, shared_dir(vectors.sparkSession, "pivots")), pivots
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 5, n_pivots: int = 256, prefix: int = 64, rerank: int = 2048, block_rows: int = 8192, query_rows: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 5, n_pivots: int = 4096, prefix: int | None = None, rerank: int = 2048, block_rows: int = 8192, query_rows: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     index, pivots = build_index(vectors, id_col, vector_col, n_pivots, prefix)
@@ -137,7 +143,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         if not rows:
             continue
         block = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], np.int16))
-        found = _search_group(index, spark.sparkContext.broadcast(block), len(pivots), k, rerank, block_rows)
+        shared = spark.sparkContext.broadcast(block)
+        found = stored(_search_group(index, shared, len(pivots), k, rerank, block_rows), shared_dir(spark, "neighbours"))
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
