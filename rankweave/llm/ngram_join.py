@@ -118,29 +118,54 @@ def choose_matches(excess: np.ndarray, n: int) -> int:
 
 
 def sketch_bits(docs: DataFrame) -> int:
-    """2**20 counters up to 16 GB of text, then twice as many for twice the text, 2**26 at most."""
+    """As many counters as keep some ten shingles on each, 2**24 at most (64 MB in a task's Python)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(26, max(20, size.bit_length() - 14))
+    return min(24, max(18, size.bit_length() - 7))
+
+
+def sketch_codes(counts: np.ndarray, mean: float) -> np.ndarray:
+    """How far counters stand over the mean, in quarter octaves; 0: not at all."""
+    ratio = np.maximum(counts / max(mean, 1.0), 1.0)
+    return np.where(ratio > 1, np.minimum(1 + np.floor(4 * np.log2(ratio)), 255), 0).astype(np.uint8)
+
+
+def excess_of_codes(mean: float) -> np.ndarray:
+    """For each code, about how many others have a shingle: what a counter holds over what chance explains."""
+    ratio = 2.0 ** ((np.arange(256) - 1) / 4)
+    out = np.maximum(ratio - (2 if mean >= 1 else 1), 0) * max(mean, 1.0)
+    out[0] = 0
+    return out
 
 
 def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Rows of documents (doc_id, n, node, bits), and of the sketch (slice, part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts, places, held = np.zeros(1 << bits, np.uint32), [], 0
+
+        def add() -> None:
+            at, n = np.unique(np.concatenate(places), return_counts=True)
+            counts[at] += n.astype(np.uint32)
+            places.clear()
+
         for b in batches:
-            rows, places = [], [np.empty(0, np.int64)]
+            rows = []
             for doc_id, text in zip(b["_id"].tolist(), b["_t"].tolist(), strict=True):
                 s = shingle_set(text, size)
                 if len(s):
-                    places.append((s >> np.uint64(64 - bits)).astype(np.int64))
+                    places.append((s >> np.uint64(64 - bits)).astype(np.uint32))
+                    held += len(s)
+                    if held >= BATCH_SHINGLES:
+                        add()
+                        held = 0
                     rows.append((doc_id, len(s), set_node(s), parity_bits(s), -1, 0, None))
                 else:
                     rows.append((doc_id, 0, None, None, -1, 0, None))
-            counts += np.bincount(np.concatenate(places), minlength=len(counts))
             yield _frame(rows)
+        if places:
+            add()
         part = TaskContext.get().partitionId()
-        for i, x in enumerate(counts.astype(np.uint32).reshape(SLICES, -1)):
+        for i, x in enumerate(counts.reshape(SLICES, -1)):
             if x.any():
                 yield _frame([(None, None, None, None, i, part, _planes(x))])
 
@@ -163,22 +188,30 @@ def _from_planes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _sketch(signatures: DataFrame, bits: int) -> np.ndarray:
-    """Sums of the tasks' sketches, slice by slice in two levels; 4 MB come to the driver, 256 MB from 1 TB of input on."""
+def _sketch(signatures: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """The codes of the tasks' summed sketches, and the mean: slice by slice in two levels; a byte a counter comes to the driver."""
+    total = signatures.where(F.col("slice") < 0).agg(F.sum("n")).first()[0] or 0
+    mean = total / (1 << bits)
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // SLICES, np.uint64)
+    def summed(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((1 << bits) // SLICES, np.uint64)
         for raw in pdf["counts"]:
-            total += _from_planes(raw, np.uint64 if len(raw) == 8 * len(total) else np.uint32).astype(np.uint64)
-        return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "counts": [_planes(total)]})
+            out += _from_planes(raw, np.uint64 if len(raw) == 8 * len(out) else np.uint32).astype(np.uint64)
+        return out
+
+    def some(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [int(key[0])], "counts": [_planes(summed(pdf))]})
+
+    def coded(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [int(key[0])], "counts": [sketch_codes(summed(pdf).astype(float), mean).tobytes()]})
 
     rows = signatures.where(F.col("slice") >= 0).select("slice", "counts", F.expr("part div 64").alias("part"))
-    rows = rows.groupBy("slice", "part").applyInPandas(lambda k, p: add(k, p), "slice int, counts binary")
-    rows = rows.groupBy("slice").applyInPandas(lambda k, p: add(k, p), "slice int, counts binary")
-    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
+    rows = rows.groupBy("slice", "part").applyInPandas(lambda k, p: some(k, p), "slice int, counts binary")
+    rows = rows.groupBy("slice").applyInPandas(lambda k, p: coded(k, p), "slice int, counts binary")
+    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for r in rows.collect():
-        out[r["slice"]] = np.minimum(_from_planes(bytes(r["counts"]), np.uint64), 0xFFFFFFFF)
-    return out.ravel()
+        out[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
+    return out.ravel(), mean
 
 
 def _postings(docs: DataFrame, size: int, sketch, bits: int) -> DataFrame:
@@ -189,10 +222,8 @@ def _postings(docs: DataFrame, size: int, sketch, bits: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, seen = sketch.value.astype(np.float64), set()
-        mean = counts.mean()
-        level = np.log2(np.maximum(counts / max(mean, 1.0), 1.0)).astype(np.int8)
-        excess_of = np.maximum(counts - 2 * mean, 0.0)
+        level, mean = sketch.value
+        excess_of, seen = excess_of_codes(mean), set()
         for b in batches:
             tokens, nodes, packed = [], [], []
             for text in b["_t"].tolist():
@@ -205,7 +236,7 @@ def _postings(docs: DataFrame, size: int, sketch, bits: int) -> DataFrame:
                 at = (s >> np.uint64(64 - bits)).astype(np.int64)
                 lv = level[at]
                 order = np.argsort(lv, kind="stable") if lv.any() else np.arange(len(s))
-                excess = excess_of[at][order]
+                excess = excess_of[lv[order]]
                 m = choose_matches(excess, len(s)) if excess.any() else 1
                 p = len(s) - fewest_shared(len(s)) + m
                 rare = int((excess == 0).sum())
