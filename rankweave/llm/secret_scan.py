@@ -31,6 +31,37 @@ IDENT = r"""(?i)\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*[
 BLOB = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"""(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqps?|mongodb(?:\+srv)?)://[^\x20\x09-\x0D"'<>]+"""
 SPAN = "struct<s:int,k:int,e:int>"
+#: Items of a chunk in folds over one text's matches.
+CHUNK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """An array cut into arrays of CHUNK items; an empty one gives one empty chunk."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, F.abs(i) * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _fold(items: Column, state: Column, step) -> Column:
+    """A left-to-right fold that collects spans: step(state, item) gives the next state and an array of spans to append.
+
+    To append to one list copies it for each item. Here lists grow within chunks, and whole chunks are put together at the end.
+    """
+    none = _none().alias("out")
+
+    def one(at: Column, chunk: Column) -> Column:
+        def merge(a: Column, x: Column) -> Column:
+            after, more = step(a["at"], x)
+            return F.struct(after.alias("at"), F.concat(a["out"], more).alias("out"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), none), merge)
+
+    start = F.struct(state.alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    add = lambda a, chunk: _let(one(a["at"], chunk), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+    return _let(items, lambda b: F.aggregate(_chunks(b), start, add, lambda a: F.struct(a["at"].alias("at"), F.flatten(a["out"]).alias("out"))))
 
 
 def _spans(text: Column, pattern: str, kind: int, at_least: int = 0, group: int = 0) -> Column:
@@ -38,9 +69,8 @@ def _spans(text: Column, pattern: str, kind: int, at_least: int = 0, group: int
     p = F.lit(pattern)
     hits = F.regexp_extract_all(text, p, F.lit(0))
     both = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    fold = lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), F.lit(kind).alias("k"), (a["at"] + x["gap"] + x["n"]).alias("e")))).alias("out"))
-    found = F.aggregate(both, start, fold)["out"]
+    step = lambda at, x: (at + x["gap"] + x["n"], F.array(F.struct((at + x["gap"]).alias("s"), F.lit(kind).alias("k"), (at + x["gap"] + x["n"]).alias("e"))))
+    found = _fold(both, F.lit(0), step)["out"]
     if not at_least:
         return found
     long = F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda v: F.length(v) >= at_least)
@@ -103,6 +133,37 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"], x["e"])), ",")
 
 
+def _masked(text: Column, spans: Column, mask: Column) -> Column:
+    """The text with a mask for each run of spans that touch or overlap. A text is cut chunk by chunk, as a cut counts code points from its start."""
+    span = lambda x: F.array(x).cast(f"array<{SPAN}>")
+    new = lambda at, x: (at["e"] > 0) & (x["s"] > at["e"])  # noqa: E731  # the run so far ends before x
+    step = lambda at, x: (
+        F.when((at["e"] > 0) & ~new(at, x), F.struct(at["s"].alias("s"), at["k"].alias("k"), F.greatest(at["e"], x["e"]).alias("e"))).otherwise(x),
+        F.when(new(at, x), span(at)).otherwise(_none()),
+    )
+    open_run = F.struct(*(F.lit(0).alias(c) for c in "ske"))
+    runs = _let(_fold(spans, open_run, step), lambda r: F.concat(r["out"], F.when(r["at"]["e"] > 0, span(r["at"])).otherwise(_none())))
+
+    def cut(m: Column) -> Column:
+        def chunk(ch: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.try_element_at(m, i * CHUNK)["e"])
+            end = F.coalesce(F.try_element_at(ch, F.lit(-1))["e"], F.lit(0))
+
+            def pieces(piece: Column) -> Column:
+                def one(x: Column, j: Column) -> Column:
+                    last = F.when(j == 0, before).otherwise(F.try_element_at(ch, j)["e"])
+                    return F.concat(F.substring(piece, last - before + 1, x["s"] - last), mask)
+
+                return F.array_join(F.transform(ch, one), "")
+
+            return _let(F.substring(text, before + 1, end - before), pieces)
+
+        rest = F.coalesce(F.try_element_at(m, F.lit(-1))["e"], F.lit(0))
+        return F.concat(F.array_join(_let(_chunks(m), lambda cs: F.transform(cs, chunk)), ""), F.substring(text, rest + 1, F.length(text)))
+
+    return _let(runs, cut)
+
+
 def mask_secrets(docs: DataFrame, mask: str = "[secret]", scope: int = 256) -> DataFrame:
     """docs with every reported span of `text` replaced by a mask (spans that touch share one); n_chars, if there, follows.
 
@@ -112,13 +173,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", scope: int = 256) -> D
     inner = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
     found = (F.size(base_spans(text_or_empty())) > 0) | may_link(text_or_empty())
     hit = find_secrets(inner.where(found), inner.columns, scope)
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-    text, m = F.col("text"), F.lit(mask)
-    fold = lambda a, x: F.when(
-        (x["s"] <= a["end"]) & (a["end"] > 0), F.struct(a["at"].alias("at"), F.greatest(a["end"], x["e"]).alias("end"), a["out"].alias("out"))
-    ).otherwise(F.struct(a["at"].alias("at"), x["e"].alias("end"), F.concat(a["out"], F.array(F.substring(text, a["end"] + 1, x["s"] - a["end"]), m)).alias("out")))
-    done = F.aggregate(F.sort_array(F.concat("_base", "_linked")), state, fold)
-    masked = hit.withColumn("_m", done).withColumn("text", F.concat(F.array_join("_m.out", ""), F.substring(text, F.col("_m.end") + 1, F.length(text))))
+    masked = hit.withColumn("text", _masked(F.col("text"), F.sort_array(F.concat("_base", "_linked")), F.lit(mask)))
     out = inner.where(~found).select(inner.columns).unionByName(masked.select(inner.columns))
     for i, c in enumerate(names):
         if c == "n_chars":
