@@ -40,12 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import HashedWords, shared_dir, stored
+from rankweave.llm.common import HashedWords, arrow_batches, shared_dir, stored
 
 SLICES = 64
 MAX_MATCHES = 8
 BATCH_SHINGLES = 1_000_000
 MAX_CACHED = 400_000
+#: Rows of an Arrow batch: texts and parity bits of 10,000 rows, Spark's default, can be large in both the JVM and Python.
+BATCH_ROWS = 1_000
 #: Sizes of one band differ by this ratio at most.
 BAND = 1.12
 #: A shingle whose counter stands this far over the mean goes to the join without a look at who else has it.
@@ -361,6 +363,11 @@ def _extended(known: DataFrame, more: DataFrame, root: str) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, size: int = 5, leaders: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) of each row of docs; node numbers equal sets alike. leaders=False leaves step 3 out."""
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):  # what runs in Python is stored before this ends
+        return _components_of(docs, size, leaders)
+
+
+def _components_of(docs: DataFrame, size: int, leaders: bool) -> DataFrame:
     spark = docs.sparkSession
     root = shared_dir(spark, "jaccard")
     kind = docs.schema["doc_id"].dataType
