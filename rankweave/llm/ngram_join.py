@@ -44,7 +44,7 @@ from rankweave.llm.common import HashedWords, arrow_batches, shared_dir, stored
 
 SLICES = 64
 MAX_MATCHES = 8
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 250_000
 MAX_CACHED = 400_000
 #: Rows of an Arrow batch: texts and parity bits of 10,000 rows, Spark's default, can be large in both the JVM and Python.
 BATCH_ROWS = 1_000
