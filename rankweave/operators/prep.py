@@ -98,6 +98,15 @@ def temporal_split(log: DataFrame, train: float, val: float, min_interactions: i
     return out.withColumn("split", F.when(F.col("_r") < end, "train").when(F.col("_r") < end + share(val), "val").otherwise("test")).drop("_n", "_r")
 
 
+def split_interactions(log: DataFrame, strategy: str, min_interactions: int, ties: list[str], train: float = 0.7, val: float = 0.1) -> DataFrame:
+    """The split that a data set's settings name."""
+    if strategy == "leave_one_out":
+        return leave_one_out(log, min_interactions, ties)
+    if strategy in ("temporal_ratio", "temporal_70_10_20"):
+        return temporal_split(log, train, val, min_interactions, ties)
+    raise ValueError(f"no such split: {strategy}")
+
+
 def train_queries(train: DataFrame, ties: list[str]) -> DataFrame:
     """`role`: a user's last training row is the query if there are two or more, the rest the retriever's training."""
     w = Window.partitionBy("user_id")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankweave.functions import sampling, scoring
-from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, retrieval
+from rankweave.operators import aggregate, calibration, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, retrieval
 from rankweave.sources import artifacts, readers
 from rankweave.streaming.exposure import exposure_counters
 
@@ -299,3 +299,46 @@ def test_streaming_exposure(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("exposed").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/ck").start()
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("exposed").collect()} == {(0, 2, 1, 1.0), (1, 2, 1, 1.0)}
+
+
+def test_calibration_requests(spark):
+    rows = spark.createDataFrame([(u, p, f"i{p}") for u in (1, 2, 3) for p in range(4)], "user_id long, pos int, item_id string")
+    truth = spark.createDataFrame([(1, "i2"), (1, "i2"), (2, "i0"), (2, "i3"), (3, "elsewhere"), (None, "i1")], "user_id long, item_id string")
+    got = calibration.calibration_requests(rows, truth, 4, repeats=3, seed=7).collect()
+    assert sorted((r["user_id"], r["target"], r["true_pos"], r["repeat"]) for r in got) == [(u, t, p, k) for u, t in ((1, 2), (2, 0), (2, 3)) for p in range(4) for k in range(3)]
+    for r in got:
+        others = [i for i in range(4) if i != r["target"]]
+        random.Random(7 + r["user_id"] * 1_000_003 + r["true_pos"] * 1009 + r["repeat"]).shuffle(others)
+        assert r["permutation"][r["true_pos"]] == r["target"] and [x for x in r["permutation"] if x != r["target"]] == others
+    assert calibration.calibration_requests(rows.limit(0), truth, 4).count() == 0
+    with pytest.raises(ValueError):
+        calibration.calibration_requests(rows, truth, 0)
+
+
+def test_stored_calibration(tmp_path):
+    m = [[3.0, 1.0], [0.0, 2.0]]
+    np.save(tmp_path / "m.npy", m)
+    (tmp_path / "list.json").write_text(json.dumps(m))
+    said = dict(model_name_or_path="m", scoring="s", prompt="p", architecture=None, adapter_path=" ", candidate_count="2")
+    (tmp_path / "map.json").write_text(json.dumps({"matrix": m, "provenance": said}))
+    (tmp_path / "none.json").write_text("{}")
+    for name in ("m.npy", "list.json", "map.json"):
+        found, provenance = calibration.load_calibrator(str(tmp_path / name))
+        assert found.matrix.tolist() == [[0.75, 0.25], [0.0, 1.0]] and provenance == (said if name == "map.json" else {})
+    with pytest.raises(ValueError):
+        calibration.load_calibrator(str(tmp_path / "none.json"))
+    calibration.check_provenance(said, dict(said, adapter_path=None, candidate_count=2))
+    for bad in (dict(said, prompt="q"), dict(said, candidate_count=3)):
+        with pytest.raises(ValueError):
+            calibration.check_provenance(said, bad)
+    with pytest.raises(ValueError):
+        calibration.check_provenance({}, said)
+
+
+def test_split_by_name(spark):
+    log = spark.createDataFrame([(1, i, i) for i in range(10)], "user_id long, item_id long, ts long")
+    count = lambda s: {r["split"]: r["count"] for r in prep.split_interactions(log, s, 3, []).groupBy("split").count().collect()}
+    assert count("leave_one_out") == {"train": 8, "val": 1, "test": 1}
+    assert count("temporal_ratio") == count("temporal_70_10_20") == {"train": 7, "val": 1, "test": 2}
+    with pytest.raises(ValueError):
+        prep.split_interactions(log, "random", 3, [])
