@@ -75,6 +75,26 @@ def block_mask(tokens: DataFrame, span_causal: bool = True) -> DataFrame:
     return rows.where((allowed & alive(k)) | ((q == k) & ~alive(q))).select("request_id", "q", "k")
 
 
+def causal_mask(tokens: DataFrame) -> DataFrame:
+    """(request_id, q, k) of the allowed pairs: k isn't after q and isn't a pad."""
+    m = F.transform(F.array_sort(F.collect_list(F.struct("pos", "mask"))), lambda x: x["mask"])
+    rows = tokens.groupBy("request_id").agg(m.alias("m")).select("request_id", F.posexplode("m").alias("q", "_"), "m")
+    rows = rows.select("request_id", "q", F.explode(F.sequence(F.lit(0), F.col("q"))).alias("k"), "m")
+    return rows.where(F.get("m", F.col("k")) == 1).select("request_id", "q", "k")
+
+
+def attention_mask(tokens: DataFrame, mode: str, span_causal: bool = True) -> DataFrame:
+    if mode not in ("block", "causal"):
+        raise ValueError(f"no such mask: {mode}")
+    return block_mask(tokens, span_causal) if mode == "block" else causal_mask(tokens)
+
+
+def position_ids(tokens: DataFrame, mode: str) -> DataFrame:
+    if mode not in ("shared", "standard"):
+        raise ValueError(f"no such positions: {mode}")
+    return shared_positions(tokens) if mode == "shared" else standard_positions(tokens)
+
+
 def span_mean_logprob(tokens: DataFrame) -> DataFrame:
     """Mean log-probability of each item's content tokens, the markers left out."""
     inner = span_rows(tokens).select("request_id", "item", "s", "e")

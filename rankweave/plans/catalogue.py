@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions import sampling
-from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, records, retrieval
+from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, records, reports, reranking, retrieval
 from rankweave.plans import fixtures as X
 
 K = 3
@@ -721,6 +721,86 @@ def _(spark, tokens):
     return marker.block_mask(tokens)
 
 
+@query("causal_mask", "SELECT q.request_id, q.pos AS q, k.pos AS k FROM tokens q JOIN tokens k ON q.request_id = k.request_id AND k.pos <= q.pos AND k.mask = 1", tokens=TOKENS)
+def _(spark, tokens):
+    return marker.attention_mask(tokens, "causal")
+
+
+# --- runs and reports ----------------------------------------------------------------------------------------------
+
+def _shown(runs: DataFrame) -> DataFrame:
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("input_position", "item_id"))), lambda x: x["item_id"])
+    return runs.groupBy("user_id", "permutation_index").agg(ids.alias("items"))
+
+
+def letter_scorer(lists: list[tuple[str, list[str]]]) -> list[list[float]]:
+    """A batch scorer that SQL can say: the first two hex digits of a hash of the item, as letters."""
+    import hashlib
+
+    digits = lambda item: hashlib.md5(item.encode()).hexdigest()
+    return [[ord(digits(i)[0]) * 2.0 + ord(digits(i)[1]) for i in shown] for _, shown in lists]
+
+
+@query("zero_shot_run", """WITH z AS (SELECT user_id, permutation_index, item_id, CAST(input_position AS INT) AS input_position, CAST(ascii(substr(md5(item_id), 1, 1)) * 2 + ascii(substr(md5(item_id), 2, 1)) AS DOUBLE) AS score FROM runs)
+    SELECT *, CAST(row_number() OVER (PARTITION BY user_id, permutation_index ORDER BY score DESC, input_position) - 1 AS INT) AS output_rank FROM z""", runs=RUNS)
+def _(spark, runs):
+    return reranking.run_reranking(_shown(runs), letter_scorer)
+
+
+ODD_REQUESTS = f"""SELECT user_id, item_id, input_position, CASE WHEN user_id % 6 = 1 AND input_position = 2 THEN 0 ELSE input_position END AS place,
+    CASE WHEN user_id % 4 = 1 AND input_position = 3 THEN ' ' ELSE concat('T ', item_id) END AS title, CASE WHEN user_id % 5 = 1 AND input_position = 1 THEN 'i' ELSE item_id END AS odd FROM ({RUNS}) z WHERE permutation_index = 1"""
+
+
+@query("request_violations", """WITH r AS (SELECT user_id, count(*) AS n, count(DISTINCT odd) AS items, count(*) FILTER (WHERE trim(title) = '') AS blank, count(DISTINCT place) AS places FROM rows GROUP BY user_id)
+    SELECT rule, v AS violations FROM (SELECT 'no_candidates' AS rule, count(*) FILTER (WHERE n = 0) AS v FROM r UNION ALL SELECT 'missing_ids', 0 UNION ALL SELECT 'repeated_items', count(*) FILTER (WHERE items < n) FROM r
+    UNION ALL SELECT 'blank_titles', count(*) FILTER (WHERE blank > 0) FROM r UNION ALL SELECT 'broken_order', count(*) FILTER (WHERE places < n) FROM r) z""", rows=ODD_REQUESTS)
+def _(spark, rows):
+    e = F.array_sort(F.collect_list(F.struct("input_position", "odd", "title", "place")))
+    each = lambda c: F.transform("e", lambda x: x[c])
+    return reranking.request_violations(rows.groupBy("user_id").agg(e.alias("e")).select("user_id", each("odd").alias("items"), each("title").alias("titles"), each("place").alias("permutation")))
+
+
+@query("training_samples", """WITH z AS (SELECT r.user_id, r.item_id, r.output_rank + 1 AS rank, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS y FROM runs r LEFT JOIN (SELECT DISTINCT user_id, item_id FROM truth) t ON t.user_id = r.user_id AND t.item_id = r.item_id WHERE r.permutation_index = 1)
+    SELECT user_id, string_agg(item_id, ',' ORDER BY rank) AS items, string_agg(CAST(y AS VARCHAR), ',' ORDER BY rank) AS relevance FROM z GROUP BY user_id HAVING max(y) = 1""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    out = reranking.training_samples(runs.where("permutation_index = 1").select("user_id", "item_id", (F.col("output_rank") + 1).alias("rank")), truth)
+    return out.select("user_id", F.array_join("items", ",").alias("items"), F.array_join(F.col("relevance").cast("array<string>"), ",").alias("relevance"))
+
+
+#: Users of whom every third has its own list only.
+FALLBACK = f"SELECT * FROM ({RUNS}) z WHERE user_id % 3 <> 0 OR permutation_index = 2"
+
+
+@query("effectiveness_fallback", EFFECT + " SELECT " + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in ("hit_rate", "recall", "ndcg", "mrr")) + " FROM f", runs=FALLBACK, truth=TRUTH)
+def _(spark, runs, truth):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("output_rank", "item_id"))), lambda x: x["item_id"])
+    lists = runs.groupBy("user_id", "permutation_index").agg(ids.alias("ids"))
+    many = F.col("user_id") % 3 != 0
+    users = lists.groupBy("user_id").agg(F.collect_list(F.when(many, F.struct("permutation_index", F.col("ids").alias("reranked_item_ids")))).alias("permutations"), F.first(F.when(~many, F.col("ids"))).alias("reranked_item_ids"))
+    return rounded(metrics.effectiveness(reports.result_lists(users), truth, K), "hit_rate", "recall", "ndcg", "mrr")
+
+
+@query("position_bias", EXPOSURE + f""" SELECT 3 AS k, (SELECT count(DISTINCT user_id) FROM runs) AS num_users, (SELECT count(DISTINCT (user_id, permutation_index)) FROM runs) AS num_lists, (SELECT count(*) FROM runs) AS num_observations,
+    string_agg(CAST(input_position AS VARCHAR), ',' ORDER BY input_position) AS places, round(max(abs(exposure - expected)), {DIGITS}) AS max_abs_deviation, round(avg(abs(exposure - expected)), {DIGITS}) AS mean_abs_deviation FROM e""", runs=RUNS)
+def _(spark, runs):
+    out = reports.position_bias(runs, K).withColumn("places", F.array_join(F.col("input_position").cast("array<string>"), ","))
+    return rounded(out, "max_abs_deviation", "mean_abs_deviation").select("k", "num_users", "num_lists", "num_observations", "places", "max_abs_deviation", "mean_abs_deviation")
+
+
+@query("evaluation_row", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return reports.evaluation(runs, truth, K, full=True)
+
+
+@query("export_selection", """WITH u AS (SELECT DISTINCT user_id FROM truth), o AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM u),
+    h AS (SELECT DISTINCT o.user_id, o.place FROM o JOIN truth t ON t.user_id = o.user_id JOIN runs r ON r.user_id = t.user_id AND r.item_id = t.item_id WHERE r.permutation_index = 1 AND r.output_rank < 2),
+    s AS (SELECT * FROM h ORDER BY place LIMIT 5), n AS (SELECT count(*) AS total FROM u)
+    SELECT (SELECT total FROM n) AS num_users_available, count(*) AS num_users_selected, CASE WHEN count(*) >= 5 THEN least((SELECT total FROM n), (max(place) // 4 + 1) * 4) ELSE (SELECT total FROM n) END AS num_users_scanned,
+    CAST(5 AS BIGINT) AS max_users, false AS sample_users, 42 AS user_sample_seed, 'ground_truth_in_candidates' AS selection_mode FROM s""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return reports.export_users(runs.where("permutation_index = 1 AND output_rank < 2"), truth, max_users=5, truth_only=True, batch=4)[1]
+
+
 # --- losses, interaction, checks -----------------------------------------------------------------------------------
 
 @query("lambda_rank_loss", f"""WITH z AS (SELECT *, pow(2.0::DOUBLE, relevance) - 1 AS g, 1 / log2(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, position) + 1) AS d, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, position) AS i FROM scored),

@@ -73,6 +73,13 @@ def reranking_path(directory: str, reranker: str, scoring: str, architecture: st
     return f"{directory}/{reranker}_{scoring}" + (f"_{architecture}" if architecture else "") + (f"_perm{permutations}" if permutations > 1 else "") + ".json"
 
 
+def metrics_path(directory: str, stage: str, dataset: str, retriever: str, k: int, *sources: str) -> str:
+    """Where a stage's figures go: retrieval, reranking or position_bias; sources name the candidates and the run, without their endings."""
+    if stage not in ("retrieval", "reranking", "position_bias"):
+        raise ValueError(f"no such stage: {stage}")
+    return "/".join([directory, stage, dataset, retriever, *(Path(s).stem for s in sources), f"metrics_at_{k}.json"])
+
+
 def read_settings(path: str) -> dict:
     """A JSON or YAML mapping."""
     text = Path(path).read_text(encoding="utf-8")
