@@ -217,12 +217,14 @@ def rules_column(rules: list[Rule], stats: str = "_stats") -> Column:
 
 
 def judge_quality(docs: DataFrame, rules: list[Rule], min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """docs and a struct `_quality`: the statistics, base_failed, rule (which rejected it, or null) and kept."""
-    out = text_stats(docs)
-    stats = F.col("_stats")
-    failed = base_failed(stats, min_words, max_repeat_percent)
+    """docs and a struct `_quality`: the statistics, base_failed, rule (which rejected it, or null) and kept. A column of that name is replaced."""
+    names = docs.columns
+    inner = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
+    out = text_stats(inner)
+    failed = base_failed(F.col("_stats"), min_words, max_repeat_percent)
     out = out.withColumn("_rule", rules_column(rules))
-    return out.withColumn("_quality", F.struct("_stats.*", failed.alias("base_failed"), F.col("_rule").alias("rule"), (~failed & F.col("_rule").isNull()).alias("kept"))).drop("_stats", "_rule")
+    quality = F.struct("_stats.*", failed.alias("base_failed"), F.col("_rule").alias("rule"), (~failed & F.col("_rule").isNull()).alias("kept"))
+    return out.select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names) if c != "_quality"), quality.alias("_quality"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], **base) -> DataFrame:
