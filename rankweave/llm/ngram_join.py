@@ -44,6 +44,8 @@ from rankweave.llm.common import HashedWords, arrow_batches, shared_dir, stored
 
 SLICES = 64
 MAX_MATCHES = 8
+#: Tasks whose counters of a slice are summed in one group: at most 16 * 2 MB.
+FAN_IN = 16
 BATCH_SHINGLES = 250_000
 MAX_CACHED = 400_000
 #: Rows of an Arrow batch: texts and parity bits of 10,000 rows, Spark's default, can be large in both the JVM and Python.
@@ -191,9 +193,10 @@ def _from_planes(raw: bytes, kind) -> np.ndarray:
 
 
 def _sketch(signatures: DataFrame, bits: int) -> tuple[np.ndarray, float]:
-    """The codes of the tasks' summed sketches, and the mean: slice by slice in two levels; a byte a counter comes to the driver."""
-    total = signatures.where(F.col("slice") < 0).agg(F.sum("n")).first()[0] or 0
-    mean = total / (1 << bits)
+    """The codes of the tasks' summed sketches, and the mean: slice by slice, FAN_IN tasks' counters at a time in as many levels as
+    the tasks ask for, so a group stays small at any number of them; a byte a counter comes to the driver."""
+    said = signatures.agg(F.sum(F.when(F.col("slice") < 0, F.col("n"))).alias("total"), F.max("part").alias("last")).first()
+    mean = (said["total"] or 0) / (1 << bits)
 
     def summed(pdf: pd.DataFrame) -> np.ndarray:
         out = np.zeros((1 << bits) // SLICES, np.uint64)
@@ -202,14 +205,18 @@ def _sketch(signatures: DataFrame, bits: int) -> tuple[np.ndarray, float]:
         return out
 
     def some(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [int(key[0])], "counts": [_planes(summed(pdf))]})
+        return pd.DataFrame({"slice": [int(key[0])], "part": [int(key[1])], "counts": [_planes(summed(pdf))]})
 
     def coded(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"slice": [int(key[0])], "counts": [sketch_codes(summed(pdf).astype(float), mean).tobytes()]})
 
-    rows = signatures.where(F.col("slice") >= 0).select("slice", "counts", F.expr("part div 64").alias("part"))
-    rows = rows.groupBy("slice", "part").applyInPandas(lambda k, p: some(k, p), "slice int, counts binary")
-    rows = rows.groupBy("slice").applyInPandas(lambda k, p: coded(k, p), "slice int, counts binary")
+    rows = signatures.where(F.col("slice") >= 0).select("slice", "part", "counts")
+    parts = (said["last"] or 0) + 1
+    while parts > FAN_IN:
+        rows = rows.select("slice", F.expr(f"part div {FAN_IN}").cast("int").alias("part"), "counts")
+        rows = rows.groupBy("slice", "part").applyInPandas(lambda k, p: some(k, p), "slice int, part int, counts binary")
+        parts = -(-parts // FAN_IN)
+    rows = rows.select("slice", "counts").groupBy("slice").applyInPandas(lambda k, p: coded(k, p), "slice int, counts binary")
     out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for r in rows.collect():
         out[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint8)

@@ -137,6 +137,21 @@ def test_connected_components(spark, tmp_path):
     assert got == {x: c for x, c in at.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_sketches_add_up_in_levels(spark, monkeypatch):
+    """Any number of tasks and levels gives the sketch that one task makes."""
+    texts = near_copies(4, 6, True)
+    bits = 18
+    want, mean = None, None
+    for parts, fan in ((1, 16), (13, 2), (13, 16)):
+        monkeypatch.setattr(ngram_join, "FAN_IN", fan)
+        signed = ngram_join._signatures(frame(spark, texts).repartition(parts), 5, bits).persist()
+        got, m = ngram_join._sketch(signed, bits)
+        signed.unpersist()
+        want, mean = (got, m) if want is None else (want, mean)
+        assert m == mean and (got == want).all()
+    assert want.any()
+
+
 # --- nearest neighbours --------------------------------------------------------------------------------------------
 
 def test_nearest_neighbours(spark):
@@ -281,6 +296,41 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_documents(df.limit(0), m).count() == 0
 
 
+def test_kneser_ney_equals_its_definition():
+    """Each probability, computed anew from the raw words: discounted counts of a class over continuation counts of both."""
+    rng = random.Random(4)
+    classes = [["".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(60)] for _ in range(2)]
+    order, shared, d = 4, 2, 0.75
+    padded = [["\x02" * (order - 1) + w + "\x03" for w in words] for words in classes]
+    kinds = lambda n: {s[i - n + 1 : i + 1] for words in padded for s in words for i in range(order - 1, len(s))}
+
+    def probability(own, h, x):
+        if len(h) < shared:
+            grams = Counter(g[1:] for g in kinds(len(h) + 2))
+        else:
+            grams = Counter(s[i - len(h) : i + 1] for s in own for i in range(order - 1, len(s)))
+        after = {g: n for g, n in grams.items() if g[:-1] == h}
+        lower = probability(own, h[1:], x) if h else 1 / (len({g for g in Counter(k[1:] for k in kinds(2))}) + 1)
+        if not after:
+            return lower
+        return (max(after.get(h + x, 0) - d, 0) + d * len(after) * lower) / sum(after.values())
+
+    counts = []
+    for words in classes:
+        total = Counter()
+        for part in toxicity.word_grams(Counter(words).items(), order, Counter()):
+            total.update(part)
+        rest = Counter()
+        list(toxicity.word_grams(Counter(words).items(), order, rest))
+        counts.append(dict(total + rest))
+    model = toxicity.KneserNey(counts, order, shared, d)
+    for h in ("\x02\x02\x02", "\x02\x02a", "abc", "dda", "zab", "zzz"):
+        for x in "abcd\x03z":
+            p, q = (probability(own, h, x) for own in padded)
+            assert model.evidence(h, x) == pytest.approx(math.log2(p) - math.log2(q), abs=1e-9)
+        assert sum(probability(padded[0], h, x) for x in "abcd\x03z") == pytest.approx(1.0)
+
+
 def test_toxicity_counts_whole_words(spark):
     rng = random.Random(8)
     piece = lambda: "".join(rng.choice("abcdefghij") for _ in range(10))
