@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bloom_lm, line_dedup, ngram_join, packing, permutation_index, quality_rules, secret_scan, sentencepiece_bpe, toxicity, url_filter
+from rankweave.llm import bloom_lm, conversation_repair, language_id, line_dedup, ngram_join, packing, permutation_index, quality_rules, secret_scan, sentencepiece_bpe, token_alignment, toxicity, url_filter
 from rankweave.llm.common import crc_fold, table
 
 # The url rules.
@@ -81,6 +81,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.audit_conversations(conversation_repair.damage(rows), rows.select("conv_id"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.identify(docs, language_id.fit(docs, held_out=1, folds=3))
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_join": op2_ngram_join,
@@ -92,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_language_id": op12_language_id,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
