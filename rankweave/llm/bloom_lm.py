@@ -214,11 +214,13 @@ def _unpack_keys(k: bytes) -> np.ndarray:
 
 def _pack(keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Sorted keys as differences, byte by byte of all: leading zeros stand together and compress."""
-    return _pack_keys(keys), counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), kinds.astype(np.uint8).tobytes()
+    wide = 8 if counts.max(initial=0) >> 32 else 4
+    return _pack_keys(keys), counts.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes(), kinds.astype(np.uint8).tobytes()
 
 
 def _unpack(k: bytes, c: bytes, kinds: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    wide = 8 * len(c) // max(1, len(k)) or 4
+    counts = np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(wide, -1).T).view(f"<u{wide}").ravel()
     return _unpack_keys(k), counts.astype(np.int64), np.frombuffer(kinds, np.uint8)
 
 

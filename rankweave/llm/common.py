@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
 #: A random number for each byte but the separators, which are 0; and powers of an odd number, as many as the longest word so far has bytes.
 _LETTER = _scrambled(np.arange(1, 257, dtype=np.uint64))
 _LETTER[[32, 9, 10, 11, 12, 13]] = 0
+LONG_WORD, HASH_SEED = 64, 0x9E3779B97F4A7C15
 _POWERS = [np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))]
 
 
@@ -40,7 +42,11 @@ def bytes_words(text: str | None) -> list[bytes]:
 
 
 class HashedWords:
-    """64-bit hashes of a text's words (A-Z lower-cased, in UTF-8), without making the words: a polynomial over each word's bytes."""
+    """64-bit hashes of a text's words (A-Z lower-cased, in UTF-8), without making the words: a polynomial over each word's bytes.
+
+    Modulo 2^64 some long words have equal polynomials whatever the base is (a Thue-Morse word of two letters and the same with its letters
+    exchanged), so words of more than `LONG_WORD` bytes get another hash, of their bytes.
+    """
 
     __slots__ = ("raw", "starts", "hashes")
 
@@ -59,10 +65,17 @@ class HashedWords:
         if (top := int(sizes.max())) > len(_POWERS[0]):
             _POWERS[0] = np.cumprod(np.full(2 * top, 0x9E3779B97F4A7C15, np.uint64))
         self.hashes = _scrambled(np.add.reduceat(values[first:] * _POWERS[0][place], self.starts - first))
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            word = self._bytes(i)
+            if len(word) > LONG_WORD:  # sizes count the separators after a word too
+                self.hashes[i] = xxhash.xxh3_64_intdigest(word, HASH_SEED)
 
-    def word(self, i: int) -> str:
+    def _bytes(self, i: int) -> bytes:
         end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.raw)
-        return self.raw[self.starts[i] : end].rstrip(b" \t\n\x0b\x0c\r").decode("utf-8", "surrogatepass")
+        return self.raw[self.starts[i] : end].rstrip(b" \t\n\x0b\x0c\r")
+
+    def word(self, i: int) -> str:
+        return self._bytes(i).decode("utf-8", "surrogatepass")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -371,3 +371,39 @@ def test_pipeline_stages(spark):
     for name, stage in C.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert [n for n, _ in C.STAGES] == ["quality_rules", "line_dedup", "ngram_join", "secret_scan", "packing"]
+
+
+# --- words that a polynomial modulo 2^64 can't tell apart -------------------------------------------------------------
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_with_equal_polynomials_are_different_words(spark):
+    one, other = thue_morse(4096, "ab"), thue_morse(4096, "ba")
+    from rankweave.llm.common import HashedWords
+
+    h = HashedWords(f"{one} {other}  {' ' * 100} x{' ' * 100}{one} x").hashes
+    assert h[0] != h[1] and h[0] == h[3] and h[2] == h[4]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(frame(spark, [one, other, one])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    # op6: the bigrams and op7: the kept evidence of both words
+    texts = [f"{one} end"] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, words = bloom_lm.train(docs, held_out=2, folds=7)
+    ask = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in bloom_lm.score_documents(ask, model, words).collect()}
+    assert scores[1] > scores[2]
+    grams = [dict(sum(toxicity.word_grams([(w, 5)], 5, g := Counter()), Counter()) + g) for w in (one, "other")]
+    known = toxicity.WordEvidence(toxicity.KneserNey(grams, 5))
+    found = known.of([HashedWords(one), HashedWords(other)])
+    assert found[0].tolist() == list(known.measure(one)) and found[1].tolist() == list(known.measure(other))
+
+
+def test_counts_over_32_bits_survive_packing():
+    keys = np.array([3, 9, 2**63], np.uint64)
+    for counts in ([1, 2**33, 7], [1, 2, 3], [2**32, 0, 1]):
+        k, c, kinds = bloom_lm._unpack(*bloom_lm._pack(keys, np.array(counts, np.int64), np.array([0, 1, 2])))
+        assert k.tolist() == keys.tolist() and c.tolist() == counts and kinds.tolist() == [0, 1, 2]
+    empty = bloom_lm._unpack(*bloom_lm._pack(keys[:0], np.array([], np.int64), np.array([])))
+    assert [len(x) for x in empty] == [0, 0, 0]
