@@ -40,6 +40,19 @@ def id_mapping(log: DataFrame, raw: str, name: str) -> DataFrame:
     return ids.join(F.broadcast(offsets), "_p").select("raw", (inner - 1 + F.col("_o")).alias(name))
 
 
+def numbered(rows: DataFrame, *order: Column, name: str) -> DataFrame:
+    """rows with their place from 0 in an order, numbered in parallel as id_mapping does. Eager: the sorted rows are stored."""
+    spark = rows.sparkSession
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # a row's number in its partition
+    rows = stored_once(rows.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": inside}))
+    sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    offset, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, offset))
+        offset += sizes[p]
+    return rows.join(F.broadcast(spark.createDataFrame(offsets, "_p int, _o long")), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
 def positives(log: DataFrame, min_rating: float) -> DataFrame:
     return log.where(F.col("rating") >= min_rating)
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Item factors that go to the tasks at once; more items than these are scored in several blocks.
-BLOCK_ITEMS = 50_000
+from rankweave.operators import prep
+
+#: Items scored or skipped together; items that go to the tasks at once; cells of one product.
+BLOCK_ITEMS, PASS_ITEMS, PRODUCT_CELLS = 2048, 200_000, 2_000_000
+#: How much a product may differ from the exact sum, for values near 1.
+SLACK = 1e-9
 #: User-item matrices of at most so many cells (64 MB) are dense in training.
 DENSE_CELLS = 8_000_000
 
@@ -45,53 +52,95 @@ def propagated_mean(edges: DataFrame, x: DataFrame, layers: int) -> DataFrame:
 
 
 def recommend(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
-    """(user_id, item_id, score, rank) of each user's k best items by inner product that aren't seen; ties to the smaller item.
+    """(user_id, item_id, score, rank) of each user's k best items by inner product that aren't seen; ties to the smaller item."""
+    found = pruned_topk(users, items, seen, k)
+    rows = found.select("user_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "x"))
+    return rows.select("user_id", F.col("x.ids").alias("item_id"), F.col("x.scores").alias("score"), (F.col("at") + 1).alias("rank"))
+
+
+def pruned_topk(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, block_items: int = BLOCK_ITEMS, pass_items: int = PASS_ITEMS) -> DataFrame:
+    """(user_id, ids, scores, scored, skipped): each user's k best unseen items, best first, and how many item blocks were scored and skipped for it.
 
-    Items come in blocks of bounded size; a block is scored for a batch of users by one matrix product, and only the best
-    k + (items the user has seen) of a block can be among the k best unseen ones, so no more rows than those are made.
+    Items stand in blocks by falling norm. A user's score in a block is at most its norm times the block's largest, so a block where that is below the
+    user's k-th score so far is skipped. Blocks come in passes of `pass_items` items, broadcast one after the other; users for whom no further
+    pass can matter leave. A user's seen items travel with it: bounded by its own history.
     """
-    spark = users.sparkSession
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
-    with_seen = users.select("user_id", "vec")
+    if k < 1:
+        raise ValueError("k is positive")
+    rows = users.select(F.col("user_id").cast("long").alias("user_id"), F.col("vec").cast("array<double>").alias("vec"))
     if seen is not None:
-        # a row for each user and seen item would be large in one array only for one user's own items: bounded by the user's history
-        own = seen.groupBy("user_id").agg(F.collect_set(F.col("item_id").cast("long")).alias("seen"))
-        with_seen = with_seen.join(own, "user_id", "left")
+        own = seen.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.collect_set(F.col("item_id").cast("long")).alias("seen"))
+        rows = rows.join(own, "user_id", "left")
     else:
-        with_seen = with_seen.withColumn("seen", F.array().cast("array<bigint>"))
+        rows = rows.withColumn("seen", F.lit(None).cast("array<bigint>"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = rows.withColumns({"ids": none("bigint"), "scores": none("double"), "scored": F.lit(0).cast("long"), "skipped": F.lit(0).cast("long")})
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "vec").orderBy("item_id").collect()
-        ids = np.array([r[0] for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
-        part = with_seen.mapInPandas(lambda it, s=shared: _scored(it, *s.value, k), "user_id long, item_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _scored(batches, ids: np.ndarray, factors: np.ndarray, k: int):
+    for number, (ids, factors, left) in enumerate(_item_passes(items, pass_items)):
+        if number:
+            rows = prep.stored_once(rows)
+            # what a user may still reach: its norm times the largest norm of this pass
+            top = F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.lit(float(np.sqrt((factors**2).sum(1).max()) * (1 + SLACK)) + SLACK)
+            open_ = (F.size("ids") < k) | (top >= F.element_at("scores", -1))
+            gone = rows.where(~open_).withColumn("skipped", F.col("skipped") + -(-left // block_items))
+            out = gone if out is None else out.unionByName(gone)
+            rows = rows.where(open_)
+        shared = users.sparkSession.sparkContext.broadcast((ids, factors))
+        rows = rows.mapInPandas(lambda it, s=shared: _scored(it, *s.value, k, block_items), "user_id long, vec array<double>, seen array<bigint>, ids array<bigint>, scores array<double>, scored long, skipped long")
+    rows = rows if out is None else out.unionByName(rows)
+    return rows.select("user_id", "ids", "scores", "scored", "skipped")
+
+
+def _item_passes(items: DataFrame, pass_items: int):
+    """(ids, factors, items from here on) by falling norm, then id, at most pass_items at once."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast("array<double>").alias("vec"))
+    total = rows.count()
+    if total > pass_items:
+        rows = rows.withColumn("_norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
+        rows = prep.stored_once(prep.numbered(rows, F.desc("_norm"), F.col("item_id"), name="_at"))
+    for start in range(0, max(total, 1), pass_items):
+        part = rows if total <= pass_items else rows.where(F.col("_at").between(start, start + pass_items - 1))
+        got = part.select("item_id", "vec").collect()
+        ids, factors = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float).reshape(len(got), -1)
+        by = np.lexsort((ids, -np.round(np.sqrt((factors**2).sum(1)), 9)))
+        yield ids[by], factors[by], total - start
+
+
+def _scored(batches, ids: np.ndarray, factors: np.ndarray, k: int, block_items: int):
+    """One pass over users: products of whole batches choose what may be among the best, sums in the order of components score it exactly."""
+    blocks = [(ids[i : i + block_items], np.ascontiguousarray(factors[i : i + block_items])) for i in range(0, len(ids), block_items)]
+    most = [float(np.sqrt((f**2).sum(1)).max()) for _, f in blocks]
     for b in batches:
-        users, found, scores = [], [], []
-        for user, vec, seen in zip(b["user_id"], b["vec"], b["seen"], strict=True):
-            # exact sums in the order of components, so that equal vectors tie
-            s = np.round((factors * np.asarray(vec, float)).sum(axis=1), 12)
-            if seen is not None and len(seen):
-                s[np.isin(ids, np.asarray(seen, np.int64))] = -np.inf
-            best = np.lexsort((ids, -s))[:k] if len(s) <= 4 * k else _top(s, ids, k)
-            best = best[np.isfinite(s[best])]
-            users.append(np.full(len(best), user))
-            found.append(ids[best])
-            scores.append(s[best])
-        if users:
-            yield pd.DataFrame({"user_id": np.concatenate(users), "item_id": np.concatenate(found), "score": np.concatenate(scores)})
-
-
-def _top(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    cut = np.partition(s, len(s) - k)[len(s) - k]
-    near = np.flatnonzero(s >= cut)
-    return near[np.lexsort((ids[near], -s[near]))][:k]
+        vecs = np.array(b["vec"].tolist(), float).reshape(len(b), -1)
+        norms = np.sqrt((vecs**2).sum(1))
+        seen = [np.asarray(x, np.int64) if x is not None else np.empty(0, np.int64) for x in b["seen"]]
+        best = [(np.asarray(i, np.int64), np.asarray(s, float)) for i, s in zip(b["ids"], b["scores"], strict=True)]
+        kth = np.array([s[-1] if len(s) == k else -np.inf for _, s in best])
+        scored = np.zeros(len(b), np.int64)
+        for (own, f), top in zip(blocks, most, strict=True):
+            slack = SLACK * (1 + norms * top)
+            active = np.flatnonzero(norms * top + slack >= kth)
+            scored[active] += 1
+            step = max(1, PRODUCT_CELLS // len(own))
+            for at in range(0, len(active), step):
+                some = active[at : at + step]
+                products = vecs[some] @ f.T
+                for u, s in zip(some.tolist(), products, strict=True):
+                    room = k + len(seen[u])
+                    least = np.partition(s, len(s) - room)[len(s) - room] if len(s) > room else -np.inf
+                    near = np.flatnonzero(s >= max(least, kth[u]) - slack[u])
+                    if len(seen[u]):
+                        near = near[~np.isin(own[near], seen[u])]
+                    if not len(near):
+                        continue
+                    # rounded, so that equal vectors tie
+                    exact = np.round((f[near] * vecs[u]).sum(axis=1), 12)
+                    i, x = np.concatenate([best[u][0], own[near]]), np.concatenate([best[u][1], exact])
+                    by = np.lexsort((i, -x))[:k]
+                    best[u] = i[by], x[by]
+                    if len(by) == k:
+                        kth[u] = x[by[-1]]
+        yield b.assign(ids=[i for i, _ in best], scores=[s for _, s in best], scored=b["scored"].to_numpy() + scored, skipped=b["skipped"].to_numpy() + len(blocks) - scored)
 
 
 def without_seen(ranked: DataFrame, seen: DataFrame) -> DataFrame:
@@ -219,6 +268,35 @@ def lightgcn_fit(pairs: np.ndarray, n_users: int, n_items: int, dim: int = 64, l
     return f[:n_users], f[n_users:], losses
 
 
+def scan_for_truth(order: DataFrame, score: Callable[[DataFrame], DataFrame], truth: DataFrame, max_users: int | None = None, batch: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The first users, in order (user_id, place from 0), whose candidates hit their truth, scoring no more users than that takes.
+
+    score(users) gives (user_id, item_id, rank) of some users. Users are scored in steps of 1, 2, 4, ... batches, each stored before the next, until there are
+    enough. Returns (user_id, place, scanned_users) and the candidates of these users; scanned_users counts whole batches up to the last user needed.
+    """
+    if batch < 1 or (max_users is not None and max_users < 1):
+        raise ValueError("batch and max_users are positive")
+    order = prep.stored_once(order.select("user_id", "place"))
+    total = order.count()
+    need, got, start, size, steps = total if max_users is None else max_users, 0, 0, batch, []
+    while start < total and got < need:
+        users = order.where(F.col("place").between(start, start + size - 1))
+        ranked = prep.stored_once(score(users.select("user_id")))
+        hits = prep.stored_once(covered_users(ranked, truth).join(users, "user_id"))
+        got += hits.count()
+        steps.append((ranked, hits))
+        start, size = start + size, 2 * size
+    if not steps:
+        ranked = score(order.select("user_id"))
+        return order.limit(0).withColumn("scanned_users", F.lit(0).cast("long")), ranked.limit(0)
+    ranked, hits = (reduce(DataFrame.unionByName, x) for x in zip(*steps, strict=True))
+    kept = hits if max_users is None else hits.orderBy("place").limit(max_users)
+    last = kept.agg(F.max("place")).first()[0]
+    scanned = min(total, (last // batch + 1) * batch) if got >= need else total
+    kept = prep.stored_once(kept.select("user_id", "place", F.lit(scanned).cast("long").alias("scanned_users")))
+    return kept, ranked.join(kept.select("user_id"), "user_id", "left_semi")
+
+
 def truth_scan(ranked: DataFrame, truth: DataFrame, order: DataFrame, max_users: int | None = None, batch: int = 256) -> DataFrame:
     """(user_id, place, scanned_users): the first users, in order (user_id, place from 0), whose candidates hit their truth.
 

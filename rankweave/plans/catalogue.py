@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions import sampling
-from rankweave.operators import aggregate, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, records, reports, reranking, retrieval
+from rankweave.operators import aggregate, interaction, losses, marker, metadata, metrics, negatives, parsing, permutations, prep, prompts, records, reports, reranking, retrieval, templates
 from rankweave.plans import fixtures as X
 
 K = 3
@@ -289,8 +289,12 @@ def _(spark, log, vectors):
     a AS (SELECT count(*) AS total FROM po), l AS (SELECT max(n) AS n, max(place) AS last FROM ks WHERE n <= 5)
     SELECT user_id, place, CASE WHEN l.n >= 5 THEN least(total, (last // 16 + 1) * 16) ELSE total END AS scanned_users FROM ks, a, l WHERE ks.n <= 5""", log=LOG, vectors=VECTORS)
 def _(spark, log, vectors):
-    rec, truth = _unseen(log, vectors)
-    return retrieval.truth_scan(rec, truth, sampling.order_users(rec), 5, 16)
+    rows = _split(log)
+    users, items = _factors(log, vectors)
+    seen = prep.seen_items(prep.context_of("test", rows))
+    truth = rows.where((F.col("split") == "test") & (F.col("rating") >= 4.0)).select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id"))
+    score = lambda some: retrieval.recommend(users.join(some, "user_id"), items, seen, 10)
+    return retrieval.scan_for_truth(sampling.order_users(users), score, truth, 5, 16)[0]
 
 
 @query("candidate_coverage", UNSEEN + f""" SELECT count(*) AS users_before, count(h.user_id) AS users_with_truth, round(count(h.user_id)::DOUBLE / count(*), {DIGITS}) AS coverage
@@ -308,6 +312,36 @@ def _(spark, log, vectors, items):
 def _(spark, runs, truth):
     return retrieval.relevance(runs, truth).select("user_id", "permutation_index", "item_id", "relevance")
 
+NEGATIVE = """WITH r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id) - 1 AS copy FROM pairs), seen AS (SELECT DISTINCT user_id, item_id FROM pairs),
+n AS (SELECT max(item_id) + 1 AS n FROM pairs), d AS (SELECT r.*, t.k, ('0x' || substr(md5(concat('42|0|', user_id, '|', item_id, '|', copy, '|', t.k)), 1, 15))::BIGINT AS x FROM r, range(0, 7) t(k)),
+o AS (SELECT d.user_id, d.item_id, copy, arg_min(x % n.n, k) AS negative FROM d, n WHERE k < 6 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = d.user_id AND s.item_id = x % n.n) GROUP BY ALL),
+u AS (SELECT a.user_id, i.i, row_number() OVER (PARTITION BY a.user_id ORDER BY i.i) - 1 AS j, count(*) OVER (PARTITION BY a.user_id) AS m FROM (SELECT DISTINCT user_id FROM pairs) a CROSS JOIN range(0, (SELECT n FROM n)) i(i)
+      LEFT JOIN seen s ON s.user_id = a.user_id AND s.item_id = i.i WHERE s.item_id IS NULL),
+l AS (SELECT d.user_id, d.item_id, copy, u.i FROM d JOIN u ON d.user_id = u.user_id AND d.x % u.m = u.j WHERE k = 6)
+SELECT r.user_id, r.item_id, r.copy, coalesce(o.negative, l.i) AS negative FROM r LEFT JOIN o ON o.user_id = r.user_id AND o.item_id = r.item_id AND o.copy = r.copy LEFT JOIN l ON l.user_id = r.user_id AND l.item_id = r.item_id AND l.copy = r.copy"""
+LIKED = "SELECT user_id, item_id FROM (" + LOG + ") x WHERE rating >= 4.0"
+
+
+def _negatives(pairs: DataFrame) -> DataFrame:
+    return negatives.negative_items(pairs, pairs, int(pairs.agg(F.max("item_id")).first()[0]) + 1)
+
+
+@query("negative_items", NEGATIVE, pairs=LIKED)
+def _(spark, pairs):
+    return _negatives(pairs)
+
+
+# so few items that most draws are refused, and some users have seen them all
+@query("negative_items_dense", NEGATIVE, pairs=LIKED.replace("item_id FROM", "item_id % 9 AS item_id FROM", 1))
+def _(spark, pairs):
+    return _negatives(pairs)
+
+
+@query("recommend_pruned", "WITH one AS (SELECT 1)" + SCORES + f" SELECT user_id, item_id, round(score, {DIGITS}) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc) WHERE rank <= 10", log=LOG, vectors=VECTORS)
+def _(spark, log, vectors):
+    found = retrieval.pruned_topk(*_factors(log, vectors), None, 10, block_items=64, pass_items=1000)
+    return rounded(found.select("user_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("user_id", F.col("x.ids").alias("item_id"), F.col("x.scores").alias("score")), "score")
+
 
 @query("als_recommend", log=LOG)
 def _(spark, log):
@@ -685,6 +719,47 @@ def _(spark, log, items):
     labels = F.transform(F.sequence(F.lit(0), F.size("candidates") - 1), lambda i: F.concat(F.lit("C"), i.cast("string")))
     return _prompt_rows(log, items).select("user_id", prompts.list_prompt(F.col("history"), F.col("candidates"), labels).alias("prompt"))
 
+CUSTOM = {"instruction": "Order {{these}}.", "history_header": "", "history_item_format": "{item_id}: {title} [{year}]{{ok}}", "candidate_item_format": "{title}|{genres}{rating_text}", "candidate_separator": "--"}
+
+
+@query("prompt_template", SQL["prompt_marker"][SQL["prompt_marker"].index(", r AS (") :].replace(", r AS (", "WITH r AS (", 1), log=LOG, items=PROMPT_ITEMS)
+def _(spark, log, items):
+    made = templates.templated_prompt(F.col("history"), F.col("candidates"), templates.load_template(spark), ["title", "year", "rating", "genres"])
+    return _prompt_rows(log, items).select("user_id", made.alias("prompt"))
+
+
+@query("prompt_template_own", PROMPT.format(h=f"string_agg('0: ' || t || ' [' || substr(yt, 3, 4) || ']{{{{ok}}}}', {NL} ORDER BY a) FILTER (WHERE a <= 5)", c=f"string_agg('<i>' || {NL} || t || '|' || substr(gt, 11) || rt || {NL} || '</i>' || {NL} || '--', {NL} ORDER BY b) FILTER (WHERE b <= 5)") + f""" SELECT user_id, concat_ws({NL}, '<u>', 'Order {{{{these}}}}.', '', h, '</u>', '', c) AS prompt FROM h""", log=LOG, items=PROMPT_ITEMS)
+def _(spark, log, items):
+    made = templates.templated_prompt(F.col("history"), F.col("candidates"), templates.DEFAULT | CUSTOM, ["title", "year", "rating", "genres"], ("<u>", "</u>", "<i>", "</i>"))
+    return _prompt_rows(log, items).select("user_id", made.alias("prompt"))
+
+
+CELLS = """SELECT p_partkey AS item_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('P', CAST(p_partkey AS VARCHAR(20))) END AS raw_item_id, p_name AS title,
+  CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('["', p_type, '", "', p_brand, '"]') WHEN 2 THEN concat('[', p_type, ']') WHEN 3 THEN concat(p_type, '||', p_brand) WHEN 4 THEN ' [] ' ELSE p_brand END AS genres,
+  CASE p_partkey % 3 WHEN 0 THEN concat(chr(123), '"size": ', CAST(p_size AS VARCHAR(20)), ', "kind": "', p_type, '"', chr(125)) WHEN 1 THEN concat(chr(123), '"size": ', CAST(p_size AS VARCHAR(20))) ELSE concat(chr(123), '"size": ', chr(125)) END AS details,
+  CASE WHEN p_partkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(p_retailprice AS DOUBLE) END AS price FROM {part}"""
+
+
+@query("item_metadata", """SELECT item_id, CASE WHEN json_valid(genres) THEN from_json(genres, '["VARCHAR"]') END AS genre_list, CASE WHEN NOT json_valid(genres) THEN genres END AS genre_text,
+    CASE WHEN json_valid(details) THEN CAST(json_extract_string(details, '$.size') AS INT) END AS size, CASE WHEN NOT json_valid(details) THEN details END AS broken, CASE WHEN NOT isnan(price) THEN price END AS price FROM cells""", cells=CELLS)
+def _(spark, cells):
+    v = metadata.clean_items(cells)
+    of = lambda c, kind: metadata.typed(F.col(c), kind)
+    return v.select("item_id", of("genres", "array<string>").alias("genre_list"), of("genres", "string").alias("genre_text"), F.try_variant_get("details", "$.size", "int").alias("size"), of("details", "string").alias("broken"), of("price", "double").alias("price"))
+
+
+@query("display_candidates", """SELECT user_id, input_position AS rank, coalesce(raw_item_id, CAST(c.item_id AS VARCHAR)) AS item_id, title,
+    CASE WHEN json_valid(genres) THEN from_json(genres, '["VARCHAR"]') ELSE list_filter(string_split(genres, '|'), lambda x: x <> '') END AS genres FROM (SELECT user_id, input_position, CAST(substr(item_id, 2) AS BIGINT) AS item_id FROM runs WHERE permutation_index = 1) c LEFT JOIN cells ON c.item_id = cells.item_id""", cells=CELLS, runs=RUNS)
+def _(spark, cells, runs):
+    lists = runs.where("permutation_index = 1").select("user_id", F.col("input_position").alias("rank"), F.substring("item_id", 2, 20).cast("long").alias("item_id"))
+    shown = metadata.display_candidates(lists, metadata.clean_items(cells))
+    return shown.select("user_id", "rank", "item_id", metadata.typed(F.col("title"), "string").alias("title"), metadata.typed(F.col("genres"), "array<string>").alias("genres"))
+
+
+@query("display_truth", """SELECT user_id, list(coalesce(raw_item_id, CAST(t.item_id AS VARCHAR)) ORDER BY t.item_id) AS ground_truth_item_ids FROM (SELECT user_id, CAST(substr(item_id, 2) AS BIGINT) AS item_id FROM truth) t LEFT JOIN cells ON t.item_id = cells.item_id GROUP BY user_id""", cells=CELLS, truth=TRUTH)
+def _(spark, cells, truth):
+    return metadata.display_truth(truth.select("user_id", F.substring("item_id", 2, 20).cast("long").alias("item_id")), metadata.clean_items(cells))
+
 
 SPANS = """WITH sp AS (SELECT request_id, min(CASE WHEN kind = 'SPAN' THEN pos END) AS a, min(CASE WHEN kind = '/SPAN' THEN pos END) + 1 AS b FROM tokens GROUP BY request_id),
 it AS (SELECT s.request_id, s.item - 1 AS item, s.pos AS s, e.pos + 1 AS e FROM (SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS item FROM tokens WHERE kind = 'ITEM') s JOIN (SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS item FROM tokens WHERE kind = '/ITEM') e ON s.request_id = e.request_id AND s.item = e.item)"""
