@@ -37,9 +37,9 @@ from rankweave.llm.sentencepiece_bpe import MARK, PrefixTableBpe
 
 # The characters with the property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
 MAX_CACHED_CHARS = 64
-PACKET_CHARS = 3_000_000
+PACKET_CHARS = 1_500_000
 #: Groups with more links than this are made from distinct ids, in blocks of so many pairs.
 MANY_LINKS, BLOCK = 256, 1 << 20
 
