@@ -103,7 +103,9 @@ def leave_one_out(log: DataFrame, min_interactions: int, ties: list[str]) -> Dat
 
 
 def temporal_split(log: DataFrame, train: float, val: float, min_interactions: int, ties: list[str]) -> DataFrame:
-    """Per user by time: a share for train, one for val, the rest test; no segment is empty."""
+    """Per user by time: a share for train, one for val, the rest test; no segment is empty. Both shares are positive and leave something."""
+    if not (train > 0 and val > 0 and train + val < 1):
+        raise ValueError(f"the shares {train} and {val} are positive and less than 1 together")
     w = Window.partitionBy("user_id")
     out = log.select("*", F.count(F.lit(1)).over(w).alias("_n"), (F.row_number().over(w.orderBy("ts", "item_id", *ties)) - 1).alias("_r")).where(F.col("_n") >= max(3, min_interactions))
     share = lambda x: F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(x))).cast("int"))

@@ -11,7 +11,7 @@ from rankweave.operators import metrics, retrieval
 #: What the short evaluation row shows of each family.
 SHORT_PARSER = ["num_parse_errors", "parse_error_rate", "num_parser_repair_attempts", "parser_repair_attempt_rate"]
 SHORT_PREFERENCE = ["num_users_with_preference_consistency", "preference_buckets", "minimum_bucket_observations", "ppi", "gpi"]
-SHORT_ROBUSTNESS = ["mean_rank", "rank_variance", "mean_tau", "mean_rho", "jaccard", "overlap", "same_top"]
+SHORT_ROBUSTNESS = ["mean_rank", "rank_variance", "rank_std", "mean_tau", "mean_rho", "jaccard", "overlap", "same_top"]
 
 
 def result_lists(users: DataFrame) -> DataFrame:

@@ -175,15 +175,19 @@ def ground_truth(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.array_sort(F.collect_list("item_id")).alias("ground_truth"))
 
 
-def als_recommend(log: DataFrame, k: int, factors: int = 64, reg: float = 0.01, iterations: int = 20, alpha: float = 40.0, seed: int = 42) -> DataFrame:
-    """Implicit ALS on counted interactions; seen items are left out, ties go to the smaller item."""
+def als_factors(log: DataFrame, factors: int = 64, reg: float = 0.01, iterations: int = 20, alpha: float = 40.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(user_id, vec) and (item_id, vec) of implicit ALS on counted interactions."""
     from pyspark.ml.recommendation import ALS
 
     counts = log.groupBy(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id")).agg(F.count(F.lit(1)).cast("float").alias("value"))
     model = ALS(rank=factors, maxIter=iterations, regParam=reg, alpha=alpha, implicitPrefs=True, userCol="user_id", itemCol="item_id", ratingCol="value", seed=seed).fit(counts)
-    users = model.userFactors.select(F.col("id").cast("long").alias("user_id"), F.col("features").alias("vec"))
-    items = model.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.col("features").alias("vec"))
-    return recommend(users, items, seen_pairs(log), k)
+    of = lambda df, name: df.select(F.col("id").cast("long").alias(name), F.col("features").alias("vec"))
+    return of(model.userFactors, "user_id"), of(model.itemFactors, "item_id")
+
+
+def als_recommend(log: DataFrame, k: int, factors: int = 64, reg: float = 0.01, iterations: int = 20, alpha: float = 40.0, seed: int = 42) -> DataFrame:
+    """Implicit ALS on counted interactions; seen items are left out, ties go to the smaller item."""
+    return recommend(*als_factors(log, factors, reg, iterations, alpha, seed), seen_pairs(log), k)
 
 
 def seen_pairs(log: DataFrame) -> DataFrame:

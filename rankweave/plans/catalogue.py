@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions import sampling
-from rankweave.operators import aggregate, interaction, losses, marker, metadata, metrics, negatives, parsing, permutations, prep, prompts, records, reports, reranking, retrieval, templates
+from rankweave.operators import aggregate, calibration, datasets, evidence, interaction, losses, marker, metadata, metrics, negatives, parsing, permutations, prep, prompts, records, reports, reranking, retrieval, templates
 from rankweave.plans import fixtures as X
 
 K = 3
@@ -402,7 +402,7 @@ RHO = """, rho AS (SELECT user_id, p1, p2, corr(x, y) AS rho, 1 - 6 * sum((x - y
 TOP = """, top AS (SELECT user_id, p1, p2, sum(CASE WHEN x < 3 AND y < 3 THEN 1 ELSE 0 END) AS both_in, sum(CASE WHEN x < 3 OR y < 3 THEN 1 ELSE 0 END) AS either_in, max(CASE WHEN x = 0 AND y = 0 THEN 1 ELSE 0 END) AS same FROM p GROUP BY user_id, p1, p2),
 st AS (SELECT user_id, avg(both_in::DOUBLE / either_in) AS jaccard, avg(both_in::DOUBLE / 3) AS overlap, avg(same)::DOUBLE AS same_first, avg(CASE WHEN both_in = either_in THEN 1 ELSE 0 END)::DOUBLE AS same_top FROM top GROUP BY user_id)"""
 BEST = """, best AS (SELECT r.user_id, r.permutation_index, min(output_rank) + 1 AS r FROM runs r JOIN (SELECT DISTINCT * FROM truth) t ON r.user_id = t.user_id AND r.item_id = t.item_id GROUP BY r.user_id, r.permutation_index),
-bs AS (SELECT user_id, avg(r) AS mean_rank, var_pop(r) AS rank_variance FROM best GROUP BY user_id)"""
+bs AS (SELECT user_id, avg(r) AS mean_rank, var_pop(r) AS rank_variance, stddev_pop(r) AS rank_std FROM best GROUP BY user_id)"""
 
 
 @query("kendall", PAIRS + TAU + f" SELECT user_id, round(avg(tau), {DIGITS}) AS mean_tau FROM tau GROUP BY user_id", runs=RUNS)
@@ -425,20 +425,56 @@ def _(spark, runs):
     return rounded(metrics.topk_stability(runs, K), "jaccard", "overlap", "same_first", "same_top")
 
 
-@query("gt_rank_stability", PAIRS + BEST + f" SELECT user_id, round(mean_rank, {DIGITS}) AS mean_rank, round(rank_variance, {DIGITS}) AS rank_variance FROM bs", runs=RUNS, truth=TRUTH)
+@query("gt_rank_stability", PAIRS + BEST + f" SELECT user_id, round(mean_rank, {DIGITS}) AS mean_rank, round(rank_variance, {DIGITS}) AS rank_variance, round(rank_std, {DIGITS}) AS rank_std FROM bs", runs=RUNS, truth=TRUTH)
 def _(spark, runs, truth):
-    return rounded(metrics.truth_rank_stability(runs, truth), "mean_rank", "rank_variance")
+    return rounded(metrics.truth_rank_stability(runs, truth), "mean_rank", "rank_variance", "rank_std")
 
 
-MACRO = ["mean_tau", "mean_rho", "jaccard", "overlap", "same_first", "same_top", "mean_rank", "rank_variance"]
+MACRO = metrics.FIGURES
 
 
-@query("robustness_macro", PAIRS + TAU + RHO + TOP + BEST + " SELECT " + ", ".join(f"round(avg({c}), {DIGITS}) AS {c}" for c in MACRO) + """ FROM (SELECT DISTINCT user_id FROM runs) u
+@query("robustness_macro", PAIRS + TAU + RHO + TOP + BEST + " SELECT count(mean_tau) AS num_users_with_pairs, count(mean_rank) AS num_users_with_ranks, " + ", ".join(f"round(avg({c}), {DIGITS}) AS {c}" for c in MACRO) + """ FROM (SELECT DISTINCT user_id FROM runs) u
     LEFT JOIN (SELECT user_id, avg(tau) AS mean_tau FROM tau GROUP BY user_id) a ON u.user_id = a.user_id LEFT JOIN (SELECT user_id, avg(rho) AS mean_rho FROM rho GROUP BY user_id) b ON u.user_id = b.user_id
     LEFT JOIN st ON u.user_id = st.user_id LEFT JOIN bs ON u.user_id = bs.user_id""", runs=RUNS, truth=TRUTH)
 def _(spark, runs, truth):
     return rounded(metrics.robustness_macro(runs, truth, K), *MACRO)
 
+@query("robustness_by_user", PAIRS + TAU + RHO + TOP + BEST + " SELECT u.user_id, num_permutations, num_permutations * (num_permutations - 1) // 2 AS num_pairs, " + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in MACRO) + """ FROM (SELECT user_id, count(DISTINCT permutation_index) AS num_permutations FROM runs GROUP BY user_id) u
+    LEFT JOIN (SELECT user_id, avg(tau) AS mean_tau FROM tau GROUP BY user_id) a ON u.user_id = a.user_id LEFT JOIN (SELECT user_id, avg(rho) AS mean_rho FROM rho GROUP BY user_id) b ON u.user_id = b.user_id
+    LEFT JOIN st ON u.user_id = st.user_id LEFT JOIN bs ON u.user_id = bs.user_id""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return rounded(metrics.robustness_by_user(runs, truth, K), *MACRO)
+
+
+@query("robustness_values", PAIRS + TAU + RHO + TOP + BEST + f""" SELECT u.user_id, tau_values, rho_values, jaccard_values, overlap_values, same_first_values, same_top_values, rank_values FROM (SELECT DISTINCT user_id FROM runs) u
+    LEFT JOIN (SELECT user_id, list(round(tau, {DIGITS}) ORDER BY p1, p2) AS tau_values FROM tau GROUP BY user_id) a ON u.user_id = a.user_id LEFT JOIN (SELECT user_id, list(round(rho, {DIGITS}) ORDER BY p1, p2) AS rho_values FROM rho GROUP BY user_id) b ON u.user_id = b.user_id
+    LEFT JOIN (SELECT user_id, list(round(both_in::DOUBLE / either_in, {DIGITS}) ORDER BY p1, p2) AS jaccard_values, list(round(both_in::DOUBLE / 3, {DIGITS}) ORDER BY p1, p2) AS overlap_values, list(same::DOUBLE ORDER BY p1, p2) AS same_first_values, list(CASE WHEN both_in = either_in THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY p1, p2) AS same_top_values FROM top GROUP BY user_id) c ON u.user_id = c.user_id
+    LEFT JOIN (SELECT user_id, list(r ORDER BY permutation_index) AS rank_values FROM best GROUP BY user_id) d ON u.user_id = d.user_id""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    out = metrics.robustness_values(runs, truth, K)
+    return out.withColumns({c: F.transform(c, lambda x: F.round(x, DIGITS)) for c in out.columns if c.endswith("_values") and c != "rank_values"})
+
+
+#: Runs in which some users' second list holds an item that the others don't.
+FOREIGN = "SELECT user_id, permutation_index, CASE WHEN user_id % 5 = 3 AND permutation_index = 2 AND output_rank = 4 THEN 'zz' ELSE item_id END AS item_id, input_position, output_rank, score FROM (" + RUNS + ") x"
+OTHER = """WITH s AS (SELECT user_id, permutation_index AS p, list_sort(list(item_id)) AS items FROM runs GROUP BY user_id, permutation_index),
+v AS (SELECT a.user_id, a.p AS p1, b.p AS p2, list_sort(list_filter(a.items, lambda x: NOT list_contains(b.items, x))) AS only_first, list_sort(list_filter(b.items, lambda x: NOT list_contains(a.items, x))) AS only_second FROM s a JOIN s b ON a.user_id = b.user_id AND a.p < b.p WHERE a.items <> b.items)"""
+
+
+@query("alignment_violations", OTHER + " SELECT * FROM v", runs=FOREIGN)
+def _(spark, runs):
+    return metrics.alignment_violations(runs)
+
+
+@query("kendall_foreign", OTHER + ", " + PAIRS[5:] + TAU + f" SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM v) THEN NULL ELSE round(avg(tau), {DIGITS}) END AS mean_tau FROM tau GROUP BY user_id", runs=FOREIGN)
+def _(spark, runs):
+    return rounded(metrics.kendall(runs), "mean_tau")
+
+
+@query("spearman_foreign", OTHER + ", " + PAIRS[5:] + RHO + f" SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM v) THEN NULL ELSE round(avg(rho), {DIGITS}) END AS mean_rho FROM rho GROUP BY user_id", runs=FOREIGN)
+def _(spark, runs):
+    return rounded(metrics.spearman(runs), "mean_rho")
+
 
 # --- preference consistency ----------------------------------------------------------------------------------------
 
@@ -675,18 +711,105 @@ for _kind in ("stella", "sgs", "bootstrap"):
         return aggregate.rerank(_requests(runs), partial(_method, kind))
 
 
-for _name, _make in {
+ORDER_MAKERS = {
     "perm_random": lambda user, ids: permutations.random_orders(len(ids), 5, seed=42),
     "perm_fixed": lambda user, ids: permutations.fixed_orders(len(ids), 0, 2, 3, seed=42),
     "perm_sweep": lambda user, ids: [o for _, o in permutations.sweep_orders(len(ids), 0, 1, seed=42)],
     "perm_templates": lambda user, ids: permutations.template_orders(len(ids), [[0] + [None] * (len(ids) - 1), [None] * (len(ids) - 1) + [0]], seed=42),
     "perm_user_record": lambda user, ids: [[ids.index(i) for i in permutations.reshuffled(ids, permutations.user_seed(42, int(user), k))] for k in (1, 2, 3)],
-}.items():
+}
+for _name, _make in ORDER_MAKERS.items():
 
     @query(_name, runs=RUNS)
     def _(spark, runs, make=_make):
         return permutations.explode_orders(_requests(runs), make)
 
+# what seeded draws must be, whatever they are: every order shows each of a user's items once, and pinned ones stand in their places
+SHOWN = "WITH i AS (SELECT user_id, list_sort(list(item_id)) AS items FROM runs WHERE permutation_index = 1 GROUP BY user_id), f AS (SELECT user_id, item_id AS first FROM runs WHERE permutation_index = 1 AND input_position = 0)"
+for _name, _count, _place in (("perm_random", 5, "NULL"), ("perm_fixed", 3, "2"), ("perm_sweep", 8, "permutation_index - 1"), ("perm_templates", 2, "CASE permutation_index WHEN 1 THEN 0 ELSE 7 END"), ("perm_user_record", 3, "NULL")):
+
+    @query(f"{_name}_check", SHOWN + f" SELECT i.user_id, CAST(permutation_index AS INT) AS permutation_index, items, CASE WHEN {_place} IS NOT NULL THEN first END AS pinned FROM i JOIN f ON i.user_id = f.user_id, range(1, {_count + 1}) t(permutation_index)", runs=RUNS)
+    def _(spark, runs, name=_name, place=_place):
+        made = permutations.explode_orders(_requests(runs), ORDER_MAKERS[name])
+        return made.select("user_id", "permutation_index", F.array_sort("items").alias("items"), F.expr(f"get(items, CAST({place} AS INT))").alias("pinned"))
+
+
+for _kind in ("stella", "sgs", "bootstrap"):
+
+    @query(f"{_kind}_rank_check", "SELECT user_id, count(*) AS n, list_sort(list(item_id)) AS items, list(CAST(input_position AS INT) ORDER BY input_position) AS ranks, list(CAST(8 - input_position AS DOUBLE) ORDER BY input_position) AS scores FROM runs WHERE permutation_index = 1 GROUP BY user_id", runs=RUNS)
+    def _(spark, runs, kind=_kind):
+        made = aggregate.rerank(_requests(runs), partial(_method, kind))
+        by_rank = F.array_sort(F.collect_list(F.struct("output_rank", "score")))
+        return made.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("item_id")).alias("items"), F.transform(by_rank, lambda x: x["output_rank"]).alias("ranks"), F.transform(by_rank, lambda x: x["score"]).alias("scores"))
+
+
+# --- calibration, evidence, histories ------------------------------------------------------------------------------
+
+FIRST_LISTS = "SELECT user_id, input_position AS pos, item_id FROM (" + RUNS + ") x WHERE permutation_index = 1"
+
+
+@query("probe_violations", """WITH t AS (SELECT DISTINCT * FROM truth), h AS (SELECT DISTINCT c.user_id FROM candidates c JOIN t ON c.user_id = t.user_id AND c.item_id = t.item_id)
+    SELECT DISTINCT user_id, CASE WHEN user_id IN (SELECT user_id FROM t) THEN 'no true item among the candidates' ELSE 'no true item' END AS problem FROM candidates WHERE user_id NOT IN (SELECT user_id FROM h)""", candidates=FIRST_LISTS, truth=TRUTH + " AND c_custkey % 11 <> 3 UNION ALL SELECT c_custkey AS user_id, 'elsewhere' AS item_id FROM {customer} WHERE c_custkey % 11 = 3")
+def _(spark, candidates, truth):
+    return calibration.probe_violations(candidates, truth)
+
+
+def _true_first(lists: list[tuple[str, list[str]]]) -> list[list[float]]:
+    """Scores by which an item of a user's own first true place wins wherever it is shown."""
+    return [[float(i == f"i{(int(user) * 31 + 17) % 1000}") for i in shown] for user, shown in lists]
+
+
+@query("calibration_counts", """WITH t AS (SELECT DISTINCT * FROM truth), h AS (SELECT c.user_id FROM candidates c JOIN t ON c.user_id = t.user_id AND c.item_id = t.item_id)
+    SELECT CAST(p AS INT) AS true_pos, CAST(p AS INT) AS pred_pos, count(*) AS n FROM h, range(0, 8) a(p), range(0, 2) b(r) GROUP BY p""", candidates=FIRST_LISTS, truth="SELECT * FROM (" + TRUTH + ") y WHERE user_id % 2 = 1")
+def _(spark, candidates, truth):
+    asked = calibration.calibration_requests(candidates, truth, 8, repeats=2)
+    return calibration.score_requests(asked, candidates, _true_first)
+
+
+@query("evidence_records", """WITH z AS (SELECT r.*, dense_rank() OVER (PARTITION BY user_id ORDER BY r.item_id) - 1 AS idx FROM runs r)
+    SELECT CAST(z.user_id AS BIGINT) AS sample_index, CAST(permutation_index - 1 AS INT) AS permutation_index, CAST(row_number() OVER (PARTITION BY z.user_id, permutation_index ORDER BY score DESC, input_position) - 1 AS INT) AS rank, z.item_id, CAST(idx AS INT) AS candidate_index,
+      CAST(input_position AS INT) AS input_position, CAST(score AS DOUBLE) AS score, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS relevance FROM z LEFT JOIN (SELECT DISTINCT * FROM truth) t ON z.user_id = t.user_id AND z.item_id = t.item_id""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    return evidence.permutation_rank_records(_samples(runs, truth)).select("sample_index", "permutation_index", F.posexplode("ranking").alias("rank", "x")).select("sample_index", "permutation_index", "rank", F.col("x.candidate_id").alias("item_id"), F.col("x.candidate_index").alias("candidate_index"), F.col("x.input_position").alias("input_position"), F.col("x.score").alias("score"), F.col("x.relevance").alias("relevance"))
+
+
+def _samples(runs: DataFrame, truth: DataFrame) -> DataFrame:
+    """A sample a user: its candidates in the order of ids, and its lists as runs over their places."""
+    ids = runs.groupBy("user_id").agg(F.array_sort(F.collect_set("item_id")).alias("candidate_ids"))
+    rows = retrieval.relevance(runs, truth).join(ids, "user_id").withColumn("at", (F.array_position("candidate_ids", F.col("item_id")) - 1).cast("int"))
+    lists = rows.groupBy("user_id", "permutation_index", "candidate_ids").agg(F.array_sort(F.collect_list(F.struct("input_position", "at", F.col("score").cast("double").alias("score"), "relevance"))).alias("l"))
+    run = F.struct(F.transform("l", lambda x: x["at"]).alias("permutation"), F.transform("l", lambda x: x["score"]).alias("scores"), F.transform("l", lambda x: x["relevance"]).alias("relevance"))
+    out = lists.groupBy("user_id", "candidate_ids").agg(F.transform(F.array_sort(F.collect_list(F.struct("permutation_index", run.alias("run")))), lambda x: x["run"]).alias("runs"))
+    return out.select(F.col("user_id").cast("long").alias("sample_index"), "user_id", F.lit("test").alias("split"), F.array().cast("array<string>").alias("history"), F.transform("candidate_ids", lambda i: F.struct(i.alias("item_id"))).alias("candidates"), "candidate_ids", "runs")
+
+
+@query("evidence_round_trip", """SELECT CAST(user_id AS BIGINT) AS sample_index, 8 AS num_items, CAST(count(DISTINCT permutation_index) AS INT) AS lists, round(max(score), 3) AS best, string_agg(item_id, ',' ORDER BY output_rank) FILTER (WHERE permutation_index = 2) AS second FROM runs GROUP BY user_id""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    made = evidence.as_json(evidence.rank_records(_samples(runs, truth).withColumn("note", F.lit("kept"))))
+    back = evidence.parse_records(made).where("variant_get(extra, '$.note', 'string') = 'kept'")
+    second = F.array_join(F.element_at("permutations", 2)["output_ranking"]["item_ids"], ",")
+    best = F.array_max(F.flatten(F.transform("permutations", lambda p: p["scores"])))
+    return back.select("sample_index", "num_items", F.size("permutations").alias("lists"), F.round(best, 3).alias("best"), second.alias("second"))
+
+
+@query("user_histories", SPLIT.replace("ORDER BY ts, item_id, event_id", "ORDER BY ts, item_id, rating") + """, h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id, rating) AS place FROM s WHERE split IN ('train', 'val'))
+    SELECT u.user_id, CAST(place AS INT) AS place, CASE WHEN place IS NOT NULL THEN coalesce(i.raw_item_id, CAST(h.item_id AS VARCHAR)) END AS item_id, raw_title AS title, list_filter(string_split(genres, '|'), lambda x: x <> '') AS genres, CAST(1990 + h.item_id % 3 AS INT) AS year, rating
+    FROM users u LEFT JOIN h ON u.user_id = h.user_id AND place <= 5 LEFT JOIN items i ON h.item_id = i.item_id AND i.item_id % 3 > 0""".replace("CAST(1990 + h.item_id % 3 AS INT)", "CASE WHEN i.item_id IS NOT NULL THEN CAST(1990 + h.item_id % 3 AS INT) END"), users=CUSTOMERS, log=LOG, items=ITEMS)
+def _(spark, users, log, items):
+    parts = prep.temporal_split(log, 0.7, 0.1, 10, ["rating"])
+    known = items.where("item_id % 3 > 0").select("item_id", "raw_item_id", F.col("raw_title").alias("title"), "genres", (1990 + F.col("item_id") % 3).alias("release_year"))
+    lists = datasets.history_lists(users, prep.context_of("test", parts).withColumnRenamed("ts", "timestamp"), known, 5)
+    return lists.select("user_id", F.posexplode_outer("history").alias("at", "h")).select("user_id", (F.col("at") + 1).alias("place"), "h.*")
+
+
+@query("dataset_statistics", SPLIT.replace("ORDER BY ts, item_id, event_id", "ORDER BY ts, item_id, rating").replace("'test' END AS split FROM e", "'test' END AS split FROM e") + """, k AS (SELECT * FROM log QUALIFY count(*) OVER (PARTITION BY user_id) >= 10), t AS (SELECT user_id, count(*) AS n FROM s WHERE split = 'train' GROUP BY user_id)
+    SELECT (SELECT count(*) FROM k) AS num_interactions, (SELECT count(*) FROM k WHERE rating >= 4) AS num_positive_interactions, (SELECT sum(n)::BIGINT FROM t) AS num_train, (SELECT sum(n - CASE WHEN n >= 2 THEN 1 ELSE 0 END)::BIGINT FROM t) AS num_retriever_train, (SELECT count(*) FROM t WHERE n >= 2) AS num_train_queries,
+      (SELECT count(*) FROM s WHERE split = 'val') AS num_val, (SELECT count(*) FROM s WHERE split = 'test') AS num_test, (SELECT count(DISTINCT user_id) FROM k) AS num_users, (SELECT count(DISTINCT item_id) FROM k) AS num_items, (SELECT count(DISTINCT k.item_id) FROM k JOIN items i ON k.item_id = i.item_id) AS items_with_metadata""", log=LOG, items=ITEMS)
+def _(spark, log, items):
+    meta = lambda ids: items.select(F.col("item_id").alias("raw"), F.col("raw_title").alias("title")).join(ids, "raw").select(F.col("id").alias("item_id"), "title")
+    _, stats = datasets.prepare(log.withColumnRenamed("ts", "timestamp"), meta, 4.0, 10)
+    return spark.createDataFrame([stats], ", ".join(f"{k} long" for k in stats))
+
 
 # --- prompts and markers -------------------------------------------------------------------------------------------
 
@@ -728,7 +851,7 @@ def _(spark, log, items):
     return _prompt_rows(log, items).select("user_id", made.alias("prompt"))
 
 
-@query("prompt_template_own", PROMPT.format(h=f"string_agg('0: ' || t || ' [' || substr(yt, 3, 4) || ']{{{{ok}}}}', {NL} ORDER BY a) FILTER (WHERE a <= 5)", c=f"string_agg('<i>' || {NL} || t || '|' || substr(gt, 11) || rt || {NL} || '</i>' || {NL} || '--', {NL} ORDER BY b) FILTER (WHERE b <= 5)") + f""" SELECT user_id, concat_ws({NL}, '<u>', 'Order {{{{these}}}}.', '', h, '</u>', '', c) AS prompt FROM h""", log=LOG, items=PROMPT_ITEMS)
+@query("prompt_template_own", PROMPT.format(h=f"string_agg('0: ' || t || ' [' || substr(yt, 3, 4) || ']{{ok}}', {NL} ORDER BY a) FILTER (WHERE a <= 5)", c=f"string_agg('<i>' || {NL} || t || '|' || substr(gt, 11) || rt || {NL} || '</i>' || {NL} || '--', {NL} ORDER BY b) FILTER (WHERE b <= 5)") + f""" SELECT user_id, concat_ws({NL}, '<u>', 'Order {{{{these}}}}.', '', h, '</u>', '', c) AS prompt FROM h""", log=LOG, items=PROMPT_ITEMS)
 def _(spark, log, items):
     made = templates.templated_prompt(F.col("history"), F.col("candidates"), templates.DEFAULT | CUSTOM, ["title", "year", "rating", "genres"], ("<u>", "</u>", "<i>", "</i>"))
     return _prompt_rows(log, items).select("user_id", made.alias("prompt"))

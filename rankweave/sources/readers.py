@@ -39,9 +39,15 @@ def read_interactions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_amazon_reviews(spark: SparkSession, directory: str, reviews_file: str | None = None) -> DataFrame:
+    """Reviews with all four values. A file in which no row has one of the keys lacks that column: an error, unless the file is empty."""
     path = first_file(spark, directory, reviews_file, ["reviews.jsonl", "reviews.jsonl.gz"])
     df = spark.read.schema("user_id string, parent_asin string, rating double, timestamp long").json(path)
-    return df.withColumnRenamed("parent_asin", "item_id").dropna(subset=REQUIRED).select(*REQUIRED)
+    known = df.dropna()
+    if known.isEmpty():
+        n = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in df.columns]).first()
+        if missing := [c for c in df.columns if n["_n"] and not n[c]]:
+            raise ValueError(f"missing columns: {missing}")
+    return known.withColumnRenamed("parent_asin", "item_id").select(*REQUIRED)
 
 
 def read_amazon_metadata(spark: SparkSession, directory: str, metadata_file: str | None = None) -> DataFrame:
@@ -55,11 +61,15 @@ def read_amazon_metadata(spark: SparkSession, directory: str, metadata_file: str
 
 
 def read_movielens_ratings(spark: SparkSession, directory: str) -> DataFrame:
-    """The first of ratings.csv (with a header), ratings.dat (::) and u.data (tabs)."""
+    """The first of ratings.csv (by the names of its header, whatever their order), ratings.dat (::) and u.data (tabs)."""
     path = first_file(spark, directory, None, ["ratings.csv", "ratings.dat", "u.data"])
-    reader = spark.read.schema("user_id long, item_id long, rating double, timestamp long")
     if path.endswith(".csv"):
-        return reader.option("header", True).option("enforceSchema", True).csv(path)
+        raw = spark.read.option("header", True).csv(path)  # the header is read; no type is guessed
+        names = {"userId": "user_id", "movieId": "item_id"}
+        df = require(raw.withColumnsRenamed(names), REQUIRED)
+        kinds = {"user_id": "long", "item_id": "long", "rating": "double", "timestamp": "long"}
+        return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in REQUIRED])
+    reader = spark.read.schema("user_id long, item_id long, rating double, timestamp long")
     return reader.option("sep", "::" if path.endswith(".dat") else "\t").csv(path)
 
 
