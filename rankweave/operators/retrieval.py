@@ -101,7 +101,7 @@ def _item_passes(items: DataFrame, pass_items: int):
     for start in range(0, max(total, 1), pass_items):
         part = rows if total <= pass_items else rows.where(F.col("_at").between(start, start + pass_items - 1))
         got = part.select("item_id", "vec").collect()
-        ids, factors = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float).reshape(len(got), -1)
+        ids, factors = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float) if got else np.empty((0, 0))
         by = np.lexsort((ids, -np.round(np.sqrt((factors**2).sum(1)), 9)))
         yield ids[by], factors[by], total - start
 
