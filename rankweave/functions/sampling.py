@@ -31,11 +31,18 @@ def select_users(users: DataFrame, max_users: int | None = None, sample: bool =
     return _placed(ids, [(at, at) for at in random.Random(seed).sample(range(n), max_users)]).select("user_id")
 
 
-def order_users(users: DataFrame, sample: bool = False, seed: int = 42) -> DataFrame:
-    """(user_id, place) in rising order, or in a seeded one. A seeded order draws one number a user on the driver."""
+def order_users(users: DataFrame, sample: bool = False, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """(user_id, place) in rising order, or in a seeded one.
+
+    A seeded order follows Python's generator, which draws one number a user on the driver: for users that fit there. A keyed one, by a digest of seed and
+    id, is made by the tasks alone, for any number of users.
+    """
     ids = users.select("user_id").distinct()
     if not sample:
         return prep.id_mapping(ids, "user_id", "place").withColumnRenamed("raw", "user_id")
+    if keyed:
+        key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("user_id").cast("string")))
+        return prep.numbered(ids.withColumn("_key", key), F.col("_key"), F.col("user_id"), name="place").select("user_id", "place")
     places = list(range(ids.count()))
     random.Random(seed).shuffle(places)
     return _placed(ids, [(at, place) for place, at in enumerate(places)])

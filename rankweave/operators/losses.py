@@ -38,7 +38,10 @@ def softmax_rows(runs: DataFrame, temperature: float = 1.0) -> DataFrame:
 
 
 def permutation_loss(runs: DataFrame, mode: str = "kl", temperature: float = 1.0) -> DataFrame:
-    """Mean divergence of a user's other lists from the first: KL(first || other), or Jeffreys', on items that all of them have; one list: 0."""
+    """Mean divergence of a user's other lists from the first: KL(first || other), or Jeffreys', on items that all of them have; one list: 0.
+
+    Lists that share fewer than two items can't be compared: the loss of their user is null.
+    """
     if mode not in ("kl", "jeffreys"):
         raise ValueError(f"no such divergence: {mode}")
     shared = runs.groupBy("user_id", "item_id").agg(F.countDistinct("permutation_index").alias("c"))
@@ -52,12 +55,15 @@ def permutation_loss(runs: DataFrame, mode: str = "kl", temperature: float = 1.0
     if mode == "jeffreys":
         d = (p - q) * (F.col("a") - F.col("b"))  # both directions of KL, added
     per = both.groupBy("user_id", "permutation_index").agg(F.sum(d).alias("d"))
-    return lists.select("user_id").join(per.groupBy("user_id").agg(F.avg("d").alias("loss")), "user_id", "left").na.fill(0.0, ["loss"])
+    items = kept.where("permutation_index = first").groupBy("user_id").agg(F.count(F.lit(1)).alias("shared"))
+    out = lists.join(items, "user_id", "left").join(per.groupBy("user_id").agg(F.avg("d").alias("loss")), "user_id", "left")
+    few = (F.col("m") > 1) & (F.coalesce("shared", F.lit(0)) < 2)
+    return out.select("user_id", F.when(~few, F.coalesce("loss", F.lit(0.0))).alias("loss"))
 
 
 def label_violations(samples: DataFrame) -> DataFrame:
     """Rules that labels break, with how many rows do: a label is there and a whole number from 0."""
-    rules = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), bad.alias("bad")) for name, bad in {"missing": F.col("relevance").isNull(), "negative": F.coalesce(F.col("relevance") < 0, F.lit(False))}.items()]))
+    rules = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), bad.alias("bad")) for name, bad in {"missing": F.col("relevance").isNull(), "negative": F.coalesce(F.col("relevance") < 0, F.lit(False)), "fraction": F.coalesce(F.col("relevance") != F.floor("relevance"), F.lit(False))}.items()]))
     return samples.select(rules.alias("r")).groupBy("r.rule").agg(F.count_if("r.bad").alias("violations"))
 
 

@@ -80,13 +80,24 @@ def movie_items(items: DataFrame) -> DataFrame:
     return items.select("item_id", "raw_item_id", clean_title(F.col("raw_title")).alias("title"), genres.alias("genres"), release_year(F.col("raw_title")).alias("release_year"))
 
 
+def movie_metadata(movies: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(item_id, raw_item_id, title, genres, release_year) of the movies (movieId, title, genres) that a mapping (raw, id) knows."""
+    if missing := [c for c in ("movieId", "title", "genres") if c not in movies.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    known = mapping.select(F.col("raw").cast("string").alias("raw_item_id"), F.col("id").alias("item_id"))
+    rows = movies.select(F.col("movieId").cast("string").alias("raw_item_id"), F.col("title").alias("raw_title"), "genres")
+    return movie_items(rows.join(known, "raw_item_id"))
+
+
 def clean_number(value: Column) -> Column:
     """$ and thousands' commas off; blank or no number: null."""
     return F.regexp_replace(F.trim(value), r"[$,]", "").try_cast("double")
 
 
-def json_list(value: Column) -> Column:
-    """Text of a JSON list without nulls; null: []."""
+def json_list(value: Column, is_list: bool = True) -> Column:
+    """Text of a JSON list without nulls; null: []. A scalar (is_list=False) is a list of one."""
+    if not is_list:
+        value = F.array(value)
     return F.coalesce(F.to_json(F.filter(value, lambda x: x.isNotNull())), F.lit("[]"))
 
 

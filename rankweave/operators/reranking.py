@@ -93,6 +93,28 @@ def run_reranking(requests: DataFrame, scorer: BatchScorer, method: str = "zero_
     return out.withColumn("user_id", F.col("user_id").cast(kind))
 
 
+def rank_requests(samples: DataFrame, permutations: DataFrame | None = None) -> DataFrame:
+    """(request_id, user_id, items, permutation, shown): requests with the order their items are shown in, which is the items' own where none is given.
+
+    samples: (request_id, user_id, items), and `permutation` where a request brings its own; permutations: (request_id, permutation) for requests that don't.
+    Both at once, or not one permutation for each request, is an error, and so is an order that doesn't name each place once: the error comes from the row.
+    """
+    if permutations is not None:
+        if "permutation" in samples.columns:
+            raise ValueError("requests with their own permutations take no others")
+        n, m, both = samples.count(), permutations.count(), samples.join(permutations, "request_id").count()
+        if not n == m == both:
+            raise ValueError(f"{n} requests, {m} permutations, of which {both} belong together")
+        samples = samples.join(permutations, "request_id")
+    elif "permutation" not in samples.columns:
+        samples = samples.withColumn("permutation", F.lit(None).cast("array<int>"))
+    same = F.when(F.size("items") > 0, F.sequence(F.lit(0), F.size("items") - 1)).otherwise(F.array().cast("array<int>"))
+    given = F.coalesce(F.col("permutation").cast("array<int>"), same)
+    sound = F.sort_array(given) == same
+    order = F.when(sound, given).otherwise(F.raise_error(F.concat(F.lit("the order of request "), F.col("request_id").cast("string"), F.lit(" doesn't name each place once"))).cast("array<int>"))
+    return samples.select("request_id", "user_id", "items", order.alias("permutation")).withColumn("shown", F.transform("permutation", lambda i: F.get("items", i)))
+
+
 def request_violations(requests: DataFrame) -> DataFrame:
     """(rule, violations): how many of requests (user_id, items, titles, permutation) break each rule of a request.
 

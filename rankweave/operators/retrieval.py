@@ -58,6 +58,21 @@ def recommend(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int
     return rows.select("user_id", F.col("x.ids").alias("item_id"), F.col("x.scores").alias("score"), (F.col("at") + 1).alias("rank"))
 
 
+def propagate_vectors(edges: DataFrame, x: DataFrame, dim: int) -> DataFrame:
+    """One step of x (node, vec of `dim` values): a row an edge is joined and summed, whatever `dim` is."""
+    sums = F.array(*[F.sum(F.col("w") * F.get("vec", F.lit(i))) for i in range(dim)])
+    return edges.join(x, edges["dst"] == x["node"]).groupBy(F.col("src").alias("node")).agg(sums.alias("vec"))
+
+
+def propagated_mean_vectors(edges: DataFrame, x: DataFrame, layers: int, dim: int) -> DataFrame:
+    """Mean of x and `layers` steps of it, as vectors. Edges should be stored or cached; each step is stored before the next."""
+    out, step = x.select("node", "vec"), x
+    for layer in range(layers):
+        step = prep.stored_once(propagate_vectors(edges, step, dim)) if layer + 1 < layers else propagate_vectors(edges, step, dim)
+        out = out.unionByName(step)
+    return out.groupBy("node").agg(F.array(*[F.sum(F.get("vec", F.lit(i))) / (layers + 1) for i in range(dim)]).alias("vec"))
+
+
 def pruned_topk(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, block_items: int = BLOCK_ITEMS, pass_items: int = PASS_ITEMS) -> DataFrame:
     """(user_id, ids, scores, scored, skipped): each user's k best unseen items, best first, and how many item blocks were scored and skipped for it.
 
@@ -220,7 +235,8 @@ def lightgcn_fit(pairs: np.ndarray, n_users: int, n_items: int, dim: int = 64, l
     """
     rng = np.random.default_rng(seed)
     n = n_users + n_items
-    e = rng.normal(0, 0.1, (n, dim))
+    # users and items start uniform within the root of 6 / (their number + dim)
+    e = np.concatenate([rng.uniform(-1, 1, (m, dim)) * np.sqrt(6 / (m + dim)) for m in (n_users, n_items)])
     u, i = pairs[:, 0], pairs[:, 1] + n_users
     deg = np.maximum(np.bincount(np.concatenate([u, i]), minlength=n), 1)
     w = 1 / np.sqrt(deg[u] * deg[i])

@@ -326,6 +326,19 @@ def _negatives(pairs: DataFrame) -> DataFrame:
     return negatives.negative_items(pairs, pairs, int(pairs.agg(F.max("item_id")).first()[0]) + 1)
 
 
+@query("graph_propagate_vectors", EDGES + f" SELECT node, list(round(v, {DIGITS}) ORDER BY k) AS vec FROM (SELECT node, k, sum(v) / 3 AS v FROM (SELECT * FROM x UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY node, k) GROUP BY node", log=LOG)
+def _(spark, log):
+    edges, x = _graph(log)
+    vectors = x.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda y: y["v"]).alias("vec"))
+    out = retrieval.propagated_mean_vectors(edges, vectors, 2, 2)
+    return out.select("node", F.transform("vec", lambda y: F.round(y, DIGITS)).alias("vec"))
+
+
+@query("users_in_keyed_order", "SELECT user_id, row_number() OVER (ORDER BY md5(concat('42|', user_id)), user_id) - 1 AS place FROM users", users=USERS)
+def _(spark, users):
+    return sampling.order_users(users, sample=True, keyed=True)
+
+
 @query("negative_items", NEGATIVE, pairs=LIKED)
 def _(spark, pairs):
     return _negatives(pairs)
@@ -394,6 +407,18 @@ def _(spark, scored):
     return rounded(metrics.graded_hr_ndcg(scored, 5), "ndcg")
 
 
+VALIDATION = """WITH z AS (SELECT *, pow(2.0::DOUBLE, relevance) - 1 AS g, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, input_position) AS r, row_number() OVER (PARTITION BY user_id ORDER BY relevance DESC, input_position) AS i FROM (SELECT r.*, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS relevance FROM runs r LEFT JOIN (SELECT DISTINCT * FROM truth) t ON r.user_id = t.user_id AND r.item_id = t.item_id) WHERE permutation_index = 1),
+e AS (SELECT user_id, n, max(CASE WHEN r <= n AND relevance > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hr, sum(CASE WHEN r <= n THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= n THEN g / log2(i + 1) ELSE 0 END) AS idcg FROM z, (VALUES (5), (10)) v(n) GROUP BY user_id, n),
+o AS (SELECT user_id, permutation_index AS p, item_id, row_number() OVER (PARTITION BY user_id, permutation_index ORDER BY score DESC, input_position) AS r FROM runs),
+s AS (SELECT a.user_id, b.p, 1 - 6 * sum((a.r - b.r) * (a.r - b.r))::DOUBLE / (count(*) * (count(*) * count(*) - 1)) AS rho FROM o a JOIN o b ON a.user_id = b.user_id AND a.item_id = b.item_id WHERE a.p = 1 AND b.p > 1 GROUP BY a.user_id, b.p)"""
+
+
+@query("validation_report", VALIDATION + " SELECT " + ", ".join(f"(SELECT round(avg({x}), {DIGITS}) FROM e WHERE n = {n}) AS {name}_{n}" for n in (5, 10) for name, x in (("hr", "hr"), ("ndcg", "CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END"))) + f", (SELECT round(avg(rho), {DIGITS}) FROM s) AS perm_spearman", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    scored = retrieval.relevance(runs, truth).select(F.col("user_id").alias("request_id"), "permutation_index", "item_id", F.col("input_position").alias("position"), "score", "relevance")
+    return rounded(metrics.validation(scored), "hr_5", "ndcg_5", "hr_10", "ndcg_10", "perm_spearman")
+
+
 # --- robustness ----------------------------------------------------------------------------------------------------
 
 PAIRS = """WITH p AS (SELECT a.user_id, a.permutation_index AS p1, b.permutation_index AS p2, a.item_id, a.output_rank AS x, b.output_rank AS y FROM runs a JOIN runs b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.permutation_index < b.permutation_index)"""
@@ -743,6 +768,32 @@ for _kind in ("stella", "sgs", "bootstrap"):
         return made.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("item_id")).alias("items"), F.transform(by_rank, lambda x: x["output_rank"]).alias("ranks"), F.transform(by_rank, lambda x: x["score"]).alias("scores"))
 
 
+# --- records' outputs, requests, movies ----------------------------------------------------------------------------
+
+@query("reranking_outputs", """SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(k AS INT) END AS permutation_index, CASE WHEN user_id % 3 = 0 AND user_id % 2 = 0 THEN 'own' END AS parse_error, CAST(CASE WHEN user_id % 3 = 0 THEN 1 WHEN k = 1 THEN 7 ELSE 2 END AS BIGINT) AS num_invalid,
+    CAST(0 AS BIGINT) AS num_duplicate, CAST(CASE WHEN user_id % 3 = 0 THEN 3 ELSE 0 END AS BIGINT) AS num_missing, user_id % 3 > 0 AND k = 2 AS repaired FROM users, range(1, 3) t(k) WHERE user_id % 3 > 0 OR k = 1""", users=CUSTOMERS)
+def _(spark, users):
+    ids = lambda n: F.array_repeat(F.lit("x"), n)
+    several = F.array(F.struct(ids(1).alias("invalid_item_ids"), F.lit(7).alias("num_invalid_item_ids"), F.lit(False).alias("parser_repair_applied")), F.struct(ids(2).alias("invalid_item_ids"), F.lit(None).cast("int").alias("num_invalid_item_ids"), F.lit(True).alias("parser_repair_applied")))
+    rows = users.select("user_id", F.when(F.col("user_id") % 2 == 0, "own").alias("parse_error"), ids(1).alias("invalid_item_ids"), F.lit(3).alias("num_missing_candidate_item_ids"), F.when(F.col("user_id") % 3 > 0, several).alias("permutations"))
+    return metrics.reranking_outputs(rows)
+
+
+@query("rank_requests", "SELECT user_id, list(item_id ORDER BY CASE WHEN user_id % 2 = 0 THEN input_position ELSE -input_position END) AS shown FROM runs WHERE permutation_index = 1 GROUP BY user_id", runs=RUNS)
+def _(spark, runs):
+    back = F.transform(F.sequence(F.lit(0), F.size("items") - 1), lambda i: F.size("items") - 1 - i)
+    asked = _requests(runs).select(F.col("user_id").alias("request_id"), "user_id", "items", F.when(F.col("user_id") % 2 == 1, back).alias("permutation"))
+    return reranking.rank_requests(asked).select("user_id", "shown")
+
+
+@query("items_movie_mapped", r"""WITH m AS (SELECT raw, row_number() OVER (ORDER BY raw) - 1 AS id FROM (SELECT CAST(item_id AS VARCHAR) AS raw FROM items WHERE item_id % 3 > 0))
+    SELECT id AS item_id, raw AS raw_item_id, trim(regexp_replace(raw_title, '\s*\([0-9]{4}\)\s*$', '')) AS title, CASE WHEN item_id % 5 = 0 THEN '' ELSE genres END AS genres, TRY_CAST(regexp_extract(raw_title, '\(([0-9]{4})\)\s*$', 1) AS INT) AS release_year FROM items JOIN m ON CAST(item_id AS VARCHAR) = raw""", items=ITEMS)
+def _(spark, items):
+    movies = items.select(F.col("item_id").alias("movieId"), F.col("raw_title").alias("title"), F.when(F.col("item_id") % 5 == 0, "(no genres listed)").otherwise(F.col("genres")).alias("genres"))
+    known = items.where("item_id % 3 > 0").select(F.col("item_id").cast("string").alias("raw"))
+    return prep.movie_metadata(movies, prep.id_mapping(known, "raw", "id"))
+
+
 # --- calibration, evidence, histories ------------------------------------------------------------------------------
 
 FIRST_LISTS = "SELECT user_id, input_position AS pos, item_id FROM (" + RUNS + ") x WHERE permutation_index = 1"
@@ -1027,9 +1078,9 @@ def _(spark, runs):
     return interaction.correct_scores(rows, interaction.random_weights(8))
 
 
-@query("label_violations", "SELECT rule, count(*) FILTER (WHERE (rule = 'missing' AND relevance IS NULL) OR (rule = 'negative' AND relevance < 0)) AS violations FROM (SELECT CASE WHEN position % 10 = 3 THEN NULL WHEN position % 10 = 4 THEN -1 ELSE relevance END AS relevance FROM scored) CROSS JOIN (VALUES ('missing'), ('negative')) r(rule) GROUP BY rule", scored=LABELLED)
+@query("label_violations", "SELECT rule, count(*) FILTER (WHERE (rule = 'missing' AND relevance IS NULL) OR (rule = 'negative' AND relevance < 0) OR (rule = 'fraction' AND relevance <> floor(relevance))) AS violations FROM (SELECT CASE WHEN position % 10 = 3 THEN NULL WHEN position % 10 = 4 THEN -1 WHEN position % 10 = 5 THEN 0.5 ELSE relevance END AS relevance FROM scored) CROSS JOIN (VALUES ('missing'), ('negative'), ('fraction')) r(rule) GROUP BY rule", scored=LABELLED)
 def _(spark, scored):
-    bad = F.when(F.col("position") % 10 == 3, None).when(F.col("position") % 10 == 4, -1).otherwise(F.col("relevance"))
+    bad = F.when(F.col("position") % 10 == 3, None).when(F.col("position") % 10 == 4, -1).when(F.col("position") % 10 == 5, 0.5).otherwise(F.col("relevance"))
     return losses.label_violations(scored.withColumn("relevance", bad))
 
 

@@ -69,8 +69,15 @@ def candidate_path(directory: str, split: str, k: int, users: int | None = None,
     return f"{directory}/{split}_k{k}" + (f"_users{users}" if users else "") + ("_gt_only" if truth_only else "") + ".json"
 
 
-def reranking_path(directory: str, reranker: str, scoring: str, architecture: str | None = None, permutations: int = 1) -> str:
-    return f"{directory}/{reranker}_{scoring}" + (f"_{architecture}" if architecture else "") + (f"_perm{permutations}" if permutations > 1 else "") + ".json"
+def reranking_path(directory: str, reranker: str, scoring: str, architecture: str | None = None, permutations: int = 1, shuffled: bool = False) -> str:
+    """shuffled: the order shown was permuted, though there was but one."""
+    several = f"_perm{permutations}" if shuffled or permutations > 1 else ""
+    return f"{directory}/{reranker}_{scoring}" + (f"_{architecture}" if architecture else "") + several + ".json"
+
+
+def training_dir(directory: str, dataset: str, retriever: str, *parts: str) -> str:
+    """Where a training run's files go."""
+    return "/".join([directory.rstrip("/"), dataset, retriever, *parts])
 
 
 def metrics_path(directory: str, stage: str, dataset: str, retriever: str, k: int, *sources: str) -> str:
