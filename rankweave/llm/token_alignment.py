@@ -31,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import shared_dir, stored
+from rankweave.llm.common import arrow_batches, shared_dir, stored
 from rankweave.llm.packing import ChunkEncoder, byte_alphabet
 from rankweave.llm.sentencepiece_bpe import MARK, PrefixTableBpe
 
 # The characters with the property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MAX_CACHED = 200_000
+MAX_CACHED = 100_000
 MAX_CACHED_CHARS = 64
-PACKET_CHARS = 1_500_000
+#: Rows of an Arrow batch; a batch of more text than this is aligned in several packets.
+BATCH_ROWS, PACKET_CHARS = 400, 1_500_000
 #: Groups with more links than this are made from distinct ids, in blocks of so many pairs.
 MANY_LINKS, BLOCK = 256, 1 << 20
 
@@ -236,7 +237,8 @@ def packets(docs: DataFrame, path_a: str, path_b: str, digests: bool = False) ->
     more = "groups_sha256 array<string>" if digests else "a_ids array<array<int>>, b_ids array<array<int>>, cuts array<array<long>>"
     schema = f"packet long, doc_id array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, {more}, starts array<long>, place binary, links binary, pair array<long>, docs array<long>"
     rows = docs.select(F.col("doc_id").cast("string").alias("_id"), F.col("text").cast("string").alias("_t"))
-    return stored(rows.mapInPandas(run, schema), shared_dir(docs.sparkSession, "alignment"))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return stored(rows.mapInPandas(run, schema), shared_dir(docs.sparkSession, "alignment"))
 
 
 def pair_counts(made: DataFrame, size_b: int) -> DataFrame:
