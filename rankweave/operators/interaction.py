@@ -25,6 +25,15 @@ def random_weights(dim: int, width: int = 16, hidden: int = 32, seed: int = 0) -
     return {"gain": np.ones(dim), "shift": np.zeros(dim), "project": rng.normal(0, dim**-0.5, (dim, width)), "offset": np.zeros(width), "relation": dense(4 * width + 1, hidden, width), "compare": rng.normal(0, width**-0.5, (width, 1)), "gate": dense(4 * width, hidden, 1), "scale": 0.1}
 
 
+def weights_of(mode: str, dim: int, width: int = 256, hidden: int = 512, scale: float = 0.1, seed: int = 0) -> dict | None:
+    """The weights of an interaction mode: none has none, relational has fresh ones."""
+    if mode == "none":
+        return None
+    if mode != "relational":
+        raise ValueError(f"no such interaction: {mode}; there are none and relational")
+    return random_weights(dim, width, hidden, seed) | {"scale": scale}
+
+
 def relational_correction(x: np.ndarray, base: np.ndarray, w: dict) -> np.ndarray:
     """Gated advantages of each candidate over all others: antisymmetric, so a list's corrections sum to 0; permutations commute with it."""
     n = len(x)

@@ -100,3 +100,13 @@ def span_mean_logprob(tokens: DataFrame) -> DataFrame:
     inner = span_rows(tokens).select("request_id", "item", "s", "e")
     rows = tokens.join(inner, "request_id").where((F.col("pos") > F.col("s")) & (F.col("pos") < F.col("e") - 1))
     return rows.groupBy("request_id", "item").agg(F.avg("logprob").alias("score"))
+
+
+def candidate_count_violations(spans: DataFrame, expected: DataFrame) -> DataFrame:
+    """(request_id, observed, expected) of requests whose prompt holds another number of whole candidate spans than it should; a truncation may have cut some off.
+
+    spans: (request_id, item), a row for each whole candidate span; expected: (request_id, n).
+    """
+    seen = spans.groupBy("request_id").agg(F.count(F.lit(1)).alias("observed"))
+    rows = expected.select("request_id", F.col("n").cast("long").alias("expected")).join(seen, "request_id", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    return rows.where(F.col("observed") != F.col("expected")).select("request_id", "observed", "expected")

@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,29 @@ def fit_model(log: DataFrame, kind: str, fit: Callable[[DataFrame], tuple[DataFr
     return RetrievalModel(kind, users, items, retrieval.seen_pairs(log), stats)
 
 
+def lightgcn_model(log: DataFrame, **settings) -> RetrievalModel:
+    """LightGCN of a graph that fits the driver, where it is trained; its losses are kept."""
+
+    def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+        spark = rows.sparkSession
+        pairs = np.array(sorted(map(tuple, retrieval.seen_pairs(rows).collect())), np.int64)
+        users, items, losses = retrieval.lightgcn_fit(pairs, int(pairs[:, 0].max()) + 1, int(pairs[:, 1].max()) + 1, **settings)
+        frame = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vec array<double>")
+        return frame(users, "user_id"), frame(items, "item_id"), losses
+
+    return fit_model(log, "lightgcn", fit)
+
+
+def model_fit(kind: str) -> Callable[..., RetrievalModel]:
+    """The fit of a kind of model."""
+    if kind not in FITS:
+        raise ValueError(f"no such retriever: {kind}; there are {', '.join(sorted(FITS))}")
+    return FITS[kind]
+
+
 def als_model(log: DataFrame, **settings) -> RetrievalModel:
     """Implicit ALS; it reports no losses."""
     return fit_model(log, "als", lambda rows: (*retrieval.als_factors(rows, **settings), []))
+
+
+FITS = {"als": als_model, "lightgcn": lightgcn_model}

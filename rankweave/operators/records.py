@@ -88,3 +88,22 @@ def combined_metadata(rankings: DataFrame, keys: list[str], order: str = "permut
         F.coalesce(F.sum(col("generated_tokens", "long")), F.lit(0)).alias("generated_tokens"),
         F.coalesce(F.sum(col("latency_seconds", "double")), F.lit(0.0)).alias("latency_seconds"),
     )
+
+
+def candidate_item_ids(candidates: Column) -> Column:
+    """Ids of a map from ranks, written as texts, to candidates (structs with item_id), in the order of the ranks as numbers."""
+    entries = F.transform(F.map_entries(candidates), lambda e: F.struct(e["key"].cast("int").alias("rank"), e["value"]["item_id"].cast("string").alias("id")))
+    return F.transform(F.array_sort(entries), lambda e: e["id"])
+
+
+def with_metadata(metadata: Column, **more: Column) -> Column:
+    """A VARIANT object with more keys, which replace its own of the same name; a null one is empty."""
+    own = F.coalesce(F.try_variant_get(metadata, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    new = F.create_map(*[x for k, v in more.items() for x in (F.lit(k), v.cast("variant"))])
+    return F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(*more)), new))
+
+
+def rebased(items: Column, permutation: Column) -> Column:
+    """Ranked items (structs with candidate_index and input_position) with their places in another input order; one that it doesn't show has a null place."""
+    place = lambda x: F.array_position(permutation, x["candidate_index"]).cast("int")
+    return F.transform(items, lambda x: x.withField("input_position", F.when(place(x) > 0, place(x) - 1)))

@@ -43,6 +43,14 @@ def evaluation(runs: DataFrame, truth: DataFrame, k: int, outputs: DataFrame | N
     return out
 
 
+def metric_lines(row: DataFrame) -> DataFrame:
+    """(place, line): a report's one row as `name: value` lines, floating numbers with six digits; arrays and nested values are left out."""
+    flat = [(f.name, f.dataType.simpleString()) for f in row.schema if not f.dataType.simpleString().startswith(("array", "map", "struct", "variant"))]
+    text = lambda c, kind: F.format_string("%.6f", F.col(c).cast("double")) if kind in ("double", "float") else F.col(c).cast("string")
+    lines = [F.struct(F.lit(i).alias("place"), F.concat(F.lit(f"{c}: "), F.coalesce(F.when(F.col(c).isNotNull(), text(c, kind)), F.lit("none"))).alias("line")) for i, (c, kind) in enumerate(flat)]
+    return row.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
+
+
 def position_bias(runs: DataFrame, k: int = 5) -> DataFrame:
     """One row: by input position the exposure among the k first, what chance gives and the difference; their summary; users and lists.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import checked
-from rankweave.operators import aggregate
+from rankweave.operators import aggregate, records
 from rankweave.operators.permutations import STRIDE
 
 #: A batch scorer takes (user, shown items) of several lists and gives the scores of each.
@@ -143,6 +143,28 @@ def training_samples(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     return lists.select("user_id", F.transform("e", lambda x: x["item_id"]).alias("items"), F.transform("e", lambda x: x["y"]).alias("relevance"))
 
 
+def samples_from_artifact(lists: DataFrame, histories: DataFrame) -> DataFrame:
+    """(user_id, history, candidates, split): training samples of candidate lists (user_id, candidates, ground_truth_item_ids, split) and histories (user_id, history).
+
+    A candidate has a title (its name, category or id where it lacks one) and a relevance of 0 or 1; lists without a relevant candidate go. A user without
+    a history has an empty one. None left is an error. Eager: it looks whether one is.
+    """
+    fields = lists.schema["candidates"].dataType.elementType.names
+    true = F.coalesce("ground_truth_item_ids", F.array().cast("array<string>"))
+
+    def shown(c: Column) -> Column:
+        said = [F.when(F.btrim(c[k].cast("string")) != "", c[k].cast("string")) for k in records.TITLE_KEYS if k in fields]
+        relevant = F.array_contains(true, c["item_id"].cast("string")).cast("int")
+        return c.withField("title", F.coalesce(*said, F.lit(records.NO_TITLE))).withField("relevance", F.coalesce(relevant, F.lit(0)))
+
+    rows = lists.withColumn("candidates", F.transform("candidates", shown)).where(F.exists("candidates", lambda c: c["relevance"] > 0))
+    if rows.isEmpty():
+        raise ValueError("no list holds a relevant candidate: there is nothing to train on")
+    none = F.array().cast(dict(histories.dtypes)["history"])
+    out = rows.join(histories.select("user_id", "history"), "user_id", "left")
+    return out.select(F.col("user_id").cast("string").alias("user_id"), F.coalesce("history", none).alias("history"), "candidates", "split")
+
+
 def training_orders(samples: DataFrame, count: int, deterministic: bool = True) -> DataFrame:
     """samples (sample_index, items, relevance) to `count` orders each: (sample_index, permutation_index, permutation, items, relevance).
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import sampling
@@ -675,8 +675,6 @@ ONE = "WITH one AS (SELECT 1)"
 
 
 def _observed(runs: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*metrics.LIST)
     t = F.row_number().over(w.orderBy(F.desc(F.col("score") + 12 * F.col("input_position")), "item_id"))
     rows = runs.select("*", t.alias("t"), F.max(F.when(F.col("output_rank") == 0, F.col("input_position"))).over(w).alias("pred_pos"))
@@ -794,6 +792,50 @@ def _(spark, items):
     return prep.movie_metadata(movies, prep.id_mapping(known, "raw", "id"))
 
 
+@query("candidate_item_ids", "SELECT user_id, list(item_id ORDER BY input_position) AS ids FROM runs WHERE permutation_index = 1 GROUP BY user_id", runs=RUNS)
+def _(spark, runs):
+    entry = F.struct((F.col("input_position") + 8).cast("string").alias("key"), F.struct("item_id", "score").alias("value"))
+    by_rank = runs.where("permutation_index = 1").groupBy("user_id").agg(F.map_from_entries(F.collect_list(entry)).alias("candidates"))
+    return by_rank.select("user_id", records.candidate_item_ids(F.col("candidates")).alias("ids"))
+
+
+@query("rebased_positions", "SELECT user_id, list(CAST(input_position AS INT) ORDER BY output_rank) AS places FROM runs WHERE permutation_index = 1 GROUP BY user_id", runs=RUNS)
+def _(spark, runs):
+    rows = runs.where("permutation_index = 1").withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")) - 1)
+    item = F.struct("output_rank", F.col("at").alias("candidate_index"), F.lit(0).alias("input_position"))
+    lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.transform(F.array_sort(F.collect_list(F.struct("input_position", "at"))), lambda x: x["at"]).alias("order"))
+    return lists.select("user_id", F.transform(records.rebased(F.col("items"), F.col("order")), lambda x: x["input_position"]).alias("places"))
+
+
+@query("result_metadata", "SELECT user_id, 'stella' AS method, CAST(user_id % 5 AS INT) AS forward_passes, CASE WHEN user_id % 2 = 0 THEN 'kept' END AS note FROM users", users=CUSTOMERS)
+def _(spark, users):
+    own = F.when(F.col("user_id") % 2 == 0, F.to_variant_object(F.struct(F.lit("kept").alias("note"), F.lit("old").alias("method"))))
+    more = records.with_metadata(own, method=F.lit("stella"), forward_passes=(F.col("user_id") % 5).cast("int"))
+    return users.select("user_id", more.alias("m")).select("user_id", *(F.try_variant_get("m", f"$.{c}", kind).alias(c) for c, kind in (("method", "string"), ("forward_passes", "int"), ("note", "string"))))
+
+
+@query("artifact_samples", """SELECT CAST(r.user_id AS VARCHAR) AS user_id, CAST(input_position AS INT) AS at, r.item_id, CASE WHEN input_position % 2 = 0 THEN r.item_id ELSE 'named' END AS title, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS relevance, CASE WHEN r.user_id % 3 = 0 THEN 0 ELSE 1 END AS past
+    FROM runs r LEFT JOIN (SELECT DISTINCT * FROM truth) t ON r.user_id = t.user_id AND r.item_id = t.item_id WHERE permutation_index = 1 AND r.user_id IN (SELECT a.user_id FROM runs a JOIN truth b ON a.user_id = b.user_id AND a.item_id = b.item_id WHERE a.permutation_index = 1)""", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    item = F.struct("input_position", "item_id", F.when(F.col("input_position") % 2 == 0, " ").otherwise("named").alias("title"))
+    lists = runs.where("permutation_index = 1").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
+    true = truth.groupBy("user_id").agg(F.collect_list("item_id").alias("ground_truth_item_ids"))
+    histories = runs.where("user_id % 3 > 0").select("user_id").distinct().withColumn("history", F.array(F.struct(F.lit("h").alias("item_id"))))
+    made = reranking.samples_from_artifact(lists.join(true, "user_id", "left").withColumn("split", F.lit("train")), histories)
+    return made.select("user_id", F.posexplode("candidates").alias("at", "c"), F.size("history").alias("past")).select("user_id", "at", "c.item_id", "c.title", "c.relevance", "past")
+
+
+@query("candidate_count_violations", "SELECT request_id, observed, CAST(3 AS BIGINT) AS expected FROM (SELECT request_id, count(*) FILTER (WHERE kind = '/ITEM' AND NOT (request_id % 4 = 1 AND pos > 20)) AS observed FROM tokens GROUP BY request_id) WHERE observed <> 3", tokens=TOKENS)
+def _(spark, tokens):
+    whole = tokens.where("kind = '/ITEM' AND NOT (request_id % 4 = 1 AND pos > 20)").select("request_id", F.col("pos").alias("item"))
+    return marker.candidate_count_violations(whole, tokens.select("request_id").distinct().withColumn("n", F.lit(3)))
+
+
+@query("metric_lines", "SELECT CAST(0 AS INT) AS place, 'num_interactions: ' || count(*) AS line FROM log UNION ALL SELECT 1, 'num_positive_interactions: ' || count(*) FILTER (WHERE rating >= 4) FROM log UNION ALL SELECT 2, 'num_users: ' || count(DISTINCT user_id) FROM log UNION ALL SELECT 3, 'num_items: ' || count(DISTINCT item_id) FROM log UNION ALL SELECT 4, 'share: 0.250000' UNION ALL SELECT 5, 'none: none'", log=LOG)
+def _(spark, log):
+    return reports.metric_lines(prep.dataset_stats(log, 4.0).withColumns({"share": F.lit(0.25), "none": F.lit(None).cast("double"), "list": F.array(F.lit(1))}))
+
+
 # --- calibration, evidence, histories ------------------------------------------------------------------------------
 
 FIRST_LISTS = "SELECT user_id, input_position AS pos, item_id FROM (" + RUNS + ") x WHERE permutation_index = 1"
@@ -869,8 +911,6 @@ PROMPT_ITEMS = "SELECT item_id, p_title AS title, yr AS year, genres FROM (SELEC
 
 def _prompt_rows(log: DataFrame, items: DataFrame) -> DataFrame:
     """user_id, history and candidates: each user's five newest and five oldest items."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id")
     rows = log.select("*", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))).alias("a"), F.row_number().over(w.orderBy("ts", "event_id")).alias("b")).where("a <= 5 OR b <= 5").join(items, "item_id", "left")
     pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= 5, F.struct(F.col(c).alias("o"), F.struct("title", "year", F.col("rating").cast("int").alias("rating"), prep.genre_list(F.col("genres")).alias("genres")).alias("x"))))), lambda v: v["x"])
@@ -1041,6 +1081,13 @@ def _(spark, runs, truth):
     return reports.evaluation(runs, truth, K, full=True)
 
 
+@query("evaluation_row_checked", f"SELECT a.*, b.*, (SELECT count(DISTINCT user_id) FROM runs) AS num_users, 3 AS k FROM ({SQL['effectiveness_all']}) a, ({SQL['robustness_macro']}) b", runs=RUNS, truth=TRUTH)
+def _(spark, runs, truth):
+    out = reports.evaluation(runs, truth, K, full=True).drop(*metrics.preference_consistency(runs, 3, 1).columns, "num_users_with_preference_consistency", "num_users")
+    rows = out.crossJoin(runs.agg(F.countDistinct("user_id").alias("num_users")))
+    return rounded(rows, "hit_rate", "recall", "ndcg", "mrr", *MACRO)
+
+
 @query("export_selection", """WITH u AS (SELECT DISTINCT user_id FROM truth), o AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM u),
     h AS (SELECT DISTINCT o.user_id, o.place FROM o JOIN truth t ON t.user_id = o.user_id JOIN runs r ON r.user_id = t.user_id AND r.item_id = t.item_id WHERE r.permutation_index = 1 AND r.output_rank < 2),
     s AS (SELECT * FROM h ORDER BY place LIMIT 5), n AS (SELECT count(*) AS total FROM u)
