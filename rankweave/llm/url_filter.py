@@ -36,7 +36,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class UrlTrie:
-    """Host nodes: label -> node. A host node's path trie: segment -> node, and rules whose last, open segment is a prefix."""
+    """Host nodes: label -> node. A host node's path trie: segment -> node, and rules whose last, open segment is a prefix.
+
+    A node's open segments stand by their length, the longest first, so a segment is looked up once a length, however many rules a node has.
+    """
 
     __slots__ = ("hosts", "paths", "n_rules")
 
@@ -54,14 +57,16 @@ class UrlTrie:
             *whole, last = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            node.setdefault(None, {})[last] = (host.translate(ASCII_LOWER) + path, verdict)
+            open_ = node.setdefault(None, {})
+            if len(last) not in open_:
+                node[None] = open_ = dict(sorted([*open_.items(), (len(last), {})], reverse=True))
+            open_[len(last)][last] = (host.translate(ASCII_LOWER) + path, verdict)
 
     @staticmethod
     def _path(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for i, segment in enumerate(segments):
-            fits = [(len(p), found) for p, found in node.get(None, {}).items() if segment.startswith(p)]
-            best = max(fits)[1] if fits else best
+            best = next((fits[start] for n, fits in node.get(None, {}).items() if n <= len(segment) and (start := segment[:n]) in fits), best)
             if i + 1 == len(segments) or segment not in node:  # the last segment is open: no rule may go past it
                 break
             node = node[segment]

@@ -376,3 +376,13 @@ def test_digest_queries_follow_their_operators(spark):
         base = base_of(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert set(base) <= set(r["spans"].split(",")) | {""}
+
+
+def test_a_node_with_many_rules_is_looked_up_by_length():
+    rules = [("block", "x.com", f"/p{i}") for i in range(20_000)] + [("allow", "x.com", "/p7/a"), ("allow", "x.com", "/p"), ("block", "x.com", "/")]
+    trie = url_filter.UrlTrie(rules)
+    began = time.perf_counter()
+    for i in range(2000):
+        assert trie.find("www.x.com", f"/p{i}z/b") == (f"x.com/p{i}", "block")
+    assert time.perf_counter() - began < 1.0
+    assert trie.find("x.com", "/p7/abc") == ("x.com/p7/a", "allow") and trie.find("x.com", "/px") == ("x.com/p", "allow") and trie.find("x.com", "/q") == ("x.com/", "block")
