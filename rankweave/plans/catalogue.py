@@ -535,7 +535,7 @@ def _(spark, runs):
 
 @query("gpi", runs=RUNS)
 def _(spark, runs):
-    return metrics.gpi(metrics.pair_preferences(runs))
+    return metrics.gpi_of_lists(runs)
 
 
 #: Runs of which some lists lack an item in their output, and some users have a list over other items.

@@ -333,3 +333,20 @@ def test_samples_and_results_as_objects(spark):
     said = json.loads(evidence.result_dicts(made).first()["value"])
     assert said["items"][0] == {"candidate_index": 0, "item_id": "a", "score": 0.5, "input_position": 1, "relevance": None, "candidate": {}} and said["split"] is None
     assert [r["user_id"] for r in evidence.result_violations(made).orderBy("user_id").collect()] == ["w", "x", "y"]
+
+
+def test_inconsistency_of_lists_is_that_of_their_preferences(spark):
+    rng = random.Random(9)
+    rows = []
+    for u in range(30):
+        items = [f"i{k}" for k in range(rng.randint(1, 9))]
+        for p in range(rng.randint(1, 5)):
+            some = rng.sample(items, rng.randint(1, len(items)))
+            rows += [(u, p, i, r) for r, i in enumerate(some)]
+    runs = spark.createDataFrame(rows, "user_id long, permutation_index int, item_id string, output_rank int")
+    by_lists = {r["user_id"]: round(r["gpi"], 9) for r in metrics.gpi_of_lists(runs).collect()}
+    by_pairs = {r["user_id"]: round(r["gpi"], 9) for r in metrics.gpi(metrics.pair_preferences(runs)).collect()}
+    # pairs that no list holds together count for lists, whose matrix has them without a preference
+    whole = {u for u in by_pairs if all(len({i for a, p, i, _ in rows if a == u}) == sum(1 for a, q, *_ in rows if a == u and q == p) for p in {q for a, q, *_ in rows if a == u})}
+    assert len(whole) >= 5 and all(by_lists[u] == by_pairs[u] for u in whole)
+    assert set(by_lists) == set(by_pairs)
