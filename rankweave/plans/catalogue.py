@@ -213,7 +213,7 @@ s2 AS (SELECT e.src AS node, k, sum(w * v) AS v FROM e JOIN s1 ON e.dst = s1.nod
 
 
 def _graph(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    edges = retrieval.normalised_edges(retrieval.bipartite_edges(log))
+    edges = prep.stored_once(retrieval.normalised_edges(retrieval.bipartite_edges(log)))  # every layer reads them
     nodes = edges.select(F.col("src").alias("node")).distinct().select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     v = F.ascii(F.substring(F.md5(F.concat("node", F.lit("/"), F.col("k").cast("string"))), 1, 1)).cast("double") / 64
     return edges, nodes.withColumn("v", v)
@@ -272,7 +272,7 @@ def _(spark, log, vectors):
     SELECT g.user_id, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_rate, round(coalesce(hits, 0)::DOUBLE / n, {DIGITS}) AS recall, round(coalesce(dcg, 0) / idcg, {DIGITS}) AS ndcg, round(coalesce(1.0::DOUBLE / first, 0), {DIGITS}) AS mrr
     FROM g LEFT JOIN h ON g.user_id = h.user_id JOIN i ON i.m = least(g.n, 10)""", log=LOG, vectors=VECTORS)
 def _(spark, log, vectors):
-    rec, truth = _unseen(log, vectors)
+    rec, truth = map(prep.stored_once, _unseen(log, vectors))  # the metrics read both several times
     runs = rec.select("user_id", F.lit(1).alias("permutation_index"), "item_id", (F.col("rank") - 1).alias("output_rank"))
     per = metrics.per_list_effectiveness(runs, truth, 10)
     per = truth.select("user_id").distinct().join(per, "user_id", "left").na.fill(0.0)
