@@ -248,6 +248,39 @@ def test_language_model(spark):
     assert bloom_lm.score_documents(df.limit(0), m, words).count() == 0
 
 
+def test_scores_are_the_models_formula_over_counts(spark):
+    """P(w | v) anew from counted words and pairs: discounted pairs by the middle of their level, the rest by the back-off of the context's class."""
+    rng = random.Random(15)
+    vocabulary = [f"v{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(1, 41), k=rng.randint(1, 90))) for _ in range(160)] + ["unknown v1 unheard", ""]
+    df = frame(spark, texts)
+    m, words = bloom_lm.train(df, bits_per_entry=60)
+    learnt = [["", *words_of(t), ""] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(w for t in learnt for w in t[1:])
+    two = Counter(pair for t in learnt for pair in zip(t, t[1:]))
+    n, v, d = sum(one.values()), len(one), 0.75
+
+    def middle(c):  # of the counts from 1.5^q up to the next power, that c is one of
+        if not c:
+            return 0.0
+        q = math.floor(math.log(c) / math.log(1.5) + 1e-9)
+        low, high = math.ceil(1.5**q - 1e-9), math.ceil(1.5 ** (q + 1) - 1e-9)
+        return (low + max(high - 1, low)) / 2
+
+    of = lambda w: 1 + math.floor(math.log2(one[w]) + 1e-9)
+    seen, kinds = Counter(), Counter()
+    for (a, _), c in two.items():
+        seen[of(a)] += c
+        kinds[of(a)] += 1
+    spared = {k: min(1.0, max(1e-3, 1 - (seen[k] - d * kinds[k]) / seen[k])) for k in seen}
+    for r in bloom_lm.score_documents(df, m, words).collect():
+        t, want = ["", *words_of(texts[r["doc_id"]]), ""], 0.0
+        for a, b in zip(t, t[1:]):
+            p = max(middle(two[a, b]) - d, 0) / one[a] if one[a] else 0.0
+            want += math.log10(min(min(p, 1.0) + (spared[of(a)] if one[a] else 1.0) * (one[b] + 1) / (n + v + 1), 1.0))
+        assert abs(r["score"] - want) < 1e-6
+
+
 def test_language_model_knows_what_its_filter_has_no_room_for(spark):
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(400)]
