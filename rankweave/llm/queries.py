@@ -81,6 +81,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10's rules are learned from and its base rule, which SQL can say."""
+    q = quality_rules.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return q.select("doc_id", *(f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")))
+
+
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_repair.audit_conversations(conversation_repair.damage(rows), rows.select("conv_id"))
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "quality_statistics": quality_statistics,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_language_id": op12_language_id,
     "op13_token_alignment": op13_token_alignment,
@@ -134,6 +141,16 @@ f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id""",
+    "quality_statistics": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+d AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+c AS (SELECT r, count(DISTINCT i + o) AS n FROM d, range(0, 8) k(o) WHERE n > 1 GROUP BY r),
+s AS (SELECT t.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM t JOIN w ON t.r = w.r LEFT JOIN l ON t.r = l.r LEFT JOIN c ON t.r = c.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s""",
     "op9_url_filter": r"""
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
