@@ -37,6 +37,18 @@ def from_order(f: Callable[[str, Sequence[str]], Sequence[str]]) -> Callable[[st
     return scores
 
 
+def from_orders(f: Callable[[Sequence[tuple[str, Sequence[str]]]], Sequence[Sequence[str]]]) -> Callable[[Sequence[tuple[str, Sequence[str]]]], list[list[float]]]:
+    """A batch scorer of a callback that orders several lists at once; each order names every item shown once."""
+
+    def scores(lists: Sequence[tuple[str, Sequence[str]]]) -> list[list[float]]:
+        orders = list(f(lists))
+        if len(orders) != len(lists):
+            raise ValueError(f"{len(lists)} lists, {len(orders)} orders")
+        return [from_order(lambda _, __, o=order: o)(user, shown) for (user, shown), order in zip(lists, orders, strict=True)]
+
+    return scores
+
+
 def digest_scores(lists: Sequence[tuple[str, Sequence[str]]]) -> list[list[float]]:
     """A batch scorer that needs no model: an item's score is a digest of user and item, wherever it is shown. For trials and tests."""
     return [[int(hashlib.md5(f"{user}#{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in shown] for user, shown in lists]

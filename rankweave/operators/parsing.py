@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The forms in which an answer holds its object, between fences or from the first brace to the last.
 FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.IGNORECASE | re.DOTALL)
 #: One object of one list of strings without escapes.
 PLAIN = r'^\s*\{\s*"rank_order"\s*:\s*\[\s*("[^"\\\x00-\x1f]*"\s*(,\s*"[^"\\\x00-\x1f]*"\s*)*)?\]\s*\}\s*$'

@@ -118,7 +118,7 @@ def rank_requests(samples: DataFrame, permutations: DataFrame | None = None) ->
 def request_violations(requests: DataFrame) -> DataFrame:
     """(rule, violations): how many of requests (user_id, items, titles, permutation) break each rule of a request.
 
-    A request has items, none twice and none null; a title for each, none blank; and an order that names each place once. Null arrays
+    A request has items, none twice and none null or empty; a title for each, none blank; and an order that names each place once. Null arrays
     count as empty.
     """
     some = lambda c: F.coalesce(F.col(c), F.array())
@@ -126,7 +126,7 @@ def request_violations(requests: DataFrame) -> DataFrame:
     rules: dict[str, Column] = {
         "no_candidates": n == 0,
         "repeated_items": F.size(F.array_distinct(some("items"))) < n,
-        "missing_ids": F.exists(some("items"), lambda x: x.isNull()),
+        "missing_ids": F.exists(some("items"), lambda x: x.isNull() | (x.cast("string") == "")),
         "blank_titles": (F.size(some("titles")) != n) | F.exists(some("titles"), lambda x: x.isNull() | (F.btrim(x) == "")),
         "broken_order": ~F.sort_array(some("permutation").cast("array<int>")).eqNullSafe(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))),
     }

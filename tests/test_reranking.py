@@ -135,3 +135,20 @@ def test_causal_mask_and_dispatch(spark):
     for f, bad in ((marker.attention_mask, "x"), (marker.position_ids, "y")):
         with pytest.raises(ValueError):
             f(df, bad)
+
+
+def test_orders_of_several_lists():
+    from rankweave.functions.scoring import from_orders
+
+    by_name = from_orders(lambda lists: [sorted(shown) for _, shown in lists])
+    assert by_name([("u", ["b", "a"]), ("v", ["c"])]) == [[1.0, 2.0], [1.0]]
+    with pytest.raises(ValueError, match="2 lists, 1 orders"):
+        from_orders(lambda lists: [["a"]])([("u", ["a"]), ("v", ["b"])])
+    with pytest.raises(ValueError, match="twice"):
+        from_orders(lambda lists: [["a", "a"]])([("u", ["a", "b"])])
+
+
+def test_empty_ids_are_violations(spark):
+    df = spark.createDataFrame([(1, ["a", ""], ["x", "y"], [0, 1]), (2, ["a", "b"], ["x", "y"], [1, 0])], "user_id long, items array<string>, titles array<string>, permutation array<int>")
+    found = {r["rule"]: r["violations"] for r in reranking.request_violations(df).collect()}
+    assert found == {"no_candidates": 0, "repeated_items": 0, "missing_ids": 1, "blank_titles": 0, "broken_order": 0}
