@@ -39,8 +39,10 @@ def _args(argv: list[str] | None) -> argparse.Namespace:
     a.add_argument("--val", type=float, default=0.1)
     a = command("train-retriever", "factors of users and items", data="store of the data set", model="store of the model")
     a.add_argument("--min-rating", type=float, default=4.0)
+    a.add_argument("--kind", choices=sorted(models.FITS), default="als")
     a.add_argument("--factors", type=int, default=64)
-    a.add_argument("--iterations", type=int, default=20)
+    a.add_argument("--iterations", type=int, default=20, help="of als")
+    a.add_argument("--epochs", type=int, default=100, help="of lightgcn")
     a.add_argument("--alpha", type=float, default=40.0)
     a.add_argument("--reg", type=float, default=0.01)
     a.add_argument("--seed", type=int, default=42)
@@ -103,7 +105,8 @@ def prepare(spark: SparkSession, x: argparse.Namespace) -> None:
 def train_retriever(spark: SparkSession, x: argparse.Namespace) -> None:
     tables, _ = datasets.load_dataset(spark, x.data)
     rows = prep.positives(tables["retriever_train"], x.min_rating)
-    models.als_model(rows, factors=x.factors, iterations=x.iterations, alpha=x.alpha, reg=x.reg, seed=x.seed).save(x.model)
+    settings = {"factors": x.factors, "iterations": x.iterations, "alpha": x.alpha, "reg": x.reg} if x.kind == "als" else {"dim": x.factors, "epochs": x.epochs}
+    models.model_fit(x.kind)(rows, seed=x.seed, **settings).save(x.model)
 
 
 def _asked(spark: SparkSession, x: argparse.Namespace) -> tuple[dict[str, DataFrame], models.RetrievalModel, DataFrame]:

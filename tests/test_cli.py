@@ -42,6 +42,14 @@ def test_prepared_tables(spark, folder):
     assert models.load_model(spark, f"file://{folder}/model").stats["retriever"] == "als"
 
 
+def test_another_kind_of_model_keeps_its_losses(spark, folder):
+    cli.main(["train-retriever", "--data", f"file://{folder}/data", "--model", f"file://{folder}/graph", "--kind", "lightgcn", "--factors", "4", "--epochs", "3"])
+    model = models.load_model(spark, f"file://{folder}/graph", "lightgcn")
+    assert len(model.stats["loss_history"]) == 3 and model.recommend(2).count() > 0
+    with pytest.raises(ValueError, match="no such retriever"):
+        models.model_fit("knn")
+
+
 def test_exported_candidates(spark, folder):
     tables, _ = datasets.load_dataset(spark, f"file://{folder}/data")
     raw = {r["user_id"]: set() for r in tables["users"].collect()}
