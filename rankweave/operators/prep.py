@@ -26,7 +26,7 @@ def stored_once(df: DataFrame) -> DataFrame:
 
 
 def id_mapping(log: DataFrame, raw: str, name: str) -> DataFrame:
-    """(raw, id): 0-based over the sorted distinct raw ids, numbered in parallel: a range sort, then offsets of its partitions."""
+    """(raw, id): 0-based over the sorted distinct raw ids, numbered in parallel: a range sort, then offsets of its partitions. Eager: the sorted ids are stored."""
     spark = log.sparkSession
     # read twice, for the numbers inside a partition and for the partitions' sizes; stored, as a range sort made again may cut elsewhere
     ids = stored_once(log.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().orderBy("raw").withColumn("_p", F.spark_partition_id()))

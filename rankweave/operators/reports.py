@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import sampling
-from rankweave.operators import metrics, retrieval
+from rankweave.operators import metrics, prep, retrieval
 
 #: What the short evaluation row shows of each family.
 SHORT_PARSER = ["num_parse_errors", "parse_error_rate", "num_parser_repair_attempts", "parser_repair_attempt_rate"]
@@ -28,9 +28,13 @@ def result_lists(users: DataFrame) -> DataFrame:
 
 
 def evaluation(runs: DataFrame, truth: DataFrame, k: int, outputs: DataFrame | None = None, full: bool = False, n_buckets: int = 3, min_observations: int = 1) -> DataFrame:
-    """One row: counts, effectiveness, parser quality (of `outputs`, if given), preference consistency and robustness; short or in full."""
+    """One row: counts, effectiveness, parser quality (of `outputs`, if given), preference consistency and robustness; short or in full.
+
+    Eager: runs and truth, which every family reads, are stored before.
+    """
     if k < 1:
         raise ValueError("k is positive")
+    runs, truth = prep.stored_once(runs), prep.stored_once(truth)
     pick = lambda df, names: df if full else df.select(*names)
     preference = metrics.preference_consistency(runs, n_buckets, min_observations).withColumnRenamed("num_users", "num_users_with_preference_consistency")
     out = runs.agg(F.countDistinct("user_id").alias("num_users")).withColumn("k", F.lit(k))
