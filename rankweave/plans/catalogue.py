@@ -852,6 +852,18 @@ def _true_first(lists: list[tuple[str, list[str]]]) -> list[list[float]]:
     return [[float(i == f"i{(int(user) * 31 + 17) % 1000}") for i in shown] for user, shown in lists]
 
 
+@query("run_seeds", "SELECT user_id, CAST(k AS INT) AS permutation_index, CAST(42 + user_id * 100000 + k - 1 AS BIGINT) AS permutation_seed FROM users, range(1, 4) t(k)", users=CUSTOMERS)
+def _(spark, users):
+    return permutations.run_seeds(users, 3)
+
+
+@query("calibration_grid", """WITH h AS (SELECT DISTINCT c.user_id, c.pos FROM candidates c JOIN truth t ON c.user_id = t.user_id AND c.item_id = t.item_id)
+    SELECT user_id, CAST(pos AS INT) AS target, CAST(p AS INT) AS true_pos, CAST(r AS INT) AS repeat, CAST(pos AS INT) AS shown, [0, 1, 2, 3, 4, 5, 6, 7] AS places FROM h, range(0, 8) a(p), range(0, 2) b(r)""", candidates=FIRST_LISTS, truth=TRUTH)
+def _(spark, candidates, truth):
+    asked = calibration.calibration_requests(candidates, truth, 8, repeats=2)
+    return asked.select("user_id", "target", "true_pos", "repeat", F.get("permutation", "true_pos").alias("shown"), F.array_sort("permutation").alias("places"))
+
+
 @query("calibration_counts", """WITH t AS (SELECT DISTINCT * FROM truth), h AS (SELECT c.user_id FROM candidates c JOIN t ON c.user_id = t.user_id AND c.item_id = t.item_id)
     SELECT CAST(p AS INT) AS true_pos, CAST(p AS INT) AS pred_pos, count(*) AS n FROM h, range(0, 8) a(p), range(0, 2) b(r) GROUP BY p""", candidates=FIRST_LISTS, truth="SELECT * FROM (" + TRUTH + ") y WHERE user_id % 2 = 1")
 def _(spark, candidates, truth):
