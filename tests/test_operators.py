@@ -151,6 +151,21 @@ def test_lightgcn_sums_are_the_same_for_small_and_large_graphs(monkeypatch):
     assert all(np.allclose(x, y) for x, y in zip(small, retrieval.lightgcn_fit(pairs, 31, 30, dim=8, epochs=3, batch=64), strict=True))
 
 
+@pytest.mark.parametrize("n_users, n_items", [(40, 7), (7, 40)])
+@pytest.mark.parametrize("layers", [0, 1, 2, 3, 4])
+def test_lightgcn_layers_come_from_two_products(n_users, n_items, layers):
+    rng = np.random.default_rng(layers)
+    u, i = np.unique(np.stack([rng.integers(0, n_users, 90), n_users + rng.integers(0, n_items, 90)]), axis=1)
+    w, x = rng.random(len(u)), rng.normal(size=(n_users + n_items, 3))
+    total, step = x.copy(), x
+    for _ in range(layers):
+        last, step = step, np.zeros_like(x)
+        np.add.at(step, u, w[:, None] * last[i])
+        np.add.at(step, i, w[:, None] * last[u])
+        total += step
+    assert np.allclose(retrieval._spread(u, i, w, n_users, n_items, layers)(x), total / (layers + 1))
+
+
 def test_recommend_of_a_user_who_has_seen_all(spark):
     users = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "user_id long, vec array<double>")
     items = spark.createDataFrame([(i, [1.0]) for i in range(3)], "item_id long, vec array<double>")
