@@ -10,23 +10,38 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
+#: Parts in which a request's groups meet its other groups.
+PAIR_PARTS = 16
+
+
 def lambda_rank_loss(scored: DataFrame, sigma: float = 1.0) -> DataFrame:
     """Mean over pairs of different relevance of |change of NDCG by a swap| * softplus(-sigma * score difference).
 
-    Pairs are made inside a request's row; ranks and the ideal come from windows over the request, one shuffle.
+    Ranks and the ideal come from windows over the request. Rows of equal score and relevance are one group, and only groups meet: a higher score has the
+    smaller ranks throughout, so a group's discounts enter by their number and sum; between equal scores they are running sums in the order of ranks. Work grows with the rows
+    and with the square of a request's distinct (score, relevance); a request without equal scores has all its pairs, in parts and without being held.
     """
     w = Window.partitionBy("request_id")
     gain = F.pow(F.lit(2.0), F.col("relevance")) - 1
     rows = scored.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "position"))).withColumn("i", F.row_number().over(w.orderBy(F.desc("relevance"), "position")))
-    e = F.collect_list(F.struct(F.col("score").alias("s"), gain.alias("g"), (1 / F.log2(F.col("r") + 1.0)).alias("d"), F.col("relevance").alias("y")))
-    lists = rows.groupBy("request_id").agg(e.alias("e"), F.sum(gain / F.log2(F.col("i") + 1.0)).alias("ideal"))
-    term = lambda a, b: F.abs((a["g"] - b["g"]) * (a["d"] - b["d"])) / F.col("ideal") * softplus(-sigma * (a["s"] - b["s"]))
-    pairs = F.aggregate(
-        "e",
-        F.struct(F.lit(0.0).alias("l"), F.lit(0).cast("long").alias("n")),
-        lambda acc, a: F.aggregate(F.col("e"), acc, lambda t, b: F.when(a["y"] > b["y"], F.struct((t["l"] + term(a, b)).alias("l"), (t["n"] + 1).alias("n"))).otherwise(t)),
-    )
-    return lists.select("request_id", pairs.alias("p")).select("request_id", F.when(F.col("p.n") > 0, F.col("p.l") / F.col("p.n")).otherwise(0.0).alias("loss"))
+    rows = rows.select("request_id", F.col("score").alias("s"), F.col("relevance").alias("y"), gain.alias("g"), "r", (1 / F.log2(F.col("r") + 1.0)).alias("d"), (gain / F.log2(F.col("i") + 1.0)).alias("best"))
+    groups = rows.groupBy("request_id", "s", "y").agg(F.first("g").alias("g"), F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"), F.sum("best").alias("best"))
+    each = lambda df, x: df.select("request_id", *(F.col(c).alias(f"{c}{x}") for c in ("s", "y", "g", "n", "d")), "part")
+    a = each(groups.withColumn("part", F.pmod(F.hash("s", "y"), F.lit(PAIR_PARTS))), "a")
+    b = each(groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PAIR_PARTS - 1)))), "b")
+    apart = F.abs(F.col("db") * F.col("na") - F.col("da") * F.col("nb")) * (F.col("ga") - F.col("gb")) * softplus(-sigma * (F.col("sa") - F.col("sb")))
+    far = a.join(b, ["request_id", "part"]).where((F.col("ya") > F.col("yb")) & ~F.col("sa").eqNullSafe(F.col("sb"))).select("request_id", apart.alias("l"), (F.col("na") * F.col("nb")).alias("n"))
+    # of equal scores: the rows before a row, by relevance
+    tie = Window.partitionBy("request_id", "s")
+    levels = groups.withColumn("k", F.count(F.lit(1)).over(tie)).where("k > 1 AND y IS NOT NULL").select("request_id", F.col("s").alias("_s"), F.col("y").alias("level"), F.col("g").alias("glevel"))
+    tied = rows.join(levels, (rows["request_id"] == levels["request_id"]) & rows["s"].eqNullSafe(levels["_s"])).drop(levels["request_id"])
+    own = F.col("y") == F.col("level")
+    before = Window.partitionBy("request_id", "s", "level").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    tied = tied.withColumns({"n": F.count(F.when(own, 1)).over(before), "before": F.coalesce(F.sum(F.when(own, F.col("d"))).over(before), F.lit(0.0))})
+    near = tied.where((F.col("y") != F.col("level")) & (F.col("n") > 0)).select("request_id", (F.abs(F.col("g") - F.col("glevel")) * (F.col("before") - F.col("n") * F.col("d")) * softplus(-sigma * (F.col("s") - F.col("s")))).alias("l"), "n")
+    pairs = far.unionAll(near).groupBy("request_id").agg(F.sum("l").alias("l"), F.sum("n").alias("n"), F.count_if(F.col("l").isNull()).alias("lost"))
+    out = groups.groupBy("request_id").agg(F.sum("best").alias("ideal")).join(pairs, "request_id", "left")
+    return out.select("request_id", F.when(F.col("lost") > 0, F.lit(None)).when(F.col("n") > 0, F.col("l") / F.col("ideal") / F.col("n")).otherwise(0.0).alias("loss"))
 
 
 def softmax_rows(runs: DataFrame, temperature: float = 1.0) -> DataFrame:

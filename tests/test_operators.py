@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -166,6 +167,27 @@ def test_lightgcn_layers_come_from_two_products(n_users, n_items, layers):
     assert np.allclose(retrieval._spread(u, i, w, n_users, n_items, layers)(x), total / (layers + 1))
 
 
+def test_lambda_rank_loss_meets_groups_and_not_rows(spark):
+    """Against all pairs in plain Python, with equal scores, a null relevance and a null score; and 20,000 rows of one request, which are 2e8 pairs."""
+    rng = random.Random(5)
+    data = [("a", i, rng.choice([0.1, 0.2, 0.3, 0.7]), rng.randint(0, 3)) for i in range(60)] + [("b", i, rng.random(), rng.choice([0, 1, None])) for i in range(30)]
+    data += [("c", 0, 1.0, 2), ("c", 1, 1.0, 2), ("d", 0, 0.5, 1), ("d", 1, None, 0), ("e", 0, 0.5, 0), ("e", 1, 0.5, 1), ("e", 2, 0.5, 2)]
+    want = {"c": 0.0, "d": None}
+    for q in "abe":
+        rows = [x[1:] for x in data if x[0] == q]
+        d = {x[0]: 1 / math.log2(r + 2) for r, x in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
+        rows = [x for x in rows if x[2] is not None]
+        ideal = sum((2.0 ** x[2] - 1) / math.log2(r + 2) for r, x in enumerate(sorted(rows, key=lambda x: (-x[2], x[0]))))
+        terms = [abs((2.0 ** a[2] - 2.0 ** b[2]) * (d[a[0]] - d[b[0]])) / ideal * math.log1p(math.exp(b[1] - a[1])) for a in rows for b in rows if a[2] > b[2]]
+        want[q] = sum(terms) / len(terms)
+    kind = "request_id string, position int, score double, relevance int"
+    got = {r["request_id"]: r["loss"] for r in losses.lambda_rank_loss(spark.createDataFrame(data, kind)).collect()}
+    assert got == pytest.approx(want)
+    many = spark.range(20_000).select(F.lit("m").alias("request_id"), F.col("id").alias("position"), (F.pmod(F.hash("id"), F.lit(50)) / 50.0).alias("score"), (F.col("id") % 4).cast("int").alias("relevance"))
+    began = time.monotonic()
+    assert losses.lambda_rank_loss(many).first()["loss"] > 0 and time.monotonic() - began < 45
+
+
 def test_recommend_of_a_user_who_has_seen_all(spark):
     users = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "user_id long, vec array<double>")
     items = spark.createDataFrame([(i, [1.0]) for i in range(3)], "item_id long, vec array<double>")
