@@ -3,20 +3,42 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_erf = np.vectorize(math.erf, otypes=[float])
+#: Values of one array of hidden units at once; lists of one length are corrected together up to it.
+CELLS = 30_000
 
-
-def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + _erf(x / math.sqrt(2)))
+#: The normal distribution function on a grid, with three more terms of its series at each point, in steps; beyond the ends it is 0 and 1 in double precision.
+_STEPS, _END = 1024, 9.0
+_GRID = np.arange(-_END * _STEPS, _END * _STEPS + 1) / _STEPS
+_SLOPE = np.exp(-(_GRID**2) / 2) / math.sqrt(2 * math.pi) / _STEPS
+_SERIES = [np.array([math.erfc(-x / math.sqrt(2)) / 2 for x in _GRID]), _SLOPE, -_GRID * _SLOPE / 2 / _STEPS, (_GRID**2 - 1) * _SLOPE / 6 / _STEPS**2]
 
 
-def mlp(x: np.ndarray, layers: dict[str, np.ndarray]) -> np.ndarray:
-    return gelu(x @ layers["w1"] + layers["b1"]) @ layers["w2"] + layers["b2"]
+def gelu(x: np.ndarray) -> np.ndarray:
+    """x times the normal distribution function of x, within 1e-14, by slices that stay in the cache."""
+    flat = np.ascontiguousarray(x, float).reshape(-1)
+    out = np.empty_like(flat)
+    for start in range(0, len(flat), 8192):
+        z, y = flat[start : start + 8192], out[start : start + 8192]
+        t = np.clip(z, -_END, _END)
+        t += _END
+        t *= _STEPS
+        np.rint(t, out=y)
+        t -= y
+        with np.errstate(invalid="ignore"):
+            at = y.astype(np.int32)  # of NaN any place, clipped below: t stays NaN
+        np.take(_SERIES[3], at, out=y, mode="clip")
+        for term in _SERIES[2::-1]:
+            y *= t
+            y += term.take(at, mode="clip")
+        y *= z
+    return out.reshape(x.shape)
 
 
 def random_weights(dim: int, width: int = 16, hidden: int = 32, seed: int = 0) -> dict:
@@ -36,27 +58,57 @@ def weights_of(mode: str, dim: int, width: int = 256, hidden: int = 512, scale:
 
 def relational_correction(x: np.ndarray, base: np.ndarray, w: dict) -> np.ndarray:
     """Gated advantages of each candidate over all others: antisymmetric, so a list's corrections sum to 0; permutations commute with it."""
-    n = len(x)
+    return relational_corrections(x[None], base[None], w)[0]
+
+
+def relational_corrections(x: np.ndarray, base: np.ndarray, w: dict) -> np.ndarray:
+    """The corrections of lists of one length: x (lists, n, dim), base (lists, n).
+
+    The relation of a and b reads a, b, a - b, a * b and their scores' difference; the gate a + b, |a - b|, a * b and the mean. What is linear in one candidate is
+    computed once for it, and each pair once: its gate is the same both ways, and only the difference of the relation's two ways counts.
+    """
+    lists, n = base.shape
     if n < 2:
-        return np.zeros(n)
-    x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5) * w["gain"] + w["shift"]
+        return np.zeros((lists, n))
+    x = (x - x.mean(2, keepdims=True)) / np.sqrt(x.var(2, keepdims=True) + 1e-5) * w["gain"] + w["shift"]
     v = x @ w["project"] + w["offset"]
-    i, j = np.indices((n, n))
-    a, b = v[i], v[j]
-    pair = (mlp(np.concatenate([a, b, a - b, a * b, (base[i] - base[j])[..., None]], -1), w["relation"]) @ w["compare"])[..., 0]
-    logit = mlp(np.concatenate([a + b, abs(a - b), a * b, np.broadcast_to(v.mean(0), a.shape)], -1), w["gate"])[..., 0]
-    gate = 1 / (1 + np.exp(-(logit + logit.T) / 2))
-    np.fill_diagonal(gate, 0.0)
-    return w["scale"] * (gate * (pair - pair.T)).sum(1) / (n - 1)
+    of_a, of_b, of_less, of_times, of_base = np.split(w["relation"]["w1"], np.arange(1, 5) * v.shape[2])
+    of_sum, of_far, of_both, of_mean = np.split(w["gate"]["w1"], 4)
+    mine, other, summed = v @ (of_a + of_less), v @ (of_b - of_less), v @ of_sum
+    i, j = np.triu_indices(n, 1)
+    a, b = v[:, i], v[:, j]
+    product = a * b
+    even, odd = product @ of_times + w["relation"]["b1"], (base[:, i] - base[:, j])[..., None] * of_base
+    last = w["relation"]["w2"] @ w["compare"]
+    ahead = (gelu(mine[:, i] + other[:, j] + even + odd) - gelu(mine[:, j] + other[:, i] + even - odd)) @ last
+    hidden = summed[:, i] + summed[:, j] + np.abs(a - b) @ of_far + product @ of_both + (v.mean(1) @ of_mean)[:, None] + w["gate"]["b1"]
+    logit = gelu(hidden) @ w["gate"]["w2"] + w["gate"]["b2"]
+    each = np.zeros((lists, n, n))
+    each[:, i, j] = (ahead / (1 + np.exp(-logit)))[..., 0]
+    return w["scale"] * (each.sum(2) - each.sum(1)) / (n - 1)
 
 
 def correct_scores(lists: DataFrame, weights: dict) -> DataFrame:
-    """lists (request_id, item_id, score, vec) to (request_id, item_id, correction); a group is one list of candidates."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id")
-        c = relational_correction(np.stack([np.asarray(v, float) for v in pdf["vec"]]), pdf["score"].to_numpy(float), weights)
-        return pd.DataFrame({"request_id": pdf["request_id"], "item_id": pdf["item_id"], "correction": c})
+    """lists (request_id, item_id, score, vec) to (request_id, item_id, correction); a request's candidates are one row of arrays, and lists of one length are corrected together."""
+    width, dim = max(weights["project"].shape[1], *(weights[x]["w1"].shape[1] for x in ("relation", "gate"))), len(weights["gain"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b["items"].value_lengths().to_numpy(zero_copy_only=False)
+            score, vec = (b[c].flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("scores", "vecs"))
+            if len(vec) != dim * len(score) or (b["vecs"].value_lengths().to_numpy(zero_copy_only=False) != dim * sizes).any():
+                raise ValueError(f"a candidate's vector doesn't have {dim} values")
+            starts, out = np.cumsum(sizes) - sizes, np.empty(len(score))
+            for n in np.unique(sizes).tolist():
+                of_size = starts[sizes == n]
+                step = max(1, CELLS // (n * n * width))
+                for at in range(0, len(of_size), step):
+                    rows = of_size[at : at + step, None] + np.arange(n)
+                    out[rows] = relational_corrections(vec.reshape(-1, dim)[rows], score[rows], weights)
+            yield pa.RecordBatch.from_arrays([b["request_id"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), b["items"].flatten(), pa.array(out)], ["request_id", "item_id", "correction"])
 
     kinds = dict(lists.dtypes)
-    return lists.select("request_id", "item_id", "score", "vec").groupBy("request_id").applyInPandas(run, f"request_id {kinds['request_id']}, item_id {kinds['item_id']}, correction double")
+    rows = F.array_sort(F.collect_list(F.struct("item_id", F.col("score").cast("double").alias("score"), F.col("vec").cast("array<double>").alias("vec"))))
+    of = lambda c: F.transform("l", lambda x: x[c])
+    packed = lists.groupBy("request_id").agg(rows.alias("l")).select("request_id", of("item_id").alias("items"), of("score").alias("scores"), F.flatten(of("vec")).alias("vecs"))
+    return packed.mapInArrow(run, f"request_id {kinds['request_id']}, item_id {kinds['item_id']}, correction double")
