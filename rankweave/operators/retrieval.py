@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators import prep
 
-#: Items scored or skipped together; items that go to the tasks at once; cells of one product.
+#: Items scored or skipped together; items that go to the tasks at once (passes of fewer go together up to it); cells of one product.
 BLOCK_ITEMS, PASS_ITEMS, PRODUCT_CELLS = 2048, 200_000, 2_000_000
 #: How much a product may differ from the exact sum, for values near 1.
 SLACK = 1e-9
@@ -51,7 +53,7 @@ def propagated_mean(edges: DataFrame, x: DataFrame, layers: int) -> DataFrame:
     return out.groupBy("node", "k").agg((F.sum("v") / (layers + 1)).alias("v"))
 
 
-def recommend(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
+def recommend(users: DataFrame, items: DataFrame | ItemPasses, seen: DataFrame | None, k: int) -> DataFrame:
     """(user_id, item_id, score, rank) of each user's k best items by inner product that aren't seen; ties to the smaller item."""
     found = pruned_topk(users, items, seen, k)
     rows = found.select("user_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "x"))
@@ -73,12 +75,29 @@ def propagated_mean_vectors(edges: DataFrame, x: DataFrame, layers: int, dim: in
     return out.groupBy("node").agg(F.array(*[F.sum(F.get("vec", F.lit(i))) / (layers + 1) for i in range(dim)]).alias("vec"))
 
 
-def pruned_topk(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, block_items: int = BLOCK_ITEMS, pass_items: int = PASS_ITEMS) -> DataFrame:
+@dataclass(frozen=True)
+class ItemPasses:
+    """Items by falling norm at the tasks' hands: broadcasts of several passes each, with how many items stand from there on and their largest norm."""
+
+    parts: list[tuple[Broadcast, int, float]]
+    pass_items: int
+
+
+def broadcast_items(items: DataFrame, pass_items: int = PASS_ITEMS) -> ItemPasses:
+    """The items (item_id, vec) for pruned_topk(), which goes over them `pass_items` at a time. Eager; one call serves any number of users' tables."""
+    sc, parts = items.sparkSession.sparkContext, []
+    for ids, factors, left in _item_parts(items, max(1, PASS_ITEMS // pass_items) * pass_items):
+        parts.append((sc.broadcast((ids, factors)), left, float(np.sqrt((factors.astype(float) ** 2).sum(1).max())) if len(ids) else 0.0))
+    return ItemPasses(parts, pass_items)
+
+
+def pruned_topk(users: DataFrame, items: DataFrame | ItemPasses, seen: DataFrame | None, k: int, block_items: int = BLOCK_ITEMS, pass_items: int = PASS_ITEMS) -> DataFrame:
     """(user_id, ids, scores, scored, skipped): each user's k best unseen items, best first, and how many item blocks were scored and skipped for it.
 
     Items stand in blocks by falling norm. A user's score in a block is at most its norm times the block's largest, so a block where that is below the
-    user's k-th score so far is skipped. Blocks come in passes of `pass_items` items, broadcast one after the other; users for whom no further
-    pass can matter leave. A user's seen items travel with it: bounded by its own history.
+    user's k-th score so far is skipped. Blocks come in passes of `pass_items` items, after each of which users for whom no further pass can matter leave; as many passes as hold
+    PASS_ITEMS items are one broadcast and one step. A user's seen items travel with it: bounded by its own history. Users are dealt to all cores, as
+    Spark goes by their bytes and not by the work they are.
     """
     if k < 1:
         raise ValueError("k is positive")
@@ -89,73 +108,100 @@ def pruned_topk(users: DataFrame, items: DataFrame, seen: DataFrame | None, k: i
     else:
         rows = rows.withColumn("seen", F.lit(None).cast("array<bigint>"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    rows = rows.withColumns({"ids": none("bigint"), "scores": none("double"), "scored": F.lit(0).cast("long"), "skipped": F.lit(0).cast("long")})
+    rows = rows.withColumns({"ids": none("bigint"), "scores": none("double"), "scored": F.lit(0).cast("long"), "skipped": F.lit(0).cast("long"), "open": F.lit(True)})
+    rows = rows.repartition(2 * users.sparkSession.sparkContext.defaultParallelism)
+    passes = items if isinstance(items, ItemPasses) else broadcast_items(items, pass_items)
     out = None
-    for number, (ids, factors, left) in enumerate(_item_passes(items, pass_items)):
+    for number, (shared, left, _) in enumerate(passes.parts):
         if number:
             rows = prep.stored_once(rows)
-            # what a user may still reach: its norm times the largest norm of this pass
-            top = F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.lit(float(np.sqrt((factors**2).sum(1).max()) * (1 + SLACK)) + SLACK)
-            open_ = (F.size("ids") < k) | (top >= F.element_at("scores", -1))
-            gone = rows.where(~open_).withColumn("skipped", F.col("skipped") + -(-left // block_items))
+            gone = rows.where(~F.col("open"))
             out = gone if out is None else out.unionByName(gone)
-            rows = rows.where(open_)
-        shared = users.sparkSession.sparkContext.broadcast((ids, factors))
-        rows = rows.mapInPandas(lambda it, s=shared: _scored(it, *s.value, k, block_items), "user_id long, vec array<double>, seen array<bigint>, ids array<bigint>, scores array<double>, scored long, skipped long")
+            rows = rows.where("open").repartition(2 * users.sparkSession.sparkContext.defaultParallelism)
+        after = passes.parts[number + 1][2] if number + 1 < len(passes.parts) else None
+        run = lambda it, s=shared, left=left, after=after, size=passes.pass_items: _scored(it, *s.value, k, block_items, size, left, after)
+        rows = rows.mapInPandas(run, "user_id long, vec array<double>, seen array<bigint>, ids array<bigint>, scores array<double>, scored long, skipped long, open boolean")
     rows = rows if out is None else out.unionByName(rows)
     return rows.select("user_id", "ids", "scores", "scored", "skipped")
 
 
-def _item_passes(items: DataFrame, pass_items: int):
-    """(ids, factors, items from here on) by falling norm, then id, at most pass_items at once."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast("array<double>").alias("vec"))
+def _item_parts(items: DataFrame, part_items: int):
+    """(ids, factors, items from here on) by falling norm, then id, at most part_items at once; factors as they are stored, in single or double precision."""
+    kind = "array<float>" if items.schema["vec"].dataType.elementType.typeName() == "float" else "array<double>"
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast(kind).alias("vec"))
     total = rows.count()
-    if total > pass_items:
+    if total > part_items:
         rows = rows.withColumn("_norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
         rows = prep.stored_once(prep.numbered(rows, F.desc("_norm"), F.col("item_id"), name="_at"))
-    for start in range(0, max(total, 1), pass_items):
-        part = rows if total <= pass_items else rows.where(F.col("_at").between(start, start + pass_items - 1))
-        got = part.select("item_id", "vec").collect()
-        ids, factors = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float) if got else np.empty((0, 0))
-        by = np.lexsort((ids, -np.round(np.sqrt((factors**2).sum(1)), 9)))
+    for start in range(0, max(total, 1), part_items):
+        part = rows if total <= part_items else rows.where(F.col("_at").between(start, start + part_items - 1))
+        got = part.select("item_id", "vec").toArrow()
+        ids = got["item_id"].to_numpy()
+        values = got["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        factors = values.reshape(len(ids), -1) if len(ids) else np.empty((0, 0))
+        by = np.lexsort((ids, -np.round(np.sqrt((factors.astype(float) ** 2).sum(1)), 9)))
         yield ids[by], factors[by], total - start
 
 
-def _scored(batches, ids: np.ndarray, factors: np.ndarray, k: int, block_items: int):
-    """One pass over users: products of whole batches choose what may be among the best, sums in the order of components score it exactly."""
-    blocks = [(ids[i : i + block_items], np.ascontiguousarray(factors[i : i + block_items])) for i in range(0, len(ids), block_items)]
-    most = [float(np.sqrt((f**2).sum(1)).max()) for _, f in blocks]
+def _scored(batches, ids: np.ndarray, factors: np.ndarray, k: int, block_items: int, pass_items: int, left: int, after: float | None):
+    """Some passes over users: products of whole batches choose what may be among the best, sums in the order of components score it exactly.
+
+    left: items from the first of these passes on; after: the largest norm of what comes after the last one, if anything does.
+    """
+    factors = np.ascontiguousarray(factors, float)
+    of_norm = np.sqrt((factors**2).sum(1))
+    starts = range(0, len(ids), pass_items)
     for b in batches:
         vecs = np.array(b["vec"].tolist(), float).reshape(len(b), -1)
         norms = np.sqrt((vecs**2).sum(1))
         seen = [np.asarray(x, np.int64) if x is not None else np.empty(0, np.int64) for x in b["seen"]]
         best = [(np.asarray(i, np.int64), np.asarray(s, float)) for i, s in zip(b["ids"], b["scores"], strict=True)]
         kth = np.array([s[-1] if len(s) == k else -np.inf for _, s in best])
-        scored = np.zeros(len(b), np.int64)
-        for (own, f), top in zip(blocks, most, strict=True):
-            slack = SLACK * (1 + norms * top)
-            active = np.flatnonzero(norms * top + slack >= kth)
-            scored[active] += 1
-            step = max(1, PRODUCT_CELLS // len(own))
-            for at in range(0, len(active), step):
-                some = active[at : at + step]
-                products = vecs[some] @ f.T
-                for u, s in zip(some.tolist(), products, strict=True):
-                    room = k + len(seen[u])
-                    least = np.partition(s, len(s) - room)[len(s) - room] if len(s) > room else -np.inf
-                    near = np.flatnonzero(s >= max(least, kth[u]) - slack[u])
-                    if len(seen[u]):
-                        near = near[~np.isin(own[near], seen[u])]
-                    if not len(near):
-                        continue
-                    # rounded, so that equal vectors tie
-                    exact = np.round((f[near] * vecs[u]).sum(axis=1), 12)
-                    i, x = np.concatenate([best[u][0], own[near]]), np.concatenate([best[u][1], exact])
-                    by = np.lexsort((i, -x))[:k]
-                    best[u] = i[by], x[by]
-                    if len(by) == k:
-                        kth[u] = x[by[-1]]
-        yield b.assign(ids=[i for i, _ in best], scores=[s for _, s in best], scored=b["scored"].to_numpy() + scored, skipped=b["skipped"].to_numpy() + len(blocks) - scored)
+        scored, skipped, open_ = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.ones(len(b), bool)
+
+        def leave(top: float, rest: int) -> None:
+            """Users whose norm times the largest norm of what comes can't reach their k-th score."""
+            gone = open_ & (norms * (top * (1 + SLACK) + SLACK) < kth)
+            skipped[gone] += -(-rest // block_items)
+            open_[gone] = False
+
+        for start in starts:
+            if start:
+                leave(of_norm[start : start + pass_items].max(), left - start)
+                if not open_.any():
+                    break
+            end = min(start + pass_items, len(ids))
+            for first in range(start, end, block_items):
+                own, f = ids[first : min(first + block_items, end)], factors[first : min(first + block_items, end)]
+                top = float(of_norm[first : first + len(own)].max())
+                slack = SLACK * (1 + norms * top)
+                active = np.flatnonzero(open_ & (norms * top + slack >= kth))
+                skipped[open_] += 1
+                skipped[active] -= 1
+                scored[active] += 1
+                step = max(1, PRODUCT_CELLS // len(own))
+                for at in range(0, len(active), step):
+                    some = active[at : at + step]
+                    products = vecs[some] @ f.T
+                    for row in np.flatnonzero(products.max(axis=1) >= kth[some] - slack[some]).tolist():
+                        u, s = int(some[row]), products[row]
+                        room = k + len(seen[u])
+                        least = np.partition(s, len(s) - room)[len(s) - room] if len(s) > room else -np.inf
+                        near = np.flatnonzero(s >= max(least, kth[u]) - slack[u])
+                        if len(seen[u]):
+                            near = near[~np.isin(own[near], seen[u])]
+                        if not len(near):
+                            continue
+                        # rounded, so that equal vectors tie
+                        exact = np.round((f[near] * vecs[u]).sum(axis=1), 12)
+                        i, x = np.concatenate([best[u][0], own[near]]), np.concatenate([best[u][1], exact])
+                        by = np.lexsort((i, -x))[:k]
+                        best[u] = i[by], x[by]
+                        if len(by) == k:
+                            kth[u] = x[by[-1]]
+        if after is not None:
+            leave(after, left - len(ids))
+        yield b.assign(ids=[i for i, _ in best], scores=[s for _, s in best], scored=b["scored"].to_numpy() + scored, skipped=b["skipped"].to_numpy() + skipped, open=open_)
 
 
 def without_seen(ranked: DataFrame, seen: DataFrame) -> DataFrame:
@@ -170,9 +216,10 @@ def covered_users(candidates: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def candidate_coverage(candidates: DataFrame, truth: DataFrame) -> DataFrame:
-    users = candidates.select("user_id").distinct()
-    hit = covered_users(candidates, truth).withColumn("hit", F.lit(1))
-    out = users.join(hit, "user_id", "left").agg(F.count(F.lit(1)).alias("users_before"), F.count("hit").alias("users_with_truth"))
+    """One row: users, those whose candidates hold a true item, and their share. Candidates are read once, as making them is the larger part of the work."""
+    hit = F.max(F.col("_hit").isNotNull().cast("int")).alias("hit")
+    users = candidates.join(truth.select("user_id", "item_id").distinct().withColumn("_hit", F.lit(1)), ["user_id", "item_id"], "left").groupBy("user_id").agg(hit)
+    out = users.agg(F.count(F.lit(1)).alias("users_before"), F.count_if(F.col("hit") == 1).alias("users_with_truth"))
     return out.withColumn("coverage", F.coalesce(F.try_divide(F.col("users_with_truth").cast("double"), F.col("users_before")), F.lit(0.0)))
 
 

@@ -293,7 +293,8 @@ def _(spark, log, vectors):
     users, items = _factors(log, vectors)
     seen = prep.seen_items(prep.context_of("test", rows))
     truth = rows.where((F.col("split") == "test") & (F.col("rating") >= 4.0)).select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id"))
-    score = lambda some: retrieval.recommend(users.join(some, "user_id"), items, seen, 10)
+    users, seen, shared = prep.stored_once(users), prep.stored_once(seen), retrieval.broadcast_items(items)  # each step of the scan reads them
+    score = lambda some: retrieval.recommend(users.join(some, "user_id"), shared, seen.join(some, "user_id", "left_semi"), 10)
     return retrieval.scan_for_truth(sampling.order_users(users), score, truth, 5, 16)[0]
 
 

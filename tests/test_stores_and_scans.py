@@ -92,6 +92,38 @@ def test_skipped_blocks_change_no_row(spark, block, of_pass):
     assert retrieval.pruned_topk(frame(users, "user_id"), frame(items, "item_id").limit(0), None, 5).select(F.size("ids").alias("n")).distinct().collect()[0]["n"] == 0
 
 
+def test_short_passes_go_together(spark, monkeypatch):
+    """Passes of a few items are no step each; items collected once serve several tables of users; with several parts the result is the same."""
+    rng = np.random.default_rng(4)
+    frame = lambda x, c: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{c} long, vec array<float>")
+    users, items = frame(rng.normal(size=(30, 4)), "user_id"), frame(rng.normal(size=(120, 4)), "item_id")
+    stored, collected = [], []
+    keep, parts = prep.stored_once, retrieval._item_parts
+    monkeypatch.setattr(prep, "stored_once", lambda df: stored.append(1) or keep(df))
+    monkeypatch.setattr(retrieval, "_item_parts", lambda *x: collected.append(1) or parts(*x))
+    of = lambda df: sorted((r["user_id"], tuple(r["ids"]), tuple(r["scores"])) for r in df.collect())
+    want = of(retrieval.pruned_topk(users, items, None, 5, 4, 10))
+    assert not stored
+    shared = retrieval.broadcast_items(items)
+    assert of(retrieval.pruned_topk(users.where("user_id < 9"), shared, None, 5)) + of(retrieval.pruned_topk(users.where("user_id >= 9"), shared, None, 5)) == want and len(collected) == 2
+    monkeypatch.setattr(retrieval, "PASS_ITEMS", 30)
+    got = retrieval.pruned_topk(users, items, None, 5, 4, 10).collect()
+    assert sorted((r["user_id"], tuple(r["ids"]), tuple(r["scores"])) for r in got) == want and stored and all(r["scored"] + r["skipped"] >= 30 for r in got)
+
+
+def test_coverage_reads_candidates_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(it):
+        for b in it:
+            made.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (3, 7)], "user_id long, item_id long").mapInPandas(noted, "user_id long, item_id long")
+    truth = spark.createDataFrame([(1, 6), (1, 6), (2, 9), (4, 5)], "user_id long, item_id long")
+    assert tuple(retrieval.candidate_coverage(rows, truth).first()) == (3, 1, 1 / 3) and made.value == 4
+
+
 def test_numbered_rows_are_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5)
     assert all(r["x"] == 999 - r["at"] for r in prep.numbered(df, F.desc("x"), name="at").collect())
