@@ -59,20 +59,25 @@ def permutation_loss(runs: DataFrame, mode: str = "kl", temperature: float = 1.0
     """
     if mode not in ("kl", "jeffreys"):
         raise ValueError(f"no such divergence: {mode}")
-    shared = runs.groupBy("user_id", "item_id").agg(F.countDistinct("permutation_index").alias("c"))
-    lists = runs.groupBy("user_id").agg(F.countDistinct("permutation_index").alias("m"), F.min("permutation_index").alias("first"))
-    kept = runs.join(shared, ["user_id", "item_id"]).join(lists, "user_id").where("c = m")
-    lp = softmax_rows(kept, temperature).join(lists, "user_id")
-    base = lp.where("permutation_index = first").select("user_id", "item_id", F.col("lp").alias("a"))
-    both = lp.where("permutation_index <> first").select("user_id", "item_id", "permutation_index", F.col("lp").alias("b")).join(base, ["user_id", "item_id"])
-    p, q = F.exp("a"), F.exp("b")
-    d = p * (F.col("a") - F.col("b"))
-    if mode == "jeffreys":
-        d = (p - q) * (F.col("a") - F.col("b"))  # both directions of KL, added
-    per = both.groupBy("user_id", "permutation_index").agg(F.sum(d).alias("d"))
-    items = kept.where("permutation_index = first").groupBy("user_id").agg(F.count(F.lit(1)).alias("shared"))
-    out = lists.join(items, "user_id", "left").join(per.groupBy("user_id").agg(F.avg("d").alias("loss")), "user_id", "left")
-    few = (F.col("m") > 1) & (F.coalesce("shared", F.lit(0)) < 2)
+    user, item, one = Window.partitionBy("user_id"), Window.partitionBy("user_id", "item_id"), Window.partitionBy("user_id", "permutation_index")
+    kinds = lambda w: F.size(F.collect_set("permutation_index").over(w))
+    # all groups hold the user, so that one shuffle of the lists by user serves every window and sum, and the lists are read once
+    rows = runs.select("user_id", "permutation_index", "item_id", (F.col("score") / max(float(temperature), 1e-6)).alias("s")).withColumns({"m": kinds(user), "first": F.min("permutation_index").over(user), "_in": kinds(item)})
+    rows = rows.withColumn("s", F.when(F.col("_in") == F.col("m"), F.col("s"))).withColumn("top", F.max("s").over(one))
+    is_first = (F.col("_in") == F.col("m")) & (F.col("permutation_index") == F.col("first"))
+    is_other = (F.col("_in") == F.col("m")) & (F.col("permutation_index") != F.col("first"))
+    lp = F.col("s") - F.col("top") - F.ln(F.sum(F.exp(F.col("s") - F.col("top"))).over(one))
+    rows = rows.withColumns({"lp": lp, "shared": F.count(F.when(is_first, 1)).over(user)})
+    others = F.collect_list(F.when(is_other, F.struct("permutation_index", F.col("lp").alias("b")))).alias("others")
+    items = rows.groupBy("user_id", "item_id").agg(F.max("m").alias("m"), F.max("shared").alias("shared"), F.collect_list(F.when(is_first, F.col("lp"))).alias("base"), others)
+
+    def divergence(a: Column, b: Column) -> Column:
+        return F.exp(a) * (a - b) if mode == "kl" else (F.exp(a) - F.exp(b)) * (a - b)  # Jeffreys': both directions of KL, added
+
+    pairs = items.select("user_id", "m", "shared", "base", F.explode_outer("others").alias("o")).select("user_id", "m", "shared", F.col("o.permutation_index").alias("p"), F.when(F.col("o").isNotNull(), F.aggregate("base", F.lit(0.0), lambda t, a: t + divergence(a, F.col("o.b")))).alias("d"))
+    per = pairs.groupBy("user_id", "p").agg(F.max("m").alias("m"), F.max("shared").alias("shared"), F.sum("d").alias("d"))
+    out = per.groupBy("user_id").agg(F.max("m").alias("m"), F.max("shared").alias("shared"), F.avg("d").alias("loss"))
+    few = (F.col("m") > 1) & (F.col("shared") < 2)
     return out.select("user_id", F.when(~few, F.coalesce("loss", F.lit(0.0))).alias("loss"))
 
 

@@ -7,11 +7,13 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from rankweave.operators import retrieval
 from rankweave.plans import catalogue
+from rankweave.plans import fixtures as X
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -78,3 +80,11 @@ def test_als_has_the_parameters_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "als_recommend", noted)
     catalogue.QUERIES["als_recommend"](spark, DATA)
     assert [used[x] for x in ("factors", "reg", "iterations", "alpha")] == [64, 0.01, 20, 40.0]
+
+
+def test_a_small_file_of_customers_is_dealt_before_it_is_multiplied(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    runs = X.spark_table(spark, str(tmp_path), X.RUNS)
+    placed = runs.select("user_id", F.spark_partition_id().alias("p"))
+    in_parts = placed.groupBy("user_id").agg(F.countDistinct("p").alias("parts")).agg(F.max("parts")).first()[0]
+    assert (placed.count(), placed.select("p").distinct().count(), in_parts) == (120_000, 4, 1)

@@ -212,6 +212,31 @@ def test_interaction_of_many_lists_at_once(spark):
     assert time.monotonic() - began < 3
 
 
+@pytest.mark.parametrize("mode", ["kl", "jeffreys"])
+def test_permutation_loss_reads_its_lists_once(spark, mode):
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(it):
+        for b in it:
+            made.add(len(b))
+            yield b
+
+    rng = random.Random(1)
+    lists = {(u, p): {f"i{i}": rng.random() * 5 for i in range(4 + (u == 3 and p == 2))} for u in range(1, 5) for p in range(1, 4) if u != 4 or p == 1}
+    kind = "user_id int, permutation_index int, item_id string, score double"
+    runs = spark.createDataFrame([(u, p, i, s) for (u, p), x in lists.items() for i, s in x.items()], kind).mapInPandas(noted, kind)
+    got = {r["user_id"]: r["loss"] for r in losses.permutation_loss(runs, mode, 2.0).collect()}
+    assert made.value == sum(map(len, lists.values()))
+
+    def lp(x):
+        z = math.log(sum(math.exp(x[f"i{i}"] / 2) for i in range(4)))
+        return [x[f"i{i}"] / 2 - z for i in range(4)]
+
+    term = {"kl": lambda a, b: math.exp(a) * (a - b), "jeffreys": lambda a, b: (math.exp(a) - math.exp(b)) * (a - b)}[mode]
+    want = {u: sum(term(a, b) for p in (2, 3) for a, b in zip(lp(lists[u, 1]), lp(lists[u, p]), strict=True)) / 2 for u in (1, 2, 3)} | {4: 0.0}
+    assert got == pytest.approx(want)
+
+
 def test_recommend_of_a_user_who_has_seen_all(spark):
     users = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "user_id long, vec array<double>")
     items = spark.createDataFrame([(i, [1.0]) for i in range(3)], "item_id long, vec array<double>")
