@@ -124,6 +124,20 @@ def test_coverage_reads_candidates_once(spark):
     assert tuple(retrieval.candidate_coverage(rows, truth).first()) == (3, 1, 1 / 3) and made.value == 4
 
 
+def test_preference_consistency_reads_its_lists_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(it):
+        for b in it:
+            made.add(len(b))
+            yield b
+
+    kind = "user_id int, permutation_index int, item_id string, input_position int, output_rank int"
+    rows = [(u, p, f"i{(i + p) % 3}", i, (i * u) % 3 if u != 3 else i) for u in (1, 2, 3) for p in (1, 2) for i in range(3)]
+    got = metrics.preference_consistency(spark.createDataFrame(rows, kind).mapInPandas(noted, kind)).first()
+    assert got["num_users"] == 3 and made.value == len(rows)
+
+
 def test_numbered_rows_are_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5)
     assert all(r["x"] == 999 - r["at"] for r in prep.numbered(df, F.desc("x"), name="at").collect())
