@@ -428,3 +428,20 @@ def test_split_by_name(spark):
     assert count("temporal_ratio") == count("temporal_70_10_20") == {"train": 7, "val": 1, "test": 2}
     with pytest.raises(ValueError):
         prep.split_interactions(log, "random", 3, [])
+
+
+def test_figures_of_users_come_from_one_reading_of_runs_that_stay_where_they_are(spark):
+    rows = [(u, p, f"i{i}", (i * (p + u)) % 5, 10 - i) for u in range(40) for p in (1, 2, 3) for i in range(5)]
+    rows += [(90, 1, "a", 0, 1), (91, 1, "a", 0, 1), (91, 2, "b", 0, 1), (None, 1, "a", 0, 1), (None, 2, "a", 0, 1)]
+    runs = spark.createDataFrame(rows, "user_id long, permutation_index int, item_id string, output_rank int, score int").repartition(4, "user_id")
+    truth = spark.createDataFrame([(u, "i1") for u in range(0, 40, 2)] + [(91, "b")], "user_id long, item_id string").repartition(4, "user_id")
+    out = metrics.robustness_by_user(runs, truth, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2  # runs and truth, each once
+    got = {r["user_id"]: r for r in out.collect()}
+    assert len(got) == 43
+    assert (got[90]["num_pairs"], got[90]["mean_tau"], got[90]["jaccard"]) == (0, None, None)
+    assert (got[91]["mean_tau"], got[91]["jaccard"], got[91]["mean_rank"], got[91]["rank_std"]) == (None, 0.0, 1.0, 0.0)
+    assert (got[None]["num_permutations"], got[None]["mean_tau"], got[None]["same_top"]) == (2, None, None)
+    by_pair = {r["user_id"]: r for r in metrics.correlations(runs).collect()}
+    assert all(by_pair[u]["mean_tau"] == got[u]["mean_tau"] and by_pair[u]["mean_rho"] == got[u]["mean_rho"] for u in range(40))
