@@ -445,3 +445,70 @@ def test_figures_of_users_come_from_one_reading_of_runs_that_stay_where_they_are
     assert (got[None]["num_permutations"], got[None]["mean_tau"], got[None]["same_top"]) == (2, None, None)
     by_pair = {r["user_id"]: r for r in metrics.correlations(runs).collect()}
     assert all(by_pair[u]["mean_tau"] == got[u]["mean_tau"] and by_pair[u]["mean_rho"] == got[u]["mean_rho"] for u in range(40))
+
+
+def dealt_lists(spark):
+    """Runs, their truth and scored runs, in 8 partitions by user_id."""
+    rng = random.Random(5)
+    rows = [(u, p, f"i{i}", place, rng.randrange(6), r) for u in range(30) for p in (1, 2, 3) for place, (i, r) in enumerate(zip(rng.sample(range(7), 5), rng.sample(range(5), 5), strict=True))]
+    runs = spark.createDataFrame(rows, "user_id long, permutation_index int, item_id string, input_position int, score int, output_rank int").repartition(8, "user_id")
+    truth = spark.createDataFrame([(u, f"i{i}") for u in range(33) for i in range(u % 3)], "user_id long, item_id string").repartition(8, "user_id")
+    return rows, runs, truth
+
+
+def dealt_again(df):
+    """The exchanges by other keys than the fixture's own two."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+
+
+def test_effectiveness_leaves_lists_where_they_are(spark):
+    rows, runs, truth = dealt_lists(spark)
+    per = metrics.per_list_effectiveness(runs, truth, 3)
+    assert not dealt_again(per)
+    got = {(r["user_id"], r["permutation_index"]): r for r in per.collect()}
+    assert len(got) == 90 + 2 and (got[31, None]["hit_rate"], got[31, None]["recall"]) == (0.0, 0.0)
+    for u, p in itertools.product(range(30), (1, 2, 3)):
+        true = {f"i{i}" for i in range(u % 3)}
+        ranks = sorted(r for (a, b, i, _, _, r) in rows if (a, b) == (u, p) and i in true and r < 3)
+        ideal = sum(1 / math.log2(x + 2) for x in range(len(true)))
+        assert got[u, p]["mrr"] == (1 / (ranks[0] + 1) if ranks else 0.0)
+        assert got[u, p]["recall"] == (len(ranks) / len(true) if true else None)
+        assert got[u, p]["ndcg"] == (pytest.approx(sum(1 / math.log2(x + 2) for x in ranks) / ideal) if true else None)
+
+
+def test_a_validation_reads_its_lists_once_and_leaves_them_where_they_are(spark):
+    rows, runs, truth = dealt_lists(spark)
+    scored = retrieval.relevance(runs, truth).select(F.col("user_id").alias("request_id"), "permutation_index", "item_id", F.col("input_position").alias("position"), "score", "relevance")
+    out = metrics.validation(scored)
+    assert not dealt_again(out) and out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    got, hits, ndcg, rhos = out.first(), [], [], []
+    for u in range(30):
+        lists = [sorted((r for r in rows if r[:2] == (u, p)), key=lambda r: (-r[4], r[3])) for p in (1, 2, 3)]
+        found = [int(int(r[2][1:]) < u % 3) for r in lists[0]]
+        dcg = lambda x: sum(v / math.log2(i + 2) for i, v in enumerate(x))
+        hits.append(max(found))
+        ndcg.append(dcg(found) / dcg(sorted(found, reverse=True)) if any(found) else 0.0)
+        shared = sorted(set.intersection(*({r[2] for r in l} for l in lists)))
+        at = [[[r[2] for r in l if r[2] in shared].index(i) for i in shared] for l in lists]
+        n = len(shared)
+        rhos += [1 - 6 * sum((a - b) ** 2 for a, b in zip(at[0], x, strict=True)) / (n * (n * n - 1)) for x in at[1:] if n > 1]
+    assert got["hr_5"] == got["hr_10"] == pytest.approx(sum(hits) / 30) and got["ndcg_5"] == pytest.approx(sum(ndcg) / 30)
+    assert rhos and got["perm_spearman"] == pytest.approx(sum(rhos) / len(rhos))
+
+
+def test_initial_cost_leaves_preferences_where_they_are(spark):
+    _, runs, _ = dealt_lists(spark)
+    prefs = metrics.pair_preferences(runs)
+    out = metrics.gpi_initial_cost(prefs)
+    assert not dealt_again(out)
+    got, of = {r["user_id"]: r["initial_cost"] for r in out.collect()}, {}
+    for r in prefs.collect():
+        of.setdefault(r["user_id"], {})[r["x"], r["y"]] = r["p"]
+    assert len(got) == 30
+    for u, pairs in of.items():
+        win = {}
+        for (x, y), p in pairs.items():
+            win[x], win[y] = win.get(x, 0) + p, win.get(y, 0) + 1 - p
+        place = {i: n for n, i in enumerate(sorted(win, key=lambda i: (-round(win[i], 9), i)))}
+        assert got[u] == pytest.approx(sum(1 - p if place[x] < place[y] else p for (x, y), p in pairs.items()) / len(pairs))
