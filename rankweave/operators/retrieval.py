@@ -224,8 +224,9 @@ def candidate_coverage(candidates: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def relevance(candidates: DataFrame, truth: DataFrame) -> DataFrame:
-    t = truth.select("user_id", "item_id").distinct().withColumn("_hit", F.lit(1))
-    return candidates.join(t, ["user_id", "item_id"], "left").withColumn("relevance", F.coalesce("_hit", F.lit(0))).drop("_hit")
+    """candidates with relevance 1 where the user's truth has the item, else 0. They join by user alone, so candidates that are dealt by user stay where they are."""
+    t = truth.groupBy("user_id").agg(F.collect_set("item_id").alias("_true"))
+    return candidates.join(t, "user_id", "left").withColumn("relevance", F.coalesce(F.array_contains("_true", F.col("item_id")), F.lit(False)).cast("int")).drop("_true")
 
 
 def candidates_long(candidates: DataFrame, items: DataFrame) -> DataFrame:
