@@ -36,6 +36,11 @@ def _candidate_ids(samples: DataFrame) -> Column:
     return F.when(F.size("candidate_ids") > 0, F.col("candidate_ids").cast("array<string>")).otherwise(places) if "candidate_ids" in samples.columns else places
 
 
+def _with_ids(samples: DataFrame) -> DataFrame:
+    """samples with `_ids`. An exploded array of one keeps the ids from being made anew for each place that looks at them."""
+    return samples.select("*", F.explode(F.array(_candidate_ids(samples))).alias("_ids"))
+
+
 def rank_records(samples: DataFrame) -> DataFrame:
     """Records of samples (sample_index, user_id, split, history, candidates, candidate_ids, runs array<struct<permutation, scores, relevance>>, and more).
 
@@ -45,20 +50,25 @@ def rank_records(samples: DataFrame) -> DataFrame:
     n = F.coalesce(F.size("candidates"), F.lit(0))
     own = lambda c, other: F.coalesce(F.col(c), other) if c in has else other
 
+    # steps, so that places and their order are made once a list and not for each field
+    def shown(run: Column) -> Column:
+        return F.struct(_shown(run["permutation"], run["scores"], F.col("_ids")).alias("shown"), run["relevance"].cast("array<int>").alias("relevance"))
+
+    def ordered(run: Column) -> Column:
+        return F.struct(run["shown"].alias("shown"), run["relevance"].alias("relevance"), _falling(run["shown"]).alias("ranked"))
+
     def one(run: Column, i: Column) -> Column:
-        shown = _shown(run["permutation"], run["scores"], F.col("_ids"))
-        ranked = _falling(shown)
         of = lambda rows, c: F.transform(rows, lambda x: x[c])
-        relevance = F.coalesce(F.slice(run["relevance"], F.lit(1), F.size(shown)).cast("array<int>"), F.array().cast("array<int>"))
+        relevance = F.coalesce(F.slice(run["relevance"], F.lit(1), F.size(run["shown"])), F.array().cast("array<int>"))
         return F.struct(
             i.cast("int").alias("permutation_index"),
-            F.struct(of(shown, "index").alias("candidate_indices"), of(shown, "id").alias("item_ids"), relevance.alias("relevance")).alias("input"),
-            of(shown, "score").alias("scores"),
-            F.struct(of(ranked, "index").alias("candidate_indices"), of(ranked, "id").alias("item_ids"), of(ranked, "score").alias("scores")).alias("output_ranking"),
+            F.struct(of(run["shown"], "index").alias("candidate_indices"), of(run["shown"], "id").alias("item_ids"), relevance.alias("relevance")).alias("input"),
+            of(run["shown"], "score").alias("scores"),
+            F.struct(of(run["ranked"], "index").alias("candidate_indices"), of(run["ranked"], "id").alias("item_ids"), of(run["ranked"], "score").alias("scores")).alias("output_ranking"),
         )
 
     rest = [c for c in samples.columns if c not in (*KEYS, "candidate_ids", "runs")]
-    rows = samples.withColumn("_ids", _candidate_ids(samples))
+    rows = _with_ids(samples)
     return rows.select(
         own("sample_index", F.lit(-1)).cast("long").alias("sample_index"),
         F.col("user_id").cast("string").alias("user_id"),
@@ -67,14 +77,14 @@ def rank_records(samples: DataFrame) -> DataFrame:
         own("num_items", n).cast("int").alias("num_items"),
         F.to_variant_object(F.col("history")).alias("history"),
         F.to_variant_object(F.col("candidates")).alias("candidates"),
-        F.transform("runs", one).cast(f"array<{PERMUTATION}>").alias("permutations"),
+        F.transform(F.transform(F.transform("runs", shown), ordered), one).cast(f"array<{PERMUTATION}>").alias("permutations"),
         (F.to_variant_object(F.struct(*rest)) if rest else F.lit(None).cast("variant")).alias("extra"),
     )
 
 
 def permutation_rank_records(samples: DataFrame) -> DataFrame:
     """(sample_index, user_id, permutation_index, permutation, ranking): a row for each run of a sample, its candidates by falling score."""
-    rows = samples.withColumn("_ids", _candidate_ids(samples)).select("sample_index", F.col("user_id").cast("string").alias("user_id"), "_ids", F.posexplode("runs").alias("permutation_index", "run"))
+    rows = _with_ids(samples).select("sample_index", F.col("user_id").cast("string").alias("user_id"), "_ids", F.posexplode("runs").alias("permutation_index", "run"))
     shown = _falling(_shown(F.col("run.permutation"), F.col("run.scores"), F.col("_ids")))
     item = lambda x: F.struct(x["index"].alias("candidate_index"), x["id"].alias("candidate_id"), x["at"].alias("input_position"), x["score"].alias("score"), F.get("run.relevance", x["at"]).cast("int").alias("relevance"))
     return rows.select("sample_index", "user_id", "permutation_index", F.col("run.permutation").cast("array<int>").alias("permutation"), F.transform(shown, item).cast(RANKED).alias("ranking"))
@@ -102,12 +112,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """Records of JSON lines (value)."""
-    raw = lines.select(F.parse_json("value").alias("_r"))
+    raw = lines.select(F.explode(F.array(F.parse_json("value"))).alias("_r"))  # a filter on a column doesn't go below it, where each line would be made and parsed anew
     kinds = [x.strip() for x in RECORD.split(", ", 7)]
     names = [k.split(" ", 1) for k in kinds]
     every = F.variant_get("_r", "$", "map<string,variant>")
     rest = F.map_filter(every, lambda k, _: ~k.isin(*KEYS))
-    return raw.select(*(F.variant_get("_r", f"$.{c}", kind).alias(c) for c, kind in names), F.when(F.size(rest) > 0, F.to_variant_object(rest)).alias("extra"))
+    return raw.select(*(F.variant_get("_r", f"$.{c}", kind).alias(c) for c, kind in names), F.get(F.transform(F.array(rest), lambda m: F.when(F.size(m) > 0, F.to_variant_object(m))), F.lit(0)).alias("extra"))
 
 
 def sample_dicts(samples: DataFrame) -> DataFrame:

@@ -881,11 +881,15 @@ def _(spark, runs, truth):
 
 def _samples(runs: DataFrame, truth: DataFrame) -> DataFrame:
     """A sample a user: its candidates in the order of ids, and its lists as runs over their places."""
-    ids = runs.groupBy("user_id").agg(F.array_sort(F.collect_set("item_id")).alias("candidate_ids"))
-    rows = retrieval.relevance(runs, truth).join(ids, "user_id").withColumn("at", (F.array_position("candidate_ids", F.col("item_id")) - 1).cast("int"))
-    lists = rows.groupBy("user_id", "permutation_index", "candidate_ids").agg(F.array_sort(F.collect_list(F.struct("input_position", "at", F.col("score").cast("double").alias("score"), "relevance"))).alias("l"))
-    run = F.struct(F.transform("l", lambda x: x["at"]).alias("permutation"), F.transform("l", lambda x: x["score"]).alias("scores"), F.transform("l", lambda x: x["relevance"]).alias("relevance"))
-    out = lists.groupBy("user_id", "candidate_ids").agg(F.transform(F.array_sort(F.collect_list(F.struct("permutation_index", run.alias("run")))), lambda x: x["run"]).alias("runs"))
+    rows = retrieval.relevance(runs.where(F.col("user_id").isNotNull()), truth)
+    item = F.struct("input_position", "item_id", F.col("score").cast("double").alias("score"), "relevance")
+    lists = rows.groupBy("user_id", "permutation_index").agg(F.sort_array(F.collect_list(item)).alias("l"))
+    users = lists.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("permutation_index", "l"))).alias("lists"))
+    ids = F.sort_array(F.array_distinct(F.flatten(F.transform("lists", lambda x: F.transform(x["l"], lambda i: i["item_id"])))))
+    users = users.select("user_id", "lists", F.explode(F.array(ids)).alias("candidate_ids"))  # made once, not for each item that is looked up
+    at = lambda x: (F.array_position("candidate_ids", x["item_id"]) - 1).cast("int")
+    run = lambda l: F.struct(F.transform(l, at).alias("permutation"), F.transform(l, lambda x: x["score"]).alias("scores"), F.transform(l, lambda x: x["relevance"]).alias("relevance"))
+    out = users.select("user_id", "candidate_ids", F.transform("lists", lambda x: run(x["l"])).alias("runs"))
     return out.select(F.col("user_id").cast("long").alias("sample_index"), "user_id", F.lit("test").alias("split"), F.array().cast("array<string>").alias("history"), F.transform("candidate_ids", lambda i: F.struct(i.alias("item_id"))).alias("candidates"), "candidate_ids", "runs")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from rankweave.operators import calibration, datasets, evidence, metadata, metrics, models, negatives, prep, retrieval, templates
+from rankweave.plans import catalogue
 from rankweave.sources import readers, store
 
 
@@ -396,3 +397,10 @@ def test_inconsistency_of_lists_is_that_of_their_preferences(spark):
     whole = {u for u in by_pairs if all(len({i for a, p, i, _ in rows if a == u}) == sum(1 for a, q, *_ in rows if a == u and q == p) for p in {q for a, q, *_ in rows if a == u})}
     assert len(whole) >= 5 and all(by_lists[u] == by_pairs[u] for u in whole)
     assert set(by_lists) == set(by_pairs)
+
+
+def test_a_round_trip_makes_each_line_once(spark):
+    out = catalogue.QUERIES["evidence_round_trip"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == plan.count("StructsToJsonEvaluator") == 1
+    assert plan.count("Relation [") == 2  # customers for runs and for truth
