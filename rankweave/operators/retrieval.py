@@ -415,12 +415,13 @@ def scan_for_truth(order: DataFrame, score: Callable[[DataFrame], DataFrame], tr
 def truth_scan(ranked: DataFrame, truth: DataFrame, order: DataFrame, max_users: int | None = None, batch: int = 256) -> DataFrame:
     """(user_id, place, scanned_users): the first users, in order (user_id, place from 0), whose candidates hit their truth.
 
-    Users are scanned in batches until there are enough; scanned_users counts those of all batches up to then.
+    Users are scanned in batches until there are enough; scanned_users counts those of all batches up to then. Eager: the users found are stored.
     """
     if batch < 1 or (max_users is not None and max_users < 1):
         raise ValueError("batch and max_users are positive")
     hit = covered_users(ranked, truth).select("user_id").join(order, "user_id")
-    kept = hit if max_users is None else hit.orderBy("place").limit(max_users)
+    # stored: its count, its rows and what the caller makes of them read it, and the candidates behind it are the larger part of the work
+    kept = prep.stored_once(hit if max_users is None else hit.orderBy("place").limit(max_users))
     total = order.count()
     need = total if max_users is None else max_users
     got = kept.agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last")).first()
