@@ -27,8 +27,8 @@ def result_lists(users: DataFrame) -> DataFrame:
     return rows.select("user_id", "l.permutation_index", F.posexplode_outer("l.ids").alias("output_rank", "item_id"))
 
 
-def evaluation(runs: DataFrame, truth: DataFrame, k: int, outputs: DataFrame | None = None, full: bool = False, n_buckets: int = 3, min_observations: int = 1) -> DataFrame:
-    """One row: counts, effectiveness, parser quality (of `outputs`, if given), preference consistency and robustness; short or in full.
+def evaluation(runs: DataFrame, truth: DataFrame, k: int, outputs: DataFrame | None = None, full: bool = False, n_buckets: int = 3, min_observations: int = 1, preference: bool = True) -> DataFrame:
+    """One row: counts, effectiveness, parser quality (of `outputs`, if given), preference consistency (unless it isn't asked for) and robustness; short or in full.
 
     Eager: runs and truth, which every family reads, are stored before.
     """
@@ -36,12 +36,14 @@ def evaluation(runs: DataFrame, truth: DataFrame, k: int, outputs: DataFrame | N
         raise ValueError("k is positive")
     runs, truth = prep.stored_once(runs), prep.stored_once(truth)
     pick = lambda df, names: df if full else df.select(*names)
-    preference = metrics.preference_consistency(runs, n_buckets, min_observations).withColumnRenamed("num_users", "num_users_with_preference_consistency")
     out = runs.agg(F.countDistinct("user_id").alias("num_users")).withColumn("k", F.lit(k))
     parts = [metrics.effectiveness(runs, truth, k)]
     if outputs is not None:
         parts.append(pick(metrics.parser_quality(outputs), SHORT_PARSER))
-    parts += [pick(preference, SHORT_PREFERENCE), pick(metrics.robustness_macro(runs, truth, k), SHORT_ROBUSTNESS)]
+    if preference:
+        consistency = metrics.preference_consistency(runs, n_buckets, min_observations).withColumnRenamed("num_users", "num_users_with_preference_consistency")
+        parts.append(pick(consistency, SHORT_PREFERENCE))
+    parts.append(pick(metrics.robustness_macro(runs, truth, k), SHORT_ROBUSTNESS))
     for part in parts:  # each has one row
         out = out.crossJoin(part)
     return out
