@@ -403,4 +403,4 @@ def test_a_round_trip_makes_each_line_once(spark):
     out = catalogue.QUERIES["evidence_round_trip"](spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == plan.count("StructsToJsonEvaluator") == 1
-    assert plan.count("Relation [") == 2  # customers for runs and for truth
+    assert plan.count("] parquet") == 2  # customers for runs and for truth
