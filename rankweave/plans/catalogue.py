@@ -520,12 +520,12 @@ def _(spark, runs):
 
 @query("pair_preferences", PREFS + f" SELECT user_id, x, y, round(p, {DIGITS}) AS p FROM pr", runs=RUNS)
 def _(spark, runs):
-    return rounded(metrics.pair_preferences(runs), "p")
+    return rounded(metrics.preferences_of_lists(runs), "p")
 
 
 @query("win_score", PREFS + f" SELECT user_id, item_id, round(win_score, {DIGITS}) AS win_score FROM ws", runs=RUNS)
 def _(spark, runs):
-    return rounded(metrics.win_scores(metrics.pair_preferences(runs)), "win_score")
+    return rounded(metrics.win_scores(metrics.preferences_of_lists(runs)), "win_score")
 
 
 @query("gpi_initial_cost", PREFS + f""", o AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(win_score, 9) DESC, item_id) AS r FROM ws)

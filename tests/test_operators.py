@@ -6,6 +6,7 @@ import math
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import sampling, scoring
 from rankweave.operators import aggregate, calibration, interaction, losses, marker, metrics, parsing, permutations, prep, prompts, retrieval
+from rankweave.plans import catalogue
 from rankweave.sources import artifacts, readers
 from rankweave.streaming.exposure import exposure_counters
 
@@ -512,3 +514,29 @@ def test_initial_cost_leaves_preferences_where_they_are(spark):
             win[x], win[y] = win.get(x, 0) + p, win.get(y, 0) + 1 - p
         place = {i: n for n, i in enumerate(sorted(win, key=lambda i: (-round(win[i], 9), i)))}
         assert got[u] == pytest.approx(sum(1 - p if place[x] < place[y] else p for (x, y), p in pairs.items()) / len(pairs))
+
+
+#: Rows of odd lists: an item twice, one that a list lacks, a rank or a key that is missing.
+ODD = [
+    *[(1, 1, i, r) for r, i in enumerate("cabda")], *[(1, 2, i, r) for r, i in enumerate("acb")], (1, None, "a", 0), (1, None, "b", 1), (1, 3, "b", None), (1, 3, "c", 0), (1, 3, None, 1),
+    (None, 1, "a", 0), (None, 1, "b", 1), *[(2, p, i, r) for p in (1, 2) for r, i in enumerate(["\U0001f600", "\uffee", "z"][::p * 2 - 3])], (3, 1, "a", 0),
+]
+ODD_ROWS = "user_id long, permutation_index int, item_id string, output_rank int"
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 18])
+def test_preferences_of_odd_lists_are_those_of_the_sql(spark, cells):
+    df = spark.createDataFrame(ODD + [(u + 10, p, i, r) for u, p, i, r in ODD if u], ODD_ROWS)
+    con = duckdb.connect()
+    con.register("runs", df.toArrow())
+    said = con.sql(catalogue.PREFS + " SELECT user_id, x, y, p FROM pr").fetchall()
+    assert sorted(map(tuple, metrics.preferences_of_lists(df.coalesce(1), cells).collect())) == sorted(said) and len(said) == 18
+
+
+def test_the_query_of_preferences_makes_a_pair_once_a_user(spark):
+    out = catalogue.QUERIES["pair_preferences"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not dealt_again(out) and plan.count("ArrowEvalPython") == 1
+    # nothing is aggregated by pair: the only keys are users
+    assert {line.partition("keys=[")[2].partition("]")[0].partition("#")[0] for line in plan.splitlines() if "Aggregate(" in line} == {"user_id"}
+    assert not any("keys=[user_id" in line and "," in line.partition("keys=[")[2].partition("]")[0] for line in plan.splitlines())
