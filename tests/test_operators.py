@@ -540,3 +540,38 @@ def test_the_query_of_preferences_makes_a_pair_once_a_user(spark):
     # nothing is aggregated by pair: the only keys are users
     assert {line.partition("keys=[")[2].partition("]")[0].partition("#")[0] for line in plan.splitlines() if "Aggregate(" in line} == {"user_id"}
     assert not any("keys=[user_id" in line and "," in line.partition("keys=[")[2].partition("]")[0] for line in plan.splitlines())
+
+
+def swapped_cost(items, share):
+    """local_search() as it is said: the order by win score, then the swap that lowers the cost most, as long as one does."""
+    cost = lambda o: sum(share[b, a] for a, b in itertools.combinations(o, 2))
+    order = sorted(items, key=lambda i: (-round(sum(share[i, j] for j in items if j != i), 9), i))
+    while len(order) > 1:
+        swaps = []
+        for i, j in itertools.combinations(range(len(order)), 2):
+            other = order.copy()
+            other[i], other[j] = other[j], other[i]
+            swaps.append((cost(other), other))
+        least = min(c for c, _ in swaps)
+        if least >= cost(order) - 1e-9:
+            break
+        order = next(o for c, o in swaps if c < least + 1e-9)
+    return cost(order) / (len(order) * (len(order) - 1) / 2)
+
+
+@pytest.mark.parametrize("cells", [1, 100, 1 << 18])
+def test_users_are_searched_together_and_stay_where_they_are(spark, cells):
+    rng = random.Random(3)
+    orders = {u: [rng.sample(range(2 + u % 6), 2 + u % 6) for _ in range(1 + u % 4)] for u in range(60)}
+    rows = [(u, p, f"i{i}", r) for u, lists in orders.items() for p, l in enumerate(lists) for r, i in enumerate(l)]
+    # an item that is missing, a list without an index and a user without a pair
+    odd = [(0, 0, None, 9), (0, None, "i0", 3), (60, 0, "a", 0), (60, 1, "b", 0)]
+    runs = spark.createDataFrame(rows + odd, ODD_ROWS).repartition(8, "user_id")
+    out = metrics.gpi_of_lists(runs, cells)
+    assert not dealt_again(out)
+    got = {r["user_id"]: r["gpi"] for r in out.collect()}
+    assert set(got) == set(orders)
+    for u, lists in orders.items():
+        n = len(lists[0])
+        share = {(a, b): sum(l.index(a) < l.index(b) for l in lists) / len(lists) for a in range(n) for b in range(n) if a != b}
+        assert got[u] == pytest.approx(swapped_cost(range(n), share))
