@@ -10,7 +10,6 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +67,9 @@ def lightgcn_model(log: DataFrame, **settings) -> RetrievalModel:
 
     def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
         spark = rows.sparkSession
-        pairs = np.array(sorted(map(tuple, retrieval.seen_pairs(rows).collect())), np.int64)
+        pairs = retrieval.graph_pairs(rows)
         users, items, losses = retrieval.lightgcn_fit(pairs, int(pairs[:, 0].max()) + 1, int(pairs[:, 1].max()) + 1, **settings)
-        frame = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vec array<double>")
-        return frame(users, "user_id"), frame(items, "item_id"), losses
+        return retrieval.vector_frame(spark, users, "user_id"), retrieval.vector_frame(spark, items, "item_id"), losses
 
     return fit_model(log, "lightgcn", fit)
 

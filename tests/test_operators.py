@@ -5,6 +5,7 @@ import json
 import math
 import random
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -154,6 +155,44 @@ def test_lightgcn_sums_are_the_same_for_small_and_large_graphs(monkeypatch):
     assert all(np.allclose(x, y) for x, y in zip(small, retrieval.lightgcn_fit(pairs, 31, 30, dim=8, epochs=3, batch=64), strict=True))
 
 
+@pytest.mark.parametrize("n_users, n_items", [(40, 7), (7, 40), (12, 12)])
+@pytest.mark.parametrize("layers", [0, 1, 3, 4])
+def test_lightgcn_learns_the_same_in_all_forms_of_a_graph(monkeypatch, n_users, n_items, layers):
+    rng = np.random.default_rng(n_users + layers)
+    pairs = np.unique(np.stack([rng.integers(0, n_users - 1, 90), rng.integers(0, n_items - 1, 90)], axis=1), axis=0)  # the last of each side has no pair
+    fit = lambda: retrieval.lightgcn_fit(pairs, n_users, n_items, dim=5, layers=layers, epochs=4, batch=16, lr=0.01, tries=3)
+    want = fit()
+    monkeypatch.setattr(retrieval, "DENSE_CELLS", 0)
+    monkeypatch.setattr(retrieval, "PART_CELLS", 60)
+    narrow = fit()
+    monkeypatch.setattr(retrieval, "NARROW", 0)
+    for got in (narrow, fit()):
+        assert all(np.allclose(x, y, rtol=1e-9, atol=1e-12) for x, y in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("narrow", [0, 2048])
+def test_lightgcn_makes_no_vector_for_each_edge(monkeypatch, narrow):
+    rng = np.random.default_rng(0)
+    key = np.sort(rng.choice(3000 * 100, 60_000, replace=False))
+    monkeypatch.setattr(retrieval, "DENSE_CELLS", 0)
+    monkeypatch.setattr(retrieval, "NARROW", narrow, raising=False)
+    tracemalloc.start()
+    try:
+        retrieval.lightgcn_fit(np.stack([key // 100, key % 100], axis=1), 3000, 100, batch=4096, epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60_000_000  # 120,000 edges of 64 values are 61 MB, and were there twice
+
+
+def test_lightgcn_graph_and_vectors_go_over_arrow(spark):
+    log = spark.createDataFrame([(3, 1), (0, 7), (3, 0), (3, 1), (0, 2)], "user_id int, item_id int")
+    assert retrieval.graph_pairs(log).tolist() == [[0, 2], [0, 7], [3, 0], [3, 1]]
+    frame = retrieval.vector_frame(spark, np.arange(12.0).reshape(6, 2)[::2], "item_id")
+    assert frame.dtypes == [("item_id", "bigint"), ("vec", "array<double>")]
+    assert sorted(map(tuple, frame.collect())) == [(0, [0.0, 1.0]), (1, [4.0, 5.0]), (2, [8.0, 9.0])]
+
+
 @pytest.mark.parametrize("n_users, n_items", [(40, 7), (7, 40)])
 @pytest.mark.parametrize("layers", [0, 1, 2, 3, 4])
 def test_lightgcn_layers_come_from_two_products(n_users, n_items, layers):
