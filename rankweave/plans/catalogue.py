@@ -475,7 +475,9 @@ def _(spark, runs, truth):
     LEFT JOIN (SELECT user_id, list(r ORDER BY permutation_index) AS rank_values FROM best GROUP BY user_id) d ON u.user_id = d.user_id""", runs=RUNS, truth=TRUTH)
 def _(spark, runs, truth):
     out = metrics.robustness_values(runs, truth, K)
-    return out.withColumns({c: F.transform(c, lambda x: F.round(x, DIGITS)) for c in out.columns if c.endswith("_values") and c != "rank_values"})
+    # SQL's round keeps the sign of what becomes zero
+    signed = lambda x: F.when(F.abs(x) < 0.5 * 10.0**-DIGITS, x * 0.0).otherwise(F.round(x, DIGITS))
+    return out.withColumns({c: F.transform(c, signed) for c in out.columns if c.endswith("_values") and c != "rank_values"})
 
 
 #: Runs in which some users' second list holds an item that the others don't.

@@ -82,6 +82,14 @@ def test_als_has_the_parameters_of_the_reference(spark, monkeypatch):
     assert [used[x] for x in ("factors", "reg", "iterations", "alpha")] == [64, 0.01, 20, 40.0]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_robustness_values_have_the_signs_that_zeros_have_in_sql(spark, duck):
+    got = catalogue.QUERIES["robustness_values"](spark, DATA)
+    want = duck.sql(catalogue.SQL["robustness_values"]).select(*got.columns).fetchall()
+    said = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    assert "-0.0" in repr(want) and said(got.collect()) == said(want)
+
+
 def test_a_small_file_of_customers_is_dealt_before_it_is_multiplied(spark, tmp_path):
     spark.range(3000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     runs = X.spark_table(spark, str(tmp_path), X.RUNS)

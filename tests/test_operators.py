@@ -138,6 +138,21 @@ def test_interaction_is_antisymmetric_and_equivariant():
     assert interaction.relational_correction(x[:1], b[:1], w) == [0.0]
 
 
+def test_correlations_of_zero_have_the_sign_of_a_running_covariance(spark):
+    """Against corr in DuckDB over the same ranks; items are named in another order than they are ranked."""
+    rng = np.random.default_rng(4)
+    x = np.arange(8.0)
+    lists = [y for y in (rng.permutation(8) for _ in range(4000)) if ((x - 3.5) * (y - 3.5)).sum() == 0]
+    names = [rng.permutation(8) for _ in lists]
+    rows = [(q, p, f"i{names[q][at]}", int(rank)) for q, y in enumerate(lists) for p, ranks in ((1, range(8)), (2, y)) for at, rank in enumerate(ranks)]
+    got = metrics.correlation_values(spark.createDataFrame(rows, "user_id long, permutation_index int, item_id string, output_rank int"))
+    sign = {r["user_id"]: math.copysign(1, r["rho"]) for r in got.collect() if r["rho"] == 0}
+    con = duckdb.connect()
+    corr = lambda y: con.sql("SELECT corr(x, y) FROM (VALUES " + ", ".join(f"({i}, {v})" for i, v in enumerate(y)) + ") AS t(x, y)").fetchall()[0][0]
+    want = {q: math.copysign(1, corr(y)) for q, y in enumerate(lists)}
+    assert sign == want and set(want.values()) == {1.0, -1.0}
+
+
 def test_lightgcn_learns():
     rng = np.random.default_rng(1)
     pairs = np.unique(np.array([(u, 2 * i + u % 2) for u in range(20) for i in rng.integers(0, 10, 6)]), axis=0)
